@@ -75,10 +75,20 @@ def capped_prompts(
     max_examples: int = MAX_EXAMPLES,
     fields=FIELDS,
     keep=("task", "id", "inputs", "targets"),
+    only_tasks: DataFrame | None = None,
 ) -> DataFrame:
-    """Train rows x templates, capped per task with the seeded shuffle, rendered, non-empty."""
+    """Train rows x templates, capped per task with the seeded shuffle, rendered, non-empty.
+
+    ``only_tasks`` (one ``task`` column) restricts the build to those tasks; caps are still
+    computed from the full template set (the cap depends on the number of templates).
+    """
     caps = task_caps(data, templates, rule, max_examples)
     tpl = templates.join(caps.select("dataset", "subset", "cap"), ["dataset", "subset"])
+    if only_tasks is not None:
+        from ..functions.text import task_name as _tn
+
+        tpl = tpl.withColumn("__task", _tn("dataset", "subset", "name"))
+        tpl = tpl.join(F.broadcast(only_tasks.select(F.col("task").alias("__task"))), "__task", "left_semi").drop("__task")
     train = data.where(F.col("split") == "train")
     fanned = attach_templates(train, tpl)
     capped = seeded_cap(
@@ -94,11 +104,20 @@ def capped_prompts(
     return out.select(*keep)
 
 
-def flagship(spark: SparkSession, sf_dir: str, max_examples: int = 20) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, max_examples: int = 20, only_tasks: DataFrame | None = None) -> DataFrame:
     """documents x labels -> two labelled prompts -> <NO LABEL> fill -> non-empty -> seeded cap."""
     from ..sources.tables import labelled_corpus
 
     data = labelled_corpus(spark, sf_dir)
     templates = corpus_templates(data, CORPUS_PROMPTS)
-    out = capped_prompts(data, templates, "b", max_examples)
+    out = capped_prompts(data, templates, "b", max_examples, only_tasks=only_tasks)
     return out.select("task", F.col("id").alias("doc_id"), "inputs", "targets")
+
+
+def flagship_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task names of the flagship build (one row per (dataset, subset, prompt))."""
+    from ..functions.text import task_name as _tn
+    from ..sources.tables import corpus
+
+    t = corpus_templates(corpus(spark, sf_dir), CORPUS_PROMPTS, materialise=False)
+    return t.select(_tn("dataset", "subset", "name").alias("task"), F.col("name").alias("template"))
