@@ -1,4 +1,13 @@
 """Composed plans and the registry of named queries."""
 
-from . import io_queries, metric_queries, mixture_queries, packing_queries, prompt_queries, token_queries, translation_queries  # noqa: F401  (registers queries)
+from . import (  # noqa: F401  (importing registers the queries)
+    io_queries,
+    metric_queries,
+    mixture_queries,
+    packing_queries,
+    prompt_queries,
+    stream_queries,
+    token_queries,
+    translation_queries,
+)
 from .registry import ORACLES, QUERIES  # noqa: F401
