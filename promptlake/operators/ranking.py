@@ -71,15 +71,15 @@ def seeded_rank(
     return two_phase_rank(df, group_cols, [u_col, key], F.floor(F.col(u_col) * buckets), out)
 
 
-# Log-scale histogram resolution (buckets per halving of u) and the target
-# number of kept rows per (group, bucket) in the final rank.
-LOG_STEPS = 8
-ROWS_PER_RANK_BUCKET = 20_000
+# Log-scale histogram resolution (buckets per halving of the hash). With 64
+# steps a bucket holds about 1.1 % of the rows below it, so the largest rank partition of a
+# cap is about 1 % of the cap.
+LOG_STEPS = 64
 
 
 def _log_bucket(u: Column) -> Column:
-    """floor(-8 * log2(u)): ascending u <=> descending bucket; u = 0 goes to a last bucket."""
-    return F.when(u <= 0, F.lit(100_000)).otherwise(F.floor(-F.log2(u) * LOG_STEPS)).cast("int")
+    """floor(-64 * log2(u)): ascending u <=> descending bucket; u = 0 goes to a last bucket."""
+    return F.when(u <= 0, F.lit(1 << 20)).otherwise(F.floor(-F.log2(u) * LOG_STEPS)).cast("int")
 
 
 def seeded_cap(
@@ -96,15 +96,17 @@ def seeded_cap(
     ``df`` carries a per-row ``cap_col`` (constant within a group); ``seed`` may be a Column
     (per-template seeds). Plan:
 
-    1. one narrow pass builds a per-group histogram of the hash on a log scale (at most a few
-       hundred rows per group, partial aggregation map-side);
-    2. from it each group gets the smallest bucket cut that still holds ``min(cap, n)`` rows;
-    3. rows beyond the cut are dropped before any shuffle (a broadcast join against one row
-       per group), the rest (about ``1.09 * cap``) are ranked with ``two_phase_rank``.
+    1. one narrow pass builds a per-group histogram of the hash on a log scale (a few hundred
+       to a few thousand rows per group; partial aggregation map-side);
+    2. from it each group gets the bucket cut that still holds ``min(cap, n)`` rows, and every
+       kept bucket gets its exact rank offset (rows in buckets of smaller hash);
+    3. rows beyond the cut are dropped before any shuffle (broadcast join against one row per
+       group); the kept rows (about ``cap``) are shuffled by (group, bucket) and ranked
+       ``offset + row_number()`` inside their bucket.
 
     ``groups_bounded`` states that the groups come from a size-checked config table (tasks),
-    which bounds the per-group cut table that is broadcast; otherwise it is materialised in
-    the shared folder and broadcast only if its row count is under ``MAX_BROADCAST_ROWS``.
+    which bounds the broadcast cut table; otherwise the cut table is materialised in the shared
+    folder and broadcast only if its row count is under ``MAX_BROADCAST_ROWS``.
     """
     g = _cols(group_cols)
     work = df.withColumn("u", hash_u(seed, key)).withColumn("__lb", _log_bucket(F.col("u")))
@@ -114,21 +116,21 @@ def seeded_cap(
     hist = (
         hist.withColumn("__cum", F.sum("__c").over(w_cum))
         .withColumn("__n", F.sum("__c").over(w_all))
-        .withColumn("__cap", F.max("__cap").over(w_all))
+        .withColumn("__gcap", F.max("__cap").over(w_all))
     )
-    need = F.least(F.col("__cap"), F.col("__n"))
-    cuts = hist.where(F.col("__cum") >= need).groupBy(*g).agg(
-        F.max("__lb").alias("__lbcut"), F.max("__cap").alias("__gcap")
+    need = F.least(F.col("__gcap"), F.col("__n"))
+    cuts = hist.where(F.col("__cum") >= need).groupBy(*g).agg(F.max("__lb").alias("__lbcut"))
+    offsets = (
+        hist.join(cuts, g)
+        .where(F.col("__lb") >= F.col("__lbcut"))
+        .select(*g, "__lb", (F.col("__cum") - F.col("__c")).alias("__off"))
     )
-    cuts = cuts.withColumn(
-        "__B",
-        F.greatest(F.lit(16), F.least(F.lit(65536), F.ceil(F.col("__gcap") / F.lit(ROWS_PER_RANK_BUCKET)))),
-    ).withColumn("__ucut", F.pow(F.lit(2.0), -F.col("__lbcut") / F.lit(LOG_STEPS)))
-    cuts = cuts.drop("__gcap")
-    cuts = F.broadcast(cuts) if groups_bounded else broadcast_checked(cuts, "cap_cuts")
-    kept = work.join(cuts, g).where(F.col("__lb") >= F.col("__lbcut"))
-    bucket = F.floor(F.col("u") / F.col("__ucut") * F.col("__B"))
-    ranked = two_phase_rank(kept, g, ["u", key], bucket, "rn").drop("__lb", "__lbcut", "__ucut", "__B")
+    cuts_b = F.broadcast(cuts) if groups_bounded else broadcast_checked(cuts, "cap_cuts")
+    kept = work.join(cuts_b, g).where(F.col("__lb") >= F.col("__lbcut")).drop("__lbcut")
+    w_in = Window.partitionBy(*g, "__lb").orderBy("u", key)
+    ranked = kept.join(offsets, [*g, "__lb"]).withColumn(
+        "rn", (F.col("__off") + F.row_number().over(w_in)).cast("long")
+    ).drop("__off", "__lb")
     out = ranked.where(F.col("rn") <= F.col(cap_col))
     return out if keep_rank else out.drop("rn", "u")
 

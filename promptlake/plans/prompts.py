@@ -104,13 +104,72 @@ def capped_prompts(
     return out.select(*keep)
 
 
+def prompt_tasks(data: DataFrame, prompts=CORPUS_PROMPTS, rule: str = "b", max_examples: int = MAX_EXAMPLES) -> DataFrame:
+    """Control table: one row per (dataset, subset, prompt) with ordinal, template text, train
+    size ``n``, ``num_templates``, ``cap`` and ``task`` — from ONE narrow aggregation over the
+    data, then materialised (small: datasets x prompts) and size-checked for broadcast."""
+    from ..functions.text import task_name as _tn
+
+    stats = data.groupBy("dataset", "subset").agg(
+        F.sum(F.when(F.col("split") == "train", 1).otherwise(0)).cast("long").alias("n")
+    )
+    T = F.lit(len(prompts))
+    if rule == "a":
+        cap = cap_rule_a(F.col("n"), T, F.col("n") > 0, max_examples)
+    else:
+        cap = cap_rule_b(F.col("n"), T, max_examples)
+    arr = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("ordinal"),
+                F.lit(n).alias("name"),
+                F.lit(j).alias("jinja"),
+                F.lit(c).cast("string").alias("answer_choices"),
+                F.lit(o).alias("original_task"),
+            )
+            for i, (n, j, c, o) in enumerate(prompts)
+        ]
+    )
+    t = stats.select("dataset", "subset", "n", T.alias("num_templates"), cap.alias("cap"), F.explode(arr).alias("t"))
+    t = t.select("dataset", "subset", "n", "num_templates", "cap", "t.*").withColumn("task", _tn("dataset", "subset", "name"))
+    return broadcast_checked(t, "tasks")
+
+
+def build_prompts(
+    spark: SparkSession,
+    sf_dir: str,
+    prompts=CORPUS_PROMPTS,
+    rule: str = "b",
+    max_examples: int = MAX_EXAMPLES,
+    only_tasks: DataFrame | None = None,
+) -> DataFrame:
+    """Capped, rendered prompt rows of every (dataset, subset, prompt) task of the corpus.
+
+    Plan: control table (narrow pass) -> broadcast fan-out of train rows -> seeded cap (one
+    narrow histogram pass, then only ~cap rows per task are shuffled) -> labels joined to the
+    kept rows only -> render -> non-empty filter.
+    """
+    from ..sources.tables import corpus, read
+
+    data = corpus(spark, sf_dir)
+    tasks = prompt_tasks(data, prompts, rule, max_examples)
+    if only_tasks is not None:
+        tasks = F.broadcast(tasks.join(F.broadcast(only_tasks.select("task")), "task", "left_semi"))
+    tpl = tasks.withColumnRenamed("name", "template").withColumnRenamed("answer_choices", "tpl_choices")
+    train = data.where(F.col("split") == "train")
+    fanned = train.join(tpl.drop("n"), ["dataset", "subset"])
+    capped = seeded_cap(
+        fanned, ["dataset", "subset", "template"], (F.lit(BASE_SEED) + F.col("ordinal")).cast("string"), "id", "cap"
+    )
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    rows = capped.join(labels, "id", "left")
+    rendered = render_templates(rows, FIELDS, keep=["task", "id"])
+    return nonempty_pairs(rendered).select("task", "id", "inputs", "targets")
+
+
 def flagship(spark: SparkSession, sf_dir: str, max_examples: int = 20, only_tasks: DataFrame | None = None) -> DataFrame:
     """documents x labels -> two labelled prompts -> <NO LABEL> fill -> non-empty -> seeded cap."""
-    from ..sources.tables import labelled_corpus
-
-    data = labelled_corpus(spark, sf_dir)
-    templates = corpus_templates(data, CORPUS_PROMPTS)
-    out = capped_prompts(data, templates, "b", max_examples, only_tasks=only_tasks)
+    out = build_prompts(spark, sf_dir, CORPUS_PROMPTS, "b", max_examples, only_tasks)
     return out.select("task", F.col("id").alias("doc_id"), "inputs", "targets")
 
 
