@@ -9,9 +9,11 @@ use average ranks from a two-phase rank over value buckets.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hof import let, let2
 from ..functions.text import strip
 
 # Punctuation removed by the answer normaliser (Python's string.punctuation),
@@ -45,10 +47,12 @@ def rouge_tokens(text) -> Column:
 
 
 def ngrams(tokens, n: int) -> Column:
-    t = _c(tokens)
-    return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
-    )
+    def body(t):
+        return F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+        )
+
+    return let(_c(tokens), body)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -134,23 +138,32 @@ def rouge_n(df: DataFrame, n: int, group=("task",)) -> DataFrame:
     return ov.groupBy(*group).agg((F.avg(_f1(F.col("match"), F.col("n_pred"), F.col("n_ref"))) * 100).alias(f"rouge{n}"))
 
 
-def lcs_length(a, b) -> Column:
-    """Longest common subsequence length by the row-by-row DP in an ``aggregate`` HOF."""
-    a, b = _c(a), _c(b)
-    init = F.array_repeat(F.lit(0), F.size(b) + 1)
+def _lcs_pair(a, b) -> int:
+    """LCS length with one numpy pass per token of ``a``: the row recurrence
+    cur[j] = max(prev[j], cur[j-1], prev[j-1] + match) is a running maximum of
+    t[j] = max(prev[j], prev[j-1] + match[j])."""
+    if a is None or b is None or len(a) == 0 or len(b) == 0:
+        return 0
+    import numpy as np
+
+    bv = np.asarray(b, dtype=object)
+    prev = np.zeros(len(bv) + 1, dtype=np.int64)
+    for x in a:
+        match = (bv == x).astype(np.int64)
+        t = np.maximum(prev[1:], prev[:-1] + match)
+        prev = np.concatenate(([0], np.maximum.accumulate(t)))
+    return int(prev[-1])
 
-    def step(prev, x):
-        # new row: cur[0] = 0; cur[j] = prev[j-1] + 1 if x == b[j-1] else max(prev[j], cur[j-1])
-        def inner(acc, j):
-            val = F.when(x == F.element_at(b, j), F.element_at(prev, j) + 1).otherwise(
-                F.greatest(F.element_at(prev, j + 1), F.element_at(acc, -1))
-            )
-            return F.concat(acc, F.array(val))
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(b), F.lit(1))), F.array(F.lit(0)), inner)
+@F.pandas_udf("long")
+def _lcs_batch(pa: pd.Series, pb: pd.Series) -> pd.Series:
+    return pd.Series([_lcs_pair(x, y) for x, y in zip(pa, pb)], dtype="int64")
 
-    rows = F.aggregate(a, init, step)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(F.element_at(rows, -1))
+
+def lcs_length(a, b) -> Column:
+    """Longest common subsequence length of two token arrays (Arrow-batched pandas UDF; the
+    DP is sequential per pair, the tokenisation and all aggregation stay in the JVM)."""
+    return _lcs_batch(_c(a), _c(b))
 
 
 def rouge_l(df: DataFrame, group=("task",)) -> DataFrame:
@@ -258,8 +271,11 @@ def edit_distance_words(df: DataFrame, group=("task",)) -> DataFrame:
     """Word-level Levenshtein distance statistics."""
     pw = F.split(strip("prediction"), "\\s+", -1)
     tw = F.split(strip("target"), "\\s+", -1)
-    v = F.array_distinct(F.concat(pw, tw))
-    d = df.select(*group, F.levenshtein(_word_chars(pw, v), _word_chars(tw, v)).alias("d"))
+
+    def dist(p, t):
+        return let(F.array_distinct(F.concat(p, t)), lambda v: F.levenshtein(_word_chars(p, v), _word_chars(t, v)))
+
+    d = df.select(*group, let2(pw, tw, dist).alias("d"))
     return _dist_stats(d, group)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_u
+from ..functions.hof import let
 from .tokens import EOS, PAD, pad_to, shift_right
 
 # Longest chunk kept per document and the block of keys per running-sum bucket.
@@ -61,18 +62,19 @@ def lm_segments(chunks: DataFrame, stream: str, key: str, length: int, chunk: st
     first = F.floor(F.col("start") / L)
     last = F.floor((F.col("start") + F.col("len") - 1) / L)
 
-    def piece(s):
-        lo = F.greatest(s * L - F.col("start"), F.lit(0))
-        hi = F.least((s + 1) * L - F.col("start"), F.col("len"))
-        return F.struct(
-            s.alias("seg"),
-            F.greatest(F.col("start") - s * L, F.lit(0)).alias("off"),
-            F.slice(chunk, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("toks"),
-        )
-
-    parts = c.where(F.col("len") > 0).select(
-        stream, F.explode(F.transform(F.sequence(first, last), piece)).alias("p")
-    ).select(stream, "p.*")
+    def pieces(ch):
+        def piece(s):
+            lo = F.greatest(s * L - F.col("start"), F.lit(0))
+            hi = F.least((s + 1) * L - F.col("start"), F.col("len"))
+            return F.struct(
+                s.alias("seg"),
+                F.greatest(F.col("start") - s * L, F.lit(0)).alias("off"),
+                F.slice(ch, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("toks"),
+            )
+
+        return F.transform(F.sequence(first, last), piece)
+
+    parts = c.where(F.col("len") > 0).select(stream, F.explode(let(F.col(chunk), pieces)).alias("p")).select(stream, "p.*")
     g = parts.groupBy(stream, "seg").agg(F.array_sort(F.collect_list(F.struct("off", "toks"))).alias("__ps"))
     return g.select(stream, "seg", F.flatten(F.transform("__ps", lambda x: x["toks"])).alias("tokens"))
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.hof import let, let2
 from ..functions.text import strip, task_name
 
 # Fixed values of the prompt format.
@@ -107,21 +108,32 @@ def _render_part(part: Column, fields: Column, choices: Column, python_index: bo
 def render_field_template(
     jinja: Column, choices_tpl: Column, fields: Column, python_index: bool = False
 ) -> Column:
-    """struct(inputs, targets, answer_choices) for one row and one template text."""
+    """struct(inputs, targets, answer_choices) for one row and one template text.
+
+    The row's field map is bound once per row (``let``), so lookups inside the per-reference
+    lambdas never rebuild it."""
+    return let(fields, lambda fm: _render_with(jinja, choices_tpl, fm, python_index))
+
+
+def _render_with(jinja: Column, choices_tpl: Column, fields: Column, python_index: bool) -> Column:
     raw_choices = answer_choices(choices_tpl)
     # choices may themselves reference fields ({{ choice1 }} ||| {{ choice2 }})
     empty = F.array().cast("array<string>")
-    choices = F.transform(raw_choices, lambda c: strip(_render_part(c, fields, empty, python_index)))
-    parts = F.split(jinja, SEP_REGEX, -1)
-    ok = F.size(parts) == 2
-    inputs = strip(_render_part(F.element_at(parts, 1), fields, choices, python_index))
-    targets = strip(_render_part(F.element_at(parts, -1), fields, choices, python_index))
-    targets = F.when(targets == "", F.lit(NO_LABEL)).otherwise(targets)
-    return F.struct(
-        F.when(ok, inputs).otherwise(F.lit("")).alias("inputs"),
-        F.when(ok, targets).otherwise(F.lit("")).alias("targets"),
-        choices.alias("answer_choices"),
-    )
+    choices_expr = F.transform(raw_choices, lambda c: strip(_render_part(c, fields, empty, python_index)))
+
+    def body(choices):
+        parts = F.split(jinja, SEP_REGEX, -1)
+        ok = F.size(parts) == 2
+        inputs = strip(_render_part(F.element_at(parts, 1), fields, choices, python_index))
+        targets = strip(_render_part(F.element_at(parts, -1), fields, choices, python_index))
+        targets = F.when(targets == "", F.lit(NO_LABEL)).otherwise(targets)
+        return F.struct(
+            F.when(ok, inputs).otherwise(F.lit("")).alias("inputs"),
+            F.when(ok, targets).otherwise(F.lit("")).alias("targets"),
+            choices.alias("answer_choices"),
+        )
+
+    return let(choices_expr, body)
 
 
 def nonempty_pairs(df: DataFrame) -> DataFrame:

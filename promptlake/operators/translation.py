@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hof import let
+
 # Entity pattern, placeholder format, key separator, instruction prefix (as the
 # reference spells it), id prefix and the reference text of added templates.
 ENTITY_REGEX = "(?s)(?:\\{|\\{\\{).*?(?:\\}\\}|\\})"
@@ -81,6 +83,10 @@ def repair(text) -> Column:
 
 def restore(text, ents) -> Column:
     """Placeholders ``{ei}`` -> i-th entity (unknown placeholders stay as they are)."""
+    return let(_c(ents), lambda e: _restore(text, e))
+
+
+def _restore(text, ents) -> Column:
     lits = F.split(_c(text), "\\{e[0-9]+\\}", -1)
     idx = F.regexp_extract_all(_c(text), F.lit(PLACEHOLDER_REGEX), 1)
     vals = F.transform(
