@@ -155,7 +155,6 @@ def _lcs_pair(a, b) -> int:
     return int(prev[-1])
 
 
-@F.pandas_udf("long")
 def _lcs_batch(pa: pd.Series, pb: pd.Series) -> pd.Series:
     return pd.Series([_lcs_pair(x, y) for x, y in zip(pa, pb)], dtype="int64")
 
@@ -163,7 +162,7 @@ def _lcs_batch(pa: pd.Series, pb: pd.Series) -> pd.Series:
 def lcs_length(a, b) -> Column:
     """Longest common subsequence length of two token arrays (Arrow-batched pandas UDF; the
     DP is sequential per pair, the tokenisation and all aggregation stay in the JVM)."""
-    return _lcs_batch(_c(a), _c(b))
+    return F.pandas_udf(_lcs_batch, "long")(_c(a), _c(b))
 
 
 def rouge_l(df: DataFrame, group=("task",)) -> DataFrame:
