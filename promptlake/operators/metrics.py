@@ -188,7 +188,9 @@ def average_ranks(df: DataFrame, group: list[str], value: str, out: str, buckets
         df, group = df.withColumn("__all", F.lit(1)), ["__all"]
     qs = [i / buckets for i in range(1, buckets)]
     # the bounds are materialised once: every use of the bucket column must see the same bounds
-    bounds = broadcast_checked(df.groupBy(*group).agg(F.percentile_approx(value, qs, 10000).alias("__bounds")), "rank_bounds")
+    bounds = broadcast_checked(
+        df.groupBy(*group).agg(F.percentile_approx(value, qs, 10000).alias("__bounds")), "rank_bounds", materialise=True
+    )
     b = df.join(bounds, group)
     b = b.withColumn("__bk", F.size(F.filter("__bounds", lambda q: q <= F.col(value)))).drop("__bounds")
     counts = b.groupBy(*group, "__bk").agg(F.count(F.lit(1)).alias("__n"))

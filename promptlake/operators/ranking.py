@@ -138,12 +138,17 @@ def seeded_cap(
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def broadcast_checked(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Materialise a small derived table in the shared folder; broadcast it only if it is small."""
-    from ..session import cut_lineage
+def broadcast_checked(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS, materialise: bool = False) -> DataFrame:
+    """Broadcast a derived table only after proving it is small (row count <= ``max_rows``);
+    beyond that it stays a plain (shuffle) join input.
 
-    mat = cut_lineage(df, name)
-    return F.broadcast(mat) if mat.count() <= max_rows else mat
+    ``materialise`` first writes the table to the shared folder and reads it back, for inputs
+    whose content must not change between evaluations (e.g. approximate quantiles)."""
+    if materialise:
+        from ..session import cut_lineage
+
+        df = cut_lineage(df, name)
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def take_skip(df: DataFrame, seed, key: str, n: int, part: str = "take") -> DataFrame:
@@ -159,8 +164,11 @@ def take_skip(df: DataFrame, seed, key: str, n: int, part: str = "take") -> Data
     return df.join(F.broadcast(capped.select(key)), key, "left_anti")
 
 
-def batch_ids(df: DataFrame, seed, key: str, batch_size: int, buckets: int = 4096) -> DataFrame:
-    """Global seeded row number and ``batch = (rn - 1) div batch_size``."""
+def batch_ids(df: DataFrame, seed, key: str, batch_size: int, buckets: int = 1 << 16) -> DataFrame:
+    """Global seeded row number and ``batch = (rn - 1) div batch_size``.
+
+    ``buckets`` hash ranges split the single global order (about 1.5 M rows per bucket at
+    10^11 rows); the per-bucket counts table is small and its prefix offsets are joined back."""
     ranked = seeded_rank(df, None, seed, key, "rn", buckets)
     return ranked.withColumn("batch", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long"))
 
