@@ -97,7 +97,8 @@ def seeded_cap(
     (per-template seeds). Plan:
 
     1. one narrow pass builds a per-group histogram of the hash on a log scale (a few hundred
-       to a few thousand rows per group; partial aggregation map-side);
+       to a few thousand rows per group; partial aggregation map-side), written once to the
+       shared folder;
     2. from it each group gets the bucket cut that still holds ``min(cap, n)`` rows, and every
        kept bucket gets its exact rank offset (rows in buckets of smaller hash);
     3. rows beyond the cut are dropped before any shuffle (broadcast join against one row per
@@ -108,9 +109,13 @@ def seeded_cap(
     which bounds the broadcast cut table; otherwise the cut table is materialised in the shared
     folder and broadcast only if its row count is under ``MAX_BROADCAST_ROWS``.
     """
+    from ..session import cut_lineage
+
     g = _cols(group_cols)
     work = df.withColumn("u", hash_u(seed, key)).withColumn("__lb", _log_bucket(F.col("u")))
-    hist = work.groupBy(*g, "__lb").agg(F.count(F.lit(1)).alias("__c"), F.max(cap_col).alias("__cap"))
+    # the histogram is small (groups x buckets); it is written once so that the cut and the
+    # offsets below read the same rows and the main pass does not rescan the input for them
+    hist = cut_lineage(work.groupBy(*g, "__lb").agg(F.count(F.lit(1)).alias("__c"), F.max(cap_col).alias("__cap")), "cap_hist")
     w_cum = Window.partitionBy(*g).orderBy(F.col("__lb").desc()).rowsBetween(Window.unboundedPreceding, 0)
     w_all = Window.partitionBy(*g)
     hist = (

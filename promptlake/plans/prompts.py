@@ -132,7 +132,7 @@ def prompt_tasks(data: DataFrame, prompts=CORPUS_PROMPTS, rule: str = "b", max_e
     )
     t = stats.select("dataset", "subset", "n", T.alias("num_templates"), cap.alias("cap"), F.explode(arr).alias("t"))
     t = t.select("dataset", "subset", "n", "num_templates", "cap", "t.*").withColumn("task", _tn("dataset", "subset", "name"))
-    return broadcast_checked(t, "tasks")
+    return broadcast_checked(t, "tasks", materialise=True)
 
 
 def build_prompts(
