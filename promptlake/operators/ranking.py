@@ -10,7 +10,6 @@ exactly once, on (group, bucket), and the join with the offsets table reuses tha
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -176,8 +175,3 @@ def batch_ids(df: DataFrame, seed, key: str, batch_size: int, buckets: int = 1 <
     10^11 rows); the per-bucket counts table is small and its prefix offsets are joined back."""
     ranked = seeded_rank(df, None, seed, key, "rn", buckets)
     return ranked.withColumn("batch", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long"))
-
-
-def buckets_for(n_rows: int, target_rows_per_bucket: int = 1_000_000) -> int:
-    """Bucket count so that one (group, bucket) holds about ``target_rows_per_bucket`` rows."""
-    return max(1, min(1 << 16, math.ceil(n_rows / target_rows_per_bucket)))

@@ -9,7 +9,7 @@ from ..functions.hashing import hash_u
 from ..functions.text import task_name
 from ..operators.interleave import index_sources
 from ..operators.mixtures import equal_rates
-from ..operators.templates import FormatTemplate, nonempty_pairs, template_rejects
+from ..operators.templates import nonempty_pairs, template_rejects
 from ..session import scratch_path
 from ..sources import cache as C
 from ..sources import files as FS

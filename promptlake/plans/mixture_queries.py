@@ -10,7 +10,6 @@ from ..operators.interleave import index_sources, interleave, round_robin, sourc
 from ..operators.mixtures import (
     cap_rates,
     define_mixtures,
-    equal_rates,
     overlong_tasks,
     power_rates,
     remove_blacklisted,

@@ -6,12 +6,12 @@ seed 42 + template ordinal, render it" done as one Spark plan for all tasks at o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import MAX_EXAMPLES, cap_rule_a, cap_rule_b
 from ..operators.ranking import broadcast_checked, seeded_cap
-from ..operators.templates import attach_templates, nonempty_pairs, render_templates
+from ..operators.templates import nonempty_pairs, render_templates
 
 # The prompt set applied to every (dataset, subset) of the corpus in the tests
 # and benchmarks: (name, template text, answer choices, original_task).
@@ -68,42 +68,6 @@ def task_caps(data: DataFrame, templates: DataFrame, rule: str = "b", max_exampl
     return j.select("dataset", "subset", "num_templates", F.coalesce(F.col("n"), F.lit(0)).alias("n"), cap.alias("cap"))
 
 
-def capped_prompts(
-    data: DataFrame,
-    templates: DataFrame,
-    rule: str = "b",
-    max_examples: int = MAX_EXAMPLES,
-    fields=FIELDS,
-    keep=("task", "id", "inputs", "targets"),
-    only_tasks: DataFrame | None = None,
-) -> DataFrame:
-    """Train rows x templates, capped per task with the seeded shuffle, rendered, non-empty.
-
-    ``only_tasks`` (one ``task`` column) restricts the build to those tasks; caps are still
-    computed from the full template set (the cap depends on the number of templates).
-    """
-    caps = task_caps(data, templates, rule, max_examples)
-    tpl = templates.join(caps.select("dataset", "subset", "cap"), ["dataset", "subset"])
-    if only_tasks is not None:
-        from ..functions.text import task_name as _tn
-
-        tpl = tpl.withColumn("__task", _tn("dataset", "subset", "name"))
-        tpl = tpl.join(F.broadcast(only_tasks.select(F.col("task").alias("__task"))), "__task", "left_semi").drop("__task")
-    train = data.where(F.col("split") == "train")
-    fanned = attach_templates(train, tpl)
-    capped = seeded_cap(
-        fanned,
-        ["dataset", "subset", "template"],
-        (F.lit(BASE_SEED) + F.col("ordinal")).cast("string"),
-        "id",
-        "cap",
-    )
-    plain = [k for k in keep if k not in ("inputs", "targets", "answer_choices")]
-    rendered = render_templates(capped, [f for f in fields if f in data.columns], keep=plain)
-    out = nonempty_pairs(rendered)
-    return out.select(*keep)
-
-
 def prompt_tasks(data: DataFrame, prompts=CORPUS_PROMPTS, rule: str = "b", max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Control table: one row per (dataset, subset, prompt) with ordinal, template text, train
     size ``n``, ``num_templates``, ``cap`` and ``task`` — from ONE narrow aggregation over the
