@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_u
 from ..session import cut_lineage
-from .ranking import two_phase_rank
+from .ranking import range_buckets, two_phase_rank
 
 # Integer resolution of rate weights and positions per rank block.
 WEIGHT_SCALE = 1_000_000_000
@@ -38,11 +38,12 @@ ID_BLOCK = 1 << 20
 def index_sources(df: DataFrame, source: str, order: str, out: str = "idx", block: int = ID_BLOCK) -> DataFrame:
     """0-based row index inside each source, ordered by ``order`` (a numeric key).
 
-    Uses the two-phase rank (blocks of ``order`` values), so a source holding most rows is
-    still ranked by many tasks.
+    Uses the two-phase rank over key-range buckets of about ``block`` rows, so a source
+    holding most rows is still ranked by many tasks.
     """
-    r = two_phase_rank(df, source, [order], F.floor(F.col(order) / F.lit(block)), "__rn")
-    return r.withColumn(out, F.col("__rn") - 1).drop("__rn")
+    b = range_buckets(df, source, order, block)
+    r = two_phase_rank(b, source, [order], F.col("__bk"), "__rn")
+    return r.withColumn(out, F.col("__rn") - 1).drop("__rn", "__bk")
 
 
 def source_sizes(indexed: DataFrame, source: str) -> list[tuple[str, int]]:

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_u
 from ..functions.hof import let
+from .ranking import range_buckets
 from .tokens import EOS, PAD, pad_to, shift_right
 
-# Longest chunk kept per document and the block of keys per running-sum bucket.
+# Longest chunk kept per document and the rows per running-sum bucket.
 MAX_CHUNK = 65536
 KEY_BLOCK = 1 << 20
 
@@ -57,7 +58,8 @@ def doc_chunks(docs: DataFrame, tokens: str, key: str, max_chunk: int = MAX_CHUN
 def lm_segments(chunks: DataFrame, stream: str, key: str, length: int, chunk: str = "chunk") -> DataFrame:
     """Concatenate ``chunk`` arrays per ``stream`` in ``key`` order and cut into ``length`` segments."""
     c = chunks.select(stream, key, chunk).withColumn("len", F.size(chunk))
-    c = two_phase_cumsum(c, [stream], [key], F.floor(F.col(key) / F.lit(KEY_BLOCK)), "len", "start")
+    c = range_buckets(c, stream, key, KEY_BLOCK)
+    c = two_phase_cumsum(c, [stream], [key], F.col("__bk"), "len", "start").drop("__bk")
     L = F.lit(length)
     first = F.floor(F.col("start") / L)
     last = F.floor((F.col("start") + F.col("len") - 1) / L)

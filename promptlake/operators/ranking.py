@@ -175,3 +175,25 @@ def batch_ids(df: DataFrame, seed, key: str, batch_size: int, buckets: int = 1 <
     10^11 rows); the per-bucket counts table is small and its prefix offsets are joined back."""
     ranked = seeded_rank(df, None, seed, key, "rn", buckets)
     return ranked.withColumn("batch", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long"))
+
+
+def range_buckets(df: DataFrame, group_cols, key: str, rows_per_bucket: int = 1 << 20, out: str = "__bk") -> DataFrame:
+    """Add a bucket column that is monotone in ``key`` within each group and holds about
+    ``rows_per_bucket`` rows when keys are spread evenly over their range.
+
+    Each group's (min, max, count) comes from one small aggregation (one row per group, size
+    checked before broadcast); the bucket is ``floor((key - min) * B / (max - min + 1))`` with
+    ``B = ceil(count / rows_per_bucket)``, so sparse keys (e.g. 64-bit hashes) do not turn
+    every row into its own bucket and dense keys do not pile up in one.
+    """
+    g = _cols(group_cols)
+    extra = []
+    if not g:
+        df, g, extra = df.withColumn("__g1", F.lit(1)), ["__g1"], ["__g1"]
+    stats = df.groupBy(*g).agg(
+        F.min(key).alias("__kmin"), F.max(key).alias("__kmax"), F.count(F.lit(1)).alias("__kn")
+    ).withColumn("__kb", F.ceil(F.col("__kn") / F.lit(rows_per_bucket)).cast("double"))
+    j = df.join(broadcast_checked(stats, "key_ranges"), g)
+    width = F.col("__kmax").cast("double") - F.col("__kmin").cast("double") + 1.0
+    bk = F.floor((F.col(key).cast("double") - F.col("__kmin").cast("double")) * F.col("__kb") / width)
+    return j.withColumn(out, bk.cast("long")).drop("__kmin", "__kmax", "__kn", "__kb", *extra)

@@ -83,3 +83,13 @@ def test_index_sources_hot_source(spark):
     got = {(r.source, r.rid): r.idx for r in ix.collect()}
     assert got[("a", 1999)] == 1999 and got[("b", 1)] == 0 and got[("b", 5)] == 1
     assert ix.where(F.col("source") == "a").select(F.countDistinct("idx")).first()[0] == 2000
+
+
+def test_index_sources_sparse_keys(spark):
+    rnd = random.Random(3)
+    keys = {"a": rnd.sample(range(1, 1 << 60), 500), "b": rnd.sample(range(1, 1 << 60), 40)}
+    rows = [(s, k) for s, ks in keys.items() for k in ks]
+    ix = index_sources(spark.createDataFrame(rows, "source string, rid long"), "source", "rid", block=16)
+    got = {(r.source, r.rid): r.idx for r in ix.collect()}
+    for s, ks in keys.items():
+        assert [got[(s, k)] for k in sorted(ks)] == list(range(len(ks)))
