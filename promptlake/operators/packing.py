@@ -81,6 +81,50 @@ def lm_segments(chunks: DataFrame, stream: str, key: str, length: int, chunk: st
     return g.select(stream, "seg", F.flatten(F.transform("__ps", lambda x: x["toks"])).alias("tokens"))
 
 
+def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length: int, max_chunk: int = MAX_CHUNK, seed: str = "chunk") -> DataFrame:
+    """``lm_segments`` for byte tokens, computed on bytes.
+
+    Byte tokens are one per UTF-8 byte, so the chunk is carried as ``binary`` (1 byte per token
+    through both shuffles, instead of an int array) and expanded to ids only per finished
+    segment. Same result as ``doc_chunks`` + ``lm_segments`` over ``byte_tokens(text)``.
+    """
+    from .tokens import BYTE_OFFSET
+
+    b = F.encode(F.col(text), "UTF-8")
+    n = F.octet_length(F.col(text))
+    start = F.floor(hash_u(seed, key) * (n - F.lit(max_chunk) + 1))
+    chunk = F.when(n > max_chunk, F.substring(b, (start + 1).cast("int"), max_chunk)).otherwise(b)
+    c = docs.select(stream, key, chunk.alias("bin")).withColumn("len", F.octet_length("bin") + 1)
+    c = range_buckets(c, stream, key, KEY_BLOCK)
+    c = two_phase_cumsum(c, [stream], [key], F.col("__bk"), "len", "start").drop("__bk")
+    L = F.lit(length)
+    first = F.floor(F.col("start") / L)
+    last = F.floor((F.col("start") + F.col("len") - 1) / L)
+
+    def pieces(bin_):
+        def piece(s):
+            lo = F.greatest(s * L - F.col("start"), F.lit(0))
+            hi = F.least((s + 1) * L - F.col("start"), F.col("len"))
+            nbytes = F.least(hi, F.col("len") - 1) - lo
+            return F.struct(
+                s.alias("seg"),
+                F.greatest(F.col("start") - s * L, F.lit(0)).alias("off"),
+                F.when(nbytes > 0, F.substring(bin_, (lo + 1).cast("int"), nbytes.cast("int"))).otherwise(F.lit(b"").cast("binary")).alias("bytes"),
+                (hi == F.col("len")).alias("eos"),
+            )
+
+        return F.transform(F.sequence(first, last), piece)
+
+    parts = c.select(stream, F.explode(let(F.col("bin"), pieces)).alias("p")).select(stream, "p.*")
+    g = parts.groupBy(stream, "seg").agg(F.array_sort(F.collect_list(F.struct("off", "bytes", "eos"))).alias("__ps"))
+
+    def ids(p):
+        toks = F.transform(F.regexp_extract_all(F.hex(p["bytes"]), F.lit(".."), 0), lambda x: F.conv(x, 16, 10).cast("int") + BYTE_OFFSET)
+        return F.concat(toks, F.when(p["eos"], F.array(F.lit(EOS))).otherwise(F.array().cast("array<int>")))
+
+    return g.select(stream, "seg", F.flatten(F.transform("__ps", ids)).alias("tokens"))
+
+
 def pack_prefix_lm(segments: DataFrame, stream: str, length: int, seed: str = "prefix") -> DataFrame:
     """Pairs (2j, 2j+1) of each stream -> encoder/decoder features with split point m in [1, L)."""
     a = segments.where(F.col("seg") % 2 == 0).select(stream, (F.col("seg") / 2).cast("long").alias("pair"), pad_to("tokens", length).alias("a"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.packing import doc_chunks, lm_segments, lm_split, pack_examples, pack_prefix_lm
+from ..operators.packing import lm_segments_text, lm_split, pack_examples, pack_prefix_lm
 from ..operators.tokens import byte_tokens, ids_text
 from ..sources.tables import read
 from .registry import register
@@ -19,9 +19,8 @@ PACK_SHARDS = 4
 
 
 def _segments(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("lang", "doc_id", byte_tokens("text").alias("toks"))
-    c = doc_chunks(d, "toks", "doc_id", CHUNK)
-    return lm_segments(c, "lang", "doc_id", LM_LEN)
+    d = read(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    return lm_segments_text(d, "lang", "doc_id", "text", LM_LEN, CHUNK)
 
 
 _SEG_SQL = f"""t AS (SELECT lang, doc_id, {BYTES('text')} AS toks FROM documents),

@@ -94,3 +94,15 @@ def test_segments_concatenate_stream(spark):
     for x in p:
         assert 1 <= x.m < 16 and len(x.encoder_input_tokens) == 16 and len(x.decoder_target_tokens) == 16
         assert x.encoder_segment_ids.count(1) == x.m and x.decoder_positions[0] == 0
+
+
+def test_segments_from_text_equal_array_version(spark):
+    from promptlake.operators.packing import doc_chunks, lm_segments_text
+
+    rnd = random.Random(9)
+    alphabet = "ab é中😀\n"
+    rows = [("x" if i % 3 else "y", i, "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 90)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "lang string, doc_id long, text string")
+    arr = lm_segments(doc_chunks(df.select("lang", "doc_id", byte_tokens("text").alias("toks")), "toks", "doc_id", 50), "lang", "doc_id", 32)
+    txt = lm_segments_text(df, "lang", "doc_id", "text", 32, 50)
+    assert sorted((r.lang, r.seg, tuple(r.tokens)) for r in arr.collect()) == sorted((r.lang, r.seg, tuple(r.tokens)) for r in txt.collect())
