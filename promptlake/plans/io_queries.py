@@ -224,7 +224,7 @@ def q_cache_selected(spark, sf_dir):
 @register(
     "feature_lengths",
     f"""WITH c AS ({LABELLED_SQL}), r AS ({_wide_sql(['quality', 'toxic', 'language', 'source', 'quality-translate-de'])})
-        SELECT {TASK('dataset', 'subset', 'template')} AS task, max(strlen(inputs)) AS max_inputs, max(strlen(targets)) + 1 AS max_targets
+        SELECT {TASK('dataset', 'subset', 'template')} AS task, CAST(max(strlen(inputs)) AS INTEGER) AS max_inputs, CAST(max(strlen(targets)) + 1 AS INTEGER) AS max_targets
         FROM r GROUP BY ALL""",
 )
 def q_feature_lengths(spark, sf_dir):
@@ -241,7 +241,7 @@ def q_feature_lengths(spark, sf_dir):
 
 @register(
     "json_props",
-    "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(json_array_length(json_keys(props)) AS INTEGER) AS n_keys, to_json(map(['k'], [CAST(json_extract(props, '$.k') AS INTEGER)])) AS props_json FROM events",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CAST(json_array_length(json_keys(props)) AS INTEGER) AS n_keys, CAST(to_json(map(['k'], [CAST(json_extract(props, '$.k') AS INTEGER)])) AS VARCHAR) AS props_json FROM events",
 )
 def q_json_props(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,int>").alias("m"))
