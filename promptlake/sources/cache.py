@@ -25,11 +25,25 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return _fs_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
 
 
+def _touch_success(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        fs.create(p, True).close()
+
+
 def write_cache(df: DataFrame, path: str, partition_cols=("task",), dynamic: bool = True) -> None:
+    """Write (or, with ``dynamic``, replace only the written partitions of) the cache table.
+
+    The job commit makes the partitions visible atomically; only after it returns is the
+    ``_SUCCESS`` marker ensured at the table root (dynamic overwrite commits through a staging
+    folder and does not leave one there)."""
     w = df.write.mode("overwrite").partitionBy(*partition_cols)
     if dynamic:
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)
+    _touch_success(df.sparkSession, path)
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
