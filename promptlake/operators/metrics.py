@@ -175,32 +175,25 @@ def pearson(df: DataFrame, x: str, y: str, group=("task",)) -> DataFrame:
     return df.groupBy(*group).agg((F.corr(x, y) * 100).alias("pearson"))
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, out: str, buckets: int = 64) -> DataFrame:
-    """1-based average rank of ``value`` in its group (ties share the mean of their ranks).
-
-    Values are bucketed by per-group approximate quantiles (equal values share a bucket),
-    bucket offsets come from a small count table, and the rank inside a bucket is a window
-    over (group, bucket) only.
-    """
-    from .ranking import broadcast_checked
-
+def average_ranks(df: DataFrame, group: list[str], value: str, out: str, rows_per_bucket: int = 1 << 20) -> DataFrame:
+    """1-based average rank of ``value`` in its group (ties share the mean of their ranks):
+    ``rank = (rows with a smaller value) + (ties + 1) / 2``.
+
+    Ties collapse first (count per (group, value), partial aggregation map-side); the exclusive
+    running count over the distinct values is a two-phase running sum over key-range buckets,
+    so neither a large group nor a heavily tied value forms one window partition; the ranks are
+    joined back on (group, value)."""
+    from .packing import two_phase_cumsum
+    from .ranking import range_buckets
+
+    extra = []
     if not group:
-        df, group = df.withColumn("__all", F.lit(1)), ["__all"]
-    qs = [i / buckets for i in range(1, buckets)]
-    # the bounds are materialised once: every use of the bucket column must see the same bounds
-    bounds = broadcast_checked(
-        df.groupBy(*group).agg(F.percentile_approx(value, qs, 10000).alias("__bounds")), "rank_bounds", materialise=True
-    )
-    b = df.join(bounds, group)
-    b = b.withColumn("__bk", F.size(F.filter("__bounds", lambda q: q <= F.col(value)))).drop("__bounds")
-    counts = b.groupBy(*group, "__bk").agg(F.count(F.lit(1)).alias("__n"))
-    wo = Window.partitionBy(*group).orderBy("__bk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(wo), F.lit(0))).drop("__n")
-    j = b.join(offs, [*group, "__bk"])
-    w = Window.partitionBy(*group, "__bk").orderBy(value)
-    ties = Window.partitionBy(*group, "__bk", value)
-    r = j.withColumn(out, (F.col("__off") + F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0).cast("double"))
-    return r.drop("__off", "__bk", *(["__all"] if "__all" in r.columns else []))
+        df, group, extra = df.withColumn("__all", F.lit(1)), ["__all"], ["__all"]
+    vc = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__cnt"))
+    vc = range_buckets(vc.withColumn("__vk", F.col(value).cast("double")), group, "__vk", rows_per_bucket)
+    vc = two_phase_cumsum(vc, group, [value], F.col("__bk"), "__cnt", "__below")
+    ranks = vc.select(*group, value, (F.col("__below") + (F.col("__cnt") + 1) / 2.0).cast("double").alias(out))
+    return df.join(ranks, [*group, value]).drop(*extra)
 
 
 def spearman(df: DataFrame, x: str, y: str, group=("task",)) -> DataFrame:
