@@ -108,3 +108,15 @@ def test_pushdown_and_pruning(spark):
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in s
     assert "text" not in s.split("ReadSchema")[1].split("\n")[0]
     assert F is not None
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["prompt_mixture_capped", "holdout_skip", "batch_ids", "shuffle_cap", "interleave_all_exhausted", "lm_segments", "eval_suite", "metric_spearman", "char_coverage"],
+)
+def test_single_partition_only_over_aggregates(spark, name):
+    lines = _plan(E.queries()[name](spark, SF_SMALL)).split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            below = lines[i + 1].strip()
+            assert "HashAggregate" in below or "Project" in below and "HashAggregate" in lines[i + 2], (name, below)
