@@ -22,12 +22,18 @@ from ..sources.tables import split_of
 def corpus_stream(spark: SparkSession, source_dir: str, name: str = "documents", max_files: int = 1) -> DataFrame:
     """Stream over the ``name`` parquet files of ``source_dir`` (explicit schema, bounded batches)."""
     schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{name}.parquet").schema
-    return (
+    stream = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
         .option("pathGlobFilter", f"{name}.parquet")
         .parquet(source_dir)
     )
+    # a batch of fewer files than cores would render on few tasks: spread it by row key
+    want = spark.sparkContext.defaultParallelism
+    key = "doc_id" if "doc_id" in schema.fieldNames() else None
+    if key and max_files < want:
+        stream = stream.repartition(want, key)
+    return stream
 
 
 def as_corpus(docs: DataFrame) -> DataFrame:
