@@ -107,19 +107,30 @@ def span_text(context, start, end) -> Column:
     return F.array_join(F.slice(F.split(_c(context), " ", -1), _c(start) + 1, _c(end) - _c(start) + 1), " ")
 
 
+def _tag(n: int):
+    return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
+
+
 def bleu(df: DataFrame, group=("task",), max_n: int = 4) -> DataFrame:
-    """Corpus BLEU: clipped n-gram precisions summed over the corpus, brevity penalty."""
+    """Corpus BLEU: clipped n-gram precisions summed over the corpus, brevity penalty.
+
+    All orders 1..max_n are counted in one pass: n-grams are tagged with their order, so one
+    explode/count/join keyed by (row, n, n-gram) serves every order."""
     toks = df.select(*group, "id", F.split(strip("prediction"), "\\s+", -1).alias("p"), F.split(strip("target"), "\\s+", -1).alias("r"))
     toks = toks.select(*group, "id", F.filter("p", lambda w: w != "").alias("p"), F.filter("r", lambda w: w != "").alias("r"))
-    parts = []
-    for n in range(1, max_n + 1):
-        ng = toks.select(*group, "id", ngrams("p", n).alias("pg"), ngrams("r", n).alias("rg"))
-        ov = overlap_counts(ng, [*group, "id"], "pg", "rg").withColumn("n", F.lit(n))
-        parts.append(ov)
-    allov = parts[0]
-    for p in parts[1:]:
-        allov = allov.unionByName(p)
-    prec = allov.groupBy(*group, "n").agg(F.sum("match").alias("m"), F.sum("n_pred").alias("t"))
+
+    def tagged(col):
+        return let(F.col(col), lambda t: F.flatten(F.array(*[F.transform(ngrams(t, n), _tag(n)) for n in range(1, max_n + 1)])))
+
+    keys = [*group, "id"]
+    pc = toks.select(*keys, F.explode(tagged("p")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cp"))
+    rc = toks.select(*keys, F.explode(tagged("r")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cr"))
+    m = pc.join(rc, [*keys, "n", "g"]).groupBy(*group, "n").agg(F.sum(F.least("cp", "cr")).alias("m"))
+    orders = F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n")
+    tot = toks.select(*keys, "p", orders).groupBy(*group, "n").agg(
+        F.sum(F.greatest(F.size("p") - F.col("n") + 1, F.lit(0))).alias("t")
+    )
+    prec = tot.join(m, [*group, "n"], "left").withColumn("m", F.coalesce(F.col("m"), F.lit(0)))
     lens = toks.groupBy(*group).agg(F.sum(F.size("p")).alias("c"), F.sum(F.size("r")).alias("rl"))
     logp = prec.groupBy(*group).agg(
         F.sum(F.when(F.col("m") > 0, F.log(F.col("m") / F.col("t")))).alias("slog"),
