@@ -149,6 +149,29 @@ def rouge_n(df: DataFrame, n: int, group=("task",)) -> DataFrame:
     return ov.groupBy(*group).agg((F.avg(_f1(F.col("match"), F.col("n_pred"), F.col("n_ref"))) * 100).alias(f"rouge{n}"))
 
 
+def rouge_ns(df: DataFrame, ns=(1, 2), group=("task",)) -> DataFrame:
+    """Mean ROUGE-n F-measures for several n in one pass (n-grams tagged with their order);
+    one column ``rouge{n}`` per order."""
+    t = df.select(*group, "id", rouge_tokens("prediction").alias("p"), rouge_tokens("target").alias("r"))
+
+    def tagged(col):
+        return let(F.col(col), lambda x: F.flatten(F.array(*[F.transform(ngrams(x, n), _tag(n)) for n in ns])))
+
+    keys = [*group, "id"]
+    pc = t.select(*keys, F.explode(tagged("p")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cp"))
+    rc = t.select(*keys, F.explode(tagged("r")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cr"))
+    m = pc.join(rc, [*keys, "n", "g"]).groupBy(*keys, "n").agg(F.sum(F.least("cp", "cr")).alias("match"))
+    orders = F.explode(F.array(*[F.lit(n) for n in ns])).alias("n")
+    sizes = t.select(*keys, "p", "r", orders).select(
+        *keys, "n",
+        F.greatest(F.size("p") - F.col("n") + 1, F.lit(0)).alias("n_pred"),
+        F.greatest(F.size("r") - F.col("n") + 1, F.lit(0)).alias("n_ref"),
+    )
+    per = sizes.join(m, [*keys, "n"], "left").withColumn("match", F.coalesce(F.col("match"), F.lit(0)))
+    per = per.withColumn("f1", _f1(F.col("match"), F.col("n_pred"), F.col("n_ref")))
+    return per.groupBy(*group).agg(*[(F.avg(F.when(F.col("n") == n, F.col("f1"))) * 100).alias(f"rouge{n}") for n in ns])
+
+
 def _lcs_pair(a, b) -> int:
     """LCS length with one numpy pass per token of ``a``: the row recurrence
     cur[j] = max(prev[j], cur[j-1], prev[j-1] + match) is a running maximum of

@@ -141,3 +141,11 @@ def test_multirc(spark):
     df = spark.createDataFrame(rows, "task string, question string, prediction string, target string")
     r = M.multirc(df).first()
     assert r.f1a == pytest.approx(200 * 1 / (2 * 1 + 0 + 1)) and r.em == pytest.approx(100 / 3)
+
+
+def test_rouge_one_pass_equals_per_order(spark, preds):
+    both = {r.task: (r.rouge1, r.rouge2) for r in M.rouge_ns(preds, (1, 2)).collect()}
+    r1 = {r.task: r.rouge1 for r in M.rouge_n(preds, 1).collect()}
+    r2 = {r.task: r.rouge2 for r in M.rouge_n(preds, 2).collect()}
+    for t in ("t", "u"):
+        assert both[t][0] == pytest.approx(r1[t]) and both[t][1] == pytest.approx(r2[t])
