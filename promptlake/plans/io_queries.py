@@ -103,8 +103,8 @@ def _catalog_rows(spark, sf_dir):
         F.col("dataset").alias("HF_name"),
         F.when(F.col("subset") == "en", F.lit(None)).otherwise(F.col("subset")).alias("subset"),
         F.when(hash_u("cat", "dataset") < 0.5, F.lit("classification")).otherwise(F.lit("generation")).alias("task_by_convention"),
-        F.when(F.col("n_train") >= 20, F.lit("BIGSCIENCE")).alias("do_train"),
-        F.when(F.col("n_val") > 0, F.lit("BIGSCIENCE")).alias("do_eval"),
+        F.when(F.col("n_train") >= 20, F.lit("yes")).alias("do_train"),
+        F.when(F.col("n_val") > 0, F.lit("yes")).alias("do_eval"),
         F.when(F.col("n_train") > 0, F.col("n_train")).alias("train_size"),
     )
 
@@ -114,8 +114,8 @@ _CATALOG_SQL = f"""g AS (SELECT dataset, subset, sum(CASE WHEN split = 'train' T
                   FROM ({CORPUS_SQL}) c GROUP BY dataset, subset),
   cat AS (SELECT dataset AS HF_name, CASE WHEN subset = 'en' THEN NULL ELSE subset END AS subset,
                  CASE WHEN {U("'cat'", 'dataset')} < 0.5 THEN 'classification' ELSE 'generation' END AS task_by_convention,
-                 CASE WHEN n_train >= 20 THEN 'BIGSCIENCE' END AS do_train,
-                 CASE WHEN n_val > 0 THEN 'BIGSCIENCE' END AS do_eval,
+                 CASE WHEN n_train >= 20 THEN 'yes' END AS do_train,
+                 CASE WHEN n_val > 0 THEN 'yes' END AS do_eval,
                  CAST(CASE WHEN n_train > 0 THEN n_train END AS BIGINT) AS train_size FROM g)"""
 
 

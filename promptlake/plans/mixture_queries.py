@@ -33,17 +33,17 @@ CATEGORIES = [
     ("quality-translate-de", "quality_estimation"),
 ]
 MIXTURES = [
-    ("t0_train", "quality_estimation"),
-    ("t0_train", "toxicity"),
-    ("gpt_train", "language_identification"),
-    ("sglue_train", "source_attribution"),
-    ("t0_plus_train", "quality_estimation"),
-    ("t0_plus_train", "toxicity"),
-    ("t0_plus_train", "language_identification"),
-    ("t0_plus_plus_train", "quality_estimation"),
-    ("t0_plus_plus_train", "toxicity"),
-    ("t0_plus_plus_train", "language_identification"),
-    ("t0_plus_plus_train", "source_attribution"),
+    ("stage1_train", "quality_estimation"),
+    ("stage1_train", "toxicity"),
+    ("stage2_train", "language_identification"),
+    ("stage3_train", "source_attribution"),
+    ("stage12_train", "quality_estimation"),
+    ("stage12_train", "toxicity"),
+    ("stage12_train", "language_identification"),
+    ("stage123_train", "quality_estimation"),
+    ("stage123_train", "toxicity"),
+    ("stage123_train", "language_identification"),
+    ("stage123_train", "source_attribution"),
 ]
 TASK_MAX = 120  # cap rule parameter of the task table at test scale
 OVERLONG_TOKENS = 2048
@@ -153,22 +153,22 @@ def q_mixture_rates(spark, sf_dir):
 @register(
     "mixture_select",
     f"""WITH {_TASKS_SQL}
-        SELECT task, template, n FROM tasks WHERE task IN (SELECT task FROM members WHERE mixture = 't0_plus_train')""",
+        SELECT task, template, n FROM tasks WHERE task IN (SELECT task FROM members WHERE mixture = 'stage12_train')""",
 )
 def q_mixture_select(spark, sf_dir):
     members, tasks = _members(spark, sf_dir)
-    return select_members(tasks, members, "t0_plus_train").select("task", "template", "n")
+    return select_members(tasks, members, "stage12_train").select("task", "template", "n")
 
 
 @register(
     "temperature_rates",
     f"""WITH {_TASKS_SQL}
         SELECT m.task, t.n, round(pow(t.n, 0.3) / sum(pow(t.n, 0.3)) OVER (), 6) AS rate
-        FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 't0_plus_plus_train'""",
+        FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 'stage123_train'""",
 )
 def q_temperature_rates(spark, sf_dir):
     members, tasks = _members(spark, sf_dir)
-    m = select_members(tasks, members, "t0_plus_plus_train")
+    m = select_members(tasks, members, "stage123_train")
     return temperature_rates(m, "n").select("task", "n", F.round("rate", 6).alias("rate"))
 
 
@@ -176,11 +176,11 @@ def q_temperature_rates(spark, sf_dir):
     "temperature_rates_power",
     f"""WITH {_TASKS_SQL}
         SELECT m.task, t.cap, round(pow(t.cap, 1.0 / 0.3) / sum(pow(t.cap, 1.0 / 0.3)) OVER (), 6) AS rate
-        FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 't0_plus_plus_train'""",
+        FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 'stage123_train'""",
 )
 def q_temperature_rates_power(spark, sf_dir):
     members, tasks = _members(spark, sf_dir)
-    m = select_members(tasks, members, "t0_plus_plus_train")
+    m = select_members(tasks, members, "stage123_train")
     return power_rates(m, "cap").select("task", "cap", F.round("rate", 6).alias("rate"))
 
 
@@ -416,7 +416,7 @@ def q_mt_corpus(spark, sf_dir):
 @register(
     "mixture_sample",
     f"""WITH {_TASKS_SQL},
-      mr AS (SELECT m.task AS source, t.cap FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 't0_train'),
+      mr AS (SELECT m.task AS source, t.cap FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 'stage1_train'),
       rows_ AS (SELECT {TASK('dataset', 'subset', "'quality'")} AS source, id FROM c WHERE split = 'train'
                 UNION ALL SELECT {TASK('dataset', 'subset', "'toxic'")}, id FROM c WHERE split = 'train'),
       src AS (SELECT r.source, r.id, row_number() OVER (PARTITION BY r.source ORDER BY r.id) - 1 AS idx
@@ -435,7 +435,7 @@ def q_mixture_sample(spark, sf_dir):
     from ..operators.interleave import draw_from_mixture
 
     members, tasks = _members(spark, sf_dir)
-    mr = select_members(tasks, members, "t0_train").select("task", "cap")
+    mr = select_members(tasks, members, "stage1_train").select("task", "cap")
     data = corpus(spark, sf_dir).where(F.col("split") == "train")
     tpl = corpus_templates(data, CORPUS_PROMPTS_WIDE[:2])
     rows = attach_templates(data, tpl).select(F.col("task").alias("source"), "id")
