@@ -61,7 +61,7 @@ class NewFile:
         self.fs.create_dir(root, recursive=True)
         self.final = name
         self.temp = f"_tmp-{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(posixpath.join(root, self.temp))
+        self.out = self.fs.open_output_stream(posixpath.join(root, self.temp), compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:

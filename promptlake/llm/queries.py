@@ -26,6 +26,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@register("op2_pattern_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, pieces_of
+
+    pieces = pieces_of(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", 2)
+    return pack(pieces)
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to
+FROM g
+"""
+
+
+@register("op5_warc_pages", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    folder = scratch_path(spark, "warc")
+    return read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder).drop("url")
+
+
 @register("op8_bit_packed_ids")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitpack import read_ids, write_ids
