@@ -63,6 +63,41 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces)
 
 
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark
+), g AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k,
+    unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: array_to_string(ws[i:i + 9], ' '))) AS gram
+  FROM b WHERE len(ws) > 0
+), ks AS (SELECT DISTINCT k FROM g),
+d AS (
+  SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS i, ws FROM w, ks WHERE len(ws) >= k
+), o AS (
+  SELECT d.doc_id, d.i, d.k, g.item_id FROM (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS gram FROM d) d JOIN g ON g.gram = d.gram AND g.k = d.k
+), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM o) GROUP BY doc_id),
+t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY doc_id
+)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@register("op4_decontamination", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 OP5_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
