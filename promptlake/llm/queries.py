@@ -63,6 +63,31 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces)
 
 
+OP3_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), p AS (
+  SELECT conv_id, i, string_agg(role || chr(1) || text, chr(2)) OVER (PARTITION BY conv_id ORDER BY i) AS prefix,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t
+), k AS (
+  SELECT min(conv_id) AS conv_id FROM p WHERE i = n AND (prefix, i) NOT IN (SELECT (prefix, i) FROM p WHERE i < n) GROUP BY prefix, n
+)
+SELECT conv_id, CAST((i - 1) // 1024 AS INTEGER) AS part, count(*) AS n_turns,
+       string_agg('<|im_start|>' || CASE WHEN role = '' THEN 'user' ELSE replace(role, '<|', '< |') END || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY i) AS text
+FROM t JOIN k USING (conv_id) GROUP BY conv_id, (i - 1) // 1024
+"""
+
+
+@register("op3_chat_snapshots", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 OP4_SQL = r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
@@ -117,6 +142,33 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder).drop("url")
 
 
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
+), s AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE NOT regexp_full_match(line, '[ \t\r\f\x0b]*')),
+w AS (
+  SELECT a.doc_id, a.p, a.line || chr(10) || b.line || chr(10) || c.line AS k
+  FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.p = a.p + 1 JOIN s c ON c.doc_id = a.doc_id AND c.p = a.p + 2
+), f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w),
+g AS (SELECT DISTINCT s.doc_id, s.i FROM f JOIN s ON s.doc_id = f.doc_id AND s.p BETWEEN f.p AND f.p + 2 WHERE f.n > 1),
+r AS (
+  SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(g.i) AS n_removed
+  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+), n AS (SELECT doc_id, count(*) AS n_lines FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(r.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@register("op7_line_winnowing", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @register("op8_bit_packed_ids")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitpack import read_ids, write_ids
