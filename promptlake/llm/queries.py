@@ -142,6 +142,35 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(table(spark, sf_dir, "pages"), folder), folder).drop("url")
 
 
+OP6_SQL = r"""
+WITH x AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM x),
+v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS code FROM w GROUP BY word ORDER BY count(*) DESC, word LIMIT 1022),
+size AS (SELECT count(*) + 2 AS side FROM v),
+target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+c AS (SELECT w.doc_id, p, coalesce(code, 0) AS w, t.doc_id IS NOT NULL AS is_target FROM w LEFT JOIN v USING (word) LEFT JOIN target t ON t.doc_id = w.doc_id),
+b AS (SELECT doc_id, w, is_target, lag(w, 1, -1) OVER (PARTITION BY doc_id ORDER BY p) AS v FROM c),
+n AS (SELECT v, w, count(*) AS ca, count(*) FILTER (WHERE is_target) AS ct FROM b GROUP BY v, w),
+uni AS (SELECT w, (sum(ca) + 1.0) / ((SELECT sum(ca) FROM n) + side) AS pa, (sum(ct) + 1.0) / ((SELECT sum(ct) FROM n) + side) AS pt FROM n, size GROUP BY w, side),
+con AS (SELECT v, sum(ca) AS na, sum(ct) AS nt FROM n GROUP BY v),
+d AS (SELECT n.v, n.w, ln((ca + 100 * pa) / (na + 100.0)) - ln((ct + 100 * pt) / (nt + 100.0)) AS loss FROM n JOIN uni USING (w) JOIN con USING (v))
+SELECT x.doc_id, len(ws) AS n_tokens, t.doc_id IS NOT NULL AS is_target, round(s.score, 6) AS score
+FROM x LEFT JOIN (SELECT doc_id, avg(loss) AS score FROM b JOIN d ON d.v = b.v AND d.w = b.w GROUP BY doc_id) s USING (doc_id)
+LEFT JOIN target t ON t.doc_id = x.doc_id
+"""
+
+
+@register("op6_cross_entropy_difference", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import cross_entropy_difference
+
+    target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    out = cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+    return out.withColumn("score", F.round("score", 6))
+
+
 OP7_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
