@@ -11,8 +11,9 @@ A document is kept if it passes the base checks (20 words or more; at most 30 %
 8-word windows that occur twice or more in it) and its failing lines hold at most half its words.
 
 Defined results: a null or blank text has no words and fails the base check; repeated rows are
-judged one by one; an empty table gives an empty table; columns other than the id and the text
-are not read, so their names cannot clash. Map only: no shuffle, memory bounded by one text.
+judged one by one; an empty table gives an empty table; the other columns are passed on in the
+struct ``row`` if asked for, so their names cannot clash. Map only: no shuffle, memory bounded by
+one text.
 """
 
 from __future__ import annotations
@@ -117,14 +118,21 @@ def _measure(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.
                 rows.append((n, dup, repeat, failed, lost, base, not base and 100 * lost <= MAX_LOST_PCT * n, clean if with_text else None))
             n, dup, repeat, failed, lost, base, kept, clean = map(list, zip(*rows, strict=True))
             long = lambda x: pa.array(x, pa.int64())
+            more = [batch.column(2).slice(a, b - a)] if batch.num_columns > 2 else []
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(a, b - a).cast(pa.int64()), long(n), long(np.diff(inside[off])), long(np.diff(symbols[off])), long(dup), long(repeat), long(failed), long(lost),
-                 pa.array(base, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(clean, pa.string())],
-                names=[c.split()[0] for c in SCHEMA.split(", ")],
+                 pa.array(base, pa.bool_()), pa.array(kept, pa.bool_()), pa.array(clean, pa.string()), *more],
+                names=[*(c.split()[0] for c in SCHEMA.split(", ")), "row"][: 11 + len(more)],
             )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
-    """Per row of ``docs``: counts, ``base_failed``, ``kept`` and (``with_text``) the text without failing lines."""
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, with_row: bool = False) -> DataFrame:
+    """Per row of ``docs``: counts, ``base_failed``, ``kept``, the text without failing lines
+    (``with_text``) and a struct of the other columns (``with_row``)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(lambda it: _measure(it, with_text), SCHEMA)
+    schema = SCHEMA
+    if with_row:
+        rest = F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")
+        src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest)
+        schema += f", row {src.schema['row'].dataType.simpleString()}"
+    return src.mapInArrow(lambda it: _measure(it, with_text), schema)
