@@ -19,8 +19,8 @@ pairwise or gathered by document group.
 
 Defined results: null, empty and short texts lose nothing and hash as their words joined; repeated
 windows inside one document alone are kept; a null id counts as larger than all ids and removes
-nothing elsewhere; rows with equal ids are one document, and a word place removed in one of them is
-removed in each; empty tables give empty tables; only the id and the text are read.
+nothing elsewhere; rows with equal ids are told apart by a 64-bit hash of their texts and do not
+remove words from each other; empty tables give empty tables; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -76,13 +76,13 @@ def _segments(w: Words, size: int, k: int) -> tuple[np.ndarray, ...]:
 def _emit(size: int, k: int, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            ids, hashes = (batch.column(i).to_numpy() for i in (0, 2))
             for a, _, buf, off in chunks(batch.column(1)):
                 text, start, count, fp, seg = _segments(Words(buf, off), size, k)
                 cols = [pa.array(fp.view(np.int64)), pa.array(ids[a + text])]
                 if full:
-                    cols += [pa.array(seg.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["fp", "doc_id", "seg", "start", "count"][: len(cols)])
+                    cols += [pa.array(hashes[a + text]), pa.array(seg.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["fp", "doc_id", "text_hash", "seg", "start", "count"][: len(cols)])
 
     return run
 
@@ -164,11 +164,9 @@ def _remove(size: int):
                 own = batch.column(2).slice(a, b - a)
                 n = pc.list_value_length(own).fill_null(0).to_numpy()
                 starts = own.flatten().to_numpy() + np.repeat(w.bounds[:-1], n)
-                ends = np.minimum(starts + size, np.repeat(w.bounds[1:], n))
-                inside = starts < ends  # rows with equal ids may differ in length
                 cover = np.zeros(len(w.hash) + 1, dtype=np.int64)
-                np.add.at(cover, starts[inside], 1)
-                np.add.at(cover, ends[inside], -1)
+                np.add.at(cover, starts, 1)
+                np.add.at(cover, starts + size, -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 lost = np.concatenate(([0], np.cumsum(gone)))
                 raw = w.buf.tobytes()
@@ -186,21 +184,22 @@ def _remove(size: int):
 
 def dedup_substrings(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", minimizer: int = MINIMIZER, shard_segments: int = SHARD_SEGMENTS, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (words that stay, joined by a space)."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    src = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    one = ["doc_id", "text_hash"]
     here = src.mapInArrow(_emit(size, minimizer, False), "fp long, doc_id long")
     shared = here.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
     shared = cut_lineage(shared, "minimizers")
-    places = src.mapInArrow(_emit(size, minimizer, True), "fp long, doc_id long, seg long, start int, count int")
+    places = src.mapInArrow(_emit(size, minimizer, True), "fp long, doc_id long, text_hash long, seg long, start int, count int")
     places = cut_lineage(places.join(shared, "fp", "left_semi"), "segments")
 
-    first = places.groupBy("fp", "seg").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.first("count").alias("count"))
+    first = places.groupBy("fp", "seg").agg(F.min(F.struct(*one, "start")).alias("at"), F.first("count").alias("count"))
     first = cut_lineage(first.select("fp", "seg", "count", "at.*"), "distinct_segments")
     crowded = first.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("fp", F.lit(True).alias("hot"))
     first = first.join(cut_lineage(crowded, "crowded"), "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    of_doc = first.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "seg", "start", "count", "hot")).alias("segments"))
+    of_doc = first.groupBy(*one).agg(F.collect_list(F.struct("fp", "seg", "start", "count", "hot")).alias("segments"))
     of_doc = cut_lineage(of_doc, "segments_of_documents")
-    keyed = src.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    payloads = keyed.join(of_doc, "doc_id").select("doc_id", "text", "segments")
+    payloads = src.join(of_doc, one).select("doc_id", "text", "segments")
     payloads = payloads.mapInArrow(_payloads(size), "key long, fp long, seg long, shift int, doc_id long, words array<long>")
     shards = max(1, -(-first.count() // shard_segments))
     dealt = payloads.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "fp", "seg", "shift", "doc_id", "words")
@@ -209,7 +208,7 @@ def dedup_substrings(docs: DataFrame, size: int = 13, id_col: str = "doc_id", te
 
     hit = places.join(found, ["fp", "seg"])
     earlier = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + F.col("shift") + i)), lambda x: x.isNotNull())
-    starts = hit.select("doc_id", earlier.alias("starts")).where(F.size("starts") > 0)
-    starts = cut_lineage(starts.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "removed_windows")
-    out = keyed.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_remove(size), OUT)
+    starts = hit.select(*one, earlier.alias("starts")).where(F.size("starts") > 0)
+    starts = cut_lineage(starts.groupBy(*one).agg(F.flatten(F.collect_list("starts")).alias("starts")), "removed_windows")
+    out = src.join(starts, one, "left").select("doc_id", "text", "starts").mapInArrow(_remove(size), OUT)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(NO_ID), F.col("doc_id")))
