@@ -1,19 +1,22 @@
 """Evaluation metrics as aggregations over a predictions table (scale 0-100).
 
 Input rows: ``task, id, prediction, target`` (+ ``references array<string>`` where a metric
-takes several references). Token-overlap metrics (SQuAD/CoQA F1, BLEU, ROUGE-n) explode
-(row, reference, token) counts and combine them with ``least`` — linear in the text and keyed
-by row id, so there is no per-row quadratic work and no hot key. Rank metrics (Spearman, AUC)
-use average ranks from a two-phase rank over value buckets.
+takes several references); ``id`` must be unique in its task. Token-overlap metrics (SQuAD/CoQA
+F1, BLEU, ROUGE-n) explode the tokens of both sides once, each tagged with its side, count both
+per (row, token) in one aggregation and sum ``least`` of the counts per row: one pass over the
+predictions, linear in the text, no self-join and no hot key. Sequence metrics (edit distance,
+ROUGE-L) run one dynamic program over a whole Arrow batch of rows. Rank metrics (Spearman, AUC)
+use average ranks from a two-phase running count over the distinct values.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hof import let, let2
+from ..functions.hof import let
 from ..functions.text import strip
 
 # Punctuation removed by the answer normaliser (Python's string.punctuation),
@@ -59,19 +62,23 @@ def ngrams(tokens, n: int) -> Column:
 # overlap counting (explode -> count -> least)
 
 
-def overlap_counts(pairs: DataFrame, keys: list[str], pred_toks: str, ref_toks: str) -> DataFrame:
-    """Per ``keys`` row: ``match`` = multiset overlap, ``n_pred``, ``n_ref`` sizes."""
-    p = pairs.select(*keys, F.explode(pred_toks).alias("tok")).groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cp"))
-    r = pairs.select(*keys, F.explode(ref_toks).alias("tok")).groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("cr"))
-    m = p.join(r, [*keys, "tok"]).groupBy(*keys).agg(F.sum(F.least("cp", "cr")).alias("match"))
-    sizes = pairs.select(*keys, F.size(pred_toks).alias("n_pred"), F.size(ref_toks).alias("n_ref"))
-    return sizes.join(m, keys, "left").withColumn("match", F.coalesce(F.col("match"), F.lit(0)).cast("long"))
+def _sides(pred: Column, ref: Column) -> Column:
+    """Tokens of both sides as one array of (tok, is_pred, is_ref)."""
+    tag = lambda p, r: lambda t: F.struct(t.alias("tok"), F.lit(p).alias("cp"), F.lit(r).alias("cr"))
+    return F.concat(F.transform(pred, tag(1, 0)), F.transform(ref, tag(0, 1)))
+
+
+def overlap_counts(pairs: DataFrame, keys: list[str], pred_toks, ref_toks) -> DataFrame:
+    """Per ``keys`` row: ``match`` = multiset overlap, ``n_pred``, ``n_ref`` sizes (rows without tokens: 0)."""
+    each = pairs.select(*keys, F.explode_outer(_sides(_c(pred_toks), _c(ref_toks))).alias("t")).select(*keys, "t.*")
+    counts = each.groupBy(*keys, "tok").agg(F.sum("cp").alias("cp"), F.sum("cr").alias("cr"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return counts.groupBy(*keys).agg(total(F.least("cp", "cr")).alias("match"), total("cp").alias("n_pred"), total("cr").alias("n_ref"))
 
 
 def _f1(match: Column, n_pred: Column, n_ref: Column) -> Column:
-    p = match / n_pred
-    r = match / n_ref
-    return F.when((match == 0) | (n_pred == 0) | (n_ref == 0), F.lit(0.0)).otherwise(2 * p * r / (p + r))
+    """Token F1; 0 without overlap (so also where a side is empty)."""
+    return F.when(match == 0, F.lit(0.0)).otherwise(2 * (match / n_pred) * (match / n_ref) / (match / n_pred + match / n_ref))
 
 
 def accuracy(df: DataFrame, group=("task",)) -> DataFrame:
@@ -86,15 +93,13 @@ def sequence_accuracy(df: DataFrame, pred: str, target: str, group=("task",)) ->
 
 
 def squad(df: DataFrame, group=("task",), trivia: bool = False, with_em: bool = True) -> DataFrame:
-    """EM and token F1 against the best of ``references`` (SQuAD / TriviaQA / CoQA style)."""
-    refs = df.select(*group, "id", "prediction", F.posexplode("references").alias("ref_i", "ref"))
-    toks = refs.select(
-        *group, "id", "ref_i", squad_tokens("prediction", trivia).alias("pt"), squad_tokens("ref", trivia).alias("rt")
-    )
-    keys = [*group, "id", "ref_i"]
-    ov = overlap_counts(toks, keys, "pt", "rt")
-    em = toks.select(*keys, F.when(F.array_join("pt", " ") == F.array_join("rt", " "), 1.0).otherwise(0.0).alias("em"))
-    per = ov.join(em, keys).withColumn("f1", _f1(F.col("match"), F.col("n_pred"), F.col("n_ref")))
+    """EM and token F1 against the best of ``references`` (SQuAD / TriviaQA / CoQA style).
+
+    A row with null or empty ``references`` scores 0; two answers that normalise to nothing match."""
+    refs = df.select(*group, "id", "prediction", F.posexplode_outer("references").alias("ref_i", "ref"))
+    toks = refs.select(*group, "id", "ref_i", F.col("ref").isNotNull().alias("has"), *[squad_tokens(F.coalesce(c, F.lit("")), trivia).alias(n) for c, n in (("prediction", "pt"), ("ref", "rt"))])
+    toks = toks.withColumn("em", F.when(F.col("has") & (F.array_join("pt", " ") == F.array_join("rt", " ")), 1.0).otherwise(0.0))
+    per = overlap_counts(toks, [*group, "id", "ref_i", "em"], "pt", "rt").withColumn("f1", _f1(F.col("match"), F.col("n_pred"), F.col("n_ref")))
     best = per.groupBy(*group, "id").agg(F.max("em").alias("em"), F.max("f1").alias("f1"))
     aggs = [(F.avg("f1") * 100).alias("f1")]
     if with_em:
@@ -111,94 +116,141 @@ def _tag(n: int):
     return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"))
 
 
-def bleu(df: DataFrame, group=("task",), max_n: int = 4) -> DataFrame:
-    """Corpus BLEU: clipped n-gram precisions summed over the corpus, brevity penalty.
+def _tagged_ngrams(tokens: Column, ns) -> Column:
+    """n-grams of every order in ``ns`` as (n, g) structs."""
+    return let(tokens, lambda t: F.flatten(F.array(*[F.transform(ngrams(t, n), _tag(n)) for n in ns])))
 
-    All orders 1..max_n are counted in one pass: n-grams are tagged with their order, so one
-    explode/count/join keyed by (row, n, n-gram) serves every order."""
-    toks = df.select(*group, "id", F.split(strip("prediction"), "\\s+", -1).alias("p"), F.split(strip("target"), "\\s+", -1).alias("r"))
-    toks = toks.select(*group, "id", F.filter("p", lambda w: w != "").alias("p"), F.filter("r", lambda w: w != "").alias("r"))
-
-    def tagged(col):
-        return let(F.col(col), lambda t: F.flatten(F.array(*[F.transform(ngrams(t, n), _tag(n)) for n in range(1, max_n + 1)])))
-
-    keys = [*group, "id"]
-    pc = toks.select(*keys, F.explode(tagged("p")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cp"))
-    rc = toks.select(*keys, F.explode(tagged("r")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cr"))
-    m = pc.join(rc, [*keys, "n", "g"]).groupBy(*group, "n").agg(F.sum(F.least("cp", "cr")).alias("m"))
-    orders = F.explode(F.sequence(F.lit(1), F.lit(max_n))).alias("n")
-    tot = toks.select(*keys, "p", orders).groupBy(*group, "n").agg(
-        F.sum(F.greatest(F.size("p") - F.col("n") + 1, F.lit(0))).alias("t")
-    )
-    prec = tot.join(m, [*group, "n"], "left").withColumn("m", F.coalesce(F.col("m"), F.lit(0)))
-    lens = toks.groupBy(*group).agg(F.sum(F.size("p")).alias("c"), F.sum(F.size("r")).alias("rl"))
-    logp = prec.groupBy(*group).agg(
-        F.sum(F.when(F.col("m") > 0, F.log(F.col("m") / F.col("t")))).alias("slog"),
-        F.min(F.col("m")).alias("minm"),
+
+def _ngram_overlap(toks: DataFrame, keys: list[str], ns) -> DataFrame:
+    """(keys, n, match, n_pred, n_ref) from token arrays ``p`` and ``r``; a null ``n`` for rows without any."""
+    return overlap_counts(
+        toks.select(*keys, F.explode_outer(_sides(_tagged_ngrams(F.col("p"), ns), _tagged_ngrams(F.col("r"), ns))).alias("t"))
+        .select(*keys, F.col("t.tok.n").alias("n"), F.when(F.col("t").isNotNull(), F.col("t.tok.g")).alias("g"), "t.cp", "t.cr")
+        .select(*keys, "n", *[F.when(F.col(c) == 1, F.array("g")).otherwise(F.array().cast("array<string>")).alias(o) for c, o in (("cp", "p"), ("cr", "r"))]),
+        [*keys, "n"],
+        "p",
+        "r",
     )
-    j = logp.join(lens, list(group))
-    bp = F.when(F.col("c") >= F.col("rl"), F.lit(1.0)).otherwise(F.exp(1 - F.col("rl") / F.col("c")))
-    score = F.when((F.col("minm") == 0) | (F.col("c") == 0), F.lit(0.0)).otherwise(bp * F.exp(F.col("slog") / max_n))
-    return j.select(*group, (score * 100).alias("bleu"))
 
 
-def rouge_n(df: DataFrame, n: int, group=("task",)) -> DataFrame:
-    """Mean ROUGE-n F-measure over rows."""
-    ng = df.select(*group, "id", ngrams(rouge_tokens("prediction"), n).alias("pg"), ngrams(rouge_tokens("target"), n).alias("rg"))
-    ov = overlap_counts(ng, [*group, "id"], "pg", "rg")
-    return ov.groupBy(*group).agg((F.avg(_f1(F.col("match"), F.col("n_pred"), F.col("n_ref"))) * 100).alias(f"rouge{n}"))
+def _word_tokens(text) -> Column:
+    return F.filter(F.split(strip(F.coalesce(_c(text), F.lit(""))), "\\s+", -1), lambda w: w != "")
+
+
+def international_tokens(text) -> Column:
+    """Words with punctuation and symbols split off: a mark between digits stays in its number."""
+    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(\P{N})(\p{P})", "$1 $2 ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(\p{P})(\P{N})", " $1 $2"), r"(\p{S})", " $1 ")
+    return _word_tokens(t)
+
+
+def bleu(df: DataFrame, group=("task",), max_n: int = 4, tokens=_word_tokens, smooth: str | None = None) -> DataFrame:
+    """Corpus BLEU: clipped n-gram precisions summed over the corpus, brevity penalty.
+
+    All orders are counted in one pass: n-grams are tagged with their order and side, so one
+    explode and one aggregation per (row, n, n-gram) serve every order. ``smooth="exp"`` halves
+    the precision of each further order without a match instead of scoring 0."""
+    orders = range(1, max_n + 1)
+    toks = df.select(*group, "id", tokens("prediction").alias("p"), tokens("target").alias("r"))
+    per = _ngram_overlap(toks, [*group, "id"], orders)
+    pick = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    sums = per.groupBy(*group).agg(*[pick(c, n).alias(f"{o}{n}") for n in orders for c, o in (("match", "m"), ("n_pred", "t"), ("n_ref", "r"))])
+    logs, zeros = [], F.lit(0)
+    for n in orders:
+        m, t = F.col(f"m{n}"), F.col(f"t{n}")
+        zeros = zeros + F.when(m == 0, 1).otherwise(0)
+        halved = F.log(1 / (F.pow(F.lit(2.0), zeros) * t)) if smooth == "exp" else F.lit(None).cast("double")
+        logs.append(F.when(m > 0, F.log(m / t)).when(t > 0, halved))
+    bp = F.when(F.col("t1") >= F.col("r1"), F.lit(1.0)).otherwise(F.exp(1 - F.col("r1") / F.col("t1")))
+    total = sum(logs[1:], logs[0])  # null if an order has no match (or no n-gram at all)
+    score = F.when((F.col("t1") == 0) | (F.col("m1") == 0) | total.isNull(), F.lit(0.0)).otherwise(bp * F.exp(total / max_n))
+    return sums.select(*group, (score * 100).alias("bleu"))
 
 
 def rouge_ns(df: DataFrame, ns=(1, 2), group=("task",)) -> DataFrame:
     """Mean ROUGE-n F-measures for several n in one pass (n-grams tagged with their order);
-    one column ``rouge{n}`` per order."""
+    one column ``rouge{n}`` per order. A row too short for an order scores 0 there."""
     t = df.select(*group, "id", rouge_tokens("prediction").alias("p"), rouge_tokens("target").alias("r"))
-
-    def tagged(col):
-        return let(F.col(col), lambda x: F.flatten(F.array(*[F.transform(ngrams(x, n), _tag(n)) for n in ns])))
-
-    keys = [*group, "id"]
-    pc = t.select(*keys, F.explode(tagged("p")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cp"))
-    rc = t.select(*keys, F.explode(tagged("r")).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count(F.lit(1)).alias("cr"))
-    m = pc.join(rc, [*keys, "n", "g"]).groupBy(*keys, "n").agg(F.sum(F.least("cp", "cr")).alias("match"))
-    orders = F.explode(F.array(*[F.lit(n) for n in ns])).alias("n")
-    sizes = t.select(*keys, "p", "r", orders).select(
-        *keys, "n",
-        F.greatest(F.size("p") - F.col("n") + 1, F.lit(0)).alias("n_pred"),
-        F.greatest(F.size("r") - F.col("n") + 1, F.lit(0)).alias("n_ref"),
-    )
-    per = sizes.join(m, [*keys, "n"], "left").withColumn("match", F.coalesce(F.col("match"), F.lit(0)))
-    per = per.withColumn("f1", _f1(F.col("match"), F.col("n_pred"), F.col("n_ref")))
-    return per.groupBy(*group).agg(*[(F.avg(F.when(F.col("n") == n, F.col("f1"))) * 100).alias(f"rouge{n}") for n in ns])
+    per = _ngram_overlap(t, [*group, "id"], ns).withColumn("f1", _f1(F.col("match"), F.col("n_pred"), F.col("n_ref")))
+    rows = per.groupBy(*group, "id").agg(*[F.coalesce(F.max(F.when(F.col("n") == n, F.col("f1"))), F.lit(0.0)).alias(f"f{n}") for n in ns])
+    return rows.groupBy(*group).agg(*[(F.avg(f"f{n}") * 100).alias(f"rouge{n}") for n in ns])
 
 
-def _lcs_pair(a, b) -> int:
-    """LCS length with one numpy pass per token of ``a``: the row recurrence
-    cur[j] = max(prev[j], cur[j-1], prev[j-1] + match) is a running maximum of
-    t[j] = max(prev[j], prev[j-1] + match[j])."""
-    if a is None or b is None or len(a) == 0 or len(b) == 0:
-        return 0
-    import numpy as np
-
-    bv = np.asarray(b, dtype=object)
-    prev = np.zeros(len(bv) + 1, dtype=np.int64)
-    for x in a:
-        match = (bv == x).astype(np.int64)
-        t = np.maximum(prev[1:], prev[:-1] + match)
-        prev = np.concatenate(([0], np.maximum.accumulate(t)))
-    return int(prev[-1])
+def rouge_n(df: DataFrame, n: int, group=("task",)) -> DataFrame:
+    """Mean ROUGE-n F-measure over rows."""
+    return rouge_ns(df, (n,), group)
 
 
-def _lcs_batch(pa: pd.Series, pb: pd.Series) -> pd.Series:
-    return pd.Series([_lcs_pair(x, y) for x, y in zip(pa, pb)], dtype="int64")
+# ---------------------------------------------------------------------------------------------
+# sequence metrics: one dynamic program over many rows at once
+
+_DP_CELLS = 1 << 22  # cells of a batch table; rows of like length share a batch
+
+
+def _batches(a: pd.Series, b: pd.Series):
+    """Rows in batches of like length as (row numbers, ids of a, ids of b, lengths); padding never matches."""
+    sizes = [np.array([0 if x is None else len(x) for x in s], dtype=np.int64) for s in (a, b)]
+    flat = [w for s in (a, b) for x in s if x is not None for w in x]
+    codes = pd.factorize(np.array(flat, dtype=object))[0] if flat else np.empty(0, dtype=np.int64)
+    starts = [np.cumsum(sizes[0]) - sizes[0], sizes[0].sum() + np.cumsum(sizes[1]) - sizes[1]]
+    order = np.lexsort((sizes[0], sizes[1]))
+    at = 0
+    while at < len(order):
+        width = 1
+        rows = order[at : at + 1]
+        while at + width < len(order) and (sizes[1][order[at + width]] + 1) * (width + 1) <= _DP_CELLS and width < 4096:
+            width += 1
+        rows = order[at : at + width]
+        at += width
+        grids = []
+        for side, fill in ((0, -1), (1, -2)):
+            n = sizes[side][rows]
+            cols = np.arange(max(1, int(n.max())))
+            there = cols[None, :] < n[:, None]
+            grid = np.full(there.shape, fill, dtype=np.int64)
+            grid[there] = codes[(starts[side][rows][:, None] + cols[None, :])[there]]
+            grids.append(grid)
+        yield rows, grids[0], grids[1], sizes[0][rows], sizes[1][rows]
+
+
+def _lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    """cur[j] = max(prev[j], cur[j-1], prev[j-1] + match), a running maximum along the row."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for rows, x, y, _, _ in _batches(a, b):
+        prev = np.zeros((len(rows), y.shape[1] + 1), dtype=np.int64)
+        for i in range(x.shape[1]):
+            step = np.maximum(prev[:, 1:], prev[:, :-1] + (x[:, i : i + 1] == y))
+            prev[:, 1:] = np.maximum.accumulate(step, axis=1)
+        out[rows] = prev[:, -1]
+    return pd.Series(out)
+
+
+def _edit_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+    """cur[j] = min(prev[j] + 1, prev[j-1] + differ, cur[j-1] + 1), a running minimum of cur[j] - j."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for rows, x, y, nx, ny in _batches(a, b):
+        j = np.arange(y.shape[1] + 1)
+        prev = np.tile(j, (len(rows), 1))
+        for i in range(int(nx.max(initial=0))):
+            cur = np.empty_like(prev)
+            cur[:, 0] = i + 1
+            cur[:, 1:] = np.minimum(prev[:, 1:] + 1, prev[:, :-1] + (x[:, i : i + 1] != y))
+            cur = np.minimum.accumulate(cur - j, axis=1) + j
+            prev = np.where((i < nx)[:, None], cur, prev)
+        out[rows] = prev[np.arange(len(rows)), ny]
+    return pd.Series(out)
 
 
 def lcs_length(a, b) -> Column:
-    """Longest common subsequence length of two token arrays (Arrow-batched pandas UDF; the
-    DP is sequential per pair, the tokenisation and all aggregation stay in the JVM)."""
+    """Longest common subsequence length of two token arrays (Arrow-batched, many rows at once)."""
     return F.pandas_udf(_lcs_batch, "long")(_c(a), _c(b))
 
 
+def edit_length(a, b) -> Column:
+    """Levenshtein distance of two token arrays (Arrow-batched, many rows at once, any vocabulary)."""
+    return F.pandas_udf(_edit_batch, "long")(_c(a), _c(b))
+
+
 def rouge_l(df: DataFrame, group=("task",)) -> DataFrame:
     t = df.select(*group, rouge_tokens("prediction").alias("p"), rouge_tokens("target").alias("r"))
     t = t.withColumn("lcs", lcs_length("p", "r"))
@@ -209,41 +261,56 @@ def pearson(df: DataFrame, x: str, y: str, group=("task",)) -> DataFrame:
     return df.groupBy(*group).agg((F.corr(x, y) * 100).alias("pearson"))
 
 
-def average_ranks(df: DataFrame, group: list[str], value: str, out: str, rows_per_bucket: int = 1 << 20) -> DataFrame:
-    """1-based average rank of ``value`` in its group (ties share the mean of their ranks):
-    ``rank = (rows with a smaller value) + (ties + 1) / 2``.
+def value_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """(group, value, rank): 1-based average rank of each distinct value of its group,
+    ``(rows with a smaller value) + (ties + 1) / 2``.
 
-    Ties collapse first (count per (group, value), partial aggregation map-side); the exclusive
-    running count over the distinct values is a two-phase running sum over key-range buckets,
-    so neither a large group nor a heavily tied value forms one window partition; the ranks are
-    joined back on (group, value)."""
+    Ties collapse first (count per (group, value), partial aggregation map-side); the running
+    count over the distinct values is a two-phase sum over ranges that hold about equally many
+    of them, so neither a large group, nor a tied value, nor an outlier makes one large task."""
+    from ..session import cut_lineage
     from .packing import two_phase_cumsum
     from .ranking import range_buckets
 
+    vc = cut_lineage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__cnt")), "value_counts")
+    vc = two_phase_cumsum(range_buckets(vc, group, value), group, [value], F.col("__bk"), "__cnt", "__below")
+    return vc.select(*group, value, (F.col("__below") + (F.col("__cnt") + 1) / 2.0).cast("double").alias(out))
+
+
+def average_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
+    """Rows with the average rank of ``value`` in their group."""
+    from ..session import cut_lineage
+
     extra = []
     if not group:
         df, group, extra = df.withColumn("__all", F.lit(1)), ["__all"], ["__all"]
-    vc = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__cnt"))
-    vc = range_buckets(vc.withColumn("__vk", F.col(value).cast("double")), group, "__vk", rows_per_bucket)
-    vc = two_phase_cumsum(vc, group, [value], F.col("__bk"), "__cnt", "__below")
-    ranks = vc.select(*group, value, (F.col("__below") + (F.col("__cnt") + 1) / 2.0).cast("double").alias(out))
-    return df.join(ranks, [*group, value]).drop(*extra)
+    return df.join(cut_lineage(value_ranks(df, group, value, out), "ranks"), [*group, value]).drop(*extra)
 
 
 def spearman(df: DataFrame, x: str, y: str, group=("task",)) -> DataFrame:
-    r = average_ranks(average_ranks(df, list(group), x, "__rx"), list(group), y, "__ry")
-    return r.groupBy(*group).agg((F.corr("__rx", "__ry") * 100).alias("spearman"))
+    """Pearson correlation of average ranks. The pairs are written once, both columns are ranked as
+    one (column, value) table of counts, and the ranks are joined back twice."""
+    from ..session import cut_lineage
+
+    g = list(group)
+    pairs = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*g, F.col(x).alias("x"), F.col(y).alias("y")), "rank_pairs")
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).cast("double").alias("v")) for c in ("x", "y")]))
+    ranks = cut_lineage(value_ranks(pairs.select(*g, sides.alias("s")).select(*g, "s.*"), [*g, "side"], "v", "rank"), "ranks")
+    for c in ("x", "y"):
+        own = ranks.where(F.col("side") == c).select(*g, F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
+        pairs = pairs.withColumn(c, F.col(c).cast("double")).join(own, [*g, c])
+    return pairs.groupBy(*g).agg((F.corr("rx", "ry") * 100).alias("spearman"))
 
 
 def auc(df: DataFrame, label: str, score: str, group=("task",)) -> DataFrame:
-    """ROC AUC by the rank-sum formula (average ranks for tied scores)."""
+    """ROC AUC by the rank-sum formula (average ranks for tied scores); null for a one-class task."""
     r = average_ranks(df, list(group), score, "__r")
     s = r.groupBy(*group).agg(
         F.sum(F.when(F.col(label) == 1, F.col("__r")).otherwise(0.0)).alias("rs"),
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("P"),
         F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("N"),
     )
-    a = (F.col("rs") - F.col("P") * (F.col("P") + 1) / 2.0) / (F.col("P") * F.col("N"))
+    a = F.try_divide(F.col("rs") - F.col("P") * (F.col("P") + 1) / 2.0, F.col("P") * F.col("N"))
     return s.select(*group, (a * 100).alias("auc"))
 
 
@@ -284,27 +351,10 @@ def edit_distance_chars(df: DataFrame, group=("task",)) -> DataFrame:
     return _dist_stats(d, group)
 
 
-def _word_chars(words: Column, vocab: Column) -> Column:
-    """Each word -> one CJK code point by its index in ``vocab`` (so Levenshtein counts words)."""
-    return F.array_join(
-        F.transform(
-            words,
-            lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocab, w) + F.lit(0x4E00 - 1)), 4, "0")), "UTF-16BE"),
-        ),
-        "",
-    )
-
-
 def edit_distance_words(df: DataFrame, group=("task",)) -> DataFrame:
     """Word-level Levenshtein distance statistics."""
-    pw = F.split(strip("prediction"), "\\s+", -1)
-    tw = F.split(strip("target"), "\\s+", -1)
-
-    def dist(p, t):
-        return let(F.array_distinct(F.concat(p, t)), lambda v: F.levenshtein(_word_chars(p, v), _word_chars(t, v)))
-
-    d = df.select(*group, let2(pw, tw, dist).alias("d"))
-    return _dist_stats(d, group)
+    words = lambda c: F.split(strip(c), "\\s+", -1)
+    return _dist_stats(df.select(*group, edit_length(words("prediction"), words("target")).alias("d")), group)
 
 
 def _dist_stats(d: DataFrame, group) -> DataFrame:

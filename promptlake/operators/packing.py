@@ -1,16 +1,17 @@
 """Prefix-LM preparation and packing as table jobs.
 
-* ``lm_segments``: per document a random chunk of at most ``max_chunk`` tokens plus EOS; the
-  documents of a stream (ordered by key) are concatenated and cut into ``length``-token
-  segments. Only (document, segment) pairs are exploded, never single tokens: each document
-  gets its global start offset from a two-phase running sum, emits the slices of the segments
-  it overlaps, and segments are reassembled with an ordered ``collect_list`` (at most
-  ``length`` tokens per group).
+* ``lm_segments``: per document all its tokens (or, if asked for, a random chunk of at most
+  ``max_chunk``) plus EOS; the documents of a stream (ordered by key) are concatenated and cut
+  into ``length``-token segments. Only (document, segment) pairs are exploded, never single
+  tokens: each document gets its global start offset from a two-phase running sum over (key,
+  length) rows, which carry no text, emits the slices of the segments it overlaps, and segments
+  are reassembled with an ordered ``collect_list`` (at most ``length`` tokens per group).
 * ``pack_prefix_lm``: consecutive segments (2j, 2j+1) become one encoder-decoder example
-  split at a hashed point ``m``.
+  split at a hashed point ``m``; the last odd one is filled up with padding.
 * ``pack_examples``: next-fit packing of whole sequences into rows of at most ``length``
-  tokens inside explicit shards (next-fit is sequential, so the shard is the unit of work;
-  only (key, length) pairs go through the per-shard step).
+  tokens inside shards of about ``shard_tokens`` (next-fit is sequential, so the shard is the unit
+  of work; only (key, piece, length) rows go through the per-shard step). Sequences longer than a
+  row are cut into consecutive pieces.
 * ``lm_split``: one span split into (inputs, targets) at a hashed point.
 """
 
@@ -26,8 +27,7 @@ from ..functions.hof import let
 from .ranking import range_buckets
 from .tokens import EOS, PAD, pad_to, shift_right
 
-# Longest chunk kept per document and the rows per running-sum bucket.
-MAX_CHUNK = 65536
+# Fixed value: rows per running-sum bucket.
 KEY_BLOCK = 1 << 20
 
 
@@ -47,19 +47,29 @@ def two_phase_cumsum(df: DataFrame, group: list[str], order: list[str], bucket,
     )
 
 
-def doc_chunks(docs: DataFrame, tokens: str, key: str, max_chunk: int = MAX_CHUNK, seed: str = "chunk") -> DataFrame:
-    """Random chunk of at most ``max_chunk`` tokens per document, then EOS."""
+def doc_chunks(docs: DataFrame, tokens: str, key: str, max_chunk: int | None = None, seed: str = "chunk") -> DataFrame:
+    """All tokens of a document (or a random chunk of at most ``max_chunk``), then EOS."""
+    eos = F.array(F.lit(EOS))
+    if max_chunk is None:
+        return docs.withColumn("chunk", F.concat(F.col(tokens), eos))
     n = F.size(tokens)
     start = F.floor(hash_u(seed, key) * (n - F.lit(max_chunk) + 1))
     piece = F.when(n > max_chunk, F.slice(tokens, (start + 1).cast("int"), max_chunk)).otherwise(F.col(tokens))
-    return docs.withColumn("chunk", F.concat(piece, F.array(F.lit(EOS))))
+    return docs.withColumn("chunk", F.concat(piece, eos))
+
+
+def _with_starts(c: DataFrame, stream: str, key: str) -> DataFrame:
+    """``c`` (stream, key, ..., len) with the position of each row in its stream.
+
+    Only (stream, key, len) rows go through the ranges and windows; the positions are joined back."""
+    small = range_buckets(c.select(stream, key, "len"), stream, key, KEY_BLOCK)
+    starts = two_phase_cumsum(small, [stream], [key], F.col("__bk"), "len", "start").select(stream, key, "start")
+    return c.join(starts, [stream, key])
 
 
 def lm_segments(chunks: DataFrame, stream: str, key: str, length: int, chunk: str = "chunk") -> DataFrame:
     """Concatenate ``chunk`` arrays per ``stream`` in ``key`` order and cut into ``length`` segments."""
-    c = chunks.select(stream, key, chunk).withColumn("len", F.size(chunk))
-    c = range_buckets(c, stream, key, KEY_BLOCK)
-    c = two_phase_cumsum(c, [stream], [key], F.col("__bk"), "len", "start").drop("__bk")
+    c = _with_starts(chunks.select(stream, key, chunk).withColumn("len", F.size(chunk)), stream, key)
     L = F.lit(length)
     first = F.floor(F.col("start") / L)
     last = F.floor((F.col("start") + F.col("len") - 1) / L)
@@ -81,22 +91,22 @@ def lm_segments(chunks: DataFrame, stream: str, key: str, length: int, chunk: st
     return g.select(stream, "seg", F.flatten(F.transform("__ps", lambda x: x["toks"])).alias("tokens"))
 
 
-def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length: int, max_chunk: int = MAX_CHUNK, seed: str = "chunk") -> DataFrame:
+def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length: int, max_chunk: int | None = None, seed: str = "chunk") -> DataFrame:
     """``lm_segments`` for byte tokens, computed on bytes.
 
-    Byte tokens are one per UTF-8 byte, so the chunk is carried as ``binary`` (1 byte per token
-    through both shuffles, instead of an int array) and expanded to ids only per finished
+    Byte tokens are one per UTF-8 byte, so a document is carried as ``binary`` (1 byte per token
+    through the shuffles, instead of an int array) and expanded to ids only per finished
     segment. Same result as ``doc_chunks`` + ``lm_segments`` over ``byte_tokens(text)``.
     """
     from .tokens import BYTE_OFFSET
 
-    b = F.encode(F.col(text), "UTF-8")
-    n = F.octet_length(F.col(text))
-    start = F.floor(hash_u(seed, key) * (n - F.lit(max_chunk) + 1))
-    chunk = F.when(n > max_chunk, F.substring(b, (start + 1).cast("int"), max_chunk)).otherwise(b)
+    chunk = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    if max_chunk is not None:
+        n = F.octet_length(F.col(text))
+        start = F.floor(hash_u(seed, key) * (n - F.lit(max_chunk) + 1))
+        chunk = F.when(n > max_chunk, F.substring(chunk, (start + 1).cast("int"), max_chunk)).otherwise(chunk)
     c = docs.select(stream, key, chunk.alias("bin")).withColumn("len", F.octet_length("bin") + 1)
-    c = range_buckets(c, stream, key, KEY_BLOCK)
-    c = two_phase_cumsum(c, [stream], [key], F.col("__bk"), "len", "start").drop("__bk")
+    c = _with_starts(c, stream, key)
     L = F.lit(length)
     first = F.floor(F.col("start") / L)
     last = F.floor((F.col("start") + F.col("len") - 1) / L)
@@ -126,10 +136,13 @@ def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length:
 
 
 def pack_prefix_lm(segments: DataFrame, stream: str, length: int, seed: str = "prefix") -> DataFrame:
-    """Pairs (2j, 2j+1) of each stream -> encoder/decoder features with split point m in [1, L)."""
+    """Pairs (2j, 2j+1) of each stream -> encoder/decoder features with split point m in [1, L).
+
+    A last segment without a partner is paired with padding, which has loss weight 0."""
     a = segments.where(F.col("seg") % 2 == 0).select(stream, (F.col("seg") / 2).cast("long").alias("pair"), pad_to("tokens", length).alias("a"))
     b = segments.where(F.col("seg") % 2 == 1).select(stream, ((F.col("seg") - 1) / 2).cast("long").alias("pair"), pad_to("tokens", length).alias("b"))
-    j = a.join(b, [stream, "pair"])
+    none = F.array_repeat(F.lit(PAD), length)
+    j = a.join(b, [stream, "pair"], "left").withColumn("b", F.coalesce("b", none))
     L = length
     m = (F.lit(1) + F.floor(hash_u(seed, F.concat_ws(":", stream, "pair")) * (L - 1))).cast("int")
     j = j.withColumn("m", m)
@@ -164,35 +177,41 @@ def lm_split(tokens, seed_key) -> tuple:
 
 def _next_fit(length: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key", kind="stable")
-        lens = np.minimum(pdf["len"].to_numpy(dtype=np.int64), length)
-        bins = np.empty(len(lens), dtype=np.int64)
+        pdf = pdf.sort_values(["key", "piece"], kind="stable")
+        bins = np.empty(len(pdf), dtype=np.int64)
         b, used = 0, 0
-        for i, n in enumerate(lens):
+        for i, n in enumerate(pdf["len"].to_numpy(dtype=np.int64)):
             if used + n > length and used > 0:
                 b += 1
                 used = 0
             bins[i] = b
             used += n
-        return pd.DataFrame({"shard": pdf["shard"].to_numpy(), "key": pdf["key"].to_numpy(), "bin": bins})
+        return pdf[["shard", "key", "piece"]].assign(bin=bins)
 
     return fit
 
 
-def pack_examples(df: DataFrame, key: str, tokens: str, length: int, shards: int) -> DataFrame:
-    """Next-fit packing: inside shard ``pmod(hash(key), shards)`` sequences (ordered by key)
-    fill a row until the next one would overflow ``length``; longer sequences are truncated.
+def pack_examples(df: DataFrame, key: str, tokens: str, length: int, shard_tokens: int = 1 << 20) -> DataFrame:
+    """Next-fit packing: sequences (ordered by key, then piece) of a hashed shard fill a row until
+    the next one would overflow ``length``. A longer sequence becomes consecutive pieces.
 
-    The sequential step sees only (key, length) of its shard; tokens are joined back and each
-    packed row is assembled by an ordered ``collect_list`` bounded by ``length`` tokens.
+    There is one shard per ``shard_tokens`` tokens in all, so the sequential step sees a bounded
+    number of (key, piece, length) rows; tokens are joined back and each packed row is assembled by
+    an ordered ``collect_list`` bounded by ``length`` tokens.
     """
-    base = df.select(
-        F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard"), F.col(key).alias("key"), F.slice(tokens, 1, length).alias("toks")
-    )
-    lens = base.select("shard", "key", F.size("toks").alias("len"))
-    bins = lens.groupBy("shard").applyInPandas(_next_fit(length), "shard long, key long, bin long")
-    j = base.join(bins, ["shard", "key"])
-    g = j.groupBy("shard", "bin").agg(F.array_sort(F.collect_list(F.struct("key", "toks"))).alias("__s"))
+    total = df.agg(F.sum(F.size(tokens))).first()[0] or 0
+    shards = max(1, -(-total // shard_tokens))
+    n = F.size(F.col(tokens))
+
+    def pieces(t):
+        return F.transform(F.sequence(F.lit(0), F.ceil(n / length).cast("int") - 1), lambda i: F.struct(i.alias("piece"), F.slice(t, i * length + 1, length).alias("toks")))
+
+    base = df.where(n > 0).select(F.floor(hash_u("pack", key) * shards).cast("long").alias("shard"), F.col(key).cast("string").alias("key"), F.explode(let(F.col(tokens), pieces)).alias("p"))
+    base = base.select("shard", "key", "p.*")
+    lens = base.select("shard", "key", "piece", F.size("toks").alias("len"))
+    bins = lens.groupBy("shard").applyInPandas(_next_fit(length), "shard long, key string, piece int, bin long")
+    j = base.join(bins, ["shard", "key", "piece"])
+    g = j.groupBy("shard", "bin").agg(F.array_sort(F.collect_list(F.struct("key", "piece", "toks"))).alias("__s"))
     seg_ids = F.flatten(
         F.transform("__s", lambda s, i: F.array_repeat((i + 1).cast("int"), F.size(s["toks"])))
     )
@@ -201,6 +220,7 @@ def pack_examples(df: DataFrame, key: str, tokens: str, length: int, shards: int
         "shard",
         "bin",
         F.transform("__s", lambda s: s["key"]).alias("keys"),
+        F.transform("__s", lambda s: s["piece"]).alias("pieces"),
         F.flatten(F.transform("__s", lambda s: s["toks"])).alias("tokens"),
         seg_ids.alias("segment_ids"),
         positions.alias("positions"),

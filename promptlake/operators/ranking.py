@@ -88,7 +88,6 @@ def seeded_cap(
     key: str,
     cap_col: str,
     keep_rank: bool = False,
-    groups_bounded: bool = True,
 ) -> DataFrame:
     """Exact "shuffle with seed, then keep the first ``cap`` rows" per group, without a global sort.
 
@@ -104,9 +103,7 @@ def seeded_cap(
        group); the kept rows (about ``cap``) are shuffled by (group, bucket) and ranked
        ``offset + row_number()`` inside their bucket.
 
-    ``groups_bounded`` states that the groups come from a size-checked config table (tasks),
-    which bounds the broadcast cut table; otherwise the cut table is materialised in the shared
-    folder and broadcast only if its row count is under ``MAX_BROADCAST_ROWS``.
+    The cut table is broadcast only if its measured size allows (``broadcast_checked``).
     """
     from ..session import cut_lineage
 
@@ -129,8 +126,7 @@ def seeded_cap(
         .where(F.col("__lb") >= F.col("__lbcut"))
         .select(*g, "__lb", (F.col("__cum") - F.col("__c")).alias("__off"))
     )
-    cuts_b = F.broadcast(cuts) if groups_bounded else broadcast_checked(cuts, "cap_cuts")
-    kept = work.join(cuts_b, g).where(F.col("__lb") >= F.col("__lbcut")).drop("__lbcut")
+    kept = work.join(broadcast_checked(cuts, "cap_cuts"), g).where(F.col("__lb") >= F.col("__lbcut")).drop("__lbcut")
     w_in = Window.partitionBy(*g, "__lb").orderBy("u", key)
     ranked = kept.join(offsets, [*g, "__lb"]).withColumn(
         "rn", (F.col("__off") + F.row_number().over(w_in)).cast("long")
@@ -139,33 +135,47 @@ def seeded_cap(
     return out if keep_rank else out.drop("rn", "u")
 
 
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_checked(df: DataFrame, name: str, max_rows: int = MAX_BROADCAST_ROWS, materialise: bool = False) -> DataFrame:
-    """Broadcast a derived table only after proving it is small (row count <= ``max_rows``);
-    beyond that it stays a plain (shuffle) join input.
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: 8 per fixed-width column, the length of the others as text or JSON."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(df[f.name]), F.lit(0)) + 8
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(df[f.name]))), F.lit(0)) + 8
+        else:
+            size = size + 8
+    return size
 
-    ``materialise`` first writes the table to the shared folder and reads it back, for inputs
-    whose content must not change between evaluations (e.g. approximate quantiles)."""
-    if materialise:
-        from ..session import cut_lineage
 
-        df = cut_lineage(df, name)
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_checked(df: DataFrame, name: str, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a derived table only after measuring it: its bytes are summed and must be within
+    ``max_bytes``; beyond that it stays a plain (shuffle) join input.
+
+    The table is written to the shared folder first, so that the rows that were measured are the
+    rows that are joined, and its plan runs once."""
+    from ..session import cut_lineage
+
+    df = cut_lineage(df, name)
+    total = df.agg(F.sum(_row_bytes(df)).alias("b")).first()["b"] or 0
+    return F.broadcast(df) if total <= max_bytes else df
 
 
 def take_skip(df: DataFrame, seed, key: str, n: int, part: str = "take") -> DataFrame:
     """Eval hold-out: the first ``n`` rows in seeded order (``take``) or all the others (``skip``).
 
-    ``take`` is a seeded cap over one group; ``skip`` removes exactly those keys with a
-    broadcast anti join whose size is bounded by ``n``.
+    ``take`` is a seeded cap over one group; ``skip`` removes exactly those keys with an anti
+    join whose side is broadcast only if its measured size allows.
     """
     capped = seeded_cap(df.withColumn("__one", F.lit(1)).withColumn("__cap", F.lit(n)), "__one", seed, key, "__cap")
     capped = capped.drop("__one", "__cap")
     if part == "take":
         return capped
-    return df.join(F.broadcast(capped.select(key)), key, "left_anti")
+    return df.join(broadcast_checked(capped.select(key), "held_out"), key, "left_anti")
 
 
 def batch_ids(df: DataFrame, seed, key: str, batch_size: int, buckets: int = 1 << 16) -> DataFrame:
@@ -178,22 +188,23 @@ def batch_ids(df: DataFrame, seed, key: str, batch_size: int, buckets: int = 1 <
 
 
 def range_buckets(df: DataFrame, group_cols, key: str, rows_per_bucket: int = 1 << 20, out: str = "__bk") -> DataFrame:
-    """Add a bucket column that is monotone in ``key`` within each group and holds about
-    ``rows_per_bucket`` rows when keys are spread evenly over their range.
+    """Add a bucket column that is monotone in the numeric ``key`` within each group and holds
+    about ``rows_per_bucket`` rows of it, however the keys are spread.
 
-    Each group's (min, max, count) comes from one small aggregation (one row per group, size
-    checked before broadcast); the bucket is ``floor((key - min) * B / (max - min + 1))`` with
-    ``B = ceil(count / rows_per_bucket)``, so sparse keys (e.g. 64-bit hashes) do not turn
-    every row into its own bucket and dense keys do not pile up in one.
-    """
+    The cut points are quantiles of each group (one aggregation, written so that they do not
+    change between evaluations, one row per group); a bucket is the number of cut points at or
+    below the key. If no group is larger than a bucket, all rows get bucket 0 and nothing is
+    aggregated but the counts."""
     g = _cols(group_cols)
     extra = []
     if not g:
         df, g, extra = df.withColumn("__g1", F.lit(1)), ["__g1"], ["__g1"]
-    stats = df.groupBy(*g).agg(
-        F.min(key).alias("__kmin"), F.max(key).alias("__kmax"), F.count(F.lit(1)).alias("__kn")
-    ).withColumn("__kb", F.ceil(F.col("__kn") / F.lit(rows_per_bucket)).cast("double"))
-    j = df.join(broadcast_checked(stats, "key_ranges"), g)
-    width = F.col("__kmax").cast("double") - F.col("__kmin").cast("double") + 1.0
-    bk = F.floor((F.col(key).cast("double") - F.col("__kmin").cast("double")) * F.col("__kb") / width)
-    return j.withColumn(out, bk.cast("long")).drop("__kmin", "__kmax", "__kn", "__kb", *extra)
+    largest = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = -(-largest // rows_per_bucket)
+    if buckets <= 1:
+        return df.withColumn(out, F.lit(0).cast("long")).drop(*extra)
+    grid = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*g).agg(F.percentile_approx(key, grid, max(10_000, 20 * buckets)).alias("__cuts"))
+    j = df.join(broadcast_checked(cuts, "key_ranges"), g, "left")
+    below = F.size(F.filter("__cuts", lambda c: c <= F.col(key)))
+    return j.withColumn(out, F.greatest(below, F.lit(0)).cast("long")).drop("__cuts", *extra)

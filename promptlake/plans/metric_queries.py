@@ -13,7 +13,7 @@ from ..functions.hashing import hash_u
 from ..operators import metrics as M
 from ..operators.dialogue import dialogue_pairs
 from ..operators.templates import nonempty_pairs
-from ..operators.tokens import append_eos, byte_tokens, pad_to
+from ..operators.tokens import append_eos, byte_tokens
 from ..sources.tables import read
 from .registry import register
 from .sqlparts import STRIP, U
@@ -28,7 +28,7 @@ def _sqlq(s: str) -> str:
 
 def dialogue_predictions(spark, sf_dir):
     p = nonempty_pairs(dialogue_pairs(read(spark, sf_dir, "conversations")))
-    p = p.withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    p = p.withColumn("id", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
     p = p.withColumn("task", F.concat(F.lit("chat"), F.floor(hash_u("task", "conv_id") * NTASKS).cast("long").cast("string")))
     bad = hash_u("pred", "id") < CORRUPT
     return p.select(
@@ -40,14 +40,15 @@ def dialogue_predictions(spark, sf_dir):
     )
 
 
+_ID = "(CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR))"
 _PRED_SQL = f"""pairs AS (
     SELECT u.conv_id, u.turn, u.text AS inputs, a.text AS targets
     FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
     WHERE u.role = 'user' AND a.role = 'assistant' AND length(u.text) > 0 AND length(a.text) > 0),
   pred AS (
     SELECT 'chat' || CAST(CAST(floor({U("'task'", 'conv_id')} * {NTASKS}) AS BIGINT) AS VARCHAR) AS task,
-           conv_id * 1000 + turn AS id,
-           CASE WHEN {U("'pred'", 'conv_id * 1000 + turn')} < {CORRUPT!r} THEN inputs ELSE ' ' || targets || chr(10) END AS prediction,
+           {_ID} AS id,
+           CASE WHEN {U("'pred'", _ID)} < {CORRUPT!r} THEN inputs ELSE ' ' || targets || chr(10) END AS prediction,
            targets AS target, regexp_extract(targets, '^[^.]*') AS ref2
     FROM pairs)"""
 
@@ -201,17 +202,59 @@ def q_metric_rouge12(spark, sf_dir):
     return _r6(M.rouge_ns(p, (1, 2)), ["rouge1", "rouge2"])
 
 
-@register("metric_rouge_l")
+# Dynamic programs as nested reductions: the outer one goes over the rows of the table (words of the
+# prediction), the inner one builds a row from the one before.
+_ROUGE_TOK = lambda x: f"list_filter(string_split({STRIP(f'regexp_replace(lower({x}), {chr(39)}[^a-z0-9]+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, ' '), lambda w: w <> '')"
+
+
+def _dp_sql(cell: str, carry: str, first: str, start: str) -> str:
+    return f"""list_reduce(list_transform(range(1, len(p) + 1), lambda i: [i]), lambda acc, w:
+        list_reduce(list_transform(range(1, len(r) + 1), lambda j: [{cell}]), lambda c, x: list_append(c, {carry}), [{first}]),
+        {start})[-1]"""
+
+
+_LCS_SQL = _dp_sql("greatest(acc[j + 1], acc[j] + CAST(p[w[1]] = r[j] AS BIGINT))", "greatest(c[-1], x[1])", "0", "list_transform(range(0, len(r) + 1), lambda j: 0::BIGINT)")
+_EDIT_SQL = _dp_sql("least(acc[j + 1] + 1, acc[j] + CAST(p[w[1]] <> r[j] AS BIGINT))", "least(c[-1] + 1, x[1])", "w[1]", "range(0, len(r) + 1)")
+
+
+@register(
+    "metric_rouge_l",
+    f"""WITH {_PRED_SQL},
+      rt AS (SELECT task, id, {_ROUGE_TOK('prediction')} AS p, {_ROUGE_TOK('target')} AS r FROM pred),
+      ov AS (SELECT task, id, {_LCS_SQL} AS match, len(p) AS np, len(r) AS nr FROM rt)
+    SELECT task, round(avg({F1_SQL}) * 100, 6) AS "rougeL" FROM ov GROUP BY task""",
+)
 def q_metric_rouge_l(spark, sf_dir):
     return _r6(M.rouge_l(dialogue_predictions(spark, sf_dir)), ["rougeL"])
 
 
-@register("metric_edit_char")
+_DIST_SQL = """SELECT task, CAST(min(d) AS BIGINT) AS min_distance, CAST(max(d) AS BIGINT) AS max_distance, round(avg(d), 6) AS mean_distance,
+      round(quantile_cont(d, 0.5), 6) AS median_distance, CAST(sum(d) AS BIGINT) AS total_distance FROM dist GROUP BY task"""
+
+# DuckDB's levenshtein counts bytes: the characters of a pair are numbered and written as one byte
+# each (up to 127 different characters in a pair; more make chr() two bytes long)
+_BYTE_PER_CHAR = "array_to_string(list_transform(string_split({0}, ''), lambda x: chr(CAST(list_position(v, x) AS INTEGER))), '')"
+
+
+@register(
+    "metric_edit_char",
+    f"""WITH {_PRED_SQL},
+      s AS (SELECT task, {STRIP('prediction')} AS p, {STRIP('target')} AS r FROM pred),
+      c AS (SELECT *, list_distinct(list_concat(string_split(p, ''), string_split(r, ''))) AS v FROM s),
+      dist AS (SELECT task, levenshtein({_BYTE_PER_CHAR.format('p')}, {_BYTE_PER_CHAR.format('r')}) AS d FROM c)
+    {_DIST_SQL}""",
+)
 def q_metric_edit_char(spark, sf_dir):
     return _r6(M.edit_distance_chars(dialogue_predictions(spark, sf_dir)), ["mean_distance", "median_distance"])
 
 
-@register("metric_edit")
+@register(
+    "metric_edit",
+    f"""WITH {_PRED_SQL},
+      s AS (SELECT task, string_split_regex({STRIP('prediction')}, '\\s+') AS p, string_split_regex({STRIP('target')}, '\\s+') AS r FROM pred),
+      dist AS (SELECT task, {_EDIT_SQL} AS d FROM s)
+    {_DIST_SQL}""",
+)
 def q_metric_edit(spark, sf_dir):
     return _r6(M.edit_distance_words(dialogue_predictions(spark, sf_dir)), ["mean_distance", "median_distance"])
 
@@ -307,11 +350,11 @@ def q_metric_multirc(spark, sf_dir):
 @register(
     "metric_gen_len",
     f"""WITH {_PRED_SQL}
-        SELECT task, round(avg(len(list_filter(list_resize(list_concat(list_transform(regexp_extract_all(hex(encode(prediction)), '..'), lambda h: ('0x' || h)::INTEGER + 3), [1]), 256, 0), lambda x: x <> 0))), 4) AS gen_len
+        SELECT task, round(avg(strlen(prediction) + 1), 4) AS gen_len
         FROM pred GROUP BY task""",
 )
 def q_metric_gen_len(spark, sf_dir):
-    p = dialogue_predictions(spark, sf_dir).withColumn("ids", pad_to(append_eos(byte_tokens("prediction")), 256))
+    p = dialogue_predictions(spark, sf_dir).withColumn("ids", append_eos(byte_tokens("prediction")))
     return M.gen_len(p, "ids")
 
 

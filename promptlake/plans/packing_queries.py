@@ -11,21 +11,19 @@ from .registry import register
 from .sqlparts import U
 from .token_queries import BYTES, S
 
-# LM adaptation sequence length and the chunk bound per document.
+# LM adaptation sequence length, row length and shard size of example packing.
 LM_LEN = 512
-CHUNK = 65536
 PACK_LEN = 512
-PACK_SHARDS = 4
+PACK_SHARD_TOKENS = 1 << 18
 
 
 def _segments(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("lang", "doc_id", "text")
-    return lm_segments_text(d, "lang", "doc_id", "text", LM_LEN, CHUNK)
+    return lm_segments_text(d, "lang", "doc_id", "text", LM_LEN)
 
 
 _SEG_SQL = f"""t AS (SELECT lang, doc_id, {BYTES('text')} AS toks FROM documents),
-  t2 AS (SELECT *, CAST(floor({U("'chunk'", 'doc_id')} * (len(toks) - {CHUNK} + 1)) AS BIGINT) AS st FROM t),
-  c AS (SELECT lang, doc_id, list_concat(CASE WHEN len(toks) > {CHUNK} THEN toks[st + 1 : st + {CHUNK}] ELSE toks END, [1]) AS chunk FROM t2),
+  c AS (SELECT lang, doc_id, list_concat(toks, [1]) AS chunk FROM t),
   s AS (SELECT *, len(chunk) AS len,
                CAST(COALESCE(sum(len(chunk)) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
         FROM c),
@@ -46,9 +44,9 @@ def _pack_sql() -> str:
     return f"""WITH {_SEG_SQL},
       a AS (SELECT lang, seg // 2 AS pair, list_resize(tokens, {L}, 0) AS a FROM segs WHERE seg % 2 = 0),
       b AS (SELECT lang, (seg - 1) // 2 AS pair, list_resize(tokens, {L}, 0) AS b FROM segs WHERE seg % 2 = 1),
-      j AS (SELECT a.lang, a.pair, a.a, b.b,
+      j AS (SELECT a.lang, a.pair, a.a, coalesce(b.b, list_resize([]::INTEGER[], {L}, 0)) AS b,
                    CAST(1 + floor({U("'prefix'", "a.lang || ':' || a.pair")} * {L - 1}) AS INTEGER) AS m
-            FROM a JOIN b ON a.lang = b.lang AND a.pair = b.pair),
+            FROM a LEFT JOIN b ON a.lang = b.lang AND a.pair = b.pair),
       f AS (SELECT lang, pair, m, list_concat(a[1:m], b[1:{L} - m]) AS enc, list_concat(a[m + 1:{L}], b[{L} - m + 1:{L}]) AS dec FROM j)
     SELECT lang, CAST(pair AS BIGINT) AS pair, m,
            {S('enc')} AS encoder_input_tokens,
@@ -93,16 +91,33 @@ def q_lm_split(spark, sf_dir):
     return d.select("doc_id", m.alias("m"), ids_text(i).alias("inputs"), ids_text(t).alias("targets"))
 
 
-@register("pack_examples")
+def _pack_examples_sql() -> str:
+    L = PACK_LEN
+    return f"""WITH RECURSIVE r AS (
+        SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS key, {BYTES('text')} AS toks FROM conversations WHERE strlen(text) > 0),
+      n AS (SELECT greatest(1, CAST(ceil(sum(len(toks)) / {PACK_SHARD_TOKENS}.0) AS BIGINT)) AS shards FROM r),
+      p AS (SELECT CAST(floor({U("'pack'", 'key')} * shards) AS BIGINT) AS shard, key, toks,
+                   unnest(range(CAST(ceil(len(toks) / {L}.0) AS BIGINT))) AS piece FROM r, n),
+      q AS (SELECT shard, key, piece, toks[piece * {L} + 1 : (piece + 1) * {L}] AS toks,
+                   row_number() OVER (PARTITION BY shard ORDER BY key, piece) AS i FROM p),
+      fit(shard, i, bin, used) AS (
+        SELECT shard, i, CAST(0 AS BIGINT), CAST(len(toks) AS BIGINT) FROM q WHERE i = 1
+        UNION ALL
+        SELECT q.shard, q.i, CASE WHEN used + len(toks) > {L} THEN bin + 1 ELSE bin END,
+               CASE WHEN used + len(toks) > {L} THEN len(toks) ELSE used + len(toks) END
+        FROM fit JOIN q ON q.shard = fit.shard AND q.i = fit.i + 1),
+      s AS (SELECT q.*, bin, row_number() OVER (PARTITION BY q.shard, bin ORDER BY q.i) AS seg FROM q JOIN fit USING (shard, i))
+    SELECT shard, bin, string_agg(key, ' ' ORDER BY i) AS keys, string_agg(CAST(piece AS VARCHAR), ' ' ORDER BY i) AS pieces,
+           {S('flatten(list(toks ORDER BY i))')} AS tokens,
+           {S('flatten(list(list_transform(toks, lambda t: seg) ORDER BY i))')} AS segment_ids,
+           {S('flatten(list(range(len(toks)) ORDER BY i))')} AS positions
+    FROM s GROUP BY shard, bin"""
+
+
+@register("pack_examples", _pack_examples_sql())
 def q_pack_examples(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), byte_tokens("text").alias("toks")).where(F.size("toks") > 0)
-    p = pack_examples(rows, "key", "toks", PACK_LEN, PACK_SHARDS)
-    return p.select(
-        "shard",
-        "bin",
-        F.array_join("keys", " ").alias("keys"),
-        ids_text("tokens").alias("tokens"),
-        ids_text("segment_ids").alias("segment_ids"),
-        ids_text("positions").alias("positions"),
-    )
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = c.select(key.alias("key"), byte_tokens("text").alias("toks")).where(F.size("toks") > 0)
+    p = pack_examples(rows, "key", "toks", PACK_LEN, PACK_SHARD_TOKENS)
+    return p.select("shard", "bin", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("keys", "pieces", "tokens", "segment_ids", "positions")])
