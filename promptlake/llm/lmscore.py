@@ -123,7 +123,7 @@ def cross_entropy_difference(
     vocabulary = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(vocab).collect()]  # the size of the model
 
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("doc_id")).where("doc_id is not null").distinct()
-    ids = broadcast_checked(ids.withColumn("is_target", F.lit(True)), "targets", materialise=True)
+    ids = broadcast_checked(ids.withColumn("is_target", F.lit(True)), "targets")
     flagged = src.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     cells = flagged.select("text", "is_target").mapInArrow(_bigram_counts(vocabulary), "cell long, n_target long, n_all long")
     cells = cut_lineage(cells.groupBy("cell").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all")), "bigrams")

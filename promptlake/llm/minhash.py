@@ -241,4 +241,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _texts_of(src: DataFrame, pairs: DataFrame) -> DataFrame:
     """Texts (doc_id, text) of the documents in pairs; their ids are broadcast only if few."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return src.join(broadcast_checked(ids, "ids", materialise=True), "doc_id", "left_semi")
+    return src.join(broadcast_checked(ids, "ids"), "doc_id", "left_semi")
