@@ -28,7 +28,7 @@ def _with_text(out: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """``docs`` but for the rows with these ids; rows without an id stay."""
-    return docs.join(broadcast_checked(ids.distinct(), name, materialise=True), "doc_id", "left_anti")
+    return docs.join(broadcast_checked(ids.distinct(), name), "doc_id", "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
