@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, task_name
-from ..operators.catalog import cap_rule_a, cap_rule_b, dataset_stats
+from ..operators.catalog import MAX_EXAMPLES, cap_rule_a, cap_rule_b, dataset_stats
 from ..operators.ranking import batch_ids, seeded_cap, take_skip
 from ..operators.templates import (
     FormatTemplate,
@@ -17,7 +17,7 @@ from ..operators.templates import (
     verbalise,
 )
 from ..sources.tables import corpus, labelled_corpus, read
-from .prompts import CORPUS_PROMPTS, CORPUS_PROMPTS_WIDE, FIELDS, corpus_templates, flagship
+from .prompts import CORPUS_PROMPTS, CORPUS_PROMPTS_WIDE, FIELDS, build_prompts, corpus_templates, flagship
 from .registry import register
 from .sqlparts import CLEAN, CORPUS_SQL, LABELLED_SQL, STRIP, TASK, U
 
@@ -25,14 +25,15 @@ from .sqlparts import CLEAN, CORPUS_SQL, LABELLED_SQL, STRIP, TASK, U
 # flagship
 
 
-_FLAG_SQL = f"""
+def _flag_sql(cap: str) -> str:
+    return f"""
 WITH c AS ({LABELLED_SQL}),
 tr AS (SELECT * FROM c WHERE split = 'train'),
 n AS (SELECT dataset, subset, count(*) AS n FROM tr GROUP BY dataset, subset),
 p AS (SELECT * FROM (VALUES (0, 'quality'), (1, 'toxic')) v(ordinal, template)),
 f AS (
   SELECT tr.*, p.template, p.ordinal,
-         CASE WHEN n.n * 2 > 20 THEN 20 // 2 ELSE n.n END AS cap,
+         {cap} AS cap,
          {U("CAST(42 + p.ordinal AS VARCHAR)", "tr.id")} AS u
   FROM tr JOIN n USING (dataset, subset) CROSS JOIN p),
 r AS (SELECT *, row_number() OVER (PARTITION BY dataset, subset, template ORDER BY u, id) AS rn FROM f)
@@ -44,9 +45,22 @@ FROM r WHERE rn <= cap
 """
 
 
+_FLAG_SQL = _flag_sql(f"CASE WHEN n.n * 2 > {MAX_EXAMPLES} THEN {MAX_EXAMPLES} // 2 ELSE n.n END")
+
+
 @register("prompt_mixture_capped", _FLAG_SQL)
 def q_prompt_mixture_capped(spark, sf_dir):
-    return flagship(spark, sf_dir, max_examples=20)
+    return flagship(spark, sf_dir)
+
+
+CAP_SHARE = 0.25  # of each task's rows
+
+
+@register("prompt_mixture_share", _flag_sql(f"CAST(ceil(n.n * CAST({CAP_SHARE} AS DOUBLE)) AS BIGINT)"))
+def q_prompt_mixture_share(spark, sf_dir):
+    """The flagship with caps that bind in every task: a share of its rows."""
+    out = build_prompts(spark, sf_dir, CORPUS_PROMPTS, "share", CAP_SHARE)
+    return out.select("task", F.col("id").alias("doc_id"), "inputs", "targets")
 
 
 # ------------------------------------------------------------------------------------------
@@ -465,14 +479,14 @@ def _caps(spark, sf_dir, rule, max_examples):
     return task_caps(data, tpl, rule, max_examples)
 
 
-@register("cap_rule_a", _caps_sql("a", 120))
+@register("cap_rule_a", _caps_sql("a", MAX_EXAMPLES))
 def q_cap_rule_a(spark, sf_dir):
-    return _caps(spark, sf_dir, "a", 120)
+    return _caps(spark, sf_dir, "a", MAX_EXAMPLES)
 
 
-@register("cap_rule_b", _caps_sql("b", 120))
+@register("cap_rule_b", _caps_sql("b", MAX_EXAMPLES))
 def q_cap_rule_b(spark, sf_dir):
-    return _caps(spark, sf_dir, "b", 120)
+    return _caps(spark, sf_dir, "b", MAX_EXAMPLES)
 
 
 # lineitem as a large row source: 4 groups, one of them about half of all rows.
@@ -489,35 +503,39 @@ def _lineitem_keyed(spark, sf_dir):
     "shuffle_cap",
     f"""WITH l AS (SELECT l_returnflag || l_linestatus AS grp, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, l_quantity FROM lineitem),
              r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY {U("'42'", 'id')}, id) AS rn FROM l)
-        SELECT grp, id, l_quantity, CAST(rn AS BIGINT) AS rn FROM r WHERE rn <= 1000""",
+        SELECT grp, id, l_quantity, CAST(rn AS BIGINT) AS rn FROM r WHERE rn <= {MAX_EXAMPLES}""",
 )
 def q_shuffle_cap(spark, sf_dir):
-    li = _lineitem_keyed(spark, sf_dir).withColumn("cap", F.lit(1000))
+    li = _lineitem_keyed(spark, sf_dir).withColumn("cap", F.lit(MAX_EXAMPLES))
     return seeded_cap(li, "grp", 42, "id", "cap", keep_rank=True).select("grp", "id", "l_quantity", "rn")
 
 
+# Fixed value: rows of the evaluation hold-out.
+HOLD_OUT = 1000
+
+
 @register(
     "take_n",
     f"""WITH c AS (SELECT * FROM ({CORPUS_SQL}) x WHERE split = 'train'),
              r AS (SELECT id, row_number() OVER (ORDER BY {U("'42'", 'id')}, id) AS rn FROM c)
-        SELECT id, CAST(rn AS BIGINT) AS rn FROM r WHERE rn <= 100""",
+        SELECT id, CAST(rn AS BIGINT) AS rn FROM r WHERE rn <= {HOLD_OUT}""",
 )
 def q_take_n(spark, sf_dir):
-    c = corpus(spark, sf_dir).where(F.col("split") == "train").withColumn("one", F.lit(1)).withColumn("cap", F.lit(100))
+    c = corpus(spark, sf_dir).where(F.col("split") == "train").withColumn("one", F.lit(1)).withColumn("cap", F.lit(HOLD_OUT))
     return seeded_cap(c, "one", 42, "id", "cap", keep_rank=True).select("id", "rn")
 
 
 _HOLD_SQL = f"""WITH r AS (SELECT id, row_number() OVER (ORDER BY {U("'42'", 'id')}, id) AS rn FROM ({CORPUS_SQL}) c)"""
 
 
-@register("holdout_take", _HOLD_SQL + " SELECT id FROM r WHERE rn <= 100")
+@register("holdout_take", _HOLD_SQL + f" SELECT id FROM r WHERE rn <= {HOLD_OUT}")
 def q_holdout_take(spark, sf_dir):
-    return take_skip(corpus(spark, sf_dir).select("id"), 42, "id", 100, "take").select("id")
+    return take_skip(corpus(spark, sf_dir).select("id"), 42, "id", HOLD_OUT, "take").select("id")
 
 
-@register("holdout_skip", _HOLD_SQL + " SELECT id FROM r WHERE rn > 100")
+@register("holdout_skip", _HOLD_SQL + f" SELECT id FROM r WHERE rn > {HOLD_OUT}")
 def q_holdout_skip(spark, sf_dir):
-    return take_skip(corpus(spark, sf_dir).select("id"), 42, "id", 100, "skip").select("id")
+    return take_skip(corpus(spark, sf_dir).select("id"), 42, "id", HOLD_OUT, "skip").select("id")
 
 
 @register(

@@ -33,8 +33,8 @@ FIELDS = ["id", "text", "dataset", "subset", "split", "n_chars", "quality", "tox
 def corpus_templates(data: DataFrame, prompts=CORPUS_PROMPTS, materialise: bool = True) -> DataFrame:
     """One template row per (dataset, subset) of ``data`` and prompt, with its ordinal.
 
-    The prompt list is exploded onto the distinct dataset keys (no join). The result is a
-    config-sized table; it is materialised and its size checked before it is broadcast.
+    The prompt list is exploded onto the distinct dataset keys (no join). With ``materialise`` the
+    result is written, measured and marked for broadcast if it is small.
     """
     arr = F.array(
         *[
@@ -71,7 +71,8 @@ def task_caps(data: DataFrame, templates: DataFrame, rule: str = "b", max_exampl
 def prompt_tasks(data: DataFrame, prompts=CORPUS_PROMPTS, rule: str = "b", max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Control table: one row per (dataset, subset, prompt) with ordinal, template text, train
     size ``n``, ``num_templates``, ``cap`` and ``task`` — from ONE narrow aggregation over the
-    data, then materialised (small: datasets x prompts) and size-checked for broadcast."""
+    data, then written and measured before it is broadcast. Cap rules: "a", "b" (with
+    ``max_examples`` rows), or "share" (``max_examples`` is the share of the task that is kept)."""
     from ..functions.text import task_name as _tn
 
     stats = data.groupBy("dataset", "subset").agg(
@@ -80,6 +81,8 @@ def prompt_tasks(data: DataFrame, prompts=CORPUS_PROMPTS, rule: str = "b", max_e
     T = F.lit(len(prompts))
     if rule == "a":
         cap = cap_rule_a(F.col("n"), T, F.col("n") > 0, max_examples)
+    elif rule == "share":
+        cap = F.ceil(F.col("n") * F.lit(float(max_examples)))
     else:
         cap = cap_rule_b(F.col("n"), T, max_examples)
     arr = F.array(
@@ -96,7 +99,7 @@ def prompt_tasks(data: DataFrame, prompts=CORPUS_PROMPTS, rule: str = "b", max_e
     )
     t = stats.select("dataset", "subset", "n", T.alias("num_templates"), cap.alias("cap"), F.explode(arr).alias("t"))
     t = t.select("dataset", "subset", "n", "num_templates", "cap", "t.*").withColumn("task", _tn("dataset", "subset", "name"))
-    return broadcast_checked(t, "tasks", materialise=True)
+    return broadcast_checked(t, "tasks")
 
 
 def build_prompts(
@@ -118,7 +121,7 @@ def build_prompts(
     data = corpus(spark, sf_dir)
     tasks = prompt_tasks(data, prompts, rule, max_examples)
     if only_tasks is not None:
-        tasks = F.broadcast(tasks.join(F.broadcast(only_tasks.select("task")), "task", "left_semi"))
+        tasks = broadcast_checked(tasks.join(broadcast_checked(only_tasks.select("task"), "only_tasks"), "task", "left_semi"), "tasks")
     tpl = tasks.withColumnRenamed("name", "template").withColumnRenamed("answer_choices", "tpl_choices")
     train = data.where(F.col("split") == "train")
     fanned = train.join(tpl.drop("n"), ["dataset", "subset"])
@@ -131,7 +134,7 @@ def build_prompts(
     return nonempty_pairs(rendered).select("task", "id", "inputs", "targets")
 
 
-def flagship(spark: SparkSession, sf_dir: str, max_examples: int = 20, only_tasks: DataFrame | None = None) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, max_examples: int = MAX_EXAMPLES, only_tasks: DataFrame | None = None) -> DataFrame:
     """documents x labels -> two labelled prompts -> <NO LABEL> fill -> non-empty -> seeded cap."""
     out = build_prompts(spark, sf_dir, CORPUS_PROMPTS, "b", max_examples, only_tasks)
     return out.select("task", F.col("id").alias("doc_id"), "inputs", "targets")
