@@ -31,3 +31,21 @@ def hash_u_sql(seed_sql: str, key_sql: str) -> str:
         f"(('0x' || substr(md5(CAST({seed_sql} AS VARCHAR) || ':' || CAST({key_sql} AS VARCHAR)), 1, 8))"
         f"::UBIGINT::DOUBLE / 4294967296.0)"
     )
+
+
+TWO_52 = 4503599627370496.0
+
+
+def hash_u52(seed, key) -> Column:
+    """Uniform double in [0, 1) from 52 bits of ``md5(seed:key)``: for ranges larger than 2^32."""
+    seed_c = seed if isinstance(seed, Column) else F.lit(str(seed))
+    s = F.concat(seed_c.cast("string"), F.lit(":"), _col(key).cast("string"))
+    return F.conv(F.substring(F.md5(s), 1, 13), 16, 10).cast("double") / F.lit(TWO_52)
+
+
+def hash_u52_sql(seed_sql: str, key_sql: str) -> str:
+    """The same uniform as a DuckDB SQL expression (used by the oracles)."""
+    return (
+        f"(('0x' || substr(md5(CAST({seed_sql} AS VARCHAR) || ':' || CAST({key_sql} AS VARCHAR)), 1, 13))"
+        f"::UBIGINT::DOUBLE / 4503599627370496.0)"
+    )

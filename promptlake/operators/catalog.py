@@ -40,7 +40,7 @@ def cap_rule_b(n: Column, num_templates: Column, max_examples: int = MAX_EXAMPLE
 
 def weighted_train_size(sizes: DataFrame, rates: DataFrame, key: str = "pair") -> DataFrame:
     """Sum of ``int(n * rate)`` over the members (the MT task's cap)."""
-    return sizes.join(F.broadcast(rates), key).agg(
+    return sizes.join(rates, key).agg(
         F.sum(F.floor(F.col("n") * F.col("rate")).cast("long")).alias("train_size")
     )
 

@@ -14,23 +14,25 @@ the ``(len_s + 1)``-th draw of source ``s``, keep ``pos < min_s e_s`` (first) or
 ``range`` with a per-position hash, the counters come from ``two_phase_rank`` (blocks of
 positions), and rows are fetched with one equi join on (source, row index).
 
-The random stream is the library's hash of ``seed:pos`` (not a PRNG), so the result is the
-same for any partitioning and is reproducible in SQL.
+The random stream is the library's hash of ``seed:pos`` (not a PRNG, 52 bits of it), so the result
+is the same for any partitioning and is reproducible in SQL. Sizes and rates are tables with one
+row per source; a draw finds its source by a join on bins of the cumulative weights. Only ids go
+through ranks and draws: callers fetch texts last, by key.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_u
+from ..functions.hashing import hash_u52
 from ..session import cut_lineage
-from .ranking import range_buckets, two_phase_rank
+from .ranking import broadcast_checked, range_buckets, two_phase_rank
 
-# Integer resolution of rate weights and positions per rank block.
-WEIGHT_SCALE = 1_000_000_000
+# Sum of the integer weights (about; rates are normalised to it), bins of the
+# cumulative weights, positions per rank block and rows per index bucket.
+WEIGHT_SCALE = 1 << 44
+BINS = 1 << 12
 POS_BLOCK = 1 << 20
 ID_BLOCK = 1 << 20
 
@@ -38,118 +40,108 @@ ID_BLOCK = 1 << 20
 def index_sources(df: DataFrame, source: str, order: str, out: str = "idx", block: int = ID_BLOCK) -> DataFrame:
     """0-based row index inside each source, ordered by ``order`` (a numeric key).
 
-    Uses the two-phase rank over key-range buckets of about ``block`` rows, so a source
-    holding most rows is still ranked by many tasks.
+    Uses the two-phase rank over key ranges of about ``block`` rows, so a source holding most
+    rows is still ranked by many tasks. Pass ids only; join the other columns back by key.
     """
     b = range_buckets(df, source, order, block)
     r = two_phase_rank(b, source, [order], F.col("__bk"), "__rn")
     return r.withColumn(out, F.col("__rn") - 1).drop("__rn", "__bk")
 
 
-def source_sizes(indexed: DataFrame, source: str) -> list[tuple[str, int]]:
-    """(source, length) pairs, sorted by source name (one row per source)."""
-    rows = indexed.groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()
-    return sorted((r[source], int(r["n"])) for r in rows)
+def source_sizes(rows: DataFrame, source: str) -> DataFrame:
+    """(source, n): one row per source, counted on the rows as they are (no index needed)."""
+    return cut_lineage(rows.groupBy(source).agg(F.count(F.lit(1)).alias("n")), "source_sizes")
 
 
-def round_robin(indexed: DataFrame, source: str, idx: str = "idx") -> DataFrame:
+def round_robin(indexed: DataFrame, source: str, idx: str = "idx", sizes: DataFrame | None = None) -> DataFrame:
     """Rows ``idx < min(len)`` of every source with ``pos = idx * S + ordinal(source)``."""
-    sizes = source_sizes(indexed, source)
-    if not sizes:
-        return indexed.withColumn("pos", F.lit(None).cast("long")).limit(0)
-    m = min(n for _, n in sizes)
-    ordinal = F.create_map(*[x for i, (s, _) in enumerate(sizes) for x in (F.lit(s), F.lit(i))])
-    return indexed.where(F.col(idx) < m).withColumn(
-        "pos", (F.col(idx) * F.lit(len(sizes)) + F.element_at(ordinal, F.col(source))).cast("long")
-    )
-
-
-def integer_weights(weights: dict[str, float]) -> dict[str, int]:
-    """Rates -> integer weights ``floor(rate * 1e9)`` (exact cumulative sums in any engine)."""
-    out = {s: int(math.floor(w * WEIGHT_SCALE)) for s, w in weights.items()}
-    return out
-
-
-def _estimate_draws(sizes: dict[str, int], w: dict[str, int], stop: str) -> int:
-    total = sum(w.values())
-    need = []
-    for s, n in sizes.items():
-        p = w[s] / total
-        mean = (n + 1) / p
-        sd = math.sqrt((n + 1) * (1 - p)) / p
-        need.append(mean * 1.2 + 6 * sd + 16)
-    return int(min(need) if stop == "first_exhausted" else max(need))
-
-
-def draw_table(spark: SparkSession, n_draws: int, sizes: dict[str, int], w: dict[str, int], seed, source: str) -> DataFrame:
-    """``range(n_draws)`` with the source picked by ``floor(u * W)`` against cumulative weights,
-    plus ``k`` (1-based running count per source) and ``len`` of the picked source."""
-    names = sorted(w)
-    total = sum(w.values())
-    r = F.floor(hash_u(seed, "id") * F.lit(total))
-    pick = None
-    hi = 0
-    for s in names:
-        hi += w[s]
-        cond = r < F.lit(hi)
-        pick = F.when(cond, F.lit(s)) if pick is None else pick.when(cond, F.lit(s))
-    lens = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(sizes[s]))])
-    d = spark.range(n_draws).select(F.col("id").alias("pos"), pick.alias(source))
-    d = d.withColumn("len", F.element_at(lens, F.col(source)).cast("long"))
-    return two_phase_rank(d, source, ["pos"], F.floor(F.col("pos") / F.lit(POS_BLOCK)), "k")
+    sizes = sizes if sizes is not None else source_sizes(indexed, source)
+    # windows over one row per source
+    each = sizes.select(source, (F.row_number().over(Window.orderBy(source)) - 1).alias("__o"), F.min("n").over(Window.partitionBy()).alias("__m"), F.count(F.lit(1)).over(Window.partitionBy()).alias("__s"))
+    joined = indexed.join(broadcast_checked(each, "ordinals"), source).where(F.col(idx) < F.col("__m"))
+    return joined.withColumn("pos", (F.col(idx) * F.col("__s") + F.col("__o")).cast("long")).drop("__o", "__m", "__s")
+
+
+def weight_table(sizes: DataFrame, rates: DataFrame, source: str) -> DataFrame:
+    """(source, n, w, lo, hi): integer weights of about ``WEIGHT_SCALE`` in all and their cumulative ranges.
+
+    ``rates`` (source, rate) must have exactly the sources of ``sizes``, each with a positive rate."""
+    j = sizes.join(rates.select(F.col(source), F.col("rate").cast("double").alias("rate")), source, "full")
+    bad = j.where(F.col("n").isNull() | F.col("rate").isNull() | ~(F.col("rate") > 0) | (F.col("n") <= 0)).limit(5).collect()
+    if bad:
+        raise ValueError(f"sources and rates differ, or a source has no rows or no positive rate: {[r[source] for r in bad]}")
+    one = Window.partitionBy()
+    w = F.greatest(F.floor(F.col("rate") / F.sum("rate").over(one) * F.lit(float(WEIGHT_SCALE))).cast("long"), F.lit(1).cast("long"))
+    j = j.select(source, "n", w.alias("w"))
+    hi = F.sum("w").over(Window.orderBy(source).rowsBetween(Window.unboundedPreceding, 0))
+    return cut_lineage(j.select(source, "n", "w", (hi - F.col("w")).alias("lo"), hi.alias("hi")), "weights")
+
+
+def _estimate_draws(weights: DataFrame, stop: str) -> int:
+    """Draws that very likely reach the stopping point: the expected number and six deviations."""
+    p = F.col("w") / F.sum("w").over(Window.partitionBy())
+    need = (F.col("n") + 1) / p * 1.2 + 6 * F.sqrt((F.col("n") + 1) * (1 - p)) / p + 16
+    pick = F.min if stop == "first_exhausted" else F.max
+    return int(weights.select(need.alias("x")).agg(pick("x")).first()[0])
+
+
+def draw_table(spark: SparkSession, n_draws: int, weights: DataFrame, seed, source: str) -> DataFrame:
+    """``range(n_draws)`` with the source whose range holds ``floor(u * W)``, its length and ``k``,
+    the 1-based running count of draws of that source."""
+    total = weights.agg(F.max("hi")).first()[0] or 0
+    bin_of: Column = F.floor(F.col("x") * F.lit(BINS) / F.lit(float(max(total, 1)))).cast("long")
+    spans = weights.withColumn("x", F.col("lo")).withColumn("b0", bin_of).withColumn("x", F.col("hi")).withColumn("b1", bin_of)
+    spans = spans.select(source, F.col("n").alias("len"), "lo", "hi", F.explode(F.sequence("b0", "b1")).alias("bin"))
+    d = spark.range(n_draws).select(F.col("id").alias("pos"), F.floor(hash_u52(seed, "id") * F.lit(total)).alias("x"))
+    d = d.withColumn("bin", bin_of).join(broadcast_checked(spans, "weight_bins"), "bin").where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
+    return two_phase_rank(d.select("pos", source, "len"), source, ["pos"], F.floor(F.col("pos") / F.lit(POS_BLOCK)), "k")
 
 
 def interleave(
     indexed: DataFrame,
     source: str,
-    rates: dict[str, float],
+    rates: DataFrame,
     seed=42,
     stop: str = "first_exhausted",
     idx: str = "idx",
+    sizes: DataFrame | None = None,
     max_rounds: int = 8,
 ) -> DataFrame:
     """Seeded interleave by rate with ``first_exhausted`` or ``all_exhausted`` stopping.
 
     ``indexed`` has ``source`` and a 0-based ``idx`` per source (see ``index_sources``);
-    ``rates`` maps every source to a positive rate. Output: the source rows plus ``pos``.
+    ``rates`` has a positive ``rate`` per source. Output: the source rows plus ``pos``.
     """
     if stop not in ("first_exhausted", "all_exhausted"):
         raise ValueError(stop)
     spark = indexed.sparkSession
-    sizes = dict(source_sizes(indexed, source))
-    missing = set(sizes) ^ set(rates)
-    if missing:
-        raise ValueError(f"sources and rates differ: {sorted(missing)}")
-    w = integer_weights(rates)
-    bad = [s for s in sizes if sizes[s] <= 0 or w[s] <= 0]
-    if bad:
-        raise ValueError(f"sources with no rows or no rate cannot be interleaved: {bad}")
-    n_draws = _estimate_draws(sizes, w, stop)
-    for _ in range(max_rounds):
-        draws = cut_lineage(draw_table(spark, n_draws, sizes, w, seed, source), "draws")
-        ends = {r[source]: int(r["e"]) for r in draws.where(F.col("k") == F.col("len") + 1).groupBy(source).agg(F.min("pos").alias("e")).collect()}
-        if stop == "first_exhausted" and ends:
-            cut = min(ends.values())
+    weights = weight_table(sizes if sizes is not None else source_sizes(indexed, source), rates, source)
+    sources = weights.count()
+    n_draws = _estimate_draws(weights, stop) if sources else 0
+    cut = 0
+    for _ in range(max_rounds if sources else 0):
+        draws = cut_lineage(draw_table(spark, n_draws, weights, seed, source), "draws")
+        ends = draws.where(F.col("k") == F.col("len") + 1).groupBy(source).agg(F.min("pos").alias("e"))
+        e = ends.agg(F.min("e").alias("first"), F.max("e").alias("last"), F.count(F.lit(1)).alias("n")).first()
+        if stop == "first_exhausted" and e["n"]:
+            cut = e["first"]
             break
-        if stop == "all_exhausted" and len(ends) == len(sizes):
-            cut = max(ends.values())
+        if stop == "all_exhausted" and e["n"] == sources:
+            cut = e["last"]
             break
         n_draws *= 2
     else:
-        raise RuntimeError("interleave: draw table did not reach the stopping point")
+        if sources:
+            raise RuntimeError("interleave: draw table did not reach the stopping point")
+        return indexed.withColumn("pos", F.lit(None).cast("long")).limit(0)
     hits = draws.where(F.col("pos") < cut).select("pos", source, (F.pmod(F.col("k") - 1, F.col("len"))).alias(idx))
     return hits.join(indexed, [source, idx])
 
 
-def draw_from_mixture(indexed: DataFrame, source: str, rates: dict[str, float], n_rows: int, seed=42, idx: str = "idx") -> DataFrame:
+def draw_from_mixture(indexed: DataFrame, source: str, rates: DataFrame, n_rows: int, seed=42, idx: str = "idx", sizes: DataFrame | None = None) -> DataFrame:
     """``n_rows`` draws from a mixture by rate; a source that runs out starts again from its
     first row (examples repeat in proportion to the rate). Output: source rows plus ``pos``."""
-    spark = indexed.sparkSession
-    sizes = dict(source_sizes(indexed, source))
-    w = integer_weights({s: rates[s] for s in sizes})
-    bad = [s for s in sizes if w[s] <= 0]
-    if bad:
-        raise ValueError(f"sources without a positive rate: {bad}")
-    draws = draw_table(spark, n_rows, sizes, w, seed, source)
+    weights = weight_table(sizes if sizes is not None else source_sizes(indexed, source), rates, source)
+    draws = draw_table(indexed.sparkSession, n_rows, weights, seed, source)
     hits = draws.select("pos", source, F.pmod(F.col("k") - 1, F.col("len")).alias(idx))
     return hits.join(indexed, [source, idx])

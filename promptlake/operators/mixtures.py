@@ -2,7 +2,7 @@
 
 A mixture is the set of rows ``mixture_members(mixture, task)``; its rate rule is a column
 over that table. All tables here have one row per task (config-sized), so windows over a
-mixture and broadcasts of member lists are bounded by the task count, not by the data.
+mixture are bounded by the task count, not by the data.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ def define_mixtures(task_categories: DataFrame, definitions: DataFrame) -> DataF
     """Members of each mixture: a definition row (mixture, category) selects every task of the
     category; several definition rows form a union; duplicates collapse (union + distinct)."""
     return (
-        task_categories.join(F.broadcast(definitions), "category")
+        task_categories.join(definitions, "category")
         .select("mixture", "task")
         .distinct()
     )
@@ -29,21 +29,22 @@ def define_mixtures(task_categories: DataFrame, definitions: DataFrame) -> DataF
 def select_members(tasks: DataFrame, members: DataFrame, mixture: str) -> DataFrame:
     """Rows of ``tasks`` that belong to ``mixture`` (left semi join)."""
     m = members.where(F.col("mixture") == mixture).select("task")
-    return tasks.join(F.broadcast(m), "task", "left_semi")
+    return tasks.join(m, "task", "left_semi")
 
 
 def remove_blacklisted(members: DataFrame, blacklist: DataFrame) -> DataFrame:
-    """Members minus the blacklisted task names (broadcast left anti join)."""
-    return members.join(F.broadcast(blacklist.select("task").distinct()), "task", "left_anti")
+    """Members minus the blacklisted task names (left anti join)."""
+    return members.join(blacklist.select("task").distinct(), "task", "left_anti")
 
 
 def _norm(weight: Column, partition) -> Column:
-    return F.round(weight / F.sum(weight).over(Window.partitionBy(*partition)), RATE_DIGITS)
+    """Share of the total; null if the total is 0 (no member has any rows)."""
+    return F.round(F.try_divide(weight, F.sum(weight).over(Window.partitionBy(*partition))), RATE_DIGITS)
 
 
 def cap_rates(members: DataFrame, caps: DataFrame, partition=("mixture",)) -> DataFrame:
     """Rate proportional to the task cap, normalised within each mixture."""
-    j = members.join(F.broadcast(caps.select("task", "cap")), "task")
+    j = members.join(caps.select("task", "cap"), "task")
     return j.withColumn("rate", _norm(F.col("cap").cast("double"), partition))
 
 

@@ -11,16 +11,27 @@ from .interleave import index_sources
 def zip_pairs(docs: DataFrame, pairs: DataFrame, lang: str = "lang", order: str = "doc_id", text: str = "text") -> DataFrame:
     """k-th document of language ``a`` aligned with the k-th of ``b`` for every (pair, a, b) row.
 
-    Two equi joins on (language, index); the per-language index is a two-phase rank.
-    Output: ``pair, idx, translation map<string,string>`` with keys in (a, b) order.
+    Documents of the longer language without a partner are no pair and are left out. Ids are
+    indexed and paired first (two equi joins on (language, index)); the texts are joined to the
+    pairs last, by key. Output: ``pair, idx, translation map<string,string>`` with keys in (a, b) order.
     """
-    ix = index_sources(docs.select(lang, order, text), lang, order)
-    left = ix.select(F.col(lang).alias("a"), "idx", F.col(text).alias("text_a"))
-    right = ix.select(F.col(lang).alias("b"), "idx", F.col(text).alias("text_b"))
-    j = left.join(F.broadcast(pairs), "a").join(right, ["b", "idx"])
+    ids = id_pairs(docs, pairs, lang, order)
+    texts = docs.select(order, text)
+    j = ids.join(texts.select(F.col(order).alias("id_a"), F.col(text).alias("text_a")), "id_a")
+    j = j.join(texts.select(F.col(order).alias("id_b"), F.col(text).alias("text_b")), "id_b")
     return j.select("pair", "idx", F.create_map("a", "text_a", "b", "text_b").alias("translation"))
 
 
+def id_pairs(docs: DataFrame, pairs: DataFrame, lang: str = "lang", order: str = "doc_id") -> DataFrame:
+    """(pair, idx, a, b, id_a, id_b) of ``zip_pairs``, without texts."""
+    from ..session import cut_lineage
+
+    ix = cut_lineage(index_sources(docs.select(lang, order), lang, order), "language_index")
+    left = ix.select(F.col(lang).alias("a"), "idx", F.col(order).alias("id_a"))
+    right = ix.select(F.col(lang).alias("b"), "idx", F.col(order).alias("id_b"))
+    return left.join(pairs, "a").join(right, ["b", "idx"]).select("pair", "idx", "a", "b", "id_a", "id_b")
+
+
 def mt_unpack(df: DataFrame) -> DataFrame:
     """(src, tgt) = first two keys, (input, target) = their values."""
     k, v = F.map_keys("translation"), F.map_values("translation")

@@ -87,7 +87,7 @@ def answer_choices(template_choices: Column) -> Column:
 def _resolve(expr: Column, fields: Column, choices: Column, python_index: bool) -> Column:
     """Value of one ``{{ expr }}`` reference: a field, or ``answer_choices[field]``."""
     ref = F.regexp_extract(expr, CHOICE_REF_REGEX, 1)
-    idx = F.element_at(fields, ref).cast("long")
+    idx = F.element_at(fields, ref).try_cast("long")  # null for a field that is no number
     if python_index:
         pos = F.when(idx < 0, idx).otherwise(idx + 1)
         choice = F.when(pos == 0, F.lit(None)).otherwise(F.element_at(choices, pos.cast("int")))
@@ -161,10 +161,8 @@ def template_fields(templates: DataFrame) -> DataFrame:
 
 
 def template_rejects(templates: DataFrame, schema_fields: list[str]) -> DataFrame:
-    """Templates that cannot be rendered (unknown field, or not exactly one ``|||``).
-
-    The reference logs such a template and skips it; here they become rows of a rejects table
-    and the plan never sees them.
+    """Templates that cannot be rendered: an unknown field or expression, a ``{% %}`` block, or not
+    exactly one ``|||``. They become rows of a rejects table; ``usable_templates`` removes them.
     """
     known = F.array(*[F.lit(f) for f in schema_fields])
     unknown = template_fields(templates).where(~F.array_contains(known, F.col("field")))
@@ -174,14 +172,25 @@ def template_rejects(templates: DataFrame, schema_fields: list[str]) -> DataFram
     bad_split = templates.where(F.size(F.split("jinja", SEP_REGEX, -1)) != 2).select(
         "dataset", "subset", "name", F.lit("separator count").alias("reason")
     )
-    return bad_field.unionByName(bad_split)
+    bad_block = templates.where(F.col("jinja").contains("{%") | F.coalesce(F.col("answer_choices").contains("{%"), F.lit(False))).select(
+        "dataset", "subset", "name", F.lit("unsupported block").alias("reason")
+    )
+    return bad_field.unionByName(bad_split).unionByName(bad_block)
+
+
+def usable_templates(templates: DataFrame, schema_fields: list[str]) -> DataFrame:
+    """``templates`` without the rejected ones (null-safe in the subset)."""
+    bad = template_rejects(templates, schema_fields).select(*[F.col(c).alias(f"bad_{c}") for c in ("dataset", "subset", "name")]).distinct()
+    same = (F.col("dataset") == F.col("bad_dataset")) & F.col("subset").eqNullSafe(F.col("bad_subset")) & (F.col("name") == F.col("bad_name"))
+    return templates.join(bad, same, "left_anti")
 
 
 def attach_templates(data: DataFrame, templates: DataFrame, join_cols=("dataset", "subset")) -> DataFrame:
     """J1 fan-out: every template of a dataset joined to every row of it (equi join).
 
     The templates side is a config table (bounded by the number of templates, not by the
-    data) and is broadcast, so the data side is never shuffled for the fan-out. Adds
+    data). Pass it through ``broadcast_checked`` to keep the data side from being shuffled for the
+    fan-out; without that the join strategy is left to the optimizer. Adds
     ``template``, ``task``, ``jinja``, ``tpl_choices`` and every other template column.
     """
     join_cols = list(join_cols)
@@ -190,7 +199,7 @@ def attach_templates(data: DataFrame, templates: DataFrame, join_cols=("dataset"
     drop = [c for c in ("id",) if c in t.columns and c in data.columns]
     if drop:
         t = t.withColumnRenamed("id", "template_id")
-    return data.join(F.broadcast(t), join_cols)
+    return data.join(t, join_cols)
 
 
 def render_templates(df: DataFrame, fields: list[str], python_index: bool = False, keep=()) -> DataFrame:

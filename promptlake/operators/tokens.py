@@ -3,13 +3,18 @@ dynamic padding, decoder inputs and the decoder-only / generation feature rows.
 
 Byte mode ids: pad = 0, eos = 1, unk = 2, byte b -> b + 3 (every text is representable).
 Vocab mode: pieces found in a vocabulary table get its ids; unknown pieces fall back to
-their bytes. Everything except vocab mode is a per-row expression inside whole-stage codegen.
+their bytes. ``byte_tokens`` and the array jobs are per-row expressions inside whole-stage codegen;
+``byte_tokens_arrow`` and vocab mode tokenise whole Arrow batches at once, without a shuffle.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Special ids of the byte vocabulary and the label padding sentinel.
 PAD = 0
@@ -30,6 +35,32 @@ def byte_tokens(text) -> Column:
     return F.transform(F.regexp_extract_all(hx, F.lit(".."), 0), lambda x: F.conv(x, 16, 10).cast("int") + BYTE_OFFSET)
 
 
+def _text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 buffer, start of each text in it, and which texts are null."""
+    text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
+    null = pc.is_null(text).to_numpy(zero_copy_only=False)
+    text = text.fill_null("").cast(pa.large_string())
+    _, offs, data = text.buffers()
+    off = np.frombuffer(offs, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
+    return raw[off[0] : off[-1]], off - off[0], null
+
+
+def _byte_ids(text: pa.Array) -> pa.Array:
+    raw, off, null = _text_bytes(text)
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(raw.astype(np.int32) + BYTE_OFFSET), mask=pa.array(null))
+
+
+def byte_tokens_arrow(text) -> Column:
+    """``byte_tokens`` over Arrow batches: the ids are the text buffer plus 3, cut at its offsets."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(t: pa.Array) -> pa.Array:
+        return _byte_ids(t)
+
+    return ids(_col(text))
+
+
 def append_eos(ids) -> Column:
     return F.concat(_col(ids), F.array(F.lit(EOS)))
 
@@ -45,6 +76,11 @@ def pad_to(ids, length, pad: int = PAD) -> Column:
     return F.concat(cut, F.array_repeat(F.lit(pad), F.greatest(L - F.size(cut), F.lit(0))))
 
 
+def pad_up(ids, length: int, pad: int = PAD) -> Column:
+    """Right-pad to ``length``; longer arrays are kept whole."""
+    return pad_to(ids, F.greatest(F.size(_col(ids)), F.lit(length)), pad)
+
+
 def attention_mask(ids) -> Column:
     return F.transform(_col(ids), lambda x: F.when(x != PAD, 1).otherwise(0))
 
@@ -149,14 +185,41 @@ def char_coverage(df: DataFrame, coverage: float = 0.99999, text: str = "text")
     )
 
 
+def _vocab_encoder(ids: dict[str, int]):
+    """Function from an array of texts to their id arrays; distinct pieces are looked up once per batch."""
+    sep = ord(" ") + BYTE_OFFSET
+
+    def encode(text: pa.Array) -> pa.Array:
+        null = pc.is_null(text)
+        pieces = pc.split_pattern(text.fill_null(""), " ")
+        where = pieces.offsets.to_numpy().astype(np.int64)
+        where = where - where[0]
+        coded = pieces.flatten().dictionary_encode()
+        each = [[ids[p]] if p in ids else [b + BYTE_OFFSET for b in p.encode()] for p in coded.dictionary.to_pylist()]
+        size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        flat = np.fromiter((i for x in each for i in x), dtype=np.int32, count=int(size.sum()))
+        code = coded.indices.to_numpy()
+        gap = np.ones(len(code), dtype=np.int64)  # a separator before every piece but a text's first
+        gap[where[:-1][where[:-1] < where[1:]]] = 0
+        ends = np.concatenate(([0], np.cumsum(size[code] + gap)))
+        out = np.full(ends[-1], sep, dtype=np.int32)
+        begin = ends[:-1] + gap
+        at = np.arange(int(size[code].sum())) - np.repeat(np.cumsum(size[code]) - size[code], size[code])
+        out[np.repeat(begin, size[code]) + at] = flat[np.repeat((np.cumsum(size) - size)[code], size[code]) + at]
+        return pa.ListArray.from_arrays(pa.array(ends[where], pa.int32()), pa.array(out), mask=null)
+
+    return encode
+
+
 def vocab_tokenize(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Pieces (space separated) -> vocab id, unknown pieces -> their byte ids; a space byte
-    token separates pieces. The vocab is broadcast (its size is the requested top-k)."""
-    ex = df.select(key, F.posexplode(words(text)).alias("pos", "piece"))
-    v = F.broadcast(vocab.select("piece", F.col("id").alias("vid")))
-    j = ex.join(v, "piece", "left")
-    piece_ids = F.when(F.col("vid").isNotNull(), F.array(F.col("vid"))).otherwise(byte_tokens("piece"))
-    sep = F.when(F.col("pos") > 0, F.array(F.lit(ord(" ") + BYTE_OFFSET))).otherwise(F.array().cast("array<int>"))
-    j = j.select(key, "pos", F.concat(sep, piece_ids).alias("p"))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("__parts"))
-    return g.select(key, F.flatten(F.transform("__parts", lambda s: s["p"])).alias(out))
+    token separates pieces. The vocabulary (a top-k of requested size) goes to the tasks as a
+    broadcast table; texts are looked up where they are, without a shuffle."""
+    table = {r["piece"]: r["id"] for r in vocab.select("piece", "id").collect()}
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids(t: pa.Array) -> pa.Array:
+        return _vocab_encoder(shared.value)(t)
+
+    return df.select(key, ids(_col(text)).alias(out))

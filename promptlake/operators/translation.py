@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hof import let
+from .ranking import broadcast_checked
 
 # Entity pattern, placeholder format, key separator, instruction prefix (as the
 # reference spells it), id prefix and the reference text of added templates.
@@ -92,7 +93,7 @@ def _restore(text, ents) -> Column:
     vals = F.transform(
         idx,
         lambda i: F.coalesce(
-            F.when(i.cast("int").between(1, F.size(_c(ents))), F.element_at(_c(ents), i.cast("int"))),
+            F.when(i.try_cast("int").between(1, F.size(_c(ents))), F.element_at(_c(ents), i.try_cast("int"))),
             F.concat(F.lit("{e"), i, F.lit("}")),
         ),
     )
@@ -160,9 +161,9 @@ def add_translated(existing: DataFrame, restored: DataFrame) -> DataFrame:
         "answer_choices",
         F.concat(F.lit("Translated version of "), n, F.lit(" in "), "lang").alias("reference"),
     )
-    ex = existing.select("dataset", "subset", "name")
+    ex = broadcast_checked(existing.select("dataset", "subset", "name"), "existing_templates")
     # null-safe anti join on (dataset, subset, name): a missing subset is a value of its own
     cond = (new.dataset == ex.dataset) & new.subset.eqNullSafe(ex.subset) & (new.name == ex.name)
-    fresh = new.join(F.broadcast(ex), cond, "left_anti")
+    fresh = new.join(ex, cond, "left_anti")
     w = Window.partitionBy("dataset", "subset").orderBy("name")
     return fresh.withColumn("id", F.concat(F.lit(ID_PREFIX), F.lpad((F.row_number().over(w) - 1).cast("string"), 12, "0"))).drop("base")

@@ -36,12 +36,13 @@ def _crawl_rows(spark, sf_dir):
 @register(
     "crawl_json_scan",
     """SELECT text, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || 'T00:00:00Z' AS timestamp,
-              'https://example.com/' || source || '/' || CAST(doc_id AS VARCHAR) AS url FROM documents""",
+              'https://example.com/' || source || '/' || CAST(doc_id AS VARCHAR) AS url,
+              '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS day FROM documents""",
 )
 def q_crawl_json_scan(spark, sf_dir):
     path = scratch_path(spark, "crawl")
-    FS.write_crawl_json(_crawl_rows(spark, sf_dir), path, files=4)
-    return FS.read_crawl_json(spark, path).select("text", "timestamp", "url")
+    FS.write_crawl_json(_crawl_rows(spark, sf_dir), path)
+    return FS.read_crawl_json(spark, path).select("text", "timestamp", "url", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
 # ------------------------------------------------------------------------------------------
@@ -89,6 +90,31 @@ def q_fractional_shards(spark, sf_dir):
     return FS.fractional_plan(FS.shard_manifest(_shards(spark, sf_dir)), fr).select("lang", "n", "idx", "k")
 
 
+@register(
+    "fractional_read",
+    f"""WITH {_SHARDS_SQL},
+        fr AS (SELECT * FROM (VALUES {', '.join(f"('{a}', {b})" for a, b in FS.DOWNLOAD_FRACTION)}) v(lang, fraction)),
+        k AS (SELECT m.lang, m.n, m.idx, CASE WHEN fr.fraction IS NULL THEN m.n ELSE least(m.n, CAST(floor(m.n * fr.fraction) AS BIGINT) + 1) END AS k
+              FROM man m LEFT JOIN fr USING (lang) WHERE m.split = 'train'),
+        d AS (SELECT subset AS lang, id, CAST(floor({U("'shard'", 'id')} * sh.train) AS BIGINT) AS idx
+              FROM ({CORPUS_SQL}) c JOIN sh ON sh.lang = c.subset WHERE split = 'train')
+        SELECT 'https://example.com/' || d.lang || '/' || CAST(id AS VARCHAR) AS url FROM d JOIN k ON k.lang = d.lang AND k.idx = d.idx WHERE k.idx < k.k""",
+)
+def q_fractional_read(spark, sf_dir):
+    """Shards written as files named by the manifest; the reader opens only the planned ones."""
+    shards = _shards(spark, sf_dir)
+    manifest = FS.shard_manifest(shards)
+    docs = corpus(spark, sf_dir).where(F.col("split") == "train").withColumnRenamed("subset", "lang")
+    idx = F.floor(hash_u("shard", "id") * F.col("train")).cast("long")
+    rows = docs.join(shards, "lang").select("lang", idx.alias("idx"), "text", F.concat(F.lit("https://example.com/"), "lang", F.lit("/"), F.col("id").cast("string")).alias("url"))
+    named = rows.join(manifest.where(F.col("split") == "train"), ["lang", "idx"]).select("file", "text", F.lit("2024-01-01T00:00:00Z").alias("timestamp"), "url")
+    folder = scratch_path(spark, "shards")
+    named.hint("rebalance", "file").write.partitionBy("file").option("compression", "gzip").json(folder)
+    fr = spark.createDataFrame(FS.DOWNLOAD_FRACTION, "lang string, fraction double")
+    plan = FS.fractional_plan(manifest, fr).join(named.select("file").distinct(), "file", "left_semi")
+    return FS.read_planned(spark, folder, plan.select(F.concat(F.lit("file="), "file").alias("file"))).select("url")
+
+
 # ------------------------------------------------------------------------------------------
 # dataset catalog CSV
 
@@ -191,7 +217,7 @@ def q_metrics_table(spark, sf_dir):
 @register("cache_roundtrip", _FLAG_SQL)
 def q_cache_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "task_cache")
-    C.write_cache(flagship(spark, sf_dir), path, ("task",), dynamic=False)
+    C.write_cache(flagship(spark, sf_dir, keep=("task", "template")), path, dynamic=False)
     mix_path = scratch_path(spark, "mixture_cache")
     C.read_cache(spark, path).write.mode("overwrite").parquet(mix_path)
     return spark.read.parquet(mix_path).select("task", "doc_id", "inputs", "targets")
@@ -201,7 +227,7 @@ def q_cache_roundtrip(spark, sf_dir):
 def q_incremental_cache(spark, sf_dir):
     path = scratch_path(spark, "task_cache_inc")
     tasks = flagship_tasks(spark, sf_dir)
-    build = lambda missing: flagship(spark, sf_dir, only_tasks=missing)
+    build = lambda missing: flagship(spark, sf_dir, only_tasks=missing, keep=("task", "template"))
     C.build_incremental(spark, tasks.where(F.col("template") == "quality").select("task"), build, path)
     out = C.build_incremental(spark, tasks.select("task"), build, path)
     return out.select("task", "doc_id", "inputs", "targets")
@@ -214,7 +240,8 @@ SELECTED_TASKS = ["src1_de_quality", "src1_en_quality", "src1_es_toxic", "src1_f
 @register("cache_selected", f"SELECT * FROM ({_FLAG_SQL}) f WHERE task IN ({', '.join(repr(t) for t in SELECTED_TASKS)})")
 def q_cache_selected(spark, sf_dir):
     path = scratch_path(spark, "task_cache_sel")
-    return C.cache_selected(flagship(spark, sf_dir), SELECTED_TASKS, path).select("task", "doc_id", "inputs", "targets")
+    build = lambda names: flagship(spark, sf_dir, only_tasks=names, keep=("task", "template"))
+    return C.cache_selected(build, spark, SELECTED_TASKS, path).select("task", "doc_id", "inputs", "targets")
 
 
 # ------------------------------------------------------------------------------------------
@@ -316,7 +343,7 @@ def q_eval_suite(spark, sf_dir):
     r = t.apply(rows, keep=["lang", "doc_id"])
     r = r.withColumn("task", task_name(F.lit("xnli"), "lang", F.lit(t.name)))
     rates = equal_rates(r.select("task").distinct().withColumn("mixture", F.lit("xnli_eval")))
-    out = nonempty_pairs(r).join(F.broadcast(rates.select("task", "rate")), "task")
+    out = nonempty_pairs(r).join(rates.select("task", "rate"), "task")
     return out.select("task", "doc_id", "inputs", "targets", F.round("rate", 6).alias("rate"))
 
 

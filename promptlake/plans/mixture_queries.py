@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_u52_sql
 from ..functions.text import task_name
 from ..operators.catalog import cap_merge, exclusive_cumsum, weighted_train_size
-from ..operators.interleave import index_sources, interleave, round_robin, source_sizes
+from ..operators.interleave import WEIGHT_SCALE, draw_from_mixture, index_sources, interleave, round_robin, source_sizes
 from ..operators.mixtures import (
     cap_rates,
     define_mixtures,
@@ -16,8 +17,10 @@ from ..operators.mixtures import (
     select_members,
     temperature_rates,
 )
-from ..operators.parallel import mt_bidirectional, mt_prompt, mt_unpack, split_pair, zip_pairs
+from ..operators.parallel import id_pairs, mt_bidirectional, mt_prompt, mt_unpack, split_pair, zip_pairs
+from ..operators.ranking import broadcast_checked
 from ..operators.templates import attach_templates, nonempty_pairs, render_templates
+from ..session import cut_lineage
 from ..sources.tables import corpus, read
 from .prompts import CORPUS_PROMPTS_WIDE, FIELDS, corpus_templates, task_caps
 from .registry import register
@@ -45,7 +48,7 @@ MIXTURES = [
     ("stage123_train", "language_identification"),
     ("stage123_train", "source_attribution"),
 ]
-TASK_MAX = 120  # cap rule parameter of the task table at test scale
+TASK_MAX = 500_000  # rows per dataset in the cap rule
 OVERLONG_TOKENS = 2048
 OVERLONG_SHARE = 0.5
 
@@ -75,7 +78,7 @@ def task_table(spark, sf_dir):
         "n",
         "cap",
     )
-    return t.join(F.broadcast(cat), "template")
+    return t.join(cat, "template")
 
 
 _TASKS_SQL = f"""
@@ -295,27 +298,40 @@ def q_interleave_round_robin(spark, sf_dir):
     return round_robin(_indexed_docs(spark, sf_dir), "source").select("source", "doc_id", "idx", "pos")
 
 
-def _interleave_sql(stop: str, seed: int = 42, n_draws: int = 200000) -> str:
+def _draw_sql(rate: str, n_draws: str, sizes: str = "ns") -> str:
+    """CTEs c2 (source, n, lo, hi) and drawn (pos, source, n, k) of ``n_draws`` draws by ``rate`` over (source, n) rows."""
+    return f"""rt AS (SELECT source, n, CAST({rate} AS DOUBLE) AS rate FROM {sizes}),
+      w AS (SELECT source, n, greatest(CAST(floor(rate / (SELECT sum(rate) FROM rt) * {WEIGHT_SCALE}.0) AS BIGINT), 1) AS w FROM rt),
+      cw AS (SELECT source, n, CAST(sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi, w FROM w),
+      c2 AS (SELECT source, n, hi - w AS lo, hi FROM cw),
+      tot AS (SELECT CAST(sum(w) AS DOUBLE) AS W, sum(n) AS rows FROM w),
+      d AS (SELECT range AS pos, floor({hash_u52_sql("'42'", 'range')} * (SELECT W FROM tot)) AS r FROM range(0, CAST({n_draws} AS BIGINT))),
+      hit AS (SELECT d.pos, c2.source, c2.n FROM d JOIN c2 ON d.r >= c2.lo AND d.r < c2.hi),
+      drawn AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS k FROM hit)"""
+
+
+# draws that surely reach the stopping point, from the sizes and weights
+_ENOUGH = "(SELECT max(2 * (n + 1) * tot.W / w.w + 1000) FROM w, tot)"
+
+
+def _interleave_sql(stop: str) -> str:
     agg = "min" if stop == "first_exhausted" else "max"
     return f"""WITH {_SRC_SQL},
-      w AS (SELECT source, n, CAST(floor(pow(n, 0.3) * 1000000000) AS BIGINT) AS w FROM ns),
-      c AS (SELECT source, n, sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS hi, w FROM w),
-      c2 AS (SELECT source, n, hi - w AS lo, hi FROM c),
-      tot AS (SELECT sum(w) AS W FROM w),
-      d AS (SELECT range AS pos, floor({U(repr(str(seed)), 'range')} * (SELECT W FROM tot)) AS r FROM range(0, {n_draws})),
-      hit AS (SELECT d.pos, c2.source, c2.n FROM d JOIN c2 ON d.r >= c2.lo AND d.r < c2.hi),
-      k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS k FROM hit),
-      cut AS (SELECT {agg}(e) AS cut FROM (SELECT source, min(pos) AS e FROM k WHERE k = n + 1 GROUP BY source))
+      {_draw_sql('pow(n, 0.3)', _ENOUGH)},
+      cut AS (SELECT {agg}(e) AS cut FROM (SELECT source, min(pos) AS e FROM drawn WHERE k = n + 1 GROUP BY source))
     SELECT k.pos, k.source, src.doc_id, src.idx
-    FROM k JOIN src ON src.source = k.source AND src.idx = (k.k - 1) % k.n
+    FROM drawn k JOIN src ON src.source = k.source AND src.idx = (k.k - 1) % k.n
     WHERE k.pos < (SELECT cut FROM cut)"""
 
 
+def _power_rates_of(sizes):
+    return sizes.select("source", F.pow(F.col("n").cast("double"), F.lit(0.3)).alias("rate"))
+
+
 def _interleave(spark, sf_dir, stop):
-    ix = _indexed_docs(spark, sf_dir)
-    sizes = dict(source_sizes(ix, "source"))
-    rates = {s: n ** 0.3 for s, n in sizes.items()}
-    return interleave(ix, "source", rates, 42, stop).select("pos", "source", "doc_id", "idx")
+    ids = read(spark, sf_dir, "documents").select(F.col("lang").alias("source"), "doc_id")
+    sizes = source_sizes(ids, "source")
+    return interleave(index_sources(ids, "source", "doc_id"), "source", _power_rates_of(sizes), 42, stop, sizes=sizes).select("pos", "source", "doc_id", "idx")
 
 
 @register("interleave_first_exhausted", _interleave_sql("first_exhausted"))
@@ -387,28 +403,27 @@ def q_weighted_train_size(spark, sf_dir):
     return weighted_train_size(sizes, rates)
 
 
-def _mt_corpus_sql(n_draws: int = 200000) -> str:
+def _mt_corpus_sql() -> str:
     return f"""WITH {_PAIRS_SQL},
       ns AS (SELECT pair AS source, count(*) AS n FROM tp GROUP BY pair),
-      w AS (SELECT source, n, CAST(floor(pow(n, 0.3) * 1000000000) AS BIGINT) AS w FROM ns),
-      c AS (SELECT source, n, sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS hi, w FROM w),
-      c2 AS (SELECT source, n, hi - w AS lo, hi FROM c),
-      tot AS (SELECT sum(w) AS W FROM w),
-      d AS (SELECT range AS pos, floor({U("'42'", 'range')} * (SELECT W FROM tot)) AS r FROM range(0, {n_draws})),
-      hit AS (SELECT d.pos, c2.source, c2.n FROM d JOIN c2 ON d.r >= c2.lo AND d.r < c2.hi),
-      k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS k FROM hit),
-      cut AS (SELECT max(e) AS cut FROM (SELECT source, min(pos) AS e FROM k WHERE k = n + 1 GROUP BY source))
+      {_draw_sql('pow(n, 0.3)', _ENOUGH)},
+      cut AS (SELECT max(e) AS cut FROM (SELECT source, min(pos) AS e FROM drawn WHERE k = n + 1 GROUP BY source))
     SELECT k.pos, tp.pair, 'Translate from ' || tp.a || ' to ' || tp.b || ': ' || tp.text_a AS inputs, tp.text_b AS targets
-    FROM k JOIN tp ON tp.pair = k.source AND tp.idx = (k.k - 1) % k.n
+    FROM drawn k JOIN tp ON tp.pair = k.source AND tp.idx = (k.k - 1) % k.n
     WHERE k.pos < (SELECT cut FROM cut) AND length(tp.text_b) > 0"""
 
 
 @register("mt_corpus", _mt_corpus_sql())
 def q_mt_corpus(spark, sf_dir):
-    p = _pairs(spark, sf_dir).withColumnRenamed("pair", "source")
-    sizes = dict(source_sizes(p, "source"))
-    rates = {s: n ** 0.3 for s, n in sizes.items()}
-    mixed = interleave(p, "source", rates, 42, "all_exhausted")
+    docs = read(spark, sf_dir, "documents")
+    pairs = spark.createDataFrame(PAIRS, "pair string, a string, b string")
+    ids = cut_lineage(id_pairs(docs, pairs).withColumnRenamed("pair", "source"), "pair_ids")
+    sizes = source_sizes(ids, "source")
+    mixed = interleave(ids, "source", _power_rates_of(sizes), 42, "all_exhausted", sizes=sizes)
+    texts = docs.select("doc_id", "text")
+    mixed = mixed.join(texts.select(F.col("doc_id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
+    mixed = mixed.join(texts.select(F.col("doc_id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
+    mixed = mixed.withColumn("translation", F.create_map("a", "text_a", "b", "text_b"))
     out = nonempty_pairs(mt_prompt(mt_unpack(mixed)))
     return out.select("pos", F.col("source").alias("pair"), "inputs", "targets")
 
@@ -421,27 +436,18 @@ def q_mt_corpus(spark, sf_dir):
                 UNION ALL SELECT {TASK('dataset', 'subset', "'toxic'")}, id FROM c WHERE split = 'train'),
       src AS (SELECT r.source, r.id, row_number() OVER (PARTITION BY r.source ORDER BY r.id) - 1 AS idx
               FROM rows_ r WHERE r.source IN (SELECT source FROM mr)),
-      ns AS (SELECT source, count(*) AS n FROM src GROUP BY source),
-      w AS (SELECT ns.source, ns.n, CAST(floor(CAST(mr.cap AS DOUBLE) * 1000000000) AS BIGINT) AS w FROM ns JOIN mr USING (source)),
-      cc AS (SELECT source, n, sum(w) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING) AS hi, w FROM w),
-      c2 AS (SELECT source, n, hi - w AS lo, hi FROM cc),
-      tot AS (SELECT sum(w) AS W FROM w),
-      d AS (SELECT range AS pos, floor({U("'42'", 'range')} * (SELECT W FROM tot)) AS r FROM range(0, 500)),
-      hit AS (SELECT d.pos, c2.source, c2.n FROM d JOIN c2 ON d.r >= c2.lo AND d.r < c2.hi),
-      kk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos) AS k FROM hit)
-    SELECT kk.pos, kk.source AS task, src.id FROM kk JOIN src ON src.source = kk.source AND src.idx = (kk.k - 1) % kk.n""",
+      ns AS (SELECT s.source, s.n, mr.cap FROM (SELECT source, count(*) AS n FROM src GROUP BY source) s JOIN mr USING (source)),
+      {_draw_sql('cap', '(SELECT rows FROM tot)')}
+    SELECT k.pos, k.source AS task, src.id FROM drawn k JOIN src ON src.source = k.source AND src.idx = (k.k - 1) % k.n""",
 )
 def q_mixture_sample(spark, sf_dir):
-    from ..operators.interleave import draw_from_mixture
-
+    """One draw per row of the mixture's tasks, by the tasks' caps."""
     members, tasks = _members(spark, sf_dir)
-    mr = select_members(tasks, members, "stage1_train").select("task", "cap")
-    data = corpus(spark, sf_dir).where(F.col("split") == "train")
+    mr = cut_lineage(select_members(tasks, members, "stage1_train").select(F.col("task").alias("source"), F.col("cap").cast("double").alias("rate")), "mixture_rates")
+    data = corpus(spark, sf_dir).where(F.col("split") == "train").select("dataset", "subset", "id")
     tpl = corpus_templates(data, CORPUS_PROMPTS_WIDE[:2])
-    rows = attach_templates(data, tpl).select(F.col("task").alias("source"), "id")
-    rows = rows.join(F.broadcast(mr.select(F.col("task").alias("source"))), "source", "left_semi")
-    ix = index_sources(rows, "source", "id")
-    caps = {r["task"]: float(r["cap"]) for r in mr.collect()}
-    sizes = dict(source_sizes(ix, "source"))
-    rates = {s: caps[s] for s in sizes}
-    return draw_from_mixture(ix, "source", rates, 500, 42).select("pos", F.col("source").alias("task"), "id")
+    rows = attach_templates(data, tpl).select(F.col("task").alias("source"), "id").join(broadcast_checked(mr.select("source"), "sources"), "source", "left_semi")
+    sizes = source_sizes(rows, "source")
+    n_rows = sizes.agg(F.sum("n")).first()[0] or 0
+    rates = mr.join(sizes.select("source"), "source", "left_semi")
+    return draw_from_mixture(index_sources(rows, "source", "id"), "source", rates, n_rows, 42, sizes=sizes).select("pos", F.col("source").alias("task"), "id")

@@ -89,7 +89,7 @@ SPLIT_MAP = [("train", "train"), ("dev", "validation"), ("eval", "test")]
 def q_split_remap(spark, sf_dir):
     m = spark.createDataFrame(SPLIT_MAP, "logical string, physical string")
     c = corpus(spark, sf_dir)
-    return c.join(F.broadcast(m), c.split == m.physical).select(F.col("logical").alias("split"), "dataset", "subset", "id")
+    return c.join(m, c.split == m.physical).select(F.col("logical").alias("split"), "dataset", "subset", "id")
 
 
 @register(

@@ -6,12 +6,14 @@ seed 42 + template ordinal, render it" done as one Spark plan for all tasks at o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import MAX_EXAMPLES, cap_rule_a, cap_rule_b
 from ..operators.ranking import broadcast_checked, seeded_cap
-from ..operators.templates import nonempty_pairs, render_templates
+from ..operators.templates import nonempty_pairs, render_templates, usable_templates
 
 # The prompt set applied to every (dataset, subset) of the corpus in the tests
 # and benchmarks: (name, template text, answer choices, original_task).
@@ -109,9 +111,15 @@ def build_prompts(
     rule: str = "b",
     max_examples: int = MAX_EXAMPLES,
     only_tasks: DataFrame | None = None,
+    map_fn: Callable[[DataFrame], DataFrame] | None = None,
+    keep: tuple[str, ...] = ("task", "id"),
 ) -> DataFrame:
     """Capped, rendered prompt rows of every (dataset, subset, prompt) task of the corpus.
 
+    Templates that cannot be rendered are left out. ``only_tasks`` limits the build itself: the
+    rows of other tasks are neither ranked nor rendered. ``map_fn`` is a table function over the
+    corpus rows (a row map or filter) that runs before the templates are attached.
+
     Plan: control table (narrow pass) -> broadcast fan-out of train rows -> seeded cap (one
     narrow histogram pass, then only ~cap rows per task are shuffled) -> labels joined to the
     kept rows only -> render -> non-empty filter.
@@ -119,7 +127,9 @@ def build_prompts(
     from ..sources.tables import corpus, read
 
     data = corpus(spark, sf_dir)
-    tasks = prompt_tasks(data, prompts, rule, max_examples)
+    if map_fn is not None:
+        data = map_fn(data)
+    tasks = broadcast_checked(usable_templates(prompt_tasks(data, prompts, rule, max_examples), FIELDS), "tasks")
     if only_tasks is not None:
         tasks = broadcast_checked(tasks.join(broadcast_checked(only_tasks.select("task"), "only_tasks"), "task", "left_semi"), "tasks")
     tpl = tasks.withColumnRenamed("name", "template").withColumnRenamed("answer_choices", "tpl_choices")
@@ -130,14 +140,14 @@ def build_prompts(
     )
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     rows = capped.join(labels, "id", "left")
-    rendered = render_templates(rows, FIELDS, keep=["task", "id"])
-    return nonempty_pairs(rendered).select("task", "id", "inputs", "targets")
+    rendered = render_templates(rows, FIELDS, keep=list(keep))
+    return nonempty_pairs(rendered).select(*keep, "inputs", "targets")
 
 
-def flagship(spark: SparkSession, sf_dir: str, max_examples: int = MAX_EXAMPLES, only_tasks: DataFrame | None = None) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, max_examples: int = MAX_EXAMPLES, only_tasks: DataFrame | None = None, keep=("task",)) -> DataFrame:
     """documents x labels -> two labelled prompts -> <NO LABEL> fill -> non-empty -> seeded cap."""
-    out = build_prompts(spark, sf_dir, CORPUS_PROMPTS, "b", max_examples, only_tasks)
-    return out.select("task", F.col("id").alias("doc_id"), "inputs", "targets")
+    out = build_prompts(spark, sf_dir, CORPUS_PROMPTS, "b", max_examples, only_tasks, keep=(*keep, "id"))
+    return out.select(*keep, F.col("id").alias("doc_id"), "inputs", "targets")
 
 
 def flagship_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

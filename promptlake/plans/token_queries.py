@@ -12,6 +12,7 @@ from ..operators.tokens import (
     attention_mask,
     build_vocab,
     byte_tokens,
+    byte_tokens_arrow,
     causal_attention,
     char_coverage,
     decode_bytes,
@@ -20,6 +21,7 @@ from ..operators.tokens import (
     mask_labels,
     non_padding,
     pad_to,
+    pad_up,
     prefix_concat,
     shift_right,
     unmask_labels,
@@ -32,7 +34,6 @@ from .sqlparts import U
 # Feature lengths (inputs / targets) and the generation length.
 INPUT_LEN = 1024
 TARGET_LEN = 256
-GEN_LEN = 626
 VOCAB_SIZE = 1000
 
 
@@ -66,7 +67,7 @@ _TOK_SQL = f"""{_PAIRS_SQL},
 @register("tokenize_bytes", f"SELECT doc_id, {S(BYTES('text'))} AS ids FROM documents")
 def q_tokenize_bytes(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", ids_text(byte_tokens("text")).alias("ids"))
+    return d.select("doc_id", ids_text(byte_tokens_arrow("text")).alias("ids"))
 
 
 @register("append_eos", f"WITH {_TOK_SQL} SELECT conv_id, turn, {S('i')} AS inputs, {S('t')} AS targets FROM tp")
@@ -90,31 +91,31 @@ def q_pad_truncate(spark, sf_dir):
 @register(
     "attention_mask",
     f"""WITH {_TOK_SQL}
-        SELECT conv_id, turn, {S(f'list_transform(list_resize(i, {INPUT_LEN}, 0), lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)')} AS mask FROM tp""",
+        SELECT conv_id, turn, {S(f'list_transform(list_resize(i, greatest(len(i), {INPUT_LEN}), 0), lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)')} AS mask FROM tp""",
 )
 def q_attention_mask(spark, sf_dir):
     t = _tok_pairs(spark, sf_dir)
-    return t.select("conv_id", "turn", ids_text(attention_mask(pad_to("i", INPUT_LEN))).alias("mask"))
+    return t.select("conv_id", "turn", ids_text(attention_mask(pad_up("i", INPUT_LEN))).alias("mask"))
 
 
 @register(
     "mask_labels",
     f"""WITH {_TOK_SQL}
-        SELECT conv_id, turn, {S(f'list_transform(list_resize(t, {TARGET_LEN}, 0), lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels FROM tp""",
+        SELECT conv_id, turn, {S(f'list_transform(list_resize(t, greatest(len(t), {TARGET_LEN}), 0), lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)')} AS labels FROM tp""",
 )
 def q_mask_labels(spark, sf_dir):
     t = _tok_pairs(spark, sf_dir)
-    return t.select("conv_id", "turn", ids_text(mask_labels(pad_to("t", TARGET_LEN))).alias("labels"))
+    return t.select("conv_id", "turn", ids_text(mask_labels(pad_up("t", TARGET_LEN))).alias("labels"))
 
 
 @register(
     "unmask_labels",
     f"""WITH {_TOK_SQL}
-        SELECT conv_id, turn, {S(f'list_resize(t, {TARGET_LEN}, 0)')} AS labels FROM tp""",
+        SELECT conv_id, turn, {S(f'list_resize(t, greatest(len(t), {TARGET_LEN}), 0)')} AS labels FROM tp""",
 )
 def q_unmask_labels(spark, sf_dir):
     t = _tok_pairs(spark, sf_dir)
-    return t.select("conv_id", "turn", ids_text(unmask_labels(mask_labels(pad_to("t", TARGET_LEN)))).alias("labels"))
+    return t.select("conv_id", "turn", ids_text(unmask_labels(mask_labels(pad_up("t", TARGET_LEN)))).alias("labels"))
 
 
 @register("decode_roundtrip", "SELECT doc_id, text AS decoded FROM documents")
@@ -126,21 +127,21 @@ def q_decode_roundtrip(spark, sf_dir):
 @register(
     "loss_weights",
     f"""WITH {_TOK_SQL}
-        SELECT conv_id, turn, {S(f'list_transform(list_resize(t, {TARGET_LEN}, 0), lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)')} AS weights FROM tp""",
+        SELECT conv_id, turn, {S(f'list_transform(list_resize(t, greatest(len(t), {TARGET_LEN}), 0), lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)')} AS weights FROM tp""",
 )
 def q_loss_weights(spark, sf_dir):
     t = _tok_pairs(spark, sf_dir)
-    return t.select("conv_id", "turn", ids_text(non_padding(pad_to("t", TARGET_LEN))).alias("weights"))
+    return t.select("conv_id", "turn", ids_text(non_padding(pad_up("t", TARGET_LEN))).alias("weights"))
 
 
 @register(
     "shift_right",
-    f"""WITH {_TOK_SQL}, p AS (SELECT conv_id, turn, list_resize(t, {TARGET_LEN}, 0) AS t FROM tp)
-        SELECT conv_id, turn, {S(f'list_concat([0], t[1:{TARGET_LEN - 1}])')} AS decoder_inputs FROM p""",
+    f"""WITH {_TOK_SQL}, p AS (SELECT conv_id, turn, list_resize(t, greatest(len(t), {TARGET_LEN}), 0) AS t FROM tp)
+        SELECT conv_id, turn, {S(f'list_concat([0], t[1:len(t) - 1])')} AS decoder_inputs FROM p""",
 )
 def q_shift_right(spark, sf_dir):
     t = _tok_pairs(spark, sf_dir)
-    return t.select("conv_id", "turn", ids_text(shift_right(pad_to("t", TARGET_LEN))).alias("decoder_inputs"))
+    return t.select("conv_id", "turn", ids_text(shift_right(pad_up("t", TARGET_LEN))).alias("decoder_inputs"))
 
 
 @register(
@@ -177,25 +178,26 @@ MODEL_TYPES = ["c_dec", "nc_dec", "enc_dec"]
 
 @register(
     "generation_rows",
-    f"""WITH b AS (SELECT item_id, {BYTES('text')}[1:{GEN_LEN - 1}] AS ids FROM benchmark),
+    f"""WITH b AS (SELECT item_id, {BYTES('text')} AS ids FROM benchmark),
+        n AS (SELECT max(len(ids)) + 1 AS n FROM b),
         m AS (SELECT * FROM (VALUES ('c_dec'), ('nc_dec'), ('enc_dec')) v(model_type)),
-        x AS (SELECT b.item_id, b.ids, m.model_type FROM b CROSS JOIN m)
+        x AS (SELECT b.item_id, b.ids, m.model_type, n.n FROM b CROSS JOIN m CROSS JOIN n)
         SELECT item_id, model_type,
           CASE WHEN model_type = 'enc_dec' THEN {S('ids')} END AS encoder_input_tokens,
-          CASE WHEN model_type = 'enc_dec' THEN {S(f'list_resize([0], {GEN_LEN}, 0)')}
-               ELSE {S(f'list_resize(ids, {GEN_LEN}, 0)')} END AS decoder_target_tokens,
-          CASE WHEN model_type = 'enc_dec' THEN {S(f'list_resize([0], {GEN_LEN}, 0)')}
-               ELSE {S(f'list_concat([0], list_resize(ids, {GEN_LEN}, 0)[1:{GEN_LEN - 1}])')} END AS decoder_input_tokens,
+          CASE WHEN model_type = 'enc_dec' THEN {S('list_resize([0], n, 0)')}
+               ELSE {S('list_resize(ids, n, 0)')} END AS decoder_target_tokens,
+          CASE WHEN model_type = 'enc_dec' THEN {S('list_resize([0], n, 0)')}
+               ELSE {S('list_concat([0], list_resize(ids, n, 0)[1:n - 1])')} END AS decoder_input_tokens,
           CASE WHEN model_type = 'enc_dec' THEN NULL
-               ELSE {S(f'list_transform(range({GEN_LEN}), lambda p: CASE WHEN p < len(ids) + 1 THEN 1 ELSE 0 END)')} END AS decoder_causal_attention,
-          CASE WHEN model_type = 'enc_dec' THEN {S(f'list_resize([0], {GEN_LEN}, 0)')} END AS decoder_loss_weights
+               ELSE {S('list_transform(range(n), lambda p: CASE WHEN p < len(ids) + 1 THEN 1 ELSE 0 END)')} END AS decoder_causal_attention,
+          CASE WHEN model_type = 'enc_dec' THEN {S('list_resize([0], n, 0)')} END AS decoder_loss_weights
         FROM x""",
 )
 def q_generation_rows(spark, sf_dir):
-    from ..operators.features import generation_rows
+    from ..operators.features import generation_rows, longest
 
-    b = read(spark, sf_dir, "benchmark").select("item_id", F.slice(byte_tokens("text"), 1, GEN_LEN - 1).alias("ids"))
-    g = generation_rows(b, "ids", MODEL_TYPES, GEN_LEN)
+    b = read(spark, sf_dir, "benchmark").select("item_id", byte_tokens("text").alias("ids"))
+    g = generation_rows(b, "ids", MODEL_TYPES, longest(b, "ids") + 1)
     cols = ["encoder_input_tokens", "decoder_target_tokens", "decoder_input_tokens", "decoder_causal_attention", "decoder_loss_weights"]
     return g.select("item_id", "model_type", *[ids_text(c).alias(c) for c in cols])
 

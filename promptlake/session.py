@@ -30,8 +30,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can see, taken from ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a folder under /tmp is created and
-    registered as the checkpoint dir.
+    Only when the session has none and runs on one machine (``local`` masters, as in tests) a
+    folder under /tmp is created and registered as the checkpoint dir. On a cluster a missing
+    setting is an error: each executor would write to its own disk.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
@@ -39,6 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     local = tempfile.mkdtemp(prefix="promptlake-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local

@@ -28,14 +28,12 @@ DOWNLOAD_FRACTION = [("en", 0.2), ("ru", 0.5), ("es", 0.8), ("de", 0.8), ("fr",
 def read_crawl_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines (optionally .gz) with text, timestamp, url; missing fields become null."""
     df = spark.read.schema(CRAWL_SCHEMA).json(path)
-    return df.withColumn("ts", F.to_timestamp("timestamp"))
+    return df.withColumn("ts", F.try_to_timestamp("timestamp"))
 
 
-def write_crawl_json(df: DataFrame, path: str, files: int | None = None) -> None:
-    out = df.select("text", "timestamp", "url")
-    if files:
-        out = out.repartition(files)
-    out.write.mode("overwrite").option("compression", "gzip").json(path)
+def write_crawl_json(df: DataFrame, path: str) -> None:
+    """One gz file per balanced partition: gz cannot be split, so the files are the unit of reading."""
+    df.select("text", "timestamp", "url").hint("rebalance").write.mode("overwrite").option("compression", "gzip").json(path)
 
 
 def shard_manifest(shards: DataFrame) -> DataFrame:
@@ -56,11 +54,22 @@ def fractional_plan(manifest: DataFrame, fractions: DataFrame, languages: list[s
     m = manifest.where(F.col("split") == "train")
     if languages is not None:
         m = m.where(F.col("lang").isin(languages))
-    j = m.join(F.broadcast(fractions), "lang", "left")
+    j = m.join(fractions, "lang", "left")
     k = F.when(F.col("fraction").isNull(), F.col("n")).otherwise(F.least(F.col("n"), F.floor(F.col("n") * F.col("fraction")).cast("long") + 1))
     return j.withColumn("k", k).where(F.col("idx") < F.col("k")).drop("fraction")
 
 
+def read_planned(spark: SparkSession, folder: str, plan: DataFrame) -> DataFrame:
+    """Crawl lines of the planned files only: the reader gets their names, so no other file is opened.
+
+    The file names (a plan of shards, not data) are listed on the driver, as every file scan does."""
+    paths = [f"{folder.rstrip('/')}/{r['file']}" for r in plan.select("file").distinct().orderBy("file").toLocalIterator()]
+    if not paths:
+        return spark.createDataFrame([], CRAWL_SCHEMA).withColumn("ts", F.try_to_timestamp("timestamp"))
+    df = spark.read.schema(CRAWL_SCHEMA).json(paths)
+    return df.withColumn("ts", F.try_to_timestamp("timestamp"))
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Dataset catalog CSV; empty cells are nulls."""
     return spark.read.option("header", "true").option("nullValue", "").schema(CATALOG_SCHEMA).csv(path)

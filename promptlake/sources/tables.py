@@ -24,26 +24,23 @@ VALIDATION_SHARE = 0.1
 TEST_SHARE = 0.2  # cumulative: [0.1, 0.2) -> test
 
 
-# Row key of the large tables (used to spread an under-split scan).
+# Row key of the large tables (used when a caller asks to spread a scan).
 SPREAD_KEYS = {"documents": "doc_id", "conversations": "conv_id", "lineitem": "l_orderkey", "pages": "page_id", "events": "event_id"}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one input table.
-
-    A file written as a single row group cannot be split, so its scan is one task and all
-    per-row work after it (tokenising, rendering) would run on one core. When a large table
-    scans into fewer partitions than the session's parallelism, it is hash-repartitioned on
-    its row key (deterministic under retries). With many files/row groups, as on a cluster,
-    nothing is added; filters and column pruning are still pushed below the exchange.
+    """Scan one input table. With the session setting ``promptlake.spread.partitions`` (a number, unset
+    by default) the large tables are dealt over that many partitions by their row key: a caller asks
+    for it when the input is a few files that cannot be split, as one row group is one task. Filters
+    and column pruning are still pushed below the exchange.
     """
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), name)
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    want = df.sparkSession.conf.get("promptlake.spread.partitions", None)
     key = SPREAD_KEYS.get(name)
-    if key is not None:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want, key)
-    return df
+    return df.repartition(int(want), key) if want and key in df.columns else df
 
 
 def split_of(key) -> Column:

@@ -2,7 +2,7 @@
 
 The reference only iterates lazily over its inputs (no event time, no state), so the stream
 jobs here are stateless: file source with ``maxFilesPerTrigger``, stream-static joins against
-the (small, broadcast) templates and blacklist and the static labels table, a hash-threshold
+the (small) templates and blacklist and the static labels table, a hash-threshold
 sample (the exact "first n" cap would need state; the threshold gives the same rows as the
 batch filter), and an ``availableNow`` trigger into a Parquet sink with a checkpoint in the
 shared folder, so a restarted job resumes where the last committed batch ended.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_u
 from ..operators.templates import attach_templates, nonempty_pairs, render_templates
 from ..session import scratch_path
-from ..sources.tables import split_of
+from ..sources.tables import split_of, spread
 
 
 def corpus_stream(spark: SparkSession, source_dir: str, name: str = "documents", max_files: int = 1) -> DataFrame:
@@ -28,12 +28,7 @@ def corpus_stream(spark: SparkSession, source_dir: str, name: str = "documents",
         .option("pathGlobFilter", f"{name}.parquet")
         .parquet(source_dir)
     )
-    # a batch of fewer files than cores would render on few tasks: spread it by row key
-    want = spark.sparkContext.defaultParallelism
-    key = "doc_id" if "doc_id" in schema.fieldNames() else None
-    if key and max_files < want:
-        stream = stream.repartition(want, key)
-    return stream
+    return spread(stream, name)
 
 
 def as_corpus(docs: DataFrame) -> DataFrame:
@@ -48,10 +43,10 @@ def as_corpus(docs: DataFrame) -> DataFrame:
 
 
 def stream_prompt_pairs(stream: DataFrame, labels: DataFrame, templates: DataFrame, blacklist: DataFrame, fields: list[str]) -> DataFrame:
-    """Stateless prompt rendering on a stream: static labels (left join), broadcast templates
-    (fan-out), non-empty filter, broadcast anti join with the blacklisted datasets."""
+    """Stateless prompt rendering on a stream: static labels (left join), templates
+    (fan-out), non-empty filter, anti join with the blacklisted datasets."""
     c = as_corpus(stream).join(labels, "id", "left")
-    c = c.join(F.broadcast(blacklist.select("dataset").distinct()), "dataset", "left_anti")
+    c = c.join(blacklist.select("dataset").distinct(), "dataset", "left_anti")
     r = render_templates(attach_templates(c, templates), fields, keep=["task", "id"])
     return nonempty_pairs(r).select("task", "id", "inputs", "targets")
 
