@@ -257,8 +257,15 @@ def rouge_l(df: DataFrame, group=("task",)) -> DataFrame:
     return t.groupBy(*group).agg((F.avg(_f1(F.col("lcs"), F.size("p"), F.size("r"))) * 100).alias("rougeL"))
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation over rows with both values; null where a side is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson(df: DataFrame, x: str, y: str, group=("task",)) -> DataFrame:
-    return df.groupBy(*group).agg((F.corr(x, y) * 100).alias("pearson"))
+    return df.groupBy(*group).agg((_corr(x, y) * 100).alias("pearson"))
 
 
 def value_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
@@ -299,7 +306,7 @@ def spearman(df: DataFrame, x: str, y: str, group=("task",)) -> DataFrame:
     for c in ("x", "y"):
         own = ranks.where(F.col("side") == c).select(*g, F.col("v").alias(c), F.col("rank").alias(f"r{c}"))
         pairs = pairs.withColumn(c, F.col(c).cast("double")).join(own, [*g, c])
-    return pairs.groupBy(*g).agg((F.corr("rx", "ry") * 100).alias("spearman"))
+    return pairs.groupBy(*g).agg((_corr("rx", "ry") * 100).alias("spearman"))
 
 
 def auc(df: DataFrame, label: str, score: str, group=("task",)) -> DataFrame:

@@ -1,25 +1,135 @@
-"""Metric choice per task (lookup with a default) and the tall (task, metric, value) table."""
+"""Metric choice per (dataset, subset) and the tall (task, metric, value) table.
+
+A prediction row has ``task, dataset, subset, id, prediction, target`` and, where it has them,
+``references`` (else the target alone), ``question`` (else the id) and ``tokens``-like columns.
+Every builder takes such rows and returns (task, metric, value) rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from . import metrics as M
 
-DEFAULT_METRIC = "accuracy"
+DEFAULT_METRIC = "Accuracy"
 
 
-def metric_plan(tasks: DataFrame, metric_sets: DataFrame) -> DataFrame:
-    """(task, metric): the task's metric set from a broadcast lookup, ``accuracy`` when absent."""
-    return tasks.join(F.broadcast(metric_sets), "task", "left").select(
-        "task", F.coalesce(F.col("metric"), F.lit(DEFAULT_METRIC)).alias("metric")
+def _tall(df: DataFrame) -> DataFrame:
+    """One row per (task, value column)."""
+    names = [c for c in df.columns if c != "task"]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]))
+    return df.select("task", each.alias("m")).select("task", "m.*")
+
+
+def _referenced(df: DataFrame) -> DataFrame:
+    return df if "references" in df.columns else df.withColumn("references", F.array("target"))
+
+
+def _numeric(df: DataFrame) -> DataFrame:
+    """Prediction and target as numbers; rows where either is none are left out."""
+    x, y = strip("prediction").try_cast("double"), strip("target").try_cast("double")
+    return df.select("task", x.alias("x"), y.alias("y")).where("x is not null and y is not null")
+
+
+def _stripped(df: DataFrame) -> DataFrame:
+    return df.select("task", "id", strip("prediction").alias("prediction"), strip("target").alias("target"))
+
+
+def _multirc(df: DataFrame) -> DataFrame:
+    return M.multirc(df if "question" in df.columns else df.withColumn("question", F.col("id")))
+
+
+def mean_class_f1(df: DataFrame) -> DataFrame:
+    """Mean over the classes of a task (its distinct targets) of the F1 of each class."""
+    s = _stripped(df)
+    sides = F.explode(F.array(F.struct(F.col("prediction").alias("label"), F.lit(1).alias("p"), F.lit(0).alias("t")), F.struct(F.col("target").alias("label"), F.lit(0).alias("p"), F.lit(1).alias("t"))))
+    right = F.when(F.col("prediction") == F.col("target"), 1).otherwise(0)
+    counts = s.select("task", right.alias("tp"), sides.alias("s")).select("task", "tp", "s.*").groupBy("task", "label").agg(
+        F.sum("p").alias("n_p"), F.sum("t").alias("n_t"), F.sum(F.col("tp") * F.col("t")).alias("tp")
     )
+    f1 = F.try_divide(2.0 * F.col("tp"), F.col("n_p") + F.col("n_t"))
+    return counts.where("n_t > 0").groupBy("task").agg((F.avg(f1) * 100).alias("mean_class_f1"))
+
+
+def matthews(df: DataFrame) -> DataFrame:
+    """Matthews correlation over any number of classes; 0 where a side has one class only."""
+    s = _stripped(df)
+    right = F.when(F.col("prediction") == F.col("target"), 1).otherwise(0)
+    sides = F.explode(F.array(F.struct(F.col("prediction").alias("label"), F.lit(1).alias("p"), F.lit(0).alias("t"), F.lit(0).alias("c")), F.struct(F.col("target").alias("label"), F.lit(0).alias("p"), F.lit(1).alias("t"), right.alias("c"))))
+    k = s.select("task", sides.alias("s")).select("task", "s.*").groupBy("task", "label").agg(*[F.sum(c).cast("double").alias(c) for c in ("p", "t", "c")])
+    t = k.groupBy("task").agg(F.sum("c").alias("c"), F.sum("t").alias("s"), F.sum(F.col("p") * F.col("t")).alias("pt"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("t") * F.col("t")).alias("tt"))
+    square = F.col("s") * F.col("s")
+    value = F.try_divide(F.col("c") * F.col("s") - F.col("pt"), F.sqrt((square - F.col("pp")) * (square - F.col("tt"))))
+    return t.select("task", (F.coalesce(value, F.lit(0.0)) * 100).alias("matthews"))
+
+
+# The names under which task lists ask for metrics.
+METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "BLEU": lambda df: M.bleu(df),
+    "ROUGE": lambda df: M.rouge_ns(df, (1, 2)).join(M.rouge_l(df), "task"),
+    "Span Squad": lambda df: M.squad(_referenced(df)),
+    "Squad": lambda df: M.squad(_referenced(df)),
+    "Trivia QA": lambda df: M.squad(_referenced(df), trivia=True),
+    "Accuracy": lambda df: M.accuracy(df),
+    "Sequence Accuracy": lambda df: M.sequence_accuracy(_stripped(df), "prediction", "target"),
+    "Pearson Correlation": lambda df: M.pearson(_numeric(df), "x", "y"),
+    "Spearman Correlation": lambda df: M.spearman(_numeric(df), "x", "y"),
+    "MultiRC": _multirc,
+    "AUC": lambda df: M.auc(_numeric(df), "y", "x"),
+    "COQA F1": lambda df: M.squad(_referenced(df), with_em=False),
+    "Edit Distance": lambda df: M.edit_distance_words(df),
+    "Other": lambda df: M.accuracy(df),
+    "F1": lambda df: M.class_f1(df, "1"),
+    "Mean Class F1": mean_class_f1,
+    "Matthews Correlation": matthews,
+}
+
+# Metric sets of two public benchmark collections by (dataset, subset); everything else
+# in them, and every other dataset, has accuracy.
+METRIC_SETS = [
+    ("glue", "cola", "Matthews Correlation"),
+    ("glue", "mrpc", "F1"),
+    ("glue", "mrpc", "Accuracy"),
+    ("glue", "qqp", "F1"),
+    ("glue", "qqp", "Accuracy"),
+    ("glue", "stsb", "Pearson Correlation"),
+    ("glue", "stsb", "Spearman Correlation"),
+    ("super_glue", "cb", "Mean Class F1"),
+    ("super_glue", "cb", "Accuracy"),
+    ("super_glue", "record", "Squad"),
+]
+
+
+def metric_plan(tasks: DataFrame, metric_sets: DataFrame) -> DataFrame:
+    """(task, metric): ``tasks`` (task, dataset, subset) looked up in ``metric_sets`` (dataset, subset,
+    metric). A set with a subset goes before one for the whole dataset (null subset), and that
+    before the default."""
+    own = metric_sets.where("subset is not null").select("dataset", "subset", F.col("metric").alias("own"))
+    whole = metric_sets.where("subset is null").select("dataset", F.col("metric").alias("whole"))
+    j = tasks.join(own, ["dataset", "subset"], "left")
+    special = j.where("own is not null").select("task", F.col("own").alias("metric"))
+    rest = j.where("own is null").join(whole, "dataset", "left").select("task", F.coalesce("whole", F.lit(DEFAULT_METRIC)).alias("metric"))
+    return special.unionByName(rest).distinct()
+
+
+def metrics_by_task(preds: DataFrame, plan: DataFrame) -> DataFrame:
+    """Every metric that ``plan`` (task, metric) asks for, over the rows of its tasks only.
 
+    The names asked for are read first (a few, as many as the registry has at most); an unknown
+    name is an error, not an empty result."""
+    from ..session import cut_lineage
 
-def metrics_by_task(preds: DataFrame, metric_sets: DataFrame, positive: str) -> DataFrame:
-    """Compute every metric a task asks for; one row per (task, metric)."""
-    plan = metric_plan(preds.select("task").distinct(), metric_sets)
-    acc = M.accuracy(preds).select("task", F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
-    f1 = M.class_f1(preds, positive).select("task", F.lit("f1").alias("metric"), F.col("f1").alias("value"))
-    return acc.unionByName(f1).join(F.broadcast(plan), ["task", "metric"], "left_semi")
+    plan = cut_lineage(plan, "metric_plan")
+    names = sorted(r["metric"] for r in plan.select("metric").distinct().limit(len(METRICS) + 1).collect())
+    unknown = [n for n in names if n not in METRICS]
+    if unknown:
+        raise ValueError(f"no such metric: {unknown}; there are {sorted(METRICS)}")
+    parts = [_tall(METRICS[n](preds.join(plan.where(F.col("metric") == n).select("task"), "task", "left_semi"))) for n in names]
+    if not parts:
+        return preds.select("task", F.lit("").alias("metric"), F.lit(0.0).alias("value")).limit(0)
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -209,6 +209,20 @@ def render_templates(df: DataFrame, fields: list[str], python_index: bool = Fals
     return df.select(*keep, r.alias("__r")).select(*keep, "__r.*")
 
 
+def input_lengths(data: DataFrame, templates: DataFrame, fields: list[str], keep=()) -> DataFrame:
+    """Bytes of each rendered input before stripping, without rendering: the template's own text plus
+    the lengths of the fields it names (answer choices and unknown fields count 0). Texts are
+    measured in the scan; only numbers are joined to the templates."""
+    part = F.element_at(F.split("jinja", SEP_REGEX, -1), 1)
+    own = F.octet_length(F.regexp_replace(part, FIELD_SPLIT_REGEX, ""))
+    parsed = templates.withColumn("__own", own).withColumn("__refs", F.regexp_extract_all(part, F.lit(FIELD_REGEX), 1))
+    sizes = F.create_map(*[x for f in fields for x in (F.lit(f), F.coalesce(F.octet_length(F.col(f).cast("string")), F.lit(0)))])
+    measured = data.select("dataset", "subset", sizes.alias("__sizes"))
+    j = attach_templates(measured, parsed)
+    total = F.aggregate("__refs", F.col("__own"), lambda acc, r: acc + F.coalesce(F.element_at("__sizes", r), F.lit(0)))
+    return j.select(*keep, total.alias("length"))
+
+
 def fanout_templates(
     data: DataFrame,
     templates: DataFrame,
@@ -227,27 +241,27 @@ def fanout_templates(
 
 @dataclass
 class FormatTemplate:
-    """A prompt written as ``str.format`` text and a verbaliser list indexed by ``label_col``."""
+    """A prompt in two parts: the input as ``str.format`` text, the target as a verbaliser list indexed
+    by ``label_col``, as ``str.format`` text (``targets``), or as any column (``targets``)."""
 
     name: str
     inputs: str
     choices: list[str] = field(default_factory=list)
     label_col: str = "label"
     python_index: bool = False
+    targets: str | Column | None = None
 
     def fields(self) -> list[str]:
         return [f for _, f, _, _ in string.Formatter().parse(self.inputs) if f]
 
     def inputs_col(self) -> Column:
-        parts: list[Column] = []
-        for lit, fld, _, _ in string.Formatter().parse(self.inputs):
-            if lit:
-                parts.append(F.lit(lit))
-            if fld:
-                parts.append(F.coalesce(F.col(fld).cast("string"), F.lit("")))
-        return F.concat(*parts) if parts else F.lit("")
+        return format_col(self.inputs)
 
     def targets_col(self) -> Column:
+        if isinstance(self.targets, Column):
+            return self.targets
+        if self.targets is not None:
+            return format_col(self.targets)
         return verbalise(F.col(self.label_col), self.choices, self.python_index)
 
     def apply(self, df: DataFrame, keep=()) -> DataFrame:
@@ -260,6 +274,31 @@ class FormatTemplate:
         )
 
 
+def format_col(text: str) -> Column:
+    """``str.format`` text as a concat of literals and columns; null fields are empty."""
+    parts: list[Column] = []
+    for lit, fld, _, _ in string.Formatter().parse(text):
+        if lit:
+            parts.append(F.lit(lit))
+        if fld:
+            parts.append(F.coalesce(F.col(fld).cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def apply_formats(df: DataFrame, formats: list[FormatTemplate], keep=()) -> DataFrame:
+    """Every row rendered with every format template: one scan, the pairs exploded from an array."""
+    pair = lambda t: F.struct(F.lit(t.name).alias("template"), t.inputs_col().alias("inputs"), t.targets_col().alias("t"))
+    rows = df.select(*keep, F.explode(F.array(*[pair(t) for t in formats])).alias("p"))
+    return rows.select(*keep, "p.template", "p.inputs", F.when(F.col("p.t") == "", F.lit(NO_LABEL)).otherwise(F.col("p.t")).alias("targets"))
+
+
+def run_chain(rows: DataFrame, steps) -> DataFrame:
+    """An ordered chain of table functions (each takes and returns a DataFrame): a task's preprocessors."""
+    for step in steps:
+        rows = step(rows)
+    return rows
+
+
 def verbalise(label: Column, choices: list[str], python_index: bool = False) -> Column:
     """Label index -> answer text. Default: out-of-range or -1 gives "" (later ``<NO LABEL>``);
     with ``python_index`` a negative index counts from the end as Python lists do."""

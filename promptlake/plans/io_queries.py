@@ -10,12 +10,12 @@ from ..functions.text import task_name
 from ..operators.interleave import index_sources
 from ..operators.mixtures import equal_rates
 from ..operators.templates import nonempty_pairs, template_rejects
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import cache as C
 from ..sources import files as FS
 from ..sources.tables import corpus, read
 from .metric_queries import _PRED_SQL, dialogue_predictions
-from .prompt_queries import _FLAG_SQL, MALFORMED_PROMPTS, NLI_TEMPLATES, _wide_sql
+from .prompt_queries import _FLAG_SQL, COPA_TEMPLATE, MALFORMED_PROMPTS, NLI_TEMPLATES, _wide_sql
 from .prompts import CORPUS_PROMPTS_WIDE, corpus_templates, flagship, flagship_tasks
 from .registry import register
 from .sqlparts import CORPUS_SQL, LABELLED_SQL, STRIP, TASK, U
@@ -313,38 +313,62 @@ def q_concat_tasks(spark, sf_dir):
 
 
 # ------------------------------------------------------------------------------------------
-# per-language evaluation suite (NLI-shaped prompts over consecutive documents of a language)
+# per-language evaluation suites (NLI- and COPA-shaped prompts over consecutive documents of a language)
 
 
 def _eval_rows(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("lang", "doc_id", "text")
-    ix = index_sources(d, "lang", "doc_id")
-    nxt = ix.select("lang", (F.col("idx") - 1).alias("idx"), F.col("text").alias("hypothesis"))
+    """Documents of a language with the next two: ids are indexed and joined first, texts last."""
+    d = read(spark, sf_dir, "documents")
+    ix = cut_lineage(index_sources(d.select("lang", "doc_id"), "lang", "doc_id"), "language_index")
+    nth = lambda k, c: ix.select("lang", (F.col("idx") - k).alias("idx"), F.col("doc_id").alias(c))
+    ids = ix.join(nth(1, "id1"), ["lang", "idx"]).join(nth(2, "id2"), ["lang", "idx"], "left")
+    text = lambda c, t: d.select(F.col("doc_id").alias(c), F.col("text").alias(t))
     lab = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("toxic") - 1).alias("label"))
-    rows = ix.join(nxt, ["lang", "idx"]).join(lab, "doc_id", "left")
-    return rows.select("lang", "doc_id", F.col("text").alias("premise"), "hypothesis", "label")
+    rows = ids.join(lab, "doc_id", "left").join(text("doc_id", "premise"), "doc_id").join(text("id1", "hypothesis"), "id1").join(text("id2", "second"), "id2", "left")
+    return rows.select("lang", "doc_id", "premise", "hypothesis", "second", "label")
+
+
+def _suite(rows, template, name, mixture):
+    r = template.apply(rows, keep=["lang", "doc_id"]).withColumn("task", task_name(F.lit(name), "lang", F.lit(template.name)))
+    rates = equal_rates(rows.select(task_name(F.lit(name), "lang", F.lit(template.name)).alias("task")).distinct().withColumn("mixture", F.lit(mixture)))
+    out = nonempty_pairs(r).join(rates.select("task", "rate"), "task")
+    return out.select("task", "doc_id", "inputs", "targets", F.round("rate", 6).alias("rate"))
+
+
+_EVAL_SQL = """ix AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx FROM documents),
+        r AS (SELECT a.lang, a.doc_id, a.text AS premise, b.text AS hypothesis, c.text AS second, l.quality + l.toxic - 1 AS label
+              FROM ix a JOIN ix b ON b.lang = a.lang AND b.idx = a.idx + 1 LEFT JOIN ix c ON c.lang = a.lang AND c.idx = a.idx + 2
+              LEFT JOIN labels l ON l.doc_id = a.doc_id)"""
 
 
 @register(
     "eval_suite",
-    f"""WITH ix AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx FROM documents),
-        r AS (SELECT a.lang, a.doc_id, a.text AS premise, b.text AS hypothesis, l.quality + l.toxic - 1 AS label
-              FROM ix a JOIN ix b ON b.lang = a.lang AND b.idx = a.idx + 1 LEFT JOIN labels l ON l.doc_id = a.doc_id),
-        t AS (SELECT DISTINCT lang FROM r)
-        SELECT {TASK("'xnli'", 'r.lang', "'based_on_previous_passage_en'")} AS task, r.doc_id,
+    f"""WITH {_EVAL_SQL}, t AS (SELECT DISTINCT lang FROM r)
+        SELECT {TASK("'xnli'", 'r.lang', f"'{NLI_TEMPLATES[0].name}'")} AS task, r.doc_id,
                premise || ' Based on the previous passage, is it true that "' || hypothesis || '"? Yes, no, or maybe?' AS inputs,
                COALESCE(CASE label WHEN 0 THEN 'Yes' WHEN 1 THEN 'Maybe' WHEN 2 THEN 'No' END, '<NO LABEL>') AS targets,
                round(1.0 / (SELECT count(*) FROM t), 6) AS rate
         FROM r""",
 )
 def q_eval_suite(spark, sf_dir):
-    rows = _eval_rows(spark, sf_dir)
-    t = NLI_TEMPLATES[0]
-    r = t.apply(rows, keep=["lang", "doc_id"])
-    r = r.withColumn("task", task_name(F.lit("xnli"), "lang", F.lit(t.name)))
-    rates = equal_rates(r.select("task").distinct().withColumn("mixture", F.lit("xnli_eval")))
-    out = nonempty_pairs(r).join(rates.select("task", "rate"), "task")
-    return out.select("task", "doc_id", "inputs", "targets", F.round("rate", 6).alias("rate"))
+    return _suite(_eval_rows(spark, sf_dir), NLI_TEMPLATES[0], "xnli", "xnli_eval")
+
+
+@register(
+    "copa_suite",
+    f"""WITH {_EVAL_SQL}, q AS (SELECT * FROM r WHERE second IS NOT NULL), t AS (SELECT DISTINCT lang FROM q)
+        SELECT {TASK("'xcopa'", 'q.lang', f"'{COPA_TEMPLATE.name}'")} AS task, q.doc_id,
+               'Given the premise "' || premise || '" which is the most likely ' || CASE WHEN doc_id % 2 = 0 THEN 'cause' ELSE 'effect' END
+                 || '? A: "' || hypothesis || '" or B: "' || second || '"' AS inputs,
+               COALESCE(CASE label WHEN 0 THEN 'A' WHEN 1 THEN 'B' END, '<NO LABEL>') AS targets,
+               round(1.0 / (SELECT count(*) FROM t), 6) AS rate
+        FROM q""",
+)
+def q_copa_suite(spark, sf_dir):
+    rows = _eval_rows(spark, sf_dir).where("second is not null")
+    question = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.lit("cause")).otherwise(F.lit("effect"))
+    rows = rows.select("lang", "doc_id", "premise", question.alias("question"), F.col("hypothesis").alias("choice1"), F.col("second").alias("choice2"), "label")
+    return _suite(rows, COPA_TEMPLATE, "xcopa", "xcopa_eval")
 
 
 @register(

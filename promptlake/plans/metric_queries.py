@@ -361,56 +361,96 @@ def q_metric_gen_len(spark, sf_dir):
 # ------------------------------------------------------------------------------------------
 # metric dispatch per task
 
-# Metric set per prompt (the label prompt with a positive class gets F1 too);
-# everything else defaults to accuracy.
-METRIC_SETS = [("toxic", "f1"), ("toxic", "accuracy"), ("quality", "accuracy")]
+# Metric sets over the corpus' datasets (source, language or all languages, metric);
+# datasets without one have accuracy.
+CORPUS_METRIC_SETS = [
+    ("src0", None, "F1"),
+    ("src0", None, "Accuracy"),
+    ("src0", "de", "Matthews Correlation"),
+    ("src1", None, "Mean Class F1"),
+    ("src2", None, "Matthews Correlation"),
+    ("src3", None, "Pearson Correlation"),
+    ("src4", None, "AUC"),
+    ("src5", None, "Squad"),
+    ("src6", None, "Edit Distance"),
+    ("src7", None, "Spearman Correlation"),
+    ("src8", "en", "Sequence Accuracy"),
+    ("src9", None, "MultiRC"),
+]
 
 
 def _label_predictions(spark, sf_dir):
-    lab = read(spark, sf_dir, "labels")
-    rows = lab.select("doc_id", F.explode(F.array(
-        F.struct(F.lit("quality").alias("task"), F.col("quality").alias("y")),
-        F.struct(F.lit("toxic").alias("task"), F.col("toxic").alias("y")),
-        F.struct(F.lit("language").alias("task"), F.col("quality").alias("y")),
-    )).alias("t")).select("doc_id", "t.*")
-    yes = F.when(F.col("y") == 1, F.lit("Yes")).otherwise(F.lit("No"))
-    no = F.when(F.col("y") == 1, F.lit("No")).otherwise(F.lit("Yes"))
-    bad = hash_u(F.col("task"), "doc_id") < CORRUPT
-    return rows.select("task", F.col("doc_id").alias("id"), F.when(bad, no).otherwise(yes).alias("prediction"), yes.alias("target"))
+    """Quality predictions of the labelled documents; a task is a (source, language)."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("dataset"), F.col("lang").alias("subset"))
+    rows = read(spark, sf_dir, "labels").join(d, "doc_id")
+    y = F.col("quality")
+    pred = F.when(hash_u("quality", "doc_id") < CORRUPT, 1 - y).otherwise(y)
+    return rows.select(
+        F.concat_ws("_", "dataset", "subset").alias("task"), "dataset", "subset", F.col("doc_id").alias("id"), pred.cast("string").alias("prediction"), y.cast("string").alias("target")
+    )
 
 
-@register(
-    "metric_lookup",
-    """WITH t AS (SELECT * FROM (VALUES ('quality'), ('toxic'), ('language')) v(task)),
-        m AS (SELECT * FROM (VALUES ('toxic', 'f1'), ('toxic', 'accuracy'), ('quality', 'accuracy')) v(task, metric))
-        SELECT t.task, COALESCE(m.metric, 'accuracy') AS metric FROM t LEFT JOIN m USING (task)
-        WHERE EXISTS (SELECT 1 FROM labels)""",
-)
-def q_metric_lookup(spark, sf_dir):
+def _metric_plan(spark, preds):
     from ..operators.metrics_dispatch import metric_plan
 
-    return metric_plan(_label_predictions(spark, sf_dir).select("task").distinct(), spark.createDataFrame(METRIC_SETS, "task string, metric string"))
+    sets = spark.createDataFrame(CORPUS_METRIC_SETS, "dataset string, subset string, metric string")
+    return metric_plan(preds.select("task", "dataset", "subset").distinct(), sets)
+
+
+_SETS_VALUES = ", ".join(f"('{d}', {repr(s) if s else 'NULL'}, '{m}')" for d, s, m in CORPUS_METRIC_SETS)
+_PLAN_SQL = f"""p AS (
+    SELECT d.source || '_' || d.lang AS task, d.source AS dataset, d.lang AS subset, l.doc_id AS id, CAST(l.quality AS VARCHAR) AS target,
+           CAST(CASE WHEN {U("'quality'", 'l.doc_id')} < {CORRUPT!r} THEN 1 - l.quality ELSE l.quality END AS VARCHAR) AS prediction
+    FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+  sets AS (SELECT * FROM (VALUES {_SETS_VALUES}) v(dataset, subset, metric)),
+  t AS (SELECT DISTINCT task, dataset, subset FROM p),
+  own AS (SELECT task, metric FROM t JOIN sets ON sets.dataset = t.dataset AND sets.subset = t.subset),
+  plan AS (
+    SELECT * FROM own UNION ALL
+    SELECT t.task, coalesce(sets.metric, 'Accuracy') FROM t LEFT JOIN sets ON sets.dataset = t.dataset AND sets.subset IS NULL
+    WHERE t.task NOT IN (SELECT task FROM own))"""
+
+
+@register("metric_lookup", f"WITH {_PLAN_SQL} SELECT DISTINCT task, metric FROM plan")
+def q_metric_lookup(spark, sf_dir):
+    return _metric_plan(spark, _label_predictions(spark, sf_dir))
 
 
 @register(
     "metric_by_task",
-    f"""WITH lab AS (
-          SELECT l.doc_id AS id, v.task, v.y FROM labels l,
-          LATERAL (VALUES ('quality', l.quality), ('toxic', l.toxic), ('language', l.quality)) v(task, y)),
-        p AS (SELECT task, id, CASE WHEN {U('task', 'id')} < {CORRUPT!r} THEN (CASE WHEN y = 1 THEN 'No' ELSE 'Yes' END)
-                                    ELSE (CASE WHEN y = 1 THEN 'Yes' ELSE 'No' END) END AS prediction,
-                     CASE WHEN y = 1 THEN 'Yes' ELSE 'No' END AS target FROM lab),
-        acc AS (SELECT task, 'accuracy' AS metric, avg(CASE WHEN prediction = target THEN 1.0 ELSE 0.0 END) * 100 AS value FROM p GROUP BY task),
-        f AS (SELECT task, sum(CASE WHEN prediction = 'Yes' AND target = 'Yes' THEN 1 ELSE 0 END) AS tp,
-                     sum(CASE WHEN prediction = 'Yes' AND target <> 'Yes' THEN 1 ELSE 0 END) AS fp,
-                     sum(CASE WHEN prediction <> 'Yes' AND target = 'Yes' THEN 1 ELSE 0 END) AS fn FROM p WHERE task = 'toxic' GROUP BY task),
-        f1 AS (SELECT task, 'f1' AS metric, CASE WHEN tp = 0 THEN 0.0 ELSE 200.0 * tp / (2 * tp + fp + fn) END AS value FROM f)
-        SELECT task, metric, round(value, 6) AS value FROM (SELECT * FROM acc UNION ALL SELECT * FROM f1)""",
+    f"""WITH {_PLAN_SQL},
+      hit AS (SELECT *, CASE WHEN prediction = target THEN 1.0 ELSE 0.0 END AS ok, CAST(prediction AS DOUBLE) AS x, CAST(target AS DOUBLE) AS y FROM p),
+      ranked AS (SELECT *, rank() OVER (PARTITION BY task ORDER BY x) + (count(*) OVER (PARTITION BY task, x) - 1) / 2.0 AS rx,
+                        rank() OVER (PARTITION BY task ORDER BY y) + (count(*) OVER (PARTITION BY task, y) - 1) / 2.0 AS ry FROM hit),
+      agg AS (
+        SELECT task, avg(ok) * 100 AS acc, count(*) AS n, sum(x) AS px, sum(y) AS py, sum(x * y) AS tp, sum((1 - x) * (1 - y)) AS tn,
+               corr(x, y) * 100 AS pearson, corr(rx, ry) * 100 AS spearman, sum(rx * y) AS rs, min(ok) AS min_ok, sum(1 - ok) AS wrong, median(1 - ok) AS med FROM ranked GROUP BY task),
+      v AS (
+        SELECT task, 'Accuracy' AS name, 'accuracy' AS metric, acc AS value FROM agg
+        UNION ALL SELECT task, 'Sequence Accuracy', 'sequence_accuracy', acc FROM agg
+        UNION ALL SELECT task, 'Squad', unnest(['em', 'f1']), acc FROM agg
+        UNION ALL SELECT task, 'F1', 'f1', CASE WHEN tp = 0 THEN 0 ELSE 200 * tp / (px + py) END FROM agg
+        UNION ALL SELECT task, 'Mean Class F1', 'mean_class_f1',
+               CASE WHEN py = 0 THEN 200 * tn / (2 * n - px - py) WHEN py = n THEN 200 * tp / (px + py)
+                    ELSE 100 * (tp / (px + py) + tn / (2 * n - px - py)) END FROM agg
+        UNION ALL SELECT task, 'Matthews Correlation', 'matthews',
+               CASE WHEN px = 0 OR px = n OR py = 0 OR py = n THEN 0
+                    ELSE 100 * ((tp + tn) * n - px * py - (n - px) * (n - py)) / sqrt((n * n - px * px - (n - px) * (n - px)) * (n * n - py * py - (n - py) * (n - py))) END FROM agg
+        UNION ALL SELECT task, 'Pearson Correlation', 'pearson', pearson FROM agg
+        UNION ALL SELECT task, 'Spearman Correlation', 'spearman', spearman FROM agg
+        UNION ALL SELECT task, 'AUC', 'auc', CASE WHEN py > 0 AND py < n THEN (rs - py * (py + 1) / 2) / (py * (n - py)) * 100 END FROM agg
+        UNION ALL SELECT task, 'MultiRC', 'f1a', CASE WHEN tp = 0 THEN 0 ELSE 200 * tp / (px + py) END FROM agg
+        UNION ALL SELECT task, 'MultiRC', 'em', acc FROM agg
+        UNION ALL SELECT task, 'Edit Distance', 'min_distance', CASE WHEN acc = 0 THEN 1 ELSE 0 END FROM agg
+        UNION ALL SELECT task, 'Edit Distance', 'max_distance', 1 - min_ok FROM agg
+        UNION ALL SELECT task, 'Edit Distance', 'mean_distance', wrong / n FROM agg
+        UNION ALL SELECT task, 'Edit Distance', 'median_distance', med FROM agg
+        UNION ALL SELECT task, 'Edit Distance', 'total_distance', wrong FROM agg)
+    SELECT v.task, v.metric, CASE WHEN isnan(value) THEN NULL ELSE round(value, 4) END AS value FROM v JOIN plan ON plan.task = v.task AND plan.metric = v.name""",
 )
 def q_metric_by_task(spark, sf_dir):
     from ..operators.metrics_dispatch import metrics_by_task
 
     preds = _label_predictions(spark, sf_dir)
-    sets = spark.createDataFrame(METRIC_SETS, "task string, metric string")
-    r = metrics_by_task(preds, sets, positive="Yes")
-    return r.select("task", "metric", F.round("value", 6).alias("value"))
+    r = metrics_by_task(preds, _metric_plan(spark, preds))
+    return r.select("task", "metric", F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value"))

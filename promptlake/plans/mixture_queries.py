@@ -19,45 +19,50 @@ from ..operators.mixtures import (
 )
 from ..operators.parallel import id_pairs, mt_bidirectional, mt_prompt, mt_unpack, split_pair, zip_pairs
 from ..operators.ranking import broadcast_checked
-from ..operators.templates import attach_templates, nonempty_pairs, render_templates
+from ..operators.templates import attach_templates, input_lengths, nonempty_pairs
 from ..session import cut_lineage
 from ..sources.tables import corpus, read
-from .prompts import CORPUS_PROMPTS_WIDE, FIELDS, corpus_templates, task_caps
+from .prompts import CORPUS_PROMPTS_WIDE, corpus_templates, task_caps
 from .registry import register
 from .sqlparts import CORPUS_SQL, STRIP, TASK, U
 
-# Category of each corpus prompt and the mixture definitions (mixture, category);
-# a mixture spanning several categories is their union.
-CATEGORIES = [
-    ("quality", "quality_estimation"),
-    ("toxic", "toxicity"),
-    ("language", "language_identification"),
-    ("source", "source_attribution"),
-    ("quality-translate-de", "quality_estimation"),
-]
-MIXTURES = [
-    ("stage1_train", "quality_estimation"),
-    ("stage1_train", "toxicity"),
-    ("stage2_train", "language_identification"),
-    ("stage3_train", "source_attribution"),
-    ("stage12_train", "quality_estimation"),
-    ("stage12_train", "toxicity"),
-    ("stage12_train", "language_identification"),
-    ("stage123_train", "quality_estimation"),
-    ("stage123_train", "toxicity"),
-    ("stage123_train", "language_identification"),
-    ("stage123_train", "source_attribution"),
-]
+# The corpus prompts' kinds and languages, which make the categories (template, subset,
+# category), and the mixtures as unions of categories (mixture, category).
+LANGUAGES = ["en", "de", "fr", "es"]
+KINDS = ["quality_estimation", "toxicity", "language_identification"]
+TEMPLATE_KINDS = [("quality", KINDS[0]), ("toxic", KINDS[1]), ("language", KINDS[2]), ("quality-translate-de", KINDS[0])]
+CATEGORIES = [(t, lang, f"{kind}_{lang}") for t, kind in TEMPLATE_KINDS for lang in LANGUAGES]
+CATEGORIES += [("source", lang, "source_attribution") for lang in LANGUAGES]
+
+
+def _of(kinds, langs=LANGUAGES) -> list[str]:
+    return [f"{k}_{lang}" for k in kinds for lang in langs]
+
+
+MIXTURE_CATEGORIES = {
+    "stage1_train": _of(KINDS[:2]),
+    "stage2_train": _of(KINDS[2:]),
+    "stage3_train": ["source_attribution"],
+    "stage12_train": _of(KINDS),
+    "stage123_train": [*_of(KINDS), "source_attribution"],
+    "quality_train": _of(KINDS[:1]),
+    "toxicity_train": _of(KINDS[1:2]),
+    "multilingual_train": _of(KINDS, LANGUAGES[1:]),
+    **{f"{lang}_train": _of(KINDS, [lang]) for lang in LANGUAGES},
+    **{f"en_plus_{lang}_train": _of(KINDS, ["en", lang]) for lang in LANGUAGES[1:]},
+}
+MIXTURES = [(m, c) for m, cs in MIXTURE_CATEGORIES.items() for c in cs]
 TASK_MAX = 500_000  # rows per dataset in the cap rule
 OVERLONG_TOKENS = 2048
 OVERLONG_SHARE = 0.5
 
-_INPUT_SQL = {
-    "quality": STRIP("text || chr(10) || 'Is this text well written?'"),
-    "toxic": STRIP("text || chr(10) || 'Is this text toxic?'"),
-    "language": STRIP("'Which language is this text written in?' || chr(10) || text"),
-    "source": STRIP("text || chr(10) || 'Where does this text come from?'"),
-    "quality-translate-de": STRIP("text || chr(10) || 'Ist dieser Text gut geschrieben?'"),
+# the text of each prompt's input around the document text, for the length audit
+_INPUT_EXTRA = {
+    "quality": "\nIs this text well written? ",
+    "toxic": "\nIs this text toxic? ",
+    "language": "Which language is this text written in?\n ",
+    "source": "\nWhere does this text come from? ",
+    "quality-translate-de": "\nIst dieser Text gut geschrieben? ",
 }
 
 
@@ -69,7 +74,7 @@ def task_table(spark, sf_dir):
     data = corpus(spark, sf_dir)
     tpl = corpus_templates(data, CORPUS_PROMPTS_WIDE)
     caps = task_caps(data, tpl, "a", TASK_MAX)
-    cat = spark.createDataFrame(CATEGORIES, "template string, category string")
+    cat = spark.createDataFrame(CATEGORIES, "template string, subset string, category string")
     t = tpl.join(caps, ["dataset", "subset"]).select(
         task_name("dataset", "subset", "name").alias("task"),
         F.col("name").alias("template"),
@@ -78,47 +83,45 @@ def task_table(spark, sf_dir):
         "n",
         "cap",
     )
-    return t.join(cat, "template")
+    return cut_lineage(t.join(cat, ["template", "subset"]).select("task", "template", "dataset", "subset", "n", "cap", "category"), "task_table")
 
 
 _TASKS_SQL = f"""
   c AS ({CORPUS_SQL}),
   k AS (SELECT DISTINCT dataset, subset FROM c),
   nn AS (SELECT dataset, subset, count(*) AS n FROM c WHERE split = 'train' GROUP BY dataset, subset),
-  p AS (SELECT * FROM (VALUES {_values(CATEGORIES)}) v(template, category)),
+  p AS (SELECT * FROM (VALUES {_values(CATEGORIES)}) v(template, subset, category)),
   tasks AS (
     SELECT {TASK('k.dataset', 'k.subset', 'p.template')} AS task, p.template, k.dataset, k.subset,
            CAST(COALESCE(nn.n, 0) AS BIGINT) AS n,
            CAST(CASE WHEN nn.n IS NULL THEN {TASK_MAX} WHEN nn.n > {TASK_MAX} THEN {TASK_MAX} // 5 ELSE nn.n END AS BIGINT) AS cap,
            p.category
-    FROM k CROSS JOIN p LEFT JOIN nn ON nn.dataset = k.dataset AND nn.subset = k.subset),
+    FROM k JOIN p ON p.subset = k.subset LEFT JOIN nn ON nn.dataset = k.dataset AND nn.subset = k.subset),
   defs AS (SELECT * FROM (VALUES {_values(MIXTURES)}) v(mixture, category)),
-  rendered AS (
-    {" UNION ALL ".join(f"SELECT {TASK('dataset', 'subset', repr(t))} AS task, {e} AS inputs FROM c" for t, e in _INPUT_SQL.items())}),
+  extra AS (SELECT * FROM (VALUES {_values([(t, len(x.encode())) for t, x in _INPUT_EXTRA.items()])}) v(template, bytes)),
+  rendered AS (SELECT {TASK('dataset', 'subset', 'template')} AS task, strlen(text) + bytes AS length FROM c CROSS JOIN extra),
   overlong AS (
-    SELECT task, avg(CASE WHEN strlen(inputs) > {OVERLONG_TOKENS} THEN 1.0 ELSE 0.0 END) AS overlong_share, count(*) AS rows
-    FROM rendered GROUP BY task HAVING avg(CASE WHEN strlen(inputs) > {OVERLONG_TOKENS} THEN 1.0 ELSE 0.0 END) > {OVERLONG_SHARE}),
+    SELECT task, avg(CASE WHEN length > {OVERLONG_TOKENS} THEN 1.0 ELSE 0.0 END) AS overlong_share, count(*) AS rows
+    FROM rendered GROUP BY task HAVING avg(CASE WHEN length > {OVERLONG_TOKENS} THEN 1.0 ELSE 0.0 END) > {OVERLONG_SHARE}),
   members AS (
     SELECT DISTINCT d.mixture, t.task FROM tasks t JOIN defs d ON d.category = t.category
     WHERE t.task NOT IN (SELECT task FROM overlong))
 """
 
 
-def _rendered_all(spark, sf_dir):
+def _blacklist(spark, sf_dir):
+    """Overlong tasks from lengths alone: no text is rendered or carried."""
     data = corpus(spark, sf_dir)
     tpl = corpus_templates(data, CORPUS_PROMPTS_WIDE)
-    return render_templates(attach_templates(data, tpl), FIELDS, keep=["task"])
-
-
-def _blacklist(spark, sf_dir):
-    return overlong_tasks(_rendered_all(spark, sf_dir), F.octet_length("inputs"), OVERLONG_TOKENS, OVERLONG_SHARE)
+    lengths = input_lengths(data, tpl, ["text", "dataset", "subset"], keep=["task"])
+    return cut_lineage(overlong_tasks(lengths, F.col("length"), OVERLONG_TOKENS, OVERLONG_SHARE), "blacklist")
 
 
 def _members(spark, sf_dir):
     tasks = task_table(spark, sf_dir)
     defs = spark.createDataFrame(MIXTURES, "mixture string, category string")
     members = define_mixtures(tasks.select("task", "category"), defs)
-    return remove_blacklisted(members, _blacklist(spark, sf_dir)), tasks
+    return cut_lineage(remove_blacklisted(members, _blacklist(spark, sf_dir)), "members"), tasks
 
 
 @register(

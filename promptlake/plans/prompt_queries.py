@@ -9,10 +9,12 @@ from ..operators.catalog import MAX_EXAMPLES, cap_rule_a, cap_rule_b, dataset_st
 from ..operators.ranking import batch_ids, seeded_cap, take_skip
 from ..operators.templates import (
     FormatTemplate,
+    apply_formats,
     attach_templates,
     nonempty_pairs,
     render_templates,
     rename_hyphens,
+    run_chain,
     template_filter,
     verbalise,
 )
@@ -290,11 +292,9 @@ _NLI_PAIRS_SQL = """SELECT b.item_id, b.text AS premise, h.text AS hypothesis, (
 
 def _nli_sql():
     parts = []
-    for name, mid, tail, ch in [
-        ("based_on_previous_passage_en", " Based on the previous passage, is it true that \"", "\"? Yes, no, or maybe?", ("Yes", "Maybe", "No")),
-        ("based_on_previous_passage_id", " Berdasarkan kalimat sebelumnya, apakah benar bahwa \"", "\"? Ya, tidak, atau mungkin?", ("Ya", "Mungkin", "Tidak")),
-        ("based_on_previous_passage_zh", " 根据上一句, 是真的吗 \"", "\"? Ya, tidak, atau mungkin?", ("Ya", "Mungkin", "Tidak")),
-    ]:
+    for t in NLI_TEMPLATES:
+        name, ch = t.name, t.choices
+        mid, tail = t.inputs.replace("{premise}", "").split("{hypothesis}")
         parts.append(
             f"""SELECT item_id, '{name}' AS template, premise || '{mid}' || hypothesis || '{tail}' AS inputs,
                 COALESCE(CASE label WHEN 0 THEN '{ch[0]}' WHEN 1 THEN '{ch[1]}' WHEN 2 THEN '{ch[2]}' END, '<NO LABEL>') AS targets
@@ -306,11 +306,48 @@ def _nli_sql():
 @register("render_nli", _nli_sql())
 def q_render_nli(spark, sf_dir):
     p = nli_pairs(spark, sf_dir)
-    out = None
-    for t in NLI_TEMPLATES:
-        r = t.apply(p, keep=["item_id"])
-        out = r if out is None else out.unionByName(r)
-    return nonempty_pairs(out)
+    return nonempty_pairs(apply_formats(p, NLI_TEMPLATES, keep=["item_id"]))
+
+
+# Fixed value: a two-part prompt whose target is built from the row.
+CONTINUE = FormatTemplate("continue_premise", "Continue: {premise}", targets="{hypothesis} ({item_id})")
+
+
+@register(
+    "format_targets",
+    f"""WITH p AS ({_NLI_PAIRS_SQL}) SELECT item_id, 'continue_premise' AS template, 'Continue: ' || premise AS inputs,
+        hypothesis || ' (' || CAST(item_id AS VARCHAR) || ')' AS targets FROM p""",
+)
+def q_format_targets(spark, sf_dir):
+    return CONTINUE.apply(nli_pairs(spark, sf_dir), keep=["item_id"])
+
+
+@register(
+    "preprocess_chain",
+    f"""SELECT id, 'Summary (' || upper(subset) || '): ' || {STRIP("text")} AS inputs, CAST(n_chars AS VARCHAR) AS targets
+        FROM ({CORPUS_SQL}) c WHERE split = 'train' AND length({STRIP("text")}) > 100""",
+)
+def q_preprocess_chain(spark, sf_dir):
+    """A task's ordered table functions: split filter, strip, length filter, row map, prompt."""
+    steps = [
+        lambda d: d.where(F.col("split") == "train"),
+        lambda d: d.withColumn("text", strip("text")),
+        lambda d: d.where(F.length("text") > 100),
+        lambda d: d.withColumn("language", F.upper("subset")),
+        lambda d: FormatTemplate("summary", "Summary ({language}): {text}", targets="{n_chars}").apply(d, keep=["id"]),
+    ]
+    return run_chain(corpus(spark, sf_dir), steps).select("id", "inputs", "targets")
+
+
+# Templates that must be left out of a build.
+BAD_PROMPTS = [("unknown", "{{ title }} ||| {{ subset }}", None, True), ("block", "{% if text %}{{ text }}{% endif %} ||| {{ subset }}", None, True)]
+
+
+@register("build_without_rejects", _flag_sql(f"CASE WHEN n.n * 4 > {MAX_EXAMPLES} THEN {MAX_EXAMPLES} // 4 ELSE n.n END") + " AND subset <> 'es'")
+def q_build_without_rejects(spark, sf_dir):
+    """A build whose prompt list holds templates that cannot be rendered, with a row filter before it."""
+    out = build_prompts(spark, sf_dir, CORPUS_PROMPTS + BAD_PROMPTS, "b", map_fn=lambda d: d.where(F.col("subset") != "es"))
+    return out.select("task", F.col("id").alias("doc_id"), "inputs", "targets")
 
 
 @register(

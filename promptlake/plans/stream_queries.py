@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.tables import corpus, read
-from ..streaming.prompts import corpus_stream, run_to_parquet, stream_prompt_pairs, stream_sample
+from ..sources.cache import PARTITIONS
+from ..streaming.prompts import corpus_stream, run_to_parquet, stream_capped_pairs, stream_prompt_pairs, stream_sample
 from .prompt_queries import _wide_sql
-from .prompts import CORPUS_PROMPTS, FIELDS, corpus_templates
+from .prompts import CORPUS_PROMPTS, FIELDS, corpus_templates, prompt_tasks
 from .registry import register
 from .sqlparts import LABELLED_SQL, TASK, U
 
 # Datasets excluded from the streamed prompts, and the stream sample rate.
 STREAM_BLACKLIST = ["src0"]
 SAMPLE_RATE = 0.25
+CACHE_SHARE = 0.5
 
 
 @register(
@@ -29,6 +31,22 @@ def q_stream_prompts(spark, sf_dir):
     return spark.read.parquet(run_to_parquet(s, "stream_prompts"))
 
 
+@register(
+    "stream_cache",
+    f"""WITH c AS ({LABELLED_SQL}), r AS ({_wide_sql(['quality', 'toxic'])}),
+          n AS (SELECT dataset, subset, count(*) AS n FROM c WHERE split = 'train' GROUP BY dataset, subset)
+        SELECT {TASK('r.dataset', 'r.subset', 'template')} AS task, id, inputs, targets
+        FROM r JOIN n USING (dataset, subset) JOIN (SELECT id AS cid, split FROM c) s ON s.cid = r.id
+        WHERE s.split = 'train' AND {U("CASE template WHEN 'quality' THEN '42' ELSE '43' END", 'id')} < ceil(n * CAST({CACHE_SHARE} AS DOUBLE)) / n""",
+)
+def q_stream_cache(spark, sf_dir):
+    """New documents -> capped prompt rows in the task cache's layout (task / template)."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    tasks = prompt_tasks(corpus(spark, sf_dir), CORPUS_PROMPTS, "share", CACHE_SHARE)
+    s = stream_capped_pairs(corpus_stream(spark, sf_dir), labels, tasks, FIELDS).drop("answer_choices")
+    return spark.read.parquet(run_to_parquet(s, "stream_cache", PARTITIONS)).select("task", "id", "inputs", "targets")
+
+
 @register(
     "stream_sample",
     f"SELECT doc_id, lang FROM documents WHERE {U(repr('sample'), 'doc_id')} < {SAMPLE_RATE}",

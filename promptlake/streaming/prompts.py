@@ -51,16 +51,26 @@ def stream_prompt_pairs(stream: DataFrame, labels: DataFrame, templates: DataFra
     return nonempty_pairs(r).select("task", "id", "inputs", "targets")
 
 
+def stream_capped_pairs(stream: DataFrame, labels: DataFrame, tasks: DataFrame, fields: list[str]) -> DataFrame:
+    """Stateless prompt rendering into the task cache: ``tasks`` (a control table with ``n`` and ``cap``
+    per template) is joined, and a row is kept if its seeded hash is below cap / n. The exact cap
+    would need state; this keeps about as many, the same ones in every run."""
+    t = tasks.withColumn("share", F.col("cap") / F.greatest(F.col("n"), F.lit(1))).drop("n", "cap", "num_templates", "task")
+    rows = attach_templates(as_corpus(stream).where(F.col("split") == "train"), t)
+    rows = rows.where(hash_u((F.lit(42) + F.col("ordinal")).cast("string"), "id") < F.col("share")).join(labels, "id", "left")
+    return nonempty_pairs(render_templates(rows, fields, keep=["task", "template", "id"]))
+
+
 def stream_sample(stream: DataFrame, rate: float, seed: str = "sample", key: str = "doc_id") -> DataFrame:
     """Rows whose hash is below ``rate`` — the same rows a batch filter keeps."""
     return stream.where(hash_u(seed, key) < F.lit(rate))
 
 
-def run_to_parquet(df: DataFrame, name: str) -> str:
+def run_to_parquet(df: DataFrame, name: str, partition_cols=()) -> str:
     """Run a stream with ``availableNow`` into a Parquet sink; returns the sink path."""
     spark = df.sparkSession
     out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-checkpoint")
-    q = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q = df.writeStream.format("parquet").partitionBy(*partition_cols).option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
