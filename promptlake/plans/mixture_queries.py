@@ -147,13 +147,13 @@ def q_mixture_members(spark, sf_dir):
 @register(
     "mixture_rates",
     f"""WITH {_TASKS_SQL}
-        SELECT m.mixture, m.task, t.cap, round(CAST(t.cap AS DOUBLE) / sum(t.cap) OVER (PARTITION BY m.mixture), 6) AS rate
+        SELECT m.mixture, m.task, t.cap, round(CAST(t.cap AS DOUBLE) / sum(t.cap) OVER (PARTITION BY m.mixture), 9) AS rate
         FROM members m JOIN tasks t ON t.task = m.task""",
 )
 def q_mixture_rates(spark, sf_dir):
     members, tasks = _members(spark, sf_dir)
     r = cap_rates(members, tasks)
-    return r.select("mixture", "task", "cap", F.round("rate", 6).alias("rate"))
+    return r.select("mixture", "task", "cap", F.round("rate", 9).alias("rate"))
 
 
 @register(
@@ -169,25 +169,25 @@ def q_mixture_select(spark, sf_dir):
 @register(
     "temperature_rates",
     f"""WITH {_TASKS_SQL}
-        SELECT m.task, t.n, round(pow(t.n, 0.3) / sum(pow(t.n, 0.3)) OVER (), 6) AS rate
+        SELECT m.task, t.n, round(pow(t.n, 0.3) / sum(pow(t.n, 0.3)) OVER (), 9) AS rate
         FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 'stage123_train'""",
 )
 def q_temperature_rates(spark, sf_dir):
     members, tasks = _members(spark, sf_dir)
     m = select_members(tasks, members, "stage123_train")
-    return temperature_rates(m, "n").select("task", "n", F.round("rate", 6).alias("rate"))
+    return temperature_rates(m, "n").select("task", "n", F.round("rate", 9).alias("rate"))
 
 
 @register(
     "temperature_rates_power",
     f"""WITH {_TASKS_SQL}
-        SELECT m.task, t.cap, round(pow(t.cap, 1.0 / 0.3) / sum(pow(t.cap, 1.0 / 0.3)) OVER (), 6) AS rate
+        SELECT m.task, t.cap, round(pow(t.cap, 1.0 / 0.3) / sum(pow(t.cap, 1.0 / 0.3)) OVER (), 9) AS rate
         FROM members m JOIN tasks t ON t.task = m.task WHERE m.mixture = 'stage123_train'""",
 )
 def q_temperature_rates_power(spark, sf_dir):
     members, tasks = _members(spark, sf_dir)
     m = select_members(tasks, members, "stage123_train")
-    return power_rates(m, "cap").select("task", "cap", F.round("rate", 6).alias("rate"))
+    return power_rates(m, "cap").select("task", "cap", F.round("rate", 9).alias("rate"))
 
 
 @register(
@@ -220,36 +220,36 @@ def _lang_sizes(spark, sf_dir):
 @register(
     "language_rates",
     f"""WITH s AS ({_LANG_SQL})
-        SELECT lang, n, round(pow(n, 0.3) / sum(pow(n, 0.3)) OVER (), 6) AS rate, CAST(1.0 AS DOUBLE) AS total FROM s""",
+        SELECT lang, n, round(pow(n, 0.3) / sum(pow(n, 0.3)) OVER (), 9) AS rate, CAST(1.0 AS DOUBLE) AS total FROM s""",
 )
 def q_language_rates(spark, sf_dir):
     from pyspark.sql import Window
 
     r = temperature_rates(_lang_sizes(spark, sf_dir), "n")
     return r.select(
-        "lang", "n", F.round("rate", 6).alias("rate"), F.round(F.sum("rate").over(Window.partitionBy()), 6).alias("total")
+        "lang", "n", F.round("rate", 9).alias("rate"), F.round(F.sum("rate").over(Window.partitionBy()), 6).alias("total")
     )
 
 
 @register(
     "lm_suite",
     f"""WITH s AS ({_LANG_SQL})
-        SELECT 'mc4_' || lang AS task, lang, n, round(pow(n, 0.3) / sum(pow(n, 0.3)) OVER (), 6) AS rate FROM s""",
+        SELECT 'mc4_' || lang AS task, lang, n, round(pow(n, 0.3) / sum(pow(n, 0.3)) OVER (), 9) AS rate FROM s""",
 )
 def q_lm_suite(spark, sf_dir):
     r = temperature_rates(_lang_sizes(spark, sf_dir), "n")
-    return r.select(F.concat(F.lit("mc4_"), "lang").alias("task"), "lang", "n", F.round("rate", 6).alias("rate"))
+    return r.select(F.concat(F.lit("mc4_"), "lang").alias("task"), "lang", "n", F.round("rate", 9).alias("rate"))
 
 
 @register(
     "lm_no_english",
     f"""WITH s AS ({_LANG_SQL} HAVING lang <> 'en')
-        SELECT 'mc4_' || lang AS task, lang, n, round(pow(n, 0.3) / sum(pow(n, 0.3)) OVER (), 6) AS rate FROM s""",
+        SELECT 'mc4_' || lang AS task, lang, n, round(pow(n, 0.3) / sum(pow(n, 0.3)) OVER (), 9) AS rate FROM s""",
 )
 def q_lm_no_english(spark, sf_dir):
     s = _lang_sizes(spark, sf_dir).where(F.col("lang") != "en")
     r = temperature_rates(s, "n")
-    return r.select(F.concat(F.lit("mc4_"), "lang").alias("task"), "lang", "n", F.round("rate", 6).alias("rate"))
+    return r.select(F.concat(F.lit("mc4_"), "lang").alias("task"), "lang", "n", F.round("rate", 9).alias("rate"))
 
 
 @register(

@@ -26,6 +26,15 @@ ORACLE_SAMPLE = [
     "tmpl_add_new",
     "fractional_shards",
     "incremental_cache",
+    "metric_by_task",
+    "metric_rouge_l",
+    "metric_edit",
+    "metric_edit_char",
+    "pack_examples",
+    "mixture_sample",
+    "build_without_rejects",
+    "stream_cache",
+    "copa_suite",
 ]
 
 
@@ -88,7 +97,7 @@ def _plan(df):
 
 @pytest.mark.parametrize(
     "name",
-    ["prompt_mixture_capped", "render_template", "shuffle_cap", "holdout_skip", "interleave_all_exhausted", "tokenize_bytes", "lm_segments", "metric_squad", "tmpl_restore"],
+    ["prompt_mixture_capped", "render_template", "shuffle_cap", "holdout_skip", "interleave_all_exhausted", "lm_segments", "metric_squad", "tmpl_restore"],
 )
 def test_no_python_udf_no_cartesian(spark, name):
     p = _plan(E.queries()[name](spark, SF_SMALL))
@@ -120,3 +129,56 @@ def test_single_partition_only_over_aggregates(spark, name):
         if "Exchange SinglePartition" in line:
             below = lines[i + 1].strip()
             assert "HashAggregate" in below or "Project" in below and "HashAggregate" in lines[i + 2], (name, below)
+
+
+def test_every_query_of_the_library_has_sql():
+    from promptlake.plans import ORACLES, QUERIES
+
+    assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name,most", [("metric_squad", (2, 5)), ("metric_bleu", (2, 5)), ("metric_spearman", (10, 12))])
+def test_scans_and_exchanges(spark, name, most):
+    p = _plan(E.queries()[name](spark, SF_SMALL))
+    assert (p.count("FileScan") <= most[0]) and (p.count("Exchange hashpartitioning") <= most[1]), p
+
+
+def test_vocabulary_lookup_does_not_shuffle(spark):
+    assert "Exchange" not in _plan(E.queries()["tokenize_vocab"](spark, SF_SMALL))
+
+
+@pytest.mark.parametrize("name", ["lm_segments", "pack_prefix_lm", "mt_corpus", "eval_suite", "interleave_all_exhausted"])
+def test_windows_carry_no_text(spark, name):
+    lines = _plan(E.queries()[name](spark, SF_SMALL)).split("\n")
+    for i, line in enumerate(lines):
+        if "Window [" in line:
+            assert not any(w in line + lines[i + 1] for w in ("text#", "bin#", "tokens#")), line
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from promptlake.session import shared_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError):
+        shared_dir(type("S", (), {"sparkContext": Context()})())
+
+
+def test_rates_of_nothing_are_null(spark):
+    from promptlake.operators.mixtures import cap_rates, temperature_rates
+
+    members = spark.createDataFrame([("m", "a"), ("m", "b")], "mixture string, task string")
+    caps = spark.createDataFrame([("a", 0), ("b", 0)], "task string, cap long")
+    assert [r.rate for r in cap_rates(members, caps).collect()] == [None, None]
+    assert [r.rate for r in temperature_rates(spark.createDataFrame([(0,)], "n long")).collect()] == [None]

@@ -7,11 +7,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from promptlake.operators.interleave import index_sources, integer_weights, interleave, round_robin
+from promptlake.operators.interleave import WEIGHT_SCALE, draw_from_mixture, index_sources, interleave, round_robin
 
 
 def u(seed, key):
-    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:8], 16) / 4294967296.0
+    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16) / 2.0**52
 
 
 def _sources(spark, lengths):
@@ -29,8 +29,12 @@ def test_round_robin_golden(spark):
     assert got == [0, 3, 7, 1, 4, 8, 2, 5, 9]
 
 
+def _rates(spark, rates):
+    return spark.createDataFrame([(f"s{j}", float(r)) for j, r in enumerate(rates)], "source string, rate double")
+
+
 def simulate(lengths, rates, seed, stop):
-    w = integer_weights({f"s{j}": r for j, r in enumerate(rates)})
+    w = {f"s{j}": max(1, math.floor(r / sum(rates) * WEIGHT_SCALE)) for j, r in enumerate(rates)}
     names = sorted(w)
     total = sum(w.values())
     cur = {s: 0 for s in names}
@@ -65,16 +69,16 @@ def test_closed_form_matches_simulation(spark, stop):
         lengths = [rnd.randrange(1, 30) for _ in range(k)]
         rates = [rnd.random() + 0.05 for _ in range(k)]
         ix = _sources(spark, lengths)
-        got = sorted((r.pos, r.source, r.idx) for r in interleave(ix, "source", {f"s{j}": r for j, r in enumerate(rates)}, trial, stop).collect())
+        got = sorted((r.pos, r.source, r.idx) for r in interleave(ix, "source", _rates(spark, rates), trial, stop).collect())
         assert got == simulate(lengths, rates, trial, stop)
 
 
 def test_rejects_empty_or_zero_rate(spark):
     ix = _sources(spark, [3, 2])
     with pytest.raises(ValueError):
-        interleave(ix, "source", {"s0": 1.0, "s1": 0.0})
+        interleave(ix, "source", _rates(spark, [1.0, 0.0]))
     with pytest.raises(ValueError):
-        interleave(ix, "source", {"s0": 1.0})
+        interleave(ix, "source", _rates(spark, [1.0]))
 
 
 def test_index_sources_hot_source(spark):
@@ -93,3 +97,27 @@ def test_index_sources_sparse_keys(spark):
     got = {(r.source, r.rid): r.idx for r in ix.collect()}
     for s, ks in keys.items():
         assert [got[(s, k)] for k in sorted(ks)] == list(range(len(ks)))
+
+
+def test_range_buckets_with_an_outlier(spark):
+    from promptlake.operators.ranking import range_buckets
+
+    rows = [(float(i),) for i in range(1000)] + [(1e300,)]
+    b = range_buckets(spark.createDataFrame(rows, "v double"), None, "v", rows_per_bucket=100)
+    sizes = [r["count"] for r in b.groupBy("__bk").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) <= 250
+    assert b.agg(F.corr(F.col("__bk"), F.when(F.col("v") < 1e6, F.col("v")))).first()[0] > 0.95
+
+
+def test_a_thousand_sources(spark):
+    ix = _sources(spark, [1 + j % 3 for j in range(1000)])
+    out = draw_from_mixture(ix, "source", _rates(spark, [1 + j % 7 for j in range(1000)]), 3000)
+    assert out.count() == 3000
+    first = {(r.source, r.idx) for r in out.collect()}
+    assert len({s for s, _ in first}) > 700 and all(i < 1 + int(s[1:]) % 3 for s, i in first)
+
+
+def test_weights_far_apart(spark):
+    ix = _sources(spark, [3, 2])
+    out = draw_from_mixture(ix, "source", _rates(spark, [1e12, 1.0]), 200)
+    assert {r.source for r in out.collect()} == {"s0"}

@@ -149,3 +149,71 @@ def test_rouge_one_pass_equals_per_order(spark, preds):
     r2 = {r.task: r.rouge2 for r in M.rouge_n(preds, 2).collect()}
     for t in ("t", "u"):
         assert both[t][0] == pytest.approx(r1[t]) and both[t][1] == pytest.approx(r2[t])
+
+
+def test_rows_without_references_score_zero(spark):
+    rows = [("t", "1", "a b", ["a b"]), ("t", "2", "a b", None), ("t", "3", "a b", [])]
+    df = spark.createDataFrame(rows, "task string, id string, prediction string, references array<string>")
+    r = M.squad(df).first()
+    assert abs(r.em - 100 / 3) < 1e-9 and abs(r.f1 - 100 / 3) < 1e-9
+
+
+def test_dialogue_ids_do_not_collide(spark, tmp_path):
+    from promptlake.plans.metric_queries import dialogue_predictions
+
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}.") for c, ts in ((1, (1000, 1001)), (2, (0, 1))) for t in ts]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r.id for r in dialogue_predictions(spark, str(tmp_path)).collect()} == {"1:1000", "2:0"}
+
+
+def test_edit_distance_of_many_words(spark):
+    import random
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40_000)]
+    a = words[:300]
+    b = [w for w in a if r.random() > 0.1] + ["new"]
+    rows = [("t", " ".join(words), " ".join(words[:100])), ("t", " ".join(a), " ".join(b)), ("t", "", "x y"), ("t", "x", "x")]
+    df = spark.createDataFrame(rows, "task string, prediction string, target string")
+    got = M.edit_distance_words(df).first()
+
+    def lev(x, y):
+        p = list(range(len(y) + 1))
+        for i, u in enumerate(x, 1):
+            n = [i]
+            for j, v in enumerate(y, 1):
+                n.append(min(p[j] + 1, p[j - 1] + (u != v), n[-1] + 1))
+            p = n
+        return p[-1]
+
+    want = [39_900, lev(a, b), 2, 0]
+    assert (got.min_distance, got.max_distance, got.total_distance) == (0, 39_900, sum(want))
+
+
+def test_auc_of_one_class_is_null(spark):
+    df = spark.createDataFrame([("a", 1, 0.5), ("a", 1, 0.7), ("b", 1, 0.9), ("b", 0, 0.1)], "task string, label int, score double")
+    assert {r.task: r.auc for r in M.auc(df, "label", "score").collect()} == {"a": None, "b": 100.0}
+
+
+def test_metric_lookup_and_unknown_names(spark):
+    import pytest
+
+    from promptlake.operators.metrics_dispatch import METRIC_SETS, metric_plan, metrics_by_task
+
+    tasks = spark.createDataFrame([("m", "glue", "mrpc"), ("s", "glue", "sst2"), ("r", "super_glue", "record"), ("x", "other", None)], "task string, dataset string, subset string")
+    sets = spark.createDataFrame(METRIC_SETS + [("other", None, "ROUGE")], "dataset string, subset string, metric string")
+    plan = metric_plan(tasks, sets)
+    assert {(r.task, r.metric) for r in plan.collect()} == {("m", "F1"), ("m", "Accuracy"), ("s", "Accuracy"), ("r", "Squad"), ("x", "ROUGE")}
+    preds = spark.createDataFrame([(t, str(i), p, q) for t in "msrx" for i, (p, q) in enumerate([("1", "1"), ("0", "1"), ("1", "0")])], "task string, id string, prediction string, target string")
+    got = {(r.task, r.metric): r.value for r in metrics_by_task(preds, plan).collect()}
+    assert got["m", "f1"] == 50.0 and abs(got["r", "em"] - 100 / 3) < 1e-9 and ("x", "rougeL") in got and ("x", "rouge2") in got
+    with pytest.raises(ValueError, match="no such metric"):
+        metrics_by_task(preds, spark.createDataFrame([("m", "squad2")], "task string, metric string"))
+
+
+def test_bleu_variants(spark):
+    df = spark.createDataFrame([("t", "1", "a b c d e", "a b x d e")], "task string, id string, prediction string, target string")
+    assert M.bleu(df).first().bleu == 0.0
+    assert abs(M.bleu(df, smooth="exp").first().bleu - 100 * (4 / 5 * 2 / 4 * 1 / 6 * 1 / 8) ** 0.25) < 1e-6
+    toks = spark.createDataFrame([("Costs 1,000.5 euros, ok!",)], "s string").select(M.international_tokens("s").alias("t")).first().t
+    assert toks == ["Costs", "1,000.5", "euros", ",", "ok", "!"]

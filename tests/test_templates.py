@@ -88,3 +88,30 @@ def test_template_filter_and_rejects(spark):
     assert sorted(r.name for r in template_filter(t, include_translated=True, original_only=True).collect()) == ["a", "bad", "sep"]
     rej = {(r.name, r.reason) for r in template_rejects(t, ["text"]).collect()}
     assert rej == {("bad", "unknown field: nope"), ("sep", "separator count")}
+
+
+def test_choice_of_a_field_that_is_no_number(spark):
+    from pyspark.sql import functions as F
+
+    from promptlake.operators.templates import render_field_template
+
+    df = spark.createDataFrame([("abc",)], "label string")
+    r = df.select(render_field_template(F.lit("Q ||| {{ answer_choices[label] }}"), F.lit("No ||| Yes"), F.create_map(F.lit("label"), "label")).alias("r")).first().r
+    assert (r.inputs, r.targets) == ("Q", "<NO LABEL>")
+
+
+def test_rejected_templates_are_left_out(spark):
+    from promptlake.operators.templates import template_rejects, usable_templates
+
+    rows = [("d", None, "ok", "{{ text }} ||| {{ label }}", None), ("d", None, "field", "{{ title }} ||| x", None), ("d", "s", "block", "{% if text %}a{% endif %} ||| x", None), ("d", "s", "filter", "{{ text | upper }} ||| x", None), ("d", "s", "parts", "only one", None)]
+    t = spark.createDataFrame(rows, "dataset string, subset string, name string, jinja string, answer_choices string")
+    assert [r.name for r in usable_templates(t, ["text", "label"]).collect()] == ["ok"]
+    assert {r.name for r in template_rejects(t, ["text", "label"]).collect()} == {"field", "block", "filter", "parts"}
+
+
+def test_input_lengths_without_rendering(spark):
+    from promptlake.operators.templates import input_lengths
+
+    data = spark.createDataFrame([("d", "s", "héllo"), ("d", "s", None)], "dataset string, subset string, text string")
+    t = spark.createDataFrame([("d", "s", "a", "Say {{ text }} twice {{ text }} ||| x", None)], "dataset string, subset string, name string, jinja string, answer_choices string")
+    assert sorted(r.length for r in input_lengths(data, t, ["text"], keep=["task"]).collect()) == [12, 24]

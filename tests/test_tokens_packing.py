@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from promptlake.operators.packing import lm_segments, pack_examples, pack_prefix_lm
 from promptlake.operators.tokens import (
     append_eos,
@@ -64,21 +62,84 @@ def _next_fit(lens, L):
     return bins
 
 
-def test_pack_examples_invariants(spark):
+def test_pack_examples(spark):
+    """Next-fit per hashed shard; a sequence longer than a row becomes pieces, nothing is cut off."""
+    import hashlib
+
     rnd = random.Random(5)
-    rows = [(i, [rnd.randrange(3, 200) for _ in range(rnd.randrange(1, 40))]) for i in range(300)]
+    rows = [(i, [rnd.randrange(3, 200) for _ in range(rnd.choice([1, 7, 30, 64, 65, 200]))]) for i in range(300)]
     df = spark.createDataFrame(rows, "key long, toks array<int>")
-    L, S = 64, 3
-    packed = pack_examples(df, "key", "toks", L, S).collect()
-    assert all(len(p.tokens) <= L for p in packed)
-    assert sum(len(p.tokens) for p in packed) == sum(min(len(t), L) for _, t in rows)
-    assert all(len(p.segment_ids) == len(p.tokens) == len(p.positions) for p in packed)
-    shard_of = {r.key: r.shard for r in df.select("key", F.pmod(F.xxhash64("key"), F.lit(S)).alias("shard")).collect()}
+    L, per = 64, 4000
+    S = -(-sum(len(t) for _, t in rows) // per)
+    packed = pack_examples(df, "key", "toks", L, per).collect()
+    assert all(len(p.tokens) <= L and len(p.segment_ids) == len(p.tokens) == len(p.positions) for p in packed)
+    toks = {str(k): t for k, t in rows}
+    got = {}
+    for p in packed:
+        at = 0
+        for k, piece in zip(p.keys, p.pieces, strict=True):
+            n = min(L, len(toks[k]) - piece * L)
+            got[k, piece] = p.tokens[at : at + n]
+            at += n
+        assert at == len(p.tokens)
+    assert got == {(k, i): t[i * L : (i + 1) * L] for k, t in toks.items() for i in range(-(-len(t) // L))}
+    shard = lambda k: int(int(hashlib.md5(f"pack:{k}".encode()).hexdigest()[:8], 16) / 2**32 * S)
     want = set()
     for s in range(S):
-        ks = sorted(k for k in shard_of if shard_of[k] == s)
-        want |= {(s, tuple(b)) for b in _next_fit([(k, len(rows[k][1])) for k in ks], L)}
-    assert {(p.shard, tuple(p.keys)) for p in packed} == want
+        own = sorted(x for x in got if shard(x[0]) == s)
+        want |= {(s, tuple(b)) for b in _next_fit([(x, len(got[x])) for x in own], L)}
+    assert {(p.shard, tuple(zip(p.keys, p.pieces, strict=True))) for p in packed} == want
+
+
+def test_odd_last_segment_is_padded(spark):
+    segs = spark.createDataFrame([("a", i, [10 + i] * 8) for i in range(3)], "lang string, seg long, tokens array<int>")
+    p = {r.pair: r for r in pack_prefix_lm(segs, "lang", 8).collect()}
+    assert set(p) == {0, 1}
+    last = p[1]
+    assert last.encoder_input_tokens[: last.m] == [12] * last.m and set(last.encoder_input_tokens[last.m :]) <= {0}
+    assert last.decoder_target_tokens == [12] * (8 - last.m) + [0] * last.m
+    assert last.decoder_loss_weights == [1] * (8 - last.m) + [0] * last.m
+
+
+def test_long_document_is_kept_whole(spark):
+    from promptlake.operators.packing import lm_segments_text
+
+    rows = [("x", 1, "ab" * 40_000), ("x", 2, "c")]
+    segs = lm_segments_text(spark.createDataFrame(rows, "lang string, doc_id long, text string"), "lang", "doc_id", "text", 512).orderBy("seg").collect()
+    stream = [t for s in segs for t in s.tokens]
+    assert stream == [b + 3 for b in b"ab" * 40_000] + [1] + [ord("c") + 3, 1]
+
+
+def test_arrow_tokenisers_equal_expressions(spark):
+    from promptlake.operators.tokens import byte_tokens_arrow, pad_up
+
+    rows = [(i, t) for i, t in enumerate([*TEXTS, None, "  two  gaps ", " "])]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(2)
+    for r in df.select(byte_tokens("text").alias("a"), byte_tokens_arrow("text").alias("b")).collect():
+        assert r.a == r.b
+    vocab = spark.createDataFrame([("two", 300), ("x" * 300, 301)], "piece string, id int")
+    got = {r.id: r.ids for r in vocab_tokenize(df, vocab, "id").collect()}
+    table = {"two": [300], "x" * 300: [301]}
+    for i, t in rows:
+        want = None
+        if t is not None:
+            parts = [table.get(p, [b + 3 for b in p.encode()]) for p in t.split(" ")]
+            want = parts[0] + [x for p in parts[1:] for x in [35, *p]]
+        assert got[i] == want
+    assert spark.createDataFrame([([5] * 6,), ([5],)], "ids array<int>").select(pad_up("ids", 4).alias("p")).collect()[0].p == [5] * 6
+
+
+def test_long_prompt_sets_the_row_length(spark):
+    from promptlake.operators.features import generation_rows, longest
+
+    df = spark.createDataFrame([(1, "p" * 900), (2, "q")], "item_id long, text string").select("item_id", byte_tokens("text").alias("ids"))
+    n = longest(df, "ids") + 1
+    assert n == 901
+    for r in generation_rows(df, "ids", ["c_dec", "enc_dec"], n).collect():
+        if r.model_type == "c_dec":
+            assert r.decoder_target_tokens[: len(r.ids)] == r.ids and len(r.decoder_target_tokens) == n
+        else:
+            assert r.encoder_input_tokens == r.ids
 
 
 def test_segments_concatenate_stream(spark):
