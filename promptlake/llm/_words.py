@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21  # text bytes handled at once; bounds the memory of the temporaries
+CHUNK_BYTES = 1 << 20  # text bytes handled at once; bounds the memory of the temporaries
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)

@@ -17,6 +17,7 @@ full tokenizer.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 
 from ._words import chunks
 
-CACHE_PIECES = 400_000  # pieces remembered per worker; others are encoded again when they occur
-TEXT_BYTES = 1 << 23  # text handled at once
+CACHE_PIECES = 200_000  # pieces remembered per worker; others are encoded again when they occur
+TEXT_BYTES = 1 << 22  # text handled at once
 
 _PLAIN = {"space": re.compile(" ?([a-zß-öø-ÿ]+)"), "byte": re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")}
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -90,19 +91,20 @@ def encoder(path: str, kind: str) -> Callable[[pa.Array], Iterator[tuple[int, in
     tok.no_truncation()
     model, plain, cache = tok.model, _PLAIN[kind].fullmatch, {}
 
-    def ids_of(pieces: list[str]) -> list[list[int]]:
+    def ids_of(pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as native 32-bit integers."""
         found = [cache.get(p) for p in pieces]
         rest = []
         for i, f in enumerate(found):
             if f is None:
                 if m := plain(pieces[i]):
-                    found[i] = [t.id for t in model.tokenize(m[m.lastindex or 0].encode().decode("latin-1").translate(_ALPHABET))]
+                    found[i] = array("I", [t.id for t in model.tokenize(m[m.lastindex or 0].encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
                 else:
                     rest.append(i)
         for a in range(0, len(rest), 10_000):
             part = rest[a : a + 10_000]
             for i, e in zip(part, tok.encode_batch_fast([pieces[j] for j in part], add_special_tokens=False), strict=True):
-                found[i] = e.ids
+                found[i] = array("I", e.ids).tobytes()
         if len(cache) < CACHE_PIECES:
             cache.update(zip(pieces, found, strict=True))
         return found
@@ -117,14 +119,15 @@ def encoder(path: str, kind: str) -> Callable[[pa.Array], Iterator[tuple[int, in
             pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf)))
             coded = pieces.dictionary_encode()
             each = ids_of(coded.dictionary.to_pylist())
-            size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-            flat = np.fromiter((i for x in each for i in x), dtype=np.uint32, count=int(size.sum()))
+            size = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+            flat = np.frombuffer(b"".join(each), dtype=np.uint32)
             first = np.cumsum(size) - size
             code = coded.indices.to_numpy()
             n = size[code]
             ends = np.concatenate(([0], np.cumsum(n)))
             ids = flat[np.arange(ends[-1]) + np.repeat(first[code] - ends[:-1], n)] if len(code) else flat[:0]
             yield a, b, ends[where], ids
+        pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     _encoders[path, kind] = encode
     return encode
