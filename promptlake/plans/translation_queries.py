@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import translation as X
 from ..operators.templates import template_filter
 from ..session import scratch_path
-from ..sources.tables import corpus
+from ..sources.tables import corpus, read
 from .prompts import corpus_templates
 from .registry import register
 
@@ -34,7 +34,17 @@ CSV_OPTS = {
 
 
 def _templates(spark, sf_dir):
-    return corpus_templates(corpus(spark, sf_dir), TRANSLATION_PROMPTS)
+    """The prompt list on every (dataset, subset), and one template per benchmark item with its text."""
+    items = read(spark, sf_dir, "benchmark").select(
+        F.lit("benchmark").alias("dataset"),
+        F.lit("items").alias("subset"),
+        F.lit(0).alias("ordinal"),
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("name"),
+        F.concat("text", F.lit(" {{ text }} ||| {{ answer_choices[quality] }}")).alias("jinja"),
+        F.lit("No ||| Yes").alias("answer_choices"),
+        F.lit(True).alias("original_task"),
+    )
+    return corpus_templates(corpus(spark, sf_dir), TRANSLATION_PROMPTS, materialise=False).unionByName(items)
 
 
 def _masked(spark, sf_dir):
@@ -73,7 +83,8 @@ _PROMPTS_SQL = ", ".join(
 )
 _TPL_SQL = f"""k AS (SELECT DISTINCT source AS dataset, lang AS subset FROM documents),
   p AS (SELECT * FROM (VALUES {_PROMPTS_SQL}) v(ordinal, name, jinja, answer_choices)),
-  tpl AS (SELECT k.dataset, k.subset, p.name, p.jinja, p.answer_choices FROM k CROSS JOIN p),
+  tpl AS (SELECT k.dataset, k.subset, p.name, p.jinja, p.answer_choices FROM k CROSS JOIN p
+          UNION ALL SELECT 'benchmark', 'items', 'item-' || item_id, text || ' {{{{ text }}}} ||| {{{{ answer_choices[quality] }}}}', 'No ||| Yes' FROM benchmark),
   src AS (SELECT *, dataset || ' - ' || subset || ' - ' || name AS key,
                  regexp_extract_all(jinja, '(?s)\\{{\\{{.*?\\}}\\}}|\\{{.*?\\}}') AS ents,
                  regexp_split_to_array(jinja, '(?s)\\{{\\{{.*?\\}}\\}}|\\{{.*?\\}}') AS parts
