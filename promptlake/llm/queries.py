@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .quality import BOILERPLATE, BOILERPLATE_WORDS, MAX_LOST_PCT, MAX_REPEAT_PCT, MIN_WORDS, SENTENCE_MARKS, SEPARATORS, SYMBOLS, WORD
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -207,7 +208,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(manifest, folder)
 
 
-@register("op9_quality_lines")
+OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+l AS (
+  SELECT doc_id, line, regexp_extract_all(line, '{WORD}') AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+), m AS (
+  SELECT doc_id, line, len(lw) AS n, list_sum(list_transform(lw, lambda w: length(w))) AS chars, len(regexp_extract_all(line, '{SEPARATORS}')) AS seps,
+         len(regexp_extract_all(line, '{SYMBOLS}')) AS syms FROM l WHERE len(lw) > 0
+), f AS (
+  SELECT *, NOT regexp_matches(line, '{SENTENCE_MARKS}') OR 10 * syms > chars OR (seps >= 3 AND 4 * seps >= n)
+            OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(line, '{BOILERPLATE}', 'i')) AS fails FROM m
+), line AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE fails) AS n_failed_lines, coalesce(sum(n) FILTER (WHERE fails), 0) AS n_lost_words
+  FROM f GROUP BY doc_id
+), g AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d WHERE len(ws) >= 8)
+), r AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT g.doc_id, unnest(range(i, i + 8)) AS p FROM g JOIN r USING (doc_id, k)) GROUP BY doc_id),
+a AS (
+  SELECT d.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(text, '{SYMBOLS}')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_failed_lines, 0) AS n_failed_lines, CAST(coalesce(n_lost_words, 0) AS BIGINT) AS n_lost_words
+  FROM d LEFT JOIN line USING (doc_id) LEFT JOIN h USING (doc_id)
+), b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PCT} * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND 100 * n_lost_words <= {MAX_LOST_PCT} * n_words AS kept FROM b
+"""
+
+
+@register("op9_quality_lines", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
