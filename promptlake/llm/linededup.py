@@ -77,7 +77,9 @@ def dedup_lines(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     marks = F.flatten(
         F.zip_with("gone", F.concat(F.array(F.lit(-1)), F.col("gone")), lambda a, b: F.when(a.isNotNull(), F.concat(F.array_repeat(F.lit(False), a - b - 1), F.array(F.lit(True)))).otherwise(F.array().cast("array<boolean>")))
     )
-    joined = src.join(gone.select("doc_id", "text_hash", marks.alias("marks"), F.size("gone").alias("n_gone")), ["doc_id", "text_hash"], "left")
+    # deletions grow with the corpus: a merge join at every size
+    marked = gone.select("doc_id", "text_hash", marks.alias("marks"), F.size("gone").alias("n_gone")).hint("merge")
+    joined = src.join(marked, ["doc_id", "text_hash"], "left")
     left = let(F.struct(_lines(F.col("text")).alias("x"), F.col("marks").alias("m")), lambda s: F.filter(s["x"], lambda x, i: ~F.coalesce(F.get(s["m"], i), F.lit(False))))
     solid = F.size(F.filter(_lines(F.coalesce("text", F.lit(""))), lambda x: F.trim(F.translate(x, "\t\r\f\x0b", "    ")) != ""))
     return joined.select(
