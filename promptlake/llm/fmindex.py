@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+_BELOW = (_U(1) << np.arange(64, dtype=np.uint64)) - _U(1)  # bits below a position of a word
 
 
 class BitVector:
@@ -24,8 +25,7 @@ class BitVector:
     def rank(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i."""
         w = i >> 6
-        mask = (_U(1) << (i & 63).astype(np.uint64)) - _U(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+        return self.before.take(w) + np.bitwise_count(self.words.take(w) & _BELOW.take(i & 63))
 
 
 class FMIndex:
@@ -52,9 +52,12 @@ class FMIndex:
             b = ((bwt >> bit) & 1).astype(np.uint8)
             self.levels.append((bit, BitVector(b), int(len(b) - b.sum())))
             bwt = np.concatenate((bwt[b == 0], bwt[b == 1]))
+        every = np.arange(len(self.alphabet) + 1)
+        self.run = self._ranks(every, np.zeros(len(every), dtype=np.int32))  # where a symbol's run starts in the matrix
+        self.shift = (self.first[:-1] - self.run).astype(np.int32)
 
     def _ranks(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Occurrences of symbol c before row i, plus where its run starts in the matrix (cancels in ``step``)."""
+        """Occurrences of symbol c before row i, plus where its run starts in the matrix."""
         for bit, vector, zeros in self.levels:
             one = vector.rank(i)
             i = np.where((c >> bit) & 1, zeros + one, i - one)
@@ -64,17 +67,14 @@ class FMIndex:
         """Codes of symbols that occur in the text."""
         return np.searchsorted(self.alphabet, symbols) + 1
 
-    def step(self, lo: np.ndarray, hi: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of ``c`` followed by what rows lo..hi-1 begin with."""
-        start = self._ranks(c, np.zeros_like(lo))
-        return self.first[c] + self._ranks(c, lo) - start, self.first[c] + self._ranks(c, hi) - start
-
     def search(self, codes: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows that begin with the ``length`` codes before each of ``ends``, searched backward together."""
-        lo, hi = np.zeros(len(ends), dtype=np.int64), np.full(len(ends), self.n, dtype=np.int64)
-        for j in range(1, length + 1):
-            lo, hi = self.step(lo, hi, codes[ends - j])
-        return lo, hi
+        last = codes[ends - 1]
+        rows = np.concatenate((self.first[last], self.first[last + 1])).astype(np.int32)  # lower, then upper bounds
+        for j in range(2, length + 1):
+            c = codes[ends - j].astype(np.int32)
+            rows = self._ranks(np.concatenate((c, c)), rows) + np.tile(self.shift[c], 2)
+        return rows[: len(ends)].astype(np.int64), rows[len(ends) :].astype(np.int64)
 
     def least(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Smallest ``value`` of the segments in each (non-empty) row range."""
