@@ -14,9 +14,10 @@ A document's set is its distinct k-word shingles (lower-cased A-Z; a shorter tex
    smaller and equal registers and the set sizes; pairs far below the threshold are dropped.
 5. The rest is verified on the full sets, and components of the verified links are found.
 6. Band values whose members still lie in several components are gone through in blocks of
-   about ``BLOCK`` members: all pairs of members of different components are estimated inside the
-   task and only likely ones come out to be verified. So every pair that shares a band value is
-   either linked, in one component already, or found dissimilar.
+   about ``BLOCK`` members: the members outside the largest component meet the blocks of that
+   component and one another. Pairs are estimated inside the task and only likely ones come out to
+   be verified. So every pair that shares a band value is either linked, in one component already,
+   or found dissimilar.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6, less above it.
 
@@ -215,13 +216,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = F.coalesce("component", "doc_id").alias("component")
     labelled = members.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", "n", label)
     labelled = cut_lineage(labelled, "labelled")
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    left = labelled.join(cut_lineage(mixed, "mixed"), "band", "left_semi")
-    left = left.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # a member meets every block of its band value once: it stands on the left of the blocks up to its own
-    pairs_of = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    placed = left.select("band", "doc_id", "component", "block", pairs_of.alias("other"))
-    placed = placed.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("is_left"), "doc_id", "component")
+    parts = labelled.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
+    mixed = parts.groupBy("band").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.select("band", F.col("top.component").alias("main"), blocks_of(F.col("top.c")).alias("main_blocks"), blocks_of(F.col("n") - F.col("top.c")).alias("other_blocks"))
+    left = labelled.join(cut_lineage(mixed, "mixed"), "band")
+    # members of the largest component need not meet each other: each stands in one of its blocks (numbered
+    # -1, -2, ...) and meets the blocks of the others there; the others meet all those and one another
+    is_main = F.col("component") == F.col("main")
+    left = left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.when(is_main, F.col("main_blocks")).otherwise(F.col("other_blocks"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    seat = lambda lo, hi, is_left: F.struct(lo.alias("lo"), hi.alias("hi"), is_left.alias("is_left"))
+    main_seats = F.transform(upto("other_blocks"), lambda o: seat(-F.col("block") - 1, o, F.lit(True)))
+    other_seats = F.concat(
+        F.transform(upto("main_blocks"), lambda m: seat(-m - 1, F.col("block"), F.lit(False))),
+        F.transform(upto("other_blocks"), lambda o: seat(F.least("block", o), F.greatest("block", o), F.col("block") <= o)),
+    )
+    placed = left.select("band", "doc_id", "component", F.explode(F.when(is_main, main_seats).otherwise(other_seats)).alias("seat"))
+    placed = placed.select("band", "seat.*", "doc_id", "component")
     placed = placed.join(size.withColumnRenamed("n", "n_shingles"), "doc_id")
     row = F.struct("doc_id", "component", "n_shingles", "registers")
     blocks = placed.groupBy("band", "lo", "hi").agg(
