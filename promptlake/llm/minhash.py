@@ -15,9 +15,9 @@ A document's set is its distinct k-word shingles (lower-cased A-Z; a shorter tex
 5. The rest is verified on the full sets, and components of the verified links are found.
 6. Band values whose members still lie in several components are gone through in blocks of
    about ``BLOCK`` members: the members outside the largest component meet the blocks of that
-   component and one another. Pairs are estimated inside the task and only likely ones come out to
-   be verified. So every pair that shares a band value is either linked, in one component already,
-   or found dissimilar.
+   component and one another. Pairs are estimated and the likely ones verified inside the task, in
+   the first band they share, and only links come out. So every pair that shares a band value is
+   either linked, in one component already, or found dissimilar.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**32 < 6e-6, less above it.
 
@@ -148,24 +148,84 @@ def _likely(threshold: float):
     return run
 
 
-def _likely_in_block(threshold: float):
-    """Members of block pairs -> likely pairs of different components, each pair once per block."""
+def _sets(k: int):
+    """Rows with texts -> their sets as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not left or not (right is None or right):
+            for a, b, sets in _lower_sets(batch.column(1), k):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "shingles"])
+
+    return run
+
+
+def _block_links(rows: pa.Table, threshold: float, percent: int) -> list[tuple[int, int]]:
+    """Verified links between members of one block pair that lie in different components.
+
+    A pair that shares an earlier band is left to the block of that band. Likely pairs are verified
+    best first; once two components are joined here, their other pairs need no check."""
+    band, lo, hi = (rows.column(c)[0].as_py() for c in ("band", "lo", "hi"))
+    ids, comp, n = (rows.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+    left = rows.column("is_left").to_numpy()
+    regs = _registers(rows.column("registers"))
+    sets = rows.column("shingles").combine_chunks()
+    ok = (comp[:, None] != comp[None, :]) & (np.minimum.outer(n, n) >= threshold * np.maximum.outer(n, n))
+    ok &= (ids[:, None] < ids[None, :]) if lo == hi else (left[:, None] & ~left[None, :])
+    i, j = np.nonzero(ok)
+    if len(i) == 0:
+        return []
+    at = int(np.flatnonzero(_bands(regs[:1])[0] == band)[0])
+    earlier = regs[:, : ROWS * at].reshape(len(regs), at, ROWS)
+    likely = []
+    for s in range(0, len(i), 5_000):
+        p, q = i[s : s + 5_000], j[s : s + 5_000]
+        new = ~(earlier[p] == earlier[q]).all(axis=2).any(axis=1)
+        p, q = p[new], q[new]
+        est = estimate(regs[p], regs[q], n[p], n[q])
+        likely += [(-e, x, y) for e, x, y in zip(est, p, q, strict=True) if e >= threshold - MARGIN]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    links = []
+    for _, x, y in sorted(likely):
+        cx, cy = find(int(comp[x])), find(int(comp[y]))
+        if cx != cy:
+            u, v = (np.frombuffer(sets[int(k)].as_py(), dtype=np.uint64) for k in (x, y))
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            if 100 * both >= percent * (len(u) + len(v) - both):
+                root[cx] = cy
+                links.append((int(ids[x]), int(ids[y])))
+    return links
+
+
+def _links_in_blocks(threshold: float, percent: int):
+    """Rows sorted by block pair -> links; holds the rows of one block pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def flush():
+            links = _block_links(pa.Table.from_batches(held), threshold, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
                     continue
-                x, y = ({k: [m[k] for m in side] for k in ("doc_id", "component", "n_shingles", "registers")} for side in (left, right or left))
-                ids, comp, n = ([np.array(s[k]) for s in (x, y)] for k in ("doc_id", "component", "n_shingles"))
-                regs = [np.frombuffer(b"".join(s["registers"]), dtype=np.uint16).reshape(-1, M) for s in (x, y)]
-                ok = (comp[0][:, None] != comp[1][None, :]) & (np.minimum.outer(n[0], n[1]) >= threshold * np.maximum.outer(n[0], n[1]))
-                i, j = np.nonzero(ok & (ids[0][:, None] < ids[1][None, :]) if right is None else ok)
-                for s in range(0, len(i), 10_000):
-                    p, q = i[s : s + 10_000], j[s : s + 10_000]
-                    good = estimate(regs[0][p], regs[1][q], n[0][p], n[1][q]) >= threshold - MARGIN
-                    a, b = ids[0][p[good]], ids[1][q[good]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                if held and key != tuple(keys[a]):
+                    yield flush()
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield flush()
 
     return run
 
@@ -234,13 +294,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     placed = left.select("band", "doc_id", "component", F.explode(F.when(is_main, main_seats).otherwise(other_seats)).alias("seat"))
     placed = placed.select("band", "seat.*", "doc_id", "component")
-    placed = placed.join(size.withColumnRenamed("n", "n_shingles"), "doc_id")
-    row = F.struct("doc_id", "component", "n_shingles", "registers")
-    blocks = placed.groupBy("band", "lo", "hi").agg(
-        F.collect_list(F.when(F.col("is_left"), row)).alias("left"), F.collect_list(F.when(~F.col("is_left"), row)).alias("right")
-    )
-    blocks = blocks.select("left", F.when(F.col("lo") < F.col("hi"), F.col("right")).alias("right"))
-    more = verify(blocks.mapInArrow(_likely_in_block(threshold), "a long, b long"), "blocks")
+    placed = cut_lineage(placed, "placed")
+    ids = placed.select("doc_id").distinct()
+    sets = src.join(broadcast_checked(ids, "left_ids"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    sets = size.withColumnRenamed("n", "n_shingles").join(sets, "doc_id").where(F.octet_length("shingles") == 8 * F.col("n_shingles"))
+    rows = placed.join(cut_lineage(sets, "left_sets"), "doc_id").select("band", "lo", "hi", "is_left", "doc_id", "component", "n_shingles", "registers", "shingles")
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    more = cut_lineage(rows.mapInArrow(_links_in_blocks(threshold, percent), "a long, b long"), "block_links")
     labels = components(linked.union(more))
 
     of_class = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
