@@ -128,10 +128,14 @@ def _index_shard(rows: list[pa.RecordBatch], size: int) -> pa.RecordBatch:
     windows = lengths - size + 1
     of = np.repeat(np.arange(len(lengths)), windows)
     begin = np.repeat(np.cumsum(lengths) - lengths, windows) + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    # a window that several segments hold is searched once
-    _, once, which = np.unique(window_hash(symbols.view(np.uint64), size)[begin], return_index=True, return_inverse=True)
-    lo, hi = index.search(codes, begin[once] + size, size)
-    least = index.least(lo, hi, t.column("doc_id").to_numpy())[which]
+    # a window whose hash occurs once has its own document only; the others are searched once each
+    _, once, which, n = np.unique(window_hash(symbols.view(np.uint64), size)[begin], return_index=True, return_inverse=True, return_counts=True)
+    docs = t.column("doc_id").to_numpy()
+    own = docs[of[once]]
+    again = n > 1
+    lo, hi = index.search(codes, begin[once[again]] + size, size)
+    own[again] = index.least(lo, hi, docs)
+    least = own[which]
     offsets = pa.array(np.concatenate(([0], np.cumsum(windows))), pa.int32())
     cols = [t.column(c).combine_chunks() for c in ("fp", "seg", "shift")]
     return pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(offsets, pa.array(least))], names=["fp", "seg", "shift", "firsts"])
