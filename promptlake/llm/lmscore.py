@@ -1,14 +1,18 @@
 """Cross-entropy difference between matched target and background bigram models.
 
-Both models share one vocabulary (the ``vocab`` most frequent words of all documents, ties by word,
-all others one unknown word), order and smoothing: Pr(w | v) = (c(v, w) + mu * Pr(w)) / (c(v) + mu)
-with Pr(w) = (c(w) + 1) / (n + vocab + 2). Target counts come from the documents named as target,
-background counts from all documents. A token's loss difference is ln Pr_background(w | v) -
+Both models share one vocabulary, all words of all documents (or, if ``vocab`` is given, only the
+``vocab`` most frequent ones, ties by word, all others one unknown word), order and smoothing:
+Pr(w | v) = (c(v, w) + mu * Pr(w)) / (c(v) + mu) with Pr(w) = (c(w) + 1) / (n + words + 2), ``words``
+being the size of the vocabulary. Target counts come from the documents named as target, background
+counts from all documents. A token's loss difference is ln Pr_background(w | v) -
 ln Pr_target(w | v), and a document's score is its mean: the lower, the more like the target.
 
-Words are counted over all texts, summed per task before they are shuffled. Bigram counts are
-sums over (vocab + 2)**2 cells at most, whatever the corpus, so the table of loss differences has
-a fixed size (8 MB for 1022 words) and is broadcast; scoring is map only.
+The models grow with the corpus and are never in one place. Documents are written in blocks of
+about ``BLOCK_BYTES`` of text. A block sums its words, contexts and bigrams, each named by a 63-bit
+hash, and sends the sorted names and sums to buckets of the names, one row per bucket. A bucket adds
+up the rows of all blocks and sends totals back for the names that occur in several blocks; the
+others have the sums the block knows. Then each block scores its documents. A name stands once in a
+block's rows however frequent it is, and only the numbers of words and tokens reach the driver.
 
 Defined results: null and empty texts have no tokens and a null score; a null id is never a target;
 rows with equal ids are all target or all not, and each is counted; without target documents the
@@ -21,14 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import broadcast_checked
 from ..session import cut_lineage
-from ._words import Words, chunks
+from ._words import Words, chunks, mix
 
 HELD = 1_000_000  # entries a task sums up before it passes them on
+BLOCK_BYTES = 3 << 20  # text bytes of a block
+BUCKETS = 256  # of names, at least; from that many blocks on one per block, about a million names each
+_U = np.uint64
+_UNKNOWN, _START = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,104 +61,173 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _coder(vocabulary: list[str]):
-    """Function from a run of texts to its codes (0: unknown) and the contexts of each."""
-    text = pa.array(vocabulary, pa.string())
-    (_, _, buf, off), = list(chunks(text, 1 << 40)) or [(0, 0, np.empty(0, np.uint8), np.zeros(1, np.int64))]
-    hashes = Words(buf, off).hash
-    order = np.argsort(hashes)
-    sorted_ = hashes[order]
-    start = len(vocabulary) + 1
+def _vocabulary_hashes(vocabulary: list[str]) -> np.ndarray:
+    parts = [Words(buf, off).hash for _, _, buf, off in chunks(pa.array(vocabulary, pa.string()))]
+    return np.sort(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
 
-    def code(w: Words) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(sorted_, w.hash)
-        at[at == len(sorted_)] = 0
-        known = sorted_[at] == w.hash if len(sorted_) else np.zeros(len(at), dtype=bool)
-        codes = np.where(known, order[at] + 1, 0) if len(sorted_) else np.zeros(len(at), dtype=np.int64)
-        context = np.empty(len(codes), dtype=np.int64)
-        context[1:] = codes[:-1]
-        firsts = w.bounds[:-1][w.bounds[:-1] < w.bounds[1:]]
-        context[firsts] = start
-        return codes, context
 
-    return code
+def _tokens(text: pa.Array, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the bigram, the word and the context of every token, and the tokens of each text.
 
+    Names of bigrams are odd, those of words even; a context has the name of its word."""
+    hashes, contexts, sizes = [], [], []
+    for _, _, buf, off in chunks(text):
+        w = Words(buf, off, lower=True)
+        h = w.hash if known is None else np.where(np.isin(w.hash, known), w.hash, _UNKNOWN)
+        context = np.empty(len(h), dtype=np.uint64)
+        context[1:] = h[:-1]
+        context[w.bounds[:-1][w.bounds[:-1] < w.bounds[1:]]] = _START
+        hashes.append(h)
+        contexts.append(context)
+        sizes.append(np.diff(w.bounds))
+    h, context = np.concatenate(hashes), np.concatenate(contexts)
+    bigram = mix(mix(context ^ _U(0x9FB21C651E98DF25)) + h) | _U(1)
+    word, context = (mix(x ^ _U(0xD6E8FEB86659FD93)) & ~_U(1) for x in (h, context))
+    return np.concatenate((bigram, word, context)), h, np.concatenate(sizes)
 
-def _bigram_counts(vocabulary: list[str]):
-    side = len(vocabulary) + 2
+
+def _sums(names: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names, where each of ``names`` is among them, and four sums of each.
+
+    Sums: as a bigram or word in target documents and in all, as a context in both."""
+    found, which = np.unique(names, return_inverse=True)
+    n, k = len(target), len(found)
+    own, context = which[: 2 * n], which[2 * n :]
+    sums = [np.bincount(own, np.tile(target, 2), k), np.bincount(own, minlength=k), np.bincount(context, target, k), np.bincount(context, minlength=k)]
+    return found, which, np.stack(sums, axis=1).astype(np.int64)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Values byte by byte: the zeros of the high bytes stand together."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _values(x: bytes, n: int) -> np.ndarray:
+    """Rows of ``n`` 64-bit values back from their bytes."""
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8 * n, -1).T).view(np.int64)
+
+
+def _cuts(found: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of sorted names starts."""
+    return np.concatenate(([0], np.searchsorted(found, np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)), [len(found)]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their block in front."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        for a, b, buf, _ in chunks(batch.column(1)):
+            if size and size + len(buf) > BLOCK_BYTES:
+                block, size = block + 1, 0
+            size += len(buf)
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), *part.columns], names=["block", "doc_id", "text", "is_target"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Runs of rows with one value of the first column."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        s = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if s[a] != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = s[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def _requests(known: np.ndarray | None, buckets: int):
+    """Sums of the names of each block; a block that is read in two parts sends two rows to a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = _coder(vocabulary)
-        held = np.zeros((0, 3), dtype=np.int64)
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[:, i])) for i in range(3)], names=["cell", "n_target", "n_all"])
-
-        for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b, buf, off in chunks(batch.column(0)):
-                w = Words(buf, off, lower=True)
-                codes, context = code(w)
-                target = np.repeat(flags[a:b], np.diff(w.bounds))
-                cell = np.concatenate((held[:, 0], context * side + codes))
-                cells, which = np.unique(cell, return_inverse=True)
-                sums = np.zeros((len(cells), 3), dtype=np.int64)
-                sums[:, 0] = cells
-                sums[:, 1] = np.bincount(which, np.concatenate((held[:, 1], target)), len(cells))
-                sums[:, 2] = np.bincount(which, np.concatenate((held[:, 2], np.ones(len(codes), dtype=np.int64))), len(cells))
-                held = sums
-                if len(held) > HELD:
-                    yield out()
-                    held = held[:0]
-        if len(held):
-            yield out()
+        for block, t in _runs(batches):
+            names, h, sizes = _tokens(t.column("text").combine_chunks(), known)
+            target = np.repeat(t.column("is_target").to_numpy(), sizes).astype(np.int64)
+            found, _, sums = _sums(names, target)
+            cuts = _cuts(found, buckets)
+            live = np.flatnonzero(cuts[:-1] < cuts[1:])
+            packed = [(_planes(np.diff(found[a:b], prepend=_U(0))), _planes(sums[a:b])) for a, b in zip(cuts[live], cuts[live + 1], strict=True)]
+            cols = [pa.array(live), pa.array(np.full(len(live), block)), *(pa.array([x[j] for x in packed], pa.binary()) for j in (0, 1))]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "block", "names", "sums"])
 
     return run
 
 
-def log_probabilities(counts: np.ndarray, mu: float) -> np.ndarray:
-    """ln Pr(w | v) of a square table of counts c(v, w); the last code is the start, never a word."""
-    single = counts.sum(axis=0)
-    unigram = (single + 1) / (single.sum() + len(counts))
-    return np.log((counts + mu * unigram) / (counts.sum(axis=1, keepdims=True) + mu))
+def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block marks and totals of its names that others hold too, and a row (block -1) with the words and tokens of a bucket."""
+    for bucket, t in _runs(batches):
+        parts = [np.cumsum(_values(x, 1).view(np.uint64).ravel(), dtype=np.uint64) for x in t.column("names").to_pylist()]
+        values = np.concatenate([_values(x, 4) for x in t.column("sums").to_pylist()])
+        found, which, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        totals = np.stack([np.bincount(which, values[:, i], len(found)) for i in range(4)], axis=1).astype(np.int64)
+        words = totals[((found & _U(1)) == 0) & (totals[:, 1] > 0)]
+        rows = [(-1, bucket, b"", b"", len(words), int(words[:, 0].sum()), int(words[:, 1].sum()))]
+        own: dict[int, np.ndarray] = {}
+        at = 0
+        for block, names in zip(t.column("block").to_pylist(), parts, strict=True):
+            place = which[at : at + len(names)]
+            at += len(names)
+            own[block] = np.union1d(own[block], place) if block in own else place
+        for block, place in own.items():
+            again = times[place] > 1
+            if again.any():
+                rows.append((block, bucket, np.packbits(again).tobytes(), _planes(totals[place[again]]), 0, 0, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), REPLY.types, strict=True)], schema=REPLY)
+
+
+REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("marks", pa.binary()), ("sums", pa.binary()), ("words", pa.int64()), ("n_target", pa.int64()), ("n_all", pa.int64())])
+
+
+def _score(known: np.ndarray | None, n_words: int, n_tokens: tuple[int, int], mu: float, buckets: int):
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        names, h, n = _tokens(docs.column("text").combine_chunks(), known)
+        target = np.repeat(docs.column("is_target").to_numpy(), n).astype(np.int64)
+        found, which, sums = _sums(names, target)
+        cuts = _cuts(found, buckets)
+        for i, x, y in zip(*(replies.column(c).to_pylist() for c in ("bucket", "marks", "sums")), strict=True):
+            again = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cuts[i + 1] - cuts[i])).astype(bool)
+            sums[cuts[i] + np.flatnonzero(again)] = _values(y, 4)
+        bigram, word, context = which.reshape(3, -1)
+        loss = np.zeros(len(h))
+        for i, sign in ((0, -1), (1, 1)):
+            unigram = (sums[word, i] + 1) / (n_tokens[i] + n_words + 2)
+            loss += sign * np.log((sums[bigram, i] + mu * unigram) / (sums[context, i + 2] + mu))
+        mean = np.bincount(np.repeat(np.arange(len(n)), n), loss, len(n)) / np.maximum(n, 1)
+        return pa.table([docs.column("doc_id"), pa.array(n), docs.column("is_target"), pa.array(mean, mask=n == 0)], names=["doc_id", "n_tokens", "is_target", "score"])
+
+    return run
 
 
 def cross_entropy_difference(
-    docs: DataFrame, target_ids: DataFrame, vocab: int = 1022, mu: float = 100.0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, target_ids: DataFrame, vocab: int | None = None, mu: float = 100.0, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, is_target, score. ``target_ids``: one column of ids."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    counted = src.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    vocabulary = [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(vocab).collect()]  # the size of the model
+    known = None
+    if vocab is not None:
+        counted = src.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        known = _vocabulary_hashes([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(vocab).collect()])
 
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("doc_id")).where("doc_id is not null").distinct()
     ids = broadcast_checked(ids.withColumn("is_target", F.lit(True)), "targets")
     flagged = src.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    cells = flagged.select("text", "is_target").mapInArrow(_bigram_counts(vocabulary), "cell long, n_target long, n_all long")
-    cells = cut_lineage(cells.groupBy("cell").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all")), "bigrams")
-
-    side = len(vocabulary) + 2
-    got = cells.toPandas()  # side * side rows at most
-    tables = []
-    for col in ("n_target", "n_all"):
-        c = np.zeros(side * side)
-        c[got["cell"].to_numpy()] = got[col].to_numpy()
-        tables.append(log_probabilities(c.reshape(side, side), mu))
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, tables[1] - tables[0]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, difference = shared.value
-        code = _coder(words)
-        for batch in batches:
-            for a, b, buf, off in chunks(batch.column(1)):
-                w = Words(buf, off, lower=True)
-                codes, context = code(w)
-                loss = difference[context, codes]
-                n = np.diff(w.bounds)
-                total = np.bincount(np.repeat(np.arange(b - a), n), loss, b - a)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), part.column(2), mean], names=["doc_id", "n_tokens", "is_target", "score"])
-
     kind = dict(flagged.dtypes)["doc_id"]
-    return flagged.select("doc_id", "text", "is_target").mapInArrow(score, f"doc_id {kind}, n_tokens long, is_target boolean, score double")
+    blocks = cut_lineage(flagged.mapInArrow(_blocks, f"block long, doc_id {kind}, text string, is_target boolean"), "blocks")
+    n_blocks = blocks.select("block").distinct().count()
+    buckets = max(BUCKETS, n_blocks)
+    requests = blocks.select("block", "text", "is_target").mapInArrow(_requests(known, buckets), "bucket long, block long, names binary, sums binary")
+    dealt = requests.repartition(max(min(buckets, n_blocks), 1), "bucket").sortWithinPartitions("bucket")
+    replies = cut_lineage(dealt.mapInArrow(_replies, "block long, bucket long, marks binary, sums binary, words long, n_target long, n_all long"), "totals")
+
+    size = replies.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n_target", "n_all")]).first()
+    score = _score(known, size["words"] if known is None else len(known), (size["n_target"], size["n_all"]), mu, buckets)
+    replies = replies.where("block >= 0").select("block", "bucket", "marks", "sums")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, is_target boolean, score double")

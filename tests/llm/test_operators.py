@@ -400,3 +400,13 @@ def test_substrings(docs, rows, none, hot):
     same(out, ["doc_id", "n_words", "n_removed", "kept_text"], list(brute_substrings(rows, 13)))
     if hot == 1:
         assert dedup_substrings(none).count() == 0
+
+
+def test_cross_entropy_difference_scores_rare_words(spark):
+    """Every word is a word of the models, not only the 1022 most frequent ones."""
+    from promptlake.llm.lmscore import cross_entropy_difference
+
+    common = " ".join(f"c{i}" for i in range(1500) for _ in range(3))
+    rows = [(0, common), (1, "rare gold words"), (2, "rare gold words"), (3, "rare dull words"), (4, "rare dull words")]
+    got = {r.doc_id: r.score for r in cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert got[2] < got[4] - 0.001
