@@ -37,8 +37,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and documents of which nothing but blanks is left by that."""
-    out = dedup_lines(docs)
+    """Later repeated runs of three lines or over 50 words go, and documents of which nothing but blanks is left by that."""
+    out = dedup_lines(docs, words=50)
     return _with_text(out.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines"))), docs, "text")
 
 

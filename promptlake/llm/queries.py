@@ -195,7 +195,7 @@ FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN n USING (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), words=50)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

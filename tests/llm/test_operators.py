@@ -410,3 +410,19 @@ def test_cross_entropy_difference_scores_rare_words(spark):
     rows = [(0, common), (1, "rare gold words"), (2, "rare gold words"), (3, "rare dull words"), (4, "rare dull words")]
     got = {r.doc_id: r.score for r in cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1,)], "doc_id long")).collect()}
     assert got[2] < got[4] - 0.001
+
+
+def test_line_dedup_finds_long_passages_on_few_lines(spark):
+    """A repeated passage of over 50 words goes, also from one or two lines, to its last short line."""
+    from promptlake.llm.linededup import dedup_lines
+
+    long = " ".join(f"w{i}" for i in range(52))
+    half, rest = (" ".join(f"{x}{i}" for i in range(30)) for x in "hr")
+    rows = [
+        (0, long), (1, "own start\n" + long + "\nown end"), (2, half + "\n" + rest + "\nfirst"), (3, "other\n" + half + "\n\n" + rest + "\nsecond"),
+        (4, long + "\ntail"), (5, "new\n" + long + "\ntail\nnew end"), (6, half + "\nalone"), (7, " ".join(f"w{i}" for i in range(50))),
+        (8, "a\nb\nc\n" + rest), (9, "z\na\nb\nc\ny"), (10, long + "\nx\ny"), (11, long + "\nx\ny\nq"),
+    ]
+    want = {0: long, 1: "own start\nown end", 2: rows[2][1], 3: "other\n\nsecond", 4: "tail", 5: "new\nnew end", 6: rows[6][1], 7: rows[7][1], 8: rows[8][1], 9: "z\ny", 10: "x\ny", 11: "q"}
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), words=50).collect()}
+    assert got == want
