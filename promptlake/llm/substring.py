@@ -8,7 +8,9 @@ also start in a document with a smaller id is removed.
 2. Consecutive windows with one shared minimizer form a segment: (minimizer, hash of its words).
    Equal segments are collapsed to the smallest document before their words are fetched.
 3. Segments are dealt to shards by minimizer, so all windows that could match meet in one shard; a
-   minimizer with very many different segments is dealt window by window instead. A shard builds
+   minimizer with very many different segments is handled window by window instead: the smallest
+   document of each window is found by partial aggregation over a 128-bit hash of its words and
+   joined back from written tables, so a window that is everywhere is never in one task. A shard builds
    a compressed FM-index (wavelet matrix) over its segments and searches all their windows
    backward; the match of full length gives the rows, and the rows the smallest document.
 4. Those first documents go back to all segments, and intervals with an earlier document to the
@@ -34,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from ._words import Words, chunks, window_hash
+from ._words import Words, chunks, mix, window_hash
 from .fmindex import FMIndex
 
 MINIMIZER = 6  # words
 SHARD_SEGMENTS = 12_000
-HOT_SEGMENTS = 4_000  # different segments of one minimizer beyond which its windows are dealt singly
+HOT_SEGMENTS = 4_000  # different segments of one minimizer beyond which its windows are handled singly
 NO_ID = (1 << 63) - 1
+SECOND = np.uint64(0xA0761D6478BD642F)  # of the second hash of a window
 OUT = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
@@ -87,8 +90,8 @@ def _emit(size: int, k: int, full: bool):
     return run
 
 
-def _payloads(size: int):
-    """Documents with their first segments -> words of each segment (hot ones: of each window)."""
+def _payloads(size: int, hot: bool):
+    """Documents with their first segments -> words of each segment; ``hot``: hashes of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,21 +100,23 @@ def _payloads(size: int):
                 own = batch.column(2).slice(a, b - a)
                 n = pc.list_value_length(own).to_numpy()
                 s = own.flatten()
-                fp, seg, start, count, hot = (s.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                fp, seg, start, count = (s.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 doc = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), n)
                 base = np.repeat(w.bounds[:-1], n) + start
-                each = np.where(hot, count, 1)
-                row = np.repeat(np.arange(len(fp)), each)
-                shift = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
-                begin, windows = (base[row] + shift), np.where(hot[row], 1, count[row])
-                length = windows + size - 1
+                if hot:
+                    row = np.repeat(np.arange(len(fp)), count)
+                    shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                    k1, k2 = (window_hash(h, size)[base[row] + shift].view(np.int64) for h in (w.hash, mix(w.hash ^ SECOND)))
+                    cols = [k1, k2, fp[row], seg[row], shift.astype(np.int32), doc[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "fp", "seg", "shift", "doc_id"])
+                    continue
+                length = count + size - 1
                 at = np.cumsum(length) - length
-                words = w.hash[np.repeat(begin - at, length) + np.arange(int(length.sum()))]
-                key = np.where(hot[row], window_hash(w.hash, size)[np.minimum(begin, max(len(w.hash) - size, 0))].view(np.int64), fp[row]) if len(row) else fp[:0]
-                offsets = pa.array(np.append(at, at[-1] + length[-1]) if len(row) else [0], pa.int32())
+                words = w.hash[np.repeat(base - at, length) + np.arange(int(length.sum()))]
+                offsets = pa.array(np.append(at, at[-1] + length[-1]) if len(at) else [0], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(fp[row]), pa.array(seg[row]), pa.array(shift.astype(np.int32)), pa.array(doc[row]), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))],
-                    names=["key", "fp", "seg", "shift", "doc_id", "words"],
+                    [pa.array(fp), pa.array(seg), pa.array(np.zeros(len(fp), dtype=np.int32)), pa.array(doc), pa.ListArray.from_arrays(offsets, pa.array(words.view(np.int64)))],
+                    names=["fp", "seg", "shift", "doc_id", "words"],
                 )
 
     return run
@@ -203,14 +208,23 @@ def dedup_substrings(docs: DataFrame, size: int = 13, id_col: str = "doc_id", te
     first = cut_lineage(first.select("fp", "seg", "count", "at.*"), "distinct_segments")
     crowded = first.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_segments).select("fp", F.lit(True).alias("hot"))
     first = first.join(cut_lineage(crowded, "crowded"), "fp", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    of_doc = first.groupBy(*one).agg(F.collect_list(F.struct("fp", "seg", "start", "count", "hot")).alias("segments"))
-    of_doc = cut_lineage(of_doc, "segments_of_documents")
-    payloads = src.join(of_doc, one).select("doc_id", "text", "segments")
-    payloads = payloads.mapInArrow(_payloads(size), "key long, fp long, seg long, shift int, doc_id long, words array<long>")
-    shards = max(1, -(-first.count() // shard_segments))
-    dealt = payloads.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "fp", "seg", "shift", "doc_id", "words")
+    row = "fp long, seg long, shift int, doc_id long"
+
+    def payloads(some: DataFrame, hot: bool) -> DataFrame:
+        of_doc = some.groupBy(*one).agg(F.collect_list(F.struct("fp", "seg", "start", "count")).alias("segments"))
+        of_doc = cut_lineage(of_doc, "segments_of_documents")
+        out = src.join(of_doc, one).select("doc_id", "text", "segments")
+        return out.mapInArrow(_payloads(size, hot), f"k1 long, k2 long, {row}" if hot else f"{row}, words array<long>")
+
+    windows = cut_lineage(payloads(first.where("hot"), True), "hot_windows")
+    least = cut_lineage(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")), "hot_firsts")
+    hot_found = windows.join(least, ["k1", "k2"]).select("fp", "seg", "shift", F.array("first").alias("firsts"))
+
+    shards = max(1, -(-first.where("not hot").count() // shard_segments))
+    dealt = payloads(first.where("not hot"), False).withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).select("shard", "fp", "seg", "shift", "doc_id", "words")
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard")
-    found = cut_lineage(dealt.mapInArrow(_search(size), "fp long, seg long, shift int, firsts array<long>"), "first_documents")
+    found = dealt.mapInArrow(_search(size), "fp long, seg long, shift int, firsts array<long>")
+    found = cut_lineage(found.unionByName(hot_found), "first_documents")
 
     hit = places.join(found, ["fp", "seg"])
     earlier = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.col("start") + F.col("shift") + i)), lambda x: x.isNotNull())

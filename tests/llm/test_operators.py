@@ -426,3 +426,18 @@ def test_line_dedup_finds_long_passages_on_few_lines(spark):
     want = {0: long, 1: "own start\nown end", 2: rows[2][1], 3: "other\n\nsecond", 4: "tail", 5: "new\nnew end", 6: rows[6][1], 7: rows[7][1], 8: rows[8][1], 9: "z\ny", 10: "x\ny", 11: "q"}
     got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), words=50).collect()}
     assert got == want
+
+
+def test_substrings_hot_windows_are_one_row_each(spark, monkeypatch):
+    """A phrase in many surroundings is reduced to one row before its first document is looked up."""
+    from promptlake.llm import substring
+
+    tables = {}
+    cut = substring.cut_lineage
+    monkeypatch.setattr(substring, "cut_lineage", lambda df, name: tables.setdefault(name, cut(df, name)))
+    phrase = " ".join(f"p{i}" for i in range(14))
+    rows = [(i, f"a{i} b{i} {phrase} c{i} d{i}") for i in range(60)]
+    out = substring.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), hot_segments=5)
+    same(out, ["doc_id", "n_words", "n_removed", "kept_text"], list(brute_substrings(rows, 13)))
+    firsts = tables["hot_firsts"]
+    assert firsts.where("first = 0").count() >= 2 and firsts.count() == firsts.select("k1", "k2").distinct().count()
