@@ -6,8 +6,7 @@ line starts one window and ends one, the shortest: these cover every repeated pa
 lines or of more than ``words`` words, also one that stands on a single line. The smallest line hash of a window (ties: the first) is its fingerprint, so every repeated
 passage of that size shares a fingerprint with its copies at the same place. Fingerprints
 that occur at one place only end there. The windows around the others are joined with the first
-place where their whole line sequence occurs; adjoining windows extend a match both ways to its
-full length, and the lines of all later copies are deleted. Exactly those lines go that a window
+place where their whole line sequence occurs; adjoining windows are united, and the lines of all later copies are deleted. Exactly those lines go that a window
 covers whose lines also occur at an earlier place (smaller id, or earlier in the same text).
 
 DataFrame functions only. Fingerprints and windows are aggregated with partial sums before they
