@@ -46,7 +46,7 @@ BASE = 1.001
 RATE = 20.0
 TOP = 65534
 BLOCK = 128
-MARGIN = 0.15  # a pair whose estimate is this far below the threshold is dropped: over 4 standard errors
+MARGIN = 0.20  # a pair whose estimate is this far below the threshold is dropped: over 5 standard errors
 _U = np.uint64
 SKETCH = "doc_id long, n_shingles long, set_hash binary, registers binary, bands array<long>"
 

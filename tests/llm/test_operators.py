@@ -441,3 +441,11 @@ def test_substrings_hot_windows_are_one_row_each(spark, monkeypatch):
     same(out, ["doc_id", "n_words", "n_removed", "kept_text"], list(brute_substrings(rows, 13)))
     firsts = tables["hot_firsts"]
     assert firsts.where("first = 0").count() >= 2 and firsts.count() == firsts.select("k1", "k2").distinct().count()
+
+
+def test_near_duplicate_margin():
+    """The estimate drops a pair at the threshold no more often than the bands (registers taken as independent)."""
+    from promptlake.llm.minhash import MARGIN, M
+
+    below = sum(math.comb(M, k) * 0.75**k * 0.25 ** (M - k) for k in range(math.ceil(M * (0.75 - MARGIN))))
+    assert below < 6e-6
