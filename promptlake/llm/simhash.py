@@ -6,15 +6,17 @@ half the XXH64 hashes (seed 42) of the shingles. Fingerprints link at ``DISTANCE
 differing bits.
 
 Search: a fingerprint is four segments of 16 bits. By the pigeonhole principle two fingerprints at
-four or fewer differing bits either agree in one segment and differ by at most one bit in another,
-or differ by exactly one bit in every segment. "At most one bit" is found with the perfect binary
-Golay code (23, 12): a segment, filled up with zeros, has exactly one codeword within three bits,
-its own; a segment one bit away has that codeword within four bits. Within four bits there are one
-or six codewords, so a segment files itself under its own codeword and looks under one or six.
+four or fewer differing bits agree in two segments, or agree in one and differ by one bit in
+another, or differ by exactly one bit in every segment, so that one half of the third is equal. "One
+bit" is found with the perfect binary Golay code (23, 12): a segment, filled up with zeros, has
+exactly one codeword within three bits, its own; a segment one bit away has that codeword within
+four bits, and the other parity. Within four bits there are one or six codewords, so a segment files
+itself under its own codeword and parity and looks under one or six with the other parity.
 
 1. Documents with equal fingerprints collapse; only distinct fingerprints go on.
-2. A key is (one segment, codeword index of another), 12 of them, or the codeword indices of the
-   first two segments. A fingerprint files itself under 13 keys and looks under about 92.
+2. A key is two whole segments (6 of them), or a segment with the codeword index and parity of
+   another (12), or one half of the third with the codeword indices of the first two and the
+   parities of all (2). A fingerprint files itself under 20 keys and looks under about 126.
 3. Whoever looks under a key meets the smallest fingerprint filed there (a star), and links are
    verified by the bits; these links give first components.
 4. Keys with several files whose members are still in several components are gone through in blocks
@@ -48,8 +50,8 @@ SEED = 42
 BLOCK = 2048  # members of a key on either side that are compared at once
 SLICE = 1 << 16  # shingles hashed at once
 GENERATOR = 0b110001110101  # Fixed value: generator polynomial of the binary Golay code, degree 11
-_PAIRS = list(permutations(range(4), 2))  # (equal segment, segment within one bit)
-_BOTH = len(_PAIRS)  # number of the key made of two codewords
+_EQUAL = list(combinations(range(4), 2))  # two equal segments
+_PAIRS = list(permutations(range(4), 2))  # an equal segment and one at one bit
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -126,15 +128,22 @@ def keys(f: np.ndarray, looks: bool) -> tuple[np.ndarray, np.ndarray]:
     """Keys of fingerprints and the position of the fingerprint of each: those it is filed under, or all it looks under."""
     u = f.view(np.uint64)
     part = np.stack([(u >> np.uint64(16 * i)).astype(np.int64) & 0xFFFF for i in range(4)], axis=1)
-    near, there = (NEARBY[part], IS_NEARBY[part]) if looks else (NEARBY[part][:, :, :1], IS_NEARBY[part][:, :, :1])
+    odd = (np.bitwise_count(part) & 1).astype(np.int64) ^ looks
+    at = slice(None) if looks else slice(1)
+    near, there = NEARBY[part][:, :, at], IS_NEARBY[part][:, :, at]
     out, ok = [], []
-    for tag, (i, j) in enumerate(_PAIRS):
-        out.append((tag << 32) | (part[:, i, None] << 12) | near[:, j])
+    for i, j in _EQUAL:
+        out.append((part[:, i, None] << 16) | part[:, j, None])
+        ok.append(np.ones((len(f), 1), dtype=bool))
+    for i, j in _PAIRS:
+        out.append((part[:, i, None] << 13) | (near[:, j] << 1) | odd[:, j, None])
         ok.append(there[:, j])
-    out.append(((_BOTH << 32) | (near[:, 0, :, None] << 12) | near[:, 1, None, :]).reshape(len(f), near.shape[2] ** 2))
-    ok.append((there[:, 0, :, None] & there[:, 1, None, :]).reshape(len(f), near.shape[2] ** 2))
+    both = (near[:, 0, :, None] << 16) | (near[:, 1, None, :] << 4) | (odd @ (1 << np.arange(4)))[:, None, None]
+    for half in (part[:, 2] & 0xFF, part[:, 2] >> 8):
+        out.append((both | (half << 28)[:, None, None]).reshape(len(f), near.shape[2] ** 2))
+        ok.append((there[:, 0, :, None] & there[:, 1, None, :]).reshape(len(f), near.shape[2] ** 2))
     row, _ = np.nonzero(mask := np.concatenate(ok, axis=1))
-    return np.concatenate(out, axis=1)[mask], row
+    return np.concatenate([(tag << 36) | k for tag, k in enumerate(out)], axis=1)[mask], row
 
 
 def _keyed(looks: bool):
@@ -192,7 +201,7 @@ def _links(found: DataFrame) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``found`` (f) that join all that are linked at all."""
     filed = found.mapInArrow(_keyed(False), "key long, f long")
     heads = cut_lineage(filed.groupBy("key").agg(F.min("f").alias("head"), F.count(F.lit(1)).alias("n_files")), "heads")
-    # most keys that are looked under hold nothing, or the looker alone; one row of a key is on the hashed side
+    # most keys that are looked under hold nothing, or the looker alone; the hashed side has one row per key
     looked = found.mapInArrow(_keyed(True), "key long, f long").join(heads.hint("shuffle_hash"), "key")
     looked = cut_lineage(looked.where("n_files > 1 or head <> f"), "looked")
     star = looked.where((F.col("head") != F.col("f")) & (_bits_apart("head", "f") <= DISTANCE)).select(F.col("head").alias("a"), F.col("f").alias("b"))
@@ -208,7 +217,7 @@ def _links(found: DataFrame) -> DataFrame:
         F.min("component").alias("low"), F.max("component").alias("high"), F.count_if("files").alias("n_files"), F.count_if(~F.col("files")).alias("n_looks")
     )
     blocks = [F.ceil(F.col(c) / BLOCK).cast("int").alias(b) for c, b in (("n_files", "file_blocks"), ("n_looks", "look_blocks"))]
-    left = members.join(cut_lineage(mixed.where("low < high").select("key", *blocks), "mixed"), "key")
+    left = members.join(cut_lineage(mixed.where("low < high and n_looks > 0").select("key", *blocks), "mixed"), "key")
     own = F.pmod(F.xxhash64("f"), F.when(F.col("files"), F.col("file_blocks")).otherwise(F.col("look_blocks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("files"), F.col("look_blocks")).otherwise(F.col("file_blocks")) - 1))
     left = left.withColumn("own", own).withColumn("other", other)
