@@ -272,3 +272,79 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
     return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+_LATER = "lpad(CAST(CAST(substr({x}, 1, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || '{edit}'"
+
+
+def _later(x: str, cost: str, edit: str) -> str:
+    """SQL: a state (nine digits of cost, then its edits) after one more edit."""
+    return _LATER.format(x=x, cost=cost, edit=edit)
+
+
+# the states after a row, then after insertions; null: not reached
+OP12_SQL = rf"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda h, c: list_reduce(list_prepend(xor(h, c), list_transform(range(8), lambda z: CAST(z AS BIGINT))), lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 20 AS fault
+  FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM o WHERE fault <> 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    CASE WHEN role = '' THEN ' ' ELSE substr(role, 1, 1) END AS c, regexp_replace(text, '[ 	-
+]+$', '') AS bare
+  FROM d
+), f AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND seen > 1 AS dup, bare <> '' AND seen = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS cut,
+    coalesce(lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM r
+), n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+    count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE illegal) AS illegal, count(*) AS n
+  FROM f GROUP BY conv_id
+), v AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS z, CAST(NULL AS VARCHAR) AS s, '000000003I' AS u, '000000006II' AS a FROM n
+  UNION ALL
+  SELECT conv_id, i, z, s, u, least(a, {_later("u", "3", "I")}) FROM (
+    SELECT conv_id, i, z, s, least(u, {_later("z", "3", "I")}, {_later("s", "3", "I")}, {_later("a", "3", "I")}) AS u, a FROM (
+      SELECT v.conv_id, f.i, {_later("z", "4", "D")} AS z,
+        least({_later("s", "4", "D")}, CASE WHEN NOT (blank OR dup) AND c = 's' THEN {_later("z", "3 * CAST(cut AS INT)", "K")} END) AS s,
+        least({_later("u", "4", "D")}, CASE WHEN NOT (blank OR dup) THEN least({_later("least(z, s, a)", "3 + 3 * CAST(cut AS INT)", "R")}, CASE WHEN c = 'u' THEN {_later("least(z, s, a)", "3 * CAST(cut AS INT)", "K")} END) END) AS u,
+        least({_later("a", "4", "D")}, CASE WHEN NOT (blank OR dup) THEN least({_later("u", "3 + 3 * CAST(cut AS INT)", "R")}, CASE WHEN c = 'a' THEN {_later("u", "3 * CAST(cut AS INT)", "K")} END) END) AS a
+      FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i + 1
+    )
+  )
+), best AS (
+  SELECT n.conv_id, CAST(substr(least(z, a), 1, 9) AS BIGINT) AS cost, substr(least(z, a), 10) AS audit FROM n JOIN v ON v.conv_id IS NOT DISTINCT FROM n.conv_id AND v.i = n.n
+), e AS (
+  SELECT conv_id, k, audit[k] AS edit, len(replace(audit[:k], 'I', '')) AS i, len(replace(audit[:k], 'D', '')) AS p, len(replace(audit, 'D', '')) % 2 AS leads
+  FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS k FROM best)
+), t AS (
+  SELECT e.conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (p + leads) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS text
+  FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i WHERE edit <> 'D' GROUP BY e.conv_id
+)
+SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM x.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM x.conv_id
+"""
+
+
+@register("op12_conversation_repair", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repair_conversations, text_digests
+
+    rows = table(spark, sf_dir, "conversations")
+    report, turns = repair_conversations(damaged(rows))
+    out = rows.select("conv_id").distinct()
+    for found in (report, text_digests(turns)):
+        found = found.withColumnRenamed("conv_id", "same")
+        out = out.join(found, F.col("conv_id").eqNullSafe(F.col("same")), "left").drop("same")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
