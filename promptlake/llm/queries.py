@@ -348,3 +348,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = out.join(found, F.col("conv_id").eqNullSafe(F.col("same")), "left").drop("same")
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@register("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import align
+
+    path = public_tokenizers.path
+    return align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))

@@ -30,7 +30,7 @@ def duck():
 
 def test_registered():
     names = list(Q.QUERIES)
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 11)) and len(names) == 10
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 14)) and len(names) == 13
     assert "pipeline" in E.queries() and set(names) <= set(E.queries()) and set(Q.ORACLES) <= set(E.oracle_sql())
 
 
