@@ -27,6 +27,8 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,11 @@ from ..session import cut_lineage
 from ._words import chunks
 from .tokens import _ALPHABET, _cuts
 
-TEXT_BYTES = 1 << 22  # text of a block
+TEXT_BYTES = 1 << 21  # text of a block
+ROWS = 1024  # rows of a block at most
 LANE_BYTES = 512
-CACHE_PIECES = 200_000  # pieces remembered per worker and tokeniser
-DIGITS = 1 << 19  # tokens written out at once
+CACHE_PIECES = 100_000  # pieces remembered per worker and tokeniser
+DIGITS = 1 << 18  # tokens written out at once
 _coders: dict[str, Coder] = {}
 
 
@@ -54,41 +57,64 @@ class Coder:
     ``cuts`` finds the pieces, ``encode`` gives the ids of each, ``token_bytes`` the bytes of every id."""
 
     def __init__(self, cuts: Callable, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
-        self.cuts, self._encode, self.token_bytes = cuts, encode, token_bytes
-        self.lengths = np.fromiter(map(len, token_bytes), np.int64, len(token_bytes))
-        self._known: dict[str, tuple[bytes, bool]] = {}
-
-    def _pieces(self, pieces: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids of each piece as bytes, and whether their bytes are the piece."""
+        self.cuts, self._encode, self.size = cuts, encode, len(token_bytes)
+        self.lengths = np.fromiter(map(len, token_bytes), np.int32, len(token_bytes))
+        self._begin = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self._table = np.frombuffer(b"".join(token_bytes), dtype=np.uint8)
+        self._known: dict[str, bytes] = {}
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece as 32-bit integers."""
         found = [self._known.get(p) for p in pieces]
         rest = [i for i, f in enumerate(found) if f is None]
         for a in range(0, len(rest), 10_000):
             part = rest[a : a + 10_000]
-            for i, ids in zip(part, self._encode([pieces[j] for j in part]), strict=True):
-                found[i] = array("I", ids).tobytes(), b"".join([self.token_bytes[x] for x in ids]) == pieces[i].encode()
-                if len(self._known) < CACHE_PIECES:
-                    self._known[pieces[i]] = found[i]
+            coded = self._encode([pieces[j] for j in part])
+            flat, at = array("I", chain.from_iterable(coded)).tobytes(), 0
+            for i, ids in zip(part, coded, strict=True):
+                end = at + 4 * len(ids)
+                found[i] = flat[at:end]
+                at = end
+        if len(self._known) < CACHE_PIECES:
+            self._known.update((pieces[i], found[i]) for i in rest[: CACHE_PIECES - len(self._known)])
         return found
 
+    def _joined(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of a run of tokens."""
+        n = self.lengths[ids]
+        ends = np.cumsum(n, dtype=np.int32)
+        return self._table[np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self._begin[ids] - ends + n, n)]
+
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of a run of texts, where each text starts among them, and whether their bytes are the text."""
         starts = self.cuts(buf, offsets)
         ends = np.append(starts, len(buf)).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
-        coded = self._pieces(pieces.dictionary.to_pylist())
-        size = np.fromiter((len(x) for x, _ in coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join([x for x, _ in coded]), dtype=np.uint32)
-        code = pieces.indices.to_numpy().astype(np.int64)
-        to = np.concatenate(([0], np.cumsum(size[code])))
-        ids = flat[np.arange(to[-1]) + np.repeat((np.cumsum(size) - size)[code] - to[:-1], size[code])] if len(code) else flat[:0]
+        coded = self._ids(pieces.dictionary.to_pylist())
+        n = np.fromiter(map(len, coded), np.int32, len(coded)) // 4
+        flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
+        code = pieces.indices.to_numpy()
+        to = np.concatenate(([0], np.cumsum(n[code], dtype=np.int64)))
+        first = np.cumsum(n, dtype=np.int32) - n
+        ids = flat[np.arange(to[-1], dtype=np.int32) + np.repeat(first[code] - to[:-1].astype(np.int32), n[code])]
         where = np.searchsorted(starts, offsets)
         bounds = to[where]
-        bad = np.concatenate(([0], np.cumsum(~np.fromiter((x for _, x in coded), bool, len(coded))[code])))[where]
+        bad = np.concatenate(([0], np.cumsum(self._differ(pieces.dictionary, flat, first, n)[code])))[where]
         same = np.ones(len(offsets) - 1, dtype=bool)
         for i in np.flatnonzero(np.diff(bad)).tolist():  # a piece alone may differ and the text not
-            same[i] = b"".join([self.token_bytes[x] for x in ids[bounds[i] : bounds[i + 1]].tolist()]) == buf[offsets[i] : offsets[i + 1]].tobytes()
+            same[i] = np.array_equal(self._joined(ids[bounds[i] : bounds[i + 1]]), buf[offsets[i] : offsets[i + 1]])
         return ids, bounds, same
 
+    def _differ(self, pieces: pa.Array, flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which pieces are not the bytes of their tokens."""
+        size = pc.binary_length(pieces).to_numpy()
+        upto = np.concatenate(([0], np.cumsum(self.lengths[flat], dtype=np.int64)))
+        out = size != upto[first + n] - upto[first]
+        raw = np.frombuffer(pieces.buffers()[2] or b"", dtype=np.uint8)[: size.sum()]
+        unlike = self._joined(flat[np.repeat(~out, n)]) != raw[np.repeat(~out, size)]
+        out[np.repeat(np.arange(len(n))[~out], size[~out])[unlike]] = True
+        return out
+
 
 def byte_coder(path: str) -> Coder:
     if path not in _coders:
@@ -175,19 +201,28 @@ def _written(ids_a: np.ndarray, ids_b: np.ndarray, links: tuple[np.ndarray, np.n
     last_a, last_b = np.zeros(len(ids_a), dtype=bool), np.zeros(len(ids_b), dtype=bool)
     last_a[links[0]], last_b[links[1]] = True, True
     n = len(ids_a) + len(ids_b)
-    order, mark = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.uint8)
+    order, mark = np.empty(n, dtype=np.int32), np.empty(n, dtype=np.uint8)
     place_a = np.arange(len(ids_a)) + np.concatenate(([0], links[1] + 1))[np.cumsum(last_a) - last_a]
     place_b = np.arange(len(ids_b)) + (links[0] + 1)[np.cumsum(last_b) - last_b]
     order[place_a], order[place_b] = ids_a, ids_b
     mark[place_a], mark[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+    digits, width = _decimals(int(order.max(initial=0)) + 1)
     for s in range(0, n, DIGITS):
         x = order[s : s + DIGITS]
-        width = 1 + np.searchsorted(10 ** np.arange(1, 10), x, side="right")
-        cells = np.empty((len(x), int(width.max()) + 1), dtype=np.uint8)
-        for i in range(cells.shape[1] - 1):
-            cells[:, i] = 48 + x // 10 ** np.maximum(width - 1 - i, 0) % 10
-        cells[np.arange(len(x)), width] = mark[s : s + DIGITS]
-        yield cells[np.arange(cells.shape[1]) <= width[:, None]], width + 1
+        cells, end = digits[x], width[x]
+        cells[np.arange(len(x)), end] = mark[s : s + DIGITS]
+        yield cells[np.arange(cells.shape[1], dtype=np.uint8) <= end[:, None]], end + 1
+
+
+@cache
+def _decimals(upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digits of the numbers below ``upto``, from the left in cells with room for a mark, and how many they have."""
+    x = np.arange(1 << (upto - 1).bit_length())
+    width = (1 + np.searchsorted(10 ** np.arange(1, 10), x, side="right")).astype(np.uint8)
+    cells = np.zeros((len(x), int(width.max()) + 1), dtype=np.uint8)
+    for i in range(cells.shape[1] - 1):
+        cells[:, i] = 48 + x // 10 ** np.maximum(width.astype(np.int64) - 1 - i, 0) % 10
+    return cells, width
 
 
 def _groups(ids_a, bounds_a, ids_b, bounds_b, links, with_groups: bool) -> tuple[list[str], list[str | None]]:
@@ -199,7 +234,7 @@ def _groups(ids_a, bounds_a, ids_b, bounds_b, links, with_groups: bool) -> tuple
     doc = iter(live)
     i = next(doc, None)
     for flat, size in _written(ids_a, ids_b, links):
-        raw, to = flat.tobytes(), np.concatenate(([0], np.cumsum(size)))
+        raw, to = flat.tobytes(), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         at = seen
         while i is not None and at < seen + len(size):
             end = min(int(upto[i + 1]), seen + len(size))
@@ -224,16 +259,15 @@ def _kept(ids: np.ndarray, bounds: np.ndarray, ok: np.ndarray) -> tuple[np.ndarr
 
 def _ends(coder: Coder, ids: np.ndarray, bounds: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where each token ends in the buffer of its texts."""
-    size = coder.lengths[ids]
     n = np.diff(bounds)
-    ends = np.cumsum(size)
+    ends = np.cumsum(coder.lengths[ids], dtype=np.int64)
     before = np.concatenate(([0], ends))[bounds[:-1]]
     return ends + np.repeat(offsets[:-1] - before, n)
 
 
 def _narrow(path_a: str, path_b: str) -> np.dtype:
     """The unsigned integers that a link is kept in."""
-    size = max(len(byte_coder(path_a).token_bytes), len(piece_coder(path_b).token_bytes))
+    size = max(byte_coder(path_a).size, piece_coder(path_b).size)
     return np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
 
 
@@ -241,7 +275,7 @@ def _aligned(path_a: str, path_b: str, with_groups: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, kind = TaskContext.get().partitionId() << 32, _narrow(path_a, path_b)
         a, b = byte_coder(path_a), piece_coder(path_b)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             text = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
             text = pc.if_else(pc.equal(pc.binary_length(text), 0), text, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), text, pa.scalar("", pa.large_string())))
             for first, end, buf, offsets in chunks(text, TEXT_BYTES):
@@ -268,6 +302,7 @@ def _aligned(path_a: str, path_b: str, with_groups: bool):
                     names=["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "links"],
                 )
                 block += 1
+            pa.default_memory_pool().release_unused()  # a worker lives on after its task
 
     return run
 
