@@ -175,12 +175,18 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)
-), s AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE NOT regexp_full_match(line, '[ \t\r\f\x0b]*')),
-w AS (
-  SELECT a.doc_id, a.p, a.line || chr(10) || b.line || chr(10) || c.line AS k
-  FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.p = a.p + 1 JOIN s c ON c.doc_id = a.doc_id AND c.p = a.p + 2
-), f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w),
-g AS (SELECT DISTINCT s.doc_id, s.i FROM f JOIN s ON s.doc_id = f.doc_id AND s.p BETWEEN f.p AND f.p + 2 WHERE f.n > 1),
+), s AS (
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p
+  FROM l WHERE NOT regexp_full_match(line, '[ \t\r\f\x0b]*')
+), w AS (
+  SELECT doc_id, p, 1 AS k, line AS lines FROM s WHERE n > 50
+  UNION ALL
+  SELECT a.doc_id, a.p, 2, a.line || chr(10) || b.line FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.p = a.p + 1 WHERE a.n + b.n > 50 AND (a.n <= 50 OR b.n <= 50)
+  UNION ALL
+  SELECT a.doc_id, a.p, 3, a.line || chr(10) || b.line || chr(10) || c.line
+  FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.p = a.p + 1 JOIN s c ON c.doc_id = a.doc_id AND c.p = a.p + 2 WHERE a.n + b.n <= 50 OR b.n + c.n <= 50
+), f AS (SELECT doc_id, p, k, row_number() OVER (PARTITION BY lines ORDER BY doc_id, p) AS n FROM w),
+g AS (SELECT DISTINCT s.doc_id, s.i FROM f JOIN s ON s.doc_id = f.doc_id AND s.p BETWEEN f.p AND f.p + f.k - 1 WHERE f.n > 1),
 r AS (
   SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text, count(g.i) AS n_removed
   FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
