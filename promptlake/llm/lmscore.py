@@ -4,19 +4,24 @@ Both models share one vocabulary, all words of all documents (or, if ``vocab`` i
 ``vocab`` most frequent ones, ties by word, all others one unknown word), order and smoothing:
 Pr(w | v) = (c(v, w) + mu * Pr(w)) / (c(v) + mu) with Pr(w) = (c(w) + 1) / (n + words + 2), ``words``
 being the size of the vocabulary. Target counts come from the documents named as target, background
-counts from all documents. A token's loss difference is ln Pr_background(w | v) -
-ln Pr_target(w | v), and a document's score is its mean: the lower, the more like the target.
-
-The models grow with the corpus and are never in one place. Documents are written in blocks of
-about ``BLOCK_BYTES`` of text. A block sums its words, contexts and bigrams, each named by a 63-bit
-hash, and sends the sorted names and sums to buckets of the names, one row per bucket. A bucket adds
-up the rows of all blocks and sends totals back for the names that occur in several blocks; the
-others have the sums the block knows. Then each block scores its documents. A name stands once in a
-block's rows however frequent it is, and only the numbers of words and tokens reach the driver.
+counts from all documents. A document is never in the models that score it: its own counts are taken
+out of the background's and, if it is a target, of the target's. What is left of the background's
+counts is scaled to the size of what is left of the target's, so both models are smoothed alike. A
+token's loss difference is ln Pr_background(w | v) - ln Pr_target(w | v), and a document's score is
+its mean: the lower, the more like the target.
+
+The models grow with the corpus and are never in one place. A hash of the row deals the documents to
+blocks of about ``BLOCK_BYTES`` of text. A block sums its words, contexts and bigrams, each named by
+a 63-bit hash, and sends the sorted names and packed sums to buckets of the names, one row per
+bucket. A bucket adds up the rows of all blocks and sends totals back for the names that occur in
+several blocks; the others have the sums the block knows. Then each block scores its documents. A
+name stands once in a block's rows however frequent it is, texts are shuffled but never copied, and
+only the numbers of bytes, words and tokens reach the driver.
 
 Defined results: null and empty texts have no tokens and a null score; a null id is never a target;
-rows with equal ids are all target or all not, and each is counted; without target documents the
-target model is uniform; empty tables give empty tables; only the ids and the text are read.
+rows with equal ids are all target or all not, each is counted and each takes out its own counts
+only; without other target documents the score is 0; empty tables give empty tables; only the ids
+and the text are read.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +39,9 @@ from ..session import cut_lineage
 from ._words import Words, chunks, mix
 
 HELD = 1_000_000  # entries a task sums up before it passes them on
-BLOCK_BYTES = 3 << 20  # text bytes of a block
-BUCKETS = 256  # of names, at least; from that many blocks on one per block, about a million names each
+BLOCK_BYTES = 4 << 20  # text bytes of a block
+BUCKET_BYTES = 12 << 20  # text bytes whose names make a bucket, about a million and a half
+ESCAPE = 255  # sums from here on are written in full
 _U = np.uint64
 _UNKNOWN, _START = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
@@ -97,14 +103,52 @@ def _sums(names: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, which, np.stack(sums, axis=1).astype(np.int64)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Values byte by byte: the zeros of the high bytes stand together."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes()
+def _packed(parts: list[np.ndarray]) -> bytes:
+    """Arrays of sums: a byte each, followed by those that do not fit in it."""
+    raw = []
+    for x in parts:
+        raw += [np.minimum(x, ESCAPE).astype(np.uint8).tobytes(), x[x >= ESCAPE].astype(np.int64).tobytes()]
+    return b"".join(raw)
+
+
+def _unpacked(raw: memoryview, sizes: list[int]) -> list[np.ndarray]:
+    """The arrays of sums back."""
+    out, at = [], 0
+    for n in sizes:
+        x = np.frombuffer(raw[at : at + n], dtype=np.uint8).astype(np.int64)
+        big = x == ESCAPE
+        end = at + n + 8 * int(big.sum())
+        x[big] = np.frombuffer(raw[at + n : end], dtype=np.int64)
+        out.append(x)
+        at = end
+    return out
+
+
+def _rows_of(names: np.ndarray, sums: np.ndarray) -> bytes:
+    """Sorted names (as differences, byte by byte) and their sums; only words have sums as a context."""
+    planes = np.ascontiguousarray(np.diff(names, prepend=_U(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return zstandard.compress(planes + _packed(_sums_of(names, sums)), 1)
+
+
+def _sums_of(names: np.ndarray, sums: np.ndarray) -> list[np.ndarray]:
+    word = (names & _U(1)) == 0
+    return [sums[:, 0], sums[:, 1], sums[word, 2], sums[word, 3]]
+
 
+def _sums_back(names: np.ndarray, raw: memoryview) -> np.ndarray:
+    word = (names & _U(1)) == 0
+    n, k = len(names), int(word.sum())
+    parts = _unpacked(raw, [n, n, k, k])
+    sums = np.zeros((n, 4), dtype=np.int64)
+    sums[:, 0], sums[:, 1], sums[word, 2], sums[word, 3] = parts
+    return sums
 
-def _values(x: bytes, n: int) -> np.ndarray:
-    """Rows of ``n`` 64-bit values back from their bytes."""
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8 * n, -1).T).view(np.int64)
+
+def _names_and_sums(x: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = memoryview(zstandard.decompress(x))
+    steps = np.ascontiguousarray(np.frombuffer(raw[: 8 * n], np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+    names = np.cumsum(steps, dtype=np.uint64)
+    return names, _sums_back(names, raw[8 * n :])
 
 
 def _cuts(found: np.ndarray, buckets: int) -> np.ndarray:
@@ -112,18 +156,6 @@ def _cuts(found: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(found, np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)), [len(found)]))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows with the number of their block in front."""
-    block, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        for a, b, buf, _ in chunks(batch.column(1)):
-            if size and size + len(buf) > BLOCK_BYTES:
-                block, size = block + 1, 0
-            size += len(buf)
-            part = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), *part.columns], names=["block", "doc_id", "text", "is_target"])
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Runs of rows with one value of the first column."""
     held: list[pa.RecordBatch] = []
@@ -144,7 +176,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
 
 
 def _requests(known: np.ndarray | None, buckets: int):
-    """Sums of the names of each block; a block that is read in two parts sends two rows to a bucket."""
+    """Sums of the names of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, t in _runs(batches):
@@ -153,54 +185,67 @@ def _requests(known: np.ndarray | None, buckets: int):
             found, _, sums = _sums(names, target)
             cuts = _cuts(found, buckets)
             live = np.flatnonzero(cuts[:-1] < cuts[1:])
-            packed = [(_planes(np.diff(found[a:b], prepend=_U(0))), _planes(sums[a:b])) for a, b in zip(cuts[live], cuts[live + 1], strict=True)]
-            cols = [pa.array(live), pa.array(np.full(len(live), block)), *(pa.array([x[j] for x in packed], pa.binary()) for j in (0, 1))]
-            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "block", "names", "sums"])
+            packed = [_rows_of(found[a:b], sums[a:b]) for a, b in zip(cuts[live], cuts[live + 1], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(np.full(len(live), block)), pa.array(np.diff(cuts)[live]), pa.array(packed, pa.binary())], names=["bucket", "block", "n", "names"])
 
     return run
 
 
+REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("totals", pa.binary()), ("words", pa.int64()), ("n_target", pa.int64()), ("n_all", pa.int64())])
+
+
 def _replies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block marks and totals of its names that others hold too, and a row (block -1) with the words and tokens of a bucket."""
     for bucket, t in _runs(batches):
-        parts = [np.cumsum(_values(x, 1).view(np.uint64).ravel(), dtype=np.uint64) for x in t.column("names").to_pylist()]
-        values = np.concatenate([_values(x, 4) for x in t.column("sums").to_pylist()])
+        parts, values = zip(*(_names_and_sums(x, n) for x, n in zip(t.column("names").to_pylist(), t.column("n").to_pylist(), strict=True)), strict=True)
         found, which, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        totals = np.stack([np.bincount(which, values[:, i], len(found)) for i in range(4)], axis=1).astype(np.int64)
+        totals = np.zeros((len(found), 4), dtype=np.int64)
+        at = 0
+        for names, x in zip(parts, values, strict=True):
+            totals[which[at : at + len(names)]] += x
+            at += len(names)
         words = totals[((found & _U(1)) == 0) & (totals[:, 1] > 0)]
-        rows = [(-1, bucket, b"", b"", len(words), int(words[:, 0].sum()), int(words[:, 1].sum()))]
-        own: dict[int, np.ndarray] = {}
+        rows = [(-1, bucket, b"", len(words), int(words[:, 0].sum()), int(words[:, 1].sum()))]
         at = 0
         for block, names in zip(t.column("block").to_pylist(), parts, strict=True):
             place = which[at : at + len(names)]
             at += len(names)
-            own[block] = np.union1d(own[block], place) if block in own else place
-        for block, place in own.items():
             again = times[place] > 1
             if again.any():
-                rows.append((block, bucket, np.packbits(again).tobytes(), _planes(totals[place[again]]), 0, 0, 0))
+                sums = _packed(_sums_of(found[place[again]], totals[place[again]]))
+                rows.append((block, bucket, zstandard.compress(np.packbits(again).tobytes() + sums, 1), 0, 0, 0))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), REPLY.types, strict=True)], schema=REPLY)
 
 
-REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("marks", pa.binary()), ("sums", pa.binary()), ("words", pa.int64()), ("n_target", pa.int64()), ("n_all", pa.int64())])
+def _own(which: np.ndarray, doc: np.ndarray, n_names: int) -> np.ndarray:
+    """For each token how often its name occurs in its document."""
+    _, back, n = np.unique(doc * n_names + which, return_inverse=True, return_counts=True)
+    return n[back]
 
 
 def _score(known: np.ndarray | None, n_words: int, n_tokens: tuple[int, int], mu: float, buckets: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
         names, h, n = _tokens(docs.column("text").combine_chunks(), known)
-        target = np.repeat(docs.column("is_target").to_numpy(), n).astype(np.int64)
-        found, which, sums = _sums(names, target)
+        doc = np.repeat(np.arange(len(n)), n)
+        is_target = docs.column("is_target").to_numpy().astype(np.int64)
+        found, which, sums = _sums(names, is_target[doc])
         cuts = _cuts(found, buckets)
-        for i, x, y in zip(*(replies.column(c).to_pylist() for c in ("bucket", "marks", "sums")), strict=True):
-            again = np.unpackbits(np.frombuffer(x, np.uint8), count=int(cuts[i + 1] - cuts[i])).astype(bool)
-            sums[cuts[i] + np.flatnonzero(again)] = _values(y, 4)
+        for i, x in zip(*(replies.column(c).to_pylist() for c in ("bucket", "totals")), strict=True):
+            raw = memoryview(zstandard.decompress(x))
+            size = int(cuts[i + 1] - cuts[i])
+            again = cuts[i] + np.flatnonzero(np.unpackbits(np.frombuffer(raw[: -(-size // 8)], np.uint8), count=size))
+            sums[again] = _sums_back(found[again], raw[-(-size // 8) :])
         bigram, word, context = which.reshape(3, -1)
+        own = [_own(x, doc, len(found)) for x in (bigram, word, context)]
+        n_target, n_all = n_tokens[0] - is_target * n, n_tokens[1] - n  # without the document
+        scale = np.where(n_all > 0, n_target / np.maximum(n_all, 1), 1.0)
         loss = np.zeros(len(h))
-        for i, sign in ((0, -1), (1, 1)):
-            unigram = (sums[word, i] + 1) / (n_tokens[i] + n_words + 2)
-            loss += sign * np.log((sums[bigram, i] + mu * unigram) / (sums[context, i + 2] + mu))
-        mean = np.bincount(np.repeat(np.arange(len(n)), n), loss, len(n)) / np.maximum(n, 1)
+        for i, sign, total, times, held in ((0, -1, n_target, np.ones(len(n)), is_target), (1, 1, n_all, scale, np.ones(len(n), dtype=np.int64))):
+            of_bigram, of_word, of_context = ((sums[x, j] - held[doc] * o) * times[doc] for x, j, o in zip((bigram, word, context), (i, i, i + 2), own, strict=True))
+            unigram = (of_word + 1) / ((total * times)[doc] + n_words + 2)
+            loss += sign * np.log((of_bigram + mu * unigram) / (of_context + mu))
+        mean = np.bincount(doc, loss, len(n)) / np.maximum(n, 1)
         return pa.table([docs.column("doc_id"), pa.array(n), docs.column("is_target"), pa.array(mean, mask=n == 0)], names=["doc_id", "n_tokens", "is_target", "score"])
 
     return run
@@ -216,18 +261,18 @@ def cross_entropy_difference(
         counted = src.select("text").mapInArrow(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
         known = _vocabulary_hashes([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(vocab).collect()])
 
+    text_bytes = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks, buckets = (-(-text_bytes // size) or 1 for size in (BLOCK_BYTES, BUCKET_BYTES))
     ids = target_ids.select(F.col(target_ids.columns[0]).alias("doc_id")).where("doc_id is not null").distinct()
     ids = broadcast_checked(ids.withColumn("is_target", F.lit(True)), "targets")
-    flagged = src.join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    kind = dict(flagged.dtypes)["doc_id"]
-    blocks = cut_lineage(flagged.mapInArrow(_blocks, f"block long, doc_id {kind}, text string, is_target boolean"), "blocks")
-    n_blocks = blocks.select("block").distinct().count()
-    buckets = max(BUCKETS, n_blocks)
-    requests = blocks.select("block", "text", "is_target").mapInArrow(_requests(known, buckets), "bucket long, block long, names binary, sums binary")
-    dealt = requests.repartition(max(min(buckets, n_blocks), 1), "bucket").sortWithinPartitions("bucket")
-    replies = cut_lineage(dealt.mapInArrow(_replies, "block long, bucket long, marks binary, sums binary, words long, n_target long, n_all long"), "totals")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block")
+    docs = src.join(ids, "doc_id", "left").select(block, "doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    kind = dict(docs.dtypes)["doc_id"]
+    dealt = docs.select("block", "text", "is_target").repartition("block").sortWithinPartitions("block")
+    requests = dealt.mapInArrow(_requests(known, buckets), "bucket long, block long, n long, names binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    replies = cut_lineage(requests.mapInArrow(_replies, "block long, bucket long, totals binary, words long, n_target long, n_all long"), "totals")
 
     size = replies.where("block = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n_target", "n_all")]).first()
     score = _score(known, size["words"] if known is None else len(known), (size["n_target"], size["n_all"]), mu, buckets)
-    replies = replies.where("block >= 0").select("block", "bucket", "marks", "sums")
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, is_target boolean, score double")
+    replies = replies.where("block >= 0").select("block", "bucket", "totals")
+    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, is_target boolean, score double")

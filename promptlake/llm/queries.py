@@ -147,19 +147,27 @@ OP6_SQL = r"""
 WITH x AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents
-), w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM x),
-v AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS code FROM w GROUP BY word ORDER BY count(*) DESC, word LIMIT 1022),
-size AS (SELECT count(*) + 2 AS side FROM v),
+), w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS w, len(ws) AS len FROM x),
 target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-c AS (SELECT w.doc_id, p, coalesce(code, 0) AS w, t.doc_id IS NOT NULL AS is_target FROM w LEFT JOIN v USING (word) LEFT JOIN target t ON t.doc_id = w.doc_id),
-b AS (SELECT doc_id, w, is_target, lag(w, 1, -1) OVER (PARTITION BY doc_id ORDER BY p) AS v FROM c),
-n AS (SELECT v, w, count(*) AS ca, count(*) FILTER (WHERE is_target) AS ct FROM b GROUP BY v, w),
-uni AS (SELECT w, (sum(ca) + 1.0) / ((SELECT sum(ca) FROM n) + side) AS pa, (sum(ct) + 1.0) / ((SELECT sum(ct) FROM n) + side) AS pt FROM n, size GROUP BY w, side),
-con AS (SELECT v, sum(ca) AS na, sum(ct) AS nt FROM n GROUP BY v),
-d AS (SELECT n.v, n.w, ln((ca + 100 * pa) / (na + 100.0)) - ln((ct + 100 * pt) / (nt + 100.0)) AS loss FROM n JOIN uni USING (w) JOIN con USING (v))
-SELECT x.doc_id, len(ws) AS n_tokens, t.doc_id IS NOT NULL AS is_target, round(s.score, 6) AS score
-FROM x LEFT JOIN (SELECT doc_id, avg(loss) AS score FROM b JOIN d ON d.v = b.v AND d.w = b.w GROUP BY doc_id) s USING (doc_id)
-LEFT JOIN target t ON t.doc_id = x.doc_id
+b AS (
+  SELECT doc_id, len, w, lag(w, 1, '') OVER (PARTITION BY doc_id ORDER BY p) AS v, CAST(t.doc_id IS NOT NULL AS INT) AS t FROM w LEFT JOIN target t USING (doc_id)
+),
+o AS (SELECT doc_id, len, t, v, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id, w) AS nw, sum(count(*)) OVER (PARTITION BY doc_id, v) AS nv FROM b GROUP BY doc_id, len, t, v, w),
+pair AS (SELECT v, w, sum(n) AS ca, sum(n * t) AS ct FROM o GROUP BY v, w),
+uni AS (SELECT w, sum(ca) AS ua, sum(ct) AS ut FROM pair GROUP BY w),
+con AS (SELECT v, sum(ca) AS va, sum(ct) AS vt FROM pair GROUP BY v),
+size AS (SELECT count(*) + 2 AS side, sum(ua) AS na, sum(ut) AS nt FROM uni),
+k AS (
+  SELECT o.*, ca, ct, ua, ut, va, vt, side, nt - t * len AS nt, na - len AS na, CASE WHEN na > len THEN (nt - t * len) / CAST(na - len AS DOUBLE) ELSE 1 END AS k
+  FROM o JOIN pair USING (v, w) JOIN uni USING (w) JOIN con USING (v), size
+),
+s AS (
+  SELECT doc_id, sum(n * (ln(((ca - n) * k + 100 * ((ua - nw) * k + 1) / (na * k + side)) / ((va - nv) * k + 100))
+    - ln((ct - t * n + 100 * (ut - t * nw + 1.0) / (nt + side)) / (vt - t * nv + 100.0)))) / any_value(len) AS score
+  FROM k GROUP BY doc_id
+)
+SELECT x.doc_id, len(ws) AS n_tokens, t.doc_id IS NOT NULL AS is_target, round(score, 6) AS score
+FROM x LEFT JOIN s USING (doc_id) LEFT JOIN target t ON t.doc_id = x.doc_id
 """
 
 

@@ -262,62 +262,79 @@ def test_warc(spark):
     assert read_warc(write_warc(df.limit(0), folder + "-0"), folder + "-0").count() == 0
 
 
-def test_cross_entropy_difference(spark, docs, rows, none):
+@pytest.mark.parametrize("size", [20, None])
+def test_cross_entropy_difference(spark, docs, rows, none, monkeypatch, size):
+    from promptlake.llm import lmscore
     from promptlake.llm.lmscore import cross_entropy_difference
 
+    monkeypatch.setattr(lmscore, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(lmscore, "BUCKET_BYTES", 9000)
     good = {0, 3, 36, 45}
     ids = spark.createDataFrame([(i,) for i in [*good, 0, None, 999]], "doc_id long")
-    size, mu = 20, 10.0
+    mu = 10.0
     texts = [(i, words(lower(t))) for i, t in rows]
     count = Counter(w for _, t in texts for w in t)
-    vocab = {w: k + 1 for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))[:size])}
-    side = size + 2
+    vocab = {w: k + 1 for k, (w, _) in enumerate(sorted(count.items(), key=lambda x: (-x[1], x[0].encode()))[: size or len(count)])}
+    side = len(vocab) + 2
 
     def codes(t):
         c = [vocab.get(w, 0) for w in t]
         return list(zip([side - 1, *c], c, strict=False))
 
-    def model(some):
+    def model(some, scale=1.0):
         pair = Counter(b for t in some for b in codes(t))
         single, context = Counter(), Counter()
         for (v, w), n in pair.items():
-            single[w] += n
-            context[v] += n
+            single[w] += n * scale
+            context[v] += n * scale
         total = sum(single.values())
-        return lambda v, w: math.log((pair[v, w] + mu * (single[w] + 1) / (total + side)) / (context[v] + mu))
+        return lambda v, w: math.log((pair[v, w] * scale + mu * (single[w] + 1) / (total + side)) / (context[v] + mu))
 
-    background, target = model([t for _, t in texts]), model([t for i, t in texts if i in good])
     want = {}
-    for i, t in texts:
+    for k, (i, t) in enumerate(texts):
+        others = texts[:k] + texts[k + 1 :]
+        there = [x for j, x in others if j in good]
+        n_all = sum(len(x) for _, x in others)
+        background, target = model([x for _, x in others], sum(map(len, there)) / n_all), model(there)
         d = [background(v, w) - target(v, w) for v, w in codes(t)]
         want.setdefault(i, []).append((len(t), i in good, sum(d) / len(d) if d else None))
     for r in cross_entropy_difference(docs, ids, size, mu).collect():
         assert any(n == r.n_tokens and g == r.is_target and (s is None) == (r.score is None) and (s is None or abs(s - r.score) < 1e-9) for n, g, s in want[r.doc_id])
     assert cross_entropy_difference(none, ids).count() == 0
-    assert cross_entropy_difference(docs, ids.limit(0)).where("score is null").count() == 3
+    without = cross_entropy_difference(docs, ids.limit(0))
+    assert without.where("score is null").count() == 3 and without.where("abs(score) > 1e-12").count() == 0
 
 
-def test_line_dedup(docs, rows, none):
+@pytest.mark.parametrize("long", [None, 50, 12])
+def test_line_dedup(docs, rows, none, long):
     from promptlake.llm.linededup import dedup_lines
 
     solid = lambda x: x.strip(" \t\r\f\x0b") != ""
+
+    def windows(t):
+        own = [(k, x) for k, x in enumerate((t or "").split("\n")) if solid(x)] if t is not None else []
+        n = [0 if long is None else len(words(x)) for _, x in own]
+        for a in range(len(own)):
+            for size in (1, 2, 3) if long is not None else (3,):
+                z = a + size
+                if z <= len(own) and (size == 3 or sum(n[a:z]) > long) and (long is None or sum(n[a : z - 1]) <= long or sum(n[a + 1 : z]) <= long):
+                    yield [k for k, _ in own[a:z]], tuple(x for _, x in own[a:z])
+
     places, kept = defaultdict(set), {}
     for i, t in rows:
-        own = [(k, x) for k, x in enumerate((t or "").split("\n")) if solid(x)] if t is not None else []
-        for a in range(len(own) - 2):
-            places[tuple(x for _, x in own[a : a + 3])].add((-1 if i is None else i, own[a][0]))
+        for at, run in windows(t):
+            places[run].add((-1 if i is None else i, at[0]))
     want = []
     for i, t in rows:
         lines = (t or "").split("\n")
-        own = [(k, x) for k, x in enumerate(lines) if solid(x)] if t is not None else []
-        gone = {k for a in range(len(own) - 2) if min(places[tuple(x for _, x in own[a : a + 3])]) < (-1 if i is None else i, own[a][0]) for k, _ in own[a : a + 3]}
+        gone = {k for at, run in windows(t) if min(places[run]) < (-1 if i is None else i, at[0]) for k in at}
         gone = gone if i is not None else set()
         kept[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        want.append((i, None if t is None else kept[i], len(own), len(gone)))
-    out = dedup_lines(docs)
+        want.append((i, None if t is None else kept[i], 0 if t is None else sum(map(solid, lines)), len(gone)))
+    out = dedup_lines(docs, words=long)
     same(out, ["doc_id", "text", "n_lines", "n_removed"], want)
     assert out.select("row.*").columns == ["doc_id", "n_words", "kept", "row", "band", "component"]
-    assert sum(w[3] for w in want) > 5 and dedup_lines(none).count() == 0
+    assert sum(w[3] for w in want) > 5 and dedup_lines(none, words=long).count() == 0
 
 
 def test_id_files(docs, rows, none):
@@ -412,6 +429,21 @@ def test_cross_entropy_difference_scores_rare_words(spark):
     assert got[2] < got[4] - 0.001
 
 
+def test_cross_entropy_difference_held_out_targets_score_alike(spark):
+    """A target document scores as it would if it were not named as one."""
+    from promptlake.llm.lmscore import cross_entropy_difference
+
+    r = random.Random(7)
+    kinds = [[f"{c}{i}" for i in range(60)] for c in "gb"]
+    rows = [(i, " ".join(r.choice(kinds[i % 2]) for _ in range(80))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    named = [i for i in range(0, 80, 2) if i % 8]
+    got = [{x.doc_id: x.score for x in cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in some], "doc_id long")).collect()} for some in (named, [*named, 0])]
+    held_in, held_out = [got[0][i] for i in named], [got[0][i] for i in range(0, 80, 8)]
+    assert abs(sum(held_in) / len(held_in) - sum(held_out) / len(held_out)) < 0.05 and abs(got[0][0] - got[1][0]) < 1e-2
+    assert max(held_out) < min(got[0][i] for i in range(1, 80, 2))
+
+
 def test_line_dedup_finds_long_passages_on_few_lines(spark):
     """A repeated passage of over 50 words goes, also from one or two lines, to its last short line."""
     from promptlake.llm.linededup import dedup_lines
