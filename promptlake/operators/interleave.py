@@ -27,25 +27,22 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_u52
 from ..session import cut_lineage
-from .ranking import broadcast_checked, range_buckets, two_phase_rank
+from .ordered import ROWS_PER_TASK, ordered_rank
+from .ranking import broadcast_checked, two_phase_rank
 
 # Sum of the integer weights (about; rates are normalised to it), bins of the
-# cumulative weights, positions per rank block and rows per index bucket.
+# cumulative weights, positions per rank block.
 WEIGHT_SCALE = 1 << 44
 BINS = 1 << 12
 POS_BLOCK = 1 << 20
-ID_BLOCK = 1 << 20
 
 
-def index_sources(df: DataFrame, source: str, order: str, out: str = "idx", block: int = ID_BLOCK) -> DataFrame:
-    """0-based row index inside each source, ordered by ``order`` (a numeric key).
+def index_sources(df: DataFrame, source: str, order: str, out: str = "idx", block: int = ROWS_PER_TASK) -> DataFrame:
+    """0-based row index inside each source, ordered by ``order``.
 
-    Uses the two-phase rank over key ranges of about ``block`` rows, so a source holding most
-    rows is still ranked by many tasks. Pass ids only; join the other columns back by key.
-    """
-    b = range_buckets(df, source, order, block)
-    r = two_phase_rank(b, source, [order], F.col("__bk"), "__rn")
-    return r.withColumn(out, F.col("__rn") - 1).drop("__rn", "__bk")
+    Sources of more than ``block`` rows are ranked over sampled ranges of the key, by many tasks.
+    Pass ids only; join the other columns back by key."""
+    return ordered_rank(df, source, order, "__rn", rows_per_task=block).withColumn(out, F.col("__rn") - 1).drop("__rn")
 
 
 def source_sizes(rows: DataFrame, source: str) -> DataFrame:

@@ -273,14 +273,13 @@ def value_ranks(df: DataFrame, group: list[str], value: str, out: str) -> DataFr
     ``(rows with a smaller value) + (ties + 1) / 2``.
 
     Ties collapse first (count per (group, value), partial aggregation map-side); the running
-    count over the distinct values is a two-phase sum over ranges that hold about equally many
-    of them, so neither a large group, nor a tied value, nor an outlier makes one large task."""
+    count over the distinct values goes over sampled ranges of them, so neither a large group, nor
+    a tied value, nor an outlier makes one large task."""
     from ..session import cut_lineage
-    from .packing import two_phase_cumsum
-    from .ranking import range_buckets
+    from .ordered import ordered_cumsum
 
     vc = cut_lineage(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__cnt")), "value_counts")
-    vc = two_phase_cumsum(range_buckets(vc, group, value), group, [value], F.col("__bk"), "__cnt", "__below")
+    vc = ordered_cumsum(vc, group, value, "__cnt", "__below")
     return vc.select(*group, value, (F.col("__below") + (F.col("__cnt") + 1) / 2.0).cast("double").alias(out))
 
 

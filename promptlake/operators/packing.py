@@ -19,34 +19,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_u
 from ..functions.hof import let
-from .ranking import range_buckets
+from .ordered import ordered_cumsum
 from .tokens import EOS, PAD, pad_to, shift_right
 
-# Fixed value: rows per running-sum bucket.
-KEY_BLOCK = 1 << 20
-
-
-def two_phase_cumsum(df: DataFrame, group: list[str], order: list[str], bucket, value: str, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` per group in ``order``; ``bucket`` must be monotone
-    in the order. A hot group is split over its buckets (no single-task window)."""
-    b = "__b"
-    w = df.withColumn(b, bucket.cast("long"))
-    sums = w.groupBy(*group, b).agg(F.sum(value).alias("__s"))
-    wo = Window.partitionBy(*group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offs = sums.withColumn("__off", F.coalesce(F.sum("__s").over(wo), F.lit(0))).drop("__s")
-    wi = Window.partitionBy(*group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        w.join(offs, [*group, b])
-        .withColumn(out, (F.col("__off") + F.coalesce(F.sum(value).over(wi), F.lit(0))).cast("long"))
-        .drop("__off", b)
-    )
-
-
 def doc_chunks(docs: DataFrame, tokens: str, key: str, max_chunk: int | None = None, seed: str = "chunk") -> DataFrame:
     """All tokens of a document (or a random chunk of at most ``max_chunk``), then EOS."""
     eos = F.array(F.lit(EOS))
@@ -62,8 +42,7 @@ def _with_starts(c: DataFrame, stream: str, key: str) -> DataFrame:
     """``c`` (stream, key, ..., len) with the position of each row in its stream.
 
     Only (stream, key, len) rows go through the ranges and windows; the positions are joined back."""
-    small = range_buckets(c.select(stream, key, "len"), stream, key, KEY_BLOCK)
-    starts = two_phase_cumsum(small, [stream], [key], F.col("__bk"), "len", "start").select(stream, key, "start")
+    starts = ordered_cumsum(c.select(stream, key, "len"), stream, key, "len", "start").select(stream, key, "start")
     return c.join(starts, [stream, key])
 
 
@@ -139,10 +118,11 @@ def pack_prefix_lm(segments: DataFrame, stream: str, length: int, seed: str = "p
     """Pairs (2j, 2j+1) of each stream -> encoder/decoder features with split point m in [1, L).
 
     A last segment without a partner is paired with padding, which has loss weight 0."""
-    a = segments.where(F.col("seg") % 2 == 0).select(stream, (F.col("seg") / 2).cast("long").alias("pair"), pad_to("tokens", length).alias("a"))
-    b = segments.where(F.col("seg") % 2 == 1).select(stream, ((F.col("seg") - 1) / 2).cast("long").alias("pair"), pad_to("tokens", length).alias("b"))
     none = F.array_repeat(F.lit(PAD), length)
-    j = a.join(b, [stream, "pair"], "left").withColumn("b", F.coalesce("b", none))
+    # each pair holds one segment of either kind at most, so both come from one pass over the segments
+    half = lambda k: F.first(F.when(F.col("seg") % 2 == k, F.col("tokens")), ignorenulls=True)
+    j = segments.groupBy(stream, F.floor(F.col("seg") / 2).cast("long").alias("pair")).agg(half(0).alias("a"), half(1).alias("b"))
+    j = j.select(stream, "pair", pad_to("a", length).alias("a"), F.when(F.col("b").isNull(), none).otherwise(pad_to("b", length)).alias("b"))
     L = length
     m = (F.lit(1) + F.floor(hash_u(seed, F.concat_ws(":", stream, "pair")) * (L - 1))).cast("int")
     j = j.withColumn("m", m)

@@ -185,26 +185,3 @@ def batch_ids(df: DataFrame, seed, key: str, batch_size: int, buckets: int = 1 <
     10^11 rows); the per-bucket counts table is small and its prefix offsets are joined back."""
     ranked = seeded_rank(df, None, seed, key, "rn", buckets)
     return ranked.withColumn("batch", F.floor((F.col("rn") - 1) / F.lit(batch_size)).cast("long"))
-
-
-def range_buckets(df: DataFrame, group_cols, key: str, rows_per_bucket: int = 1 << 20, out: str = "__bk") -> DataFrame:
-    """Add a bucket column that is monotone in the numeric ``key`` within each group and holds
-    about ``rows_per_bucket`` rows of it, however the keys are spread.
-
-    The cut points are quantiles of each group (one aggregation, written so that they do not
-    change between evaluations, one row per group); a bucket is the number of cut points at or
-    below the key. If no group is larger than a bucket, all rows get bucket 0 and nothing is
-    aggregated but the counts."""
-    g = _cols(group_cols)
-    extra = []
-    if not g:
-        df, g, extra = df.withColumn("__g1", F.lit(1)), ["__g1"], ["__g1"]
-    largest = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    buckets = -(-largest // rows_per_bucket)
-    if buckets <= 1:
-        return df.withColumn(out, F.lit(0).cast("long")).drop(*extra)
-    grid = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*g).agg(F.percentile_approx(key, grid, max(10_000, 20 * buckets)).alias("__cuts"))
-    j = df.join(broadcast_checked(cuts, "key_ranges"), g, "left")
-    below = F.size(F.filter("__cuts", lambda c: c <= F.col(key)))
-    return j.withColumn(out, F.greatest(below, F.lit(0)).cast("long")).drop("__cuts", *extra)
