@@ -10,7 +10,7 @@ exactly once, on (group, bucket), and the join with the offsets table reuses tha
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +81,41 @@ def _log_bucket(u: Column) -> Column:
     return F.when(u <= 0, F.lit(1 << 20)).otherwise(F.floor(-F.log2(u) * LOG_STEPS)).cast("int")
 
 
+def _cap_tables(df: DataFrame, g: list[str], seed, key: str, cap_col: str) -> tuple[DataFrame, DataFrame]:
+    """(cuts, offsets) of a seeded cap: per group the log bucket that still holds ``min(cap, n)`` rows,
+    and per kept bucket the rows of smaller hash.
+
+    The histogram they come from is small (groups x buckets); it is written once so that both read
+    the same rows and the main pass does not rescan the input for them."""
+    from ..session import cut_lineage
+
+    work = df.withColumn("__lb", _log_bucket(hash_u(seed, key)))
+    hist = cut_lineage(work.groupBy(*g, "__lb").agg(F.count(F.lit(1)).alias("__c"), F.max(cap_col).alias("__cap")), "cap_hist")
+    w_cum = Window.partitionBy(*g).orderBy(F.col("__lb").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    w_all = Window.partitionBy(*g)
+    hist = (
+        hist.withColumn("__cum", F.sum("__c").over(w_cum))
+        .withColumn("__n", F.sum("__c").over(w_all))
+        .withColumn("__gcap", F.max("__cap").over(w_all))
+    )
+    need = F.least(F.col("__gcap"), F.col("__n"))
+    cuts = broadcast_checked(hist.where(F.col("__cum") >= need).groupBy(*g).agg(F.max("__lb").alias("__lbcut")), "cap_cuts")
+    offsets = hist.join(cuts, g).where(F.col("__lb") >= F.col("__lbcut")).select(*g, "__lb", (F.col("__cum") - F.col("__c")).alias("__off"))
+    return cuts, offsets
+
+
+def _below_cut(df: DataFrame, g: list[str], seed, key: str, cuts: DataFrame) -> DataFrame:
+    """Rows whose hash lies in a kept bucket, with the hash ``u`` and the bucket; nothing is shuffled."""
+    work = df.withColumn("u", hash_u(seed, key)).withColumn("__lb", _log_bucket(F.col("u")))
+    return work.join(cuts, g).where(F.col("__lb") >= F.col("__lbcut")).drop("__lbcut")
+
+
+def _ranked(kept: DataFrame, g: list[str], key: str, cap_col: str, offsets: DataFrame) -> DataFrame:
+    w_in = Window.partitionBy(*g, "__lb").orderBy("u", key)
+    ranked = kept.join(offsets, [*g, "__lb"]).withColumn("rn", (F.col("__off") + F.row_number().over(w_in)).cast("long")).drop("__off", "__lb")
+    return ranked.where(F.col("rn") <= F.col(cap_col))
+
+
 def seeded_cap(
     df: DataFrame,
     group_cols,
@@ -103,38 +138,38 @@ def seeded_cap(
        group); the kept rows (about ``cap``) are shuffled by (group, bucket) and ranked
        ``offset + row_number()`` inside their bucket.
 
-    The cut table is broadcast only if its measured size allows (``broadcast_checked``).
+    The cut table is broadcast only if its measured size allows (``broadcast_checked``). All columns
+    of ``df`` go through the rank; for rows with texts use ``seeded_cap_late``.
     """
-    from ..session import cut_lineage
-
     g = _cols(group_cols)
-    work = df.withColumn("u", hash_u(seed, key)).withColumn("__lb", _log_bucket(F.col("u")))
-    # the histogram is small (groups x buckets); it is written once so that the cut and the
-    # offsets below read the same rows and the main pass does not rescan the input for them
-    hist = cut_lineage(work.groupBy(*g, "__lb").agg(F.count(F.lit(1)).alias("__c"), F.max(cap_col).alias("__cap")), "cap_hist")
-    w_cum = Window.partitionBy(*g).orderBy(F.col("__lb").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_all = Window.partitionBy(*g)
-    hist = (
-        hist.withColumn("__cum", F.sum("__c").over(w_cum))
-        .withColumn("__n", F.sum("__c").over(w_all))
-        .withColumn("__gcap", F.max("__cap").over(w_all))
-    )
-    need = F.least(F.col("__gcap"), F.col("__n"))
-    cuts = hist.where(F.col("__cum") >= need).groupBy(*g).agg(F.max("__lb").alias("__lbcut"))
-    offsets = (
-        hist.join(cuts, g)
-        .where(F.col("__lb") >= F.col("__lbcut"))
-        .select(*g, "__lb", (F.col("__cum") - F.col("__c")).alias("__off"))
-    )
-    kept = work.join(broadcast_checked(cuts, "cap_cuts"), g).where(F.col("__lb") >= F.col("__lbcut")).drop("__lbcut")
-    w_in = Window.partitionBy(*g, "__lb").orderBy("u", key)
-    ranked = kept.join(offsets, [*g, "__lb"]).withColumn(
-        "rn", (F.col("__off") + F.row_number().over(w_in)).cast("long")
-    ).drop("__off", "__lb")
-    out = ranked.where(F.col("rn") <= F.col(cap_col))
+    cuts, offsets = _cap_tables(df, g, seed, key, cap_col)
+    out = _ranked(_below_cut(df, g, seed, key, cuts), g, key, cap_col, offsets)
     return out if keep_rank else out.drop("rn", "u")
 
 
+def seeded_cap_late(
+    keys: DataFrame,
+    wide: DataFrame,
+    group_cols,
+    seed,
+    key: str,
+    cap_col: str,
+    enrich: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``seeded_cap`` for rows with texts: only (group, key, cap) go through the ranks.
+
+    ``keys`` and ``wide`` hold the same rows, ``keys`` without the texts. The kept keys are joined
+    with what ``enrich`` adds to them (a function of the kept keys), written and measured; then
+    ``wide`` is read once more: rows beyond the cut are dropped in the scan, the others meet their
+    keys last, in a broadcast join if the kept keys are few, else in one exchange of rows that are
+    nearly all kept. ``key`` must be unique in a group."""
+    g = _cols(group_cols)
+    cuts, offsets = _cap_tables(keys, g, seed, key, cap_col)
+    kept = _ranked(_below_cut(keys, g, seed, key, cuts), g, key, cap_col, offsets).select(*g, key)
+    kept = broadcast_checked(enrich(kept) if enrich else kept, "kept_keys")
+    return _below_cut(wide, g, seed, key, cuts).drop("u", "__lb").join(kept, [*g, key])
+
+
 MAX_BROADCAST_BYTES = 64 << 20
 
 

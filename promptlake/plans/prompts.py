@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import MAX_EXAMPLES, cap_rule_a, cap_rule_b
-from ..operators.ranking import broadcast_checked, seeded_cap
+from ..operators.ranking import broadcast_checked, seeded_cap_late
 from ..operators.templates import nonempty_pairs, render_templates, usable_templates
 
 # The prompt set applied to every (dataset, subset) of the corpus in the tests
@@ -120,9 +120,10 @@ def build_prompts(
     rows of other tasks are neither ranked nor rendered. ``map_fn`` is a table function over the
     corpus rows (a row map or filter) that runs before the templates are attached.
 
-    Plan: control table (narrow pass) -> broadcast fan-out of train rows -> seeded cap (one
-    narrow histogram pass, then only ~cap rows per task are shuffled) -> labels joined to the
-    kept rows only -> render -> non-empty filter.
+    Plan: control table (narrow pass) -> broadcast fan-out of train ids -> seeded cap over ids (one
+    narrow histogram pass, then only ~cap ids per task are shuffled) -> labels joined to the kept
+    ids -> texts, dropped beyond the cut in their scan, meet the kept ids -> template texts ->
+    render -> non-empty filter. No window and no exchange before the cut carries a text.
     """
     from ..sources.tables import corpus, read
 
@@ -133,13 +134,15 @@ def build_prompts(
     if only_tasks is not None:
         tasks = broadcast_checked(tasks.join(broadcast_checked(only_tasks.select("task"), "only_tasks"), "task", "left_semi"), "tasks")
     tpl = tasks.withColumnRenamed("name", "template").withColumnRenamed("answer_choices", "tpl_choices")
-    train = data.where(F.col("split") == "train")
-    fanned = train.join(tpl.drop("n"), ["dataset", "subset"])
-    capped = seeded_cap(
-        fanned, ["dataset", "subset", "template"], (F.lit(BASE_SEED) + F.col("ordinal")).cast("string"), "id", "cap"
-    )
+    by = ["dataset", "subset"]
+    keys = broadcast_checked(tpl.select(*by, "template", "ordinal", "cap"), "task_keys")
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
-    rows = capped.join(labels, "id", "left")
+    train = data.where(F.col("split") == "train")
+    seed = (F.lit(BASE_SEED) + F.col("ordinal")).cast("string")
+    rows = seeded_cap_late(
+        train.select(*by, "id").join(keys, by), train.join(keys, by), [*by, "template"], seed, "id", "cap", lambda kept: kept.join(labels, "id", "left")
+    ).drop("ordinal", "cap")
+    rows = rows.join(broadcast_checked(tpl.drop("n", "cap", "ordinal"), "template_texts"), [*by, "template"])
     rendered = render_templates(rows, FIELDS, keep=list(keep))
     return nonempty_pairs(rendered).select(*keep, "inputs", "targets")
 

@@ -86,7 +86,9 @@ def build_incremental(
     missing = cut_lineage(requested.join(cached_tasks(spark, path, key).select(key), key, "left_anti"), "missing")
     if missing.limit(1).count() > 0:
         write_cache(build(missing), path)
-        rows = read_cache(spark, path).select(F.col(key).cast("string").alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+        # only the partitions of the tasks just built are counted, from the files' footers
+        new = read_cache(spark, path).join(F.broadcast(missing) if missing.count() <= 100_000 else missing, key, "left_semi")
+        rows = new.select(F.col(key).cast("string").alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
         built = missing.join(rows, key, "left").select(key, F.coalesce("rows", F.lit(0)).alias("rows"))
         built.write.mode("append").parquet(_manifest(path))
     return read_cache(spark, path).join(requested, key, "left_semi")

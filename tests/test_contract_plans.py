@@ -1,5 +1,6 @@
 """Driver contract, DuckDB oracles on the smallest tables, stream == batch, plan shape checks."""
 
+import re
 import math
 
 import duckdb
@@ -182,3 +183,25 @@ def test_rates_of_nothing_are_null(spark):
     caps = spark.createDataFrame([("a", 0), ("b", 0)], "task string, cap long")
     assert [r.rate for r in cap_rates(members, caps).collect()] == [None, None]
     assert [r.rate for r in temperature_rates(spark.createDataFrame([(0,)], "n long")).collect()] == [None]
+
+
+@pytest.mark.parametrize("name", ["prompt_mixture_capped", "prompt_mixture_share"])
+def test_texts_are_fetched_after_the_cut(spark, name, monkeypatch):
+    """No window, and no exchange below the cut, carries a document's or a template's text; the kept ids are written first."""
+    from promptlake import session
+
+    plans, cut = {}, session.cut_lineage
+
+    def kept(df, table="stage"):
+        plans.setdefault(table, []).append(_plan(df))
+        return cut(df, table)
+
+    monkeypatch.setattr(session, "cut_lineage", kept)
+    final = _plan(E.queries()[name](spark, SF_SMALL))
+    assert "Window" not in final and "Exchange hash" not in final
+    for table in ("cap_hist", "cap_cuts", "kept_keys"):
+        for plan in plans[table]:
+            for line in plan.split("\n"):
+                if "Exchange" in line or "Window [" in line or "FileScan" in line:
+                    assert not re.search(r"\btext\b|jinja|tpl_choices", line), (table, line)
+    assert "Window [" in plans["kept_keys"][0]
