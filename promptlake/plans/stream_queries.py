@@ -54,3 +54,38 @@ def q_stream_cache(spark, sf_dir):
 def q_stream_sample(spark, sf_dir):
     s = stream_sample(corpus_stream(spark, sf_dir), SAMPLE_RATE).select("doc_id", "lang")
     return spark.read.parquet(run_to_parquet(s, "stream_sample"))
+
+
+# Deliveries of the documents in the resumed stream, and rows admitted per task.
+DELIVERIES = 3
+FIRST_ROWS = 20
+
+
+def deliver(docs, folder: str, part: int) -> None:
+    """Stand-in of a feed: the ``part``-th of DELIVERIES ranges of ids arrives as files."""
+    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    share = F.floor((F.col("doc_id") - F.lit(lo)) * DELIVERIES / F.lit(hi - lo + 1))
+    docs.where(share == part).write.parquet(f"{folder}/delivery-{part}")
+
+
+@register(
+    "stream_cache_resume",
+    f"""WITH c AS ({LABELLED_SQL}), r AS ({_wide_sql(['quality', 'toxic'])}),
+          k AS (SELECT id, row_number() OVER (PARTITION BY dataset, subset ORDER BY id) AS rn FROM c WHERE split = 'train')
+        SELECT {TASK('r.dataset', 'r.subset', 'template')} AS task, id, inputs, targets FROM r JOIN k USING (id) WHERE rn <= {FIRST_ROWS}""",
+)
+def q_stream_cache_resume(spark, sf_dir):
+    """Documents arrive in three deliveries; the job is started after each and goes on with its own
+    checkpoint and sink: the first rows of each task by arrival, exactly its cap."""
+    from ..session import scratch_path
+    from ..streaming.resume import feed_stream, read_stream_cache, run_into_cache
+
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    tasks = prompt_tasks(corpus(spark, sf_dir), CORPUS_PROMPTS).withColumn("cap", F.lit(FIRST_ROWS))
+    tasks = tasks.withColumnRenamed("name", "template").withColumnRenamed("answer_choices", "tpl_choices")
+    folder, path, checkpoint = (scratch_path(spark, f"resume-{x}") for x in ("feed", "cache", "checkpoint"))
+    for part in range(DELIVERIES):
+        deliver(docs, folder, part)
+        run_into_cache(feed_stream(spark, folder, docs.schema), tasks, labels, path, checkpoint, FIELDS)
+    return read_stream_cache(spark, path).select("task", "id", "inputs", "targets")

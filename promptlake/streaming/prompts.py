@@ -3,9 +3,9 @@
 The reference only iterates lazily over its inputs (no event time, no state), so the stream
 jobs here are stateless: file source with ``maxFilesPerTrigger``, stream-static joins against
 the (small) templates and blacklist and the static labels table, a hash-threshold
-sample (the exact "first n" cap would need state; the threshold gives the same rows as the
-batch filter), and an ``availableNow`` trigger into a Parquet sink with a checkpoint in the
-shared folder, so a restarted job resumes where the last committed batch ended.
+sample (the threshold gives the same rows as the batch filter), and an ``availableNow`` trigger into
+a Parquet sink. ``run_to_parquet`` makes a new sink and checkpoint in every call; the stream that goes
+on where it ended, with exact caps, is ``streaming.resume``.
 """
 
 from __future__ import annotations
