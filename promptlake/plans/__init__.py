@@ -1,6 +1,7 @@
 """Composed plans and the registry of named queries."""
 
 from . import (  # noqa: F401  (importing registers the queries)
+    block_queries,
     io_queries,
     metric_queries,
     mixture_queries,
