@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401  (importing registers the queries)
     block_queries,
+    bucket_queries,
     io_queries,
     metric_queries,
     mixture_queries,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,9 +53,41 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_scratch: list[str] = []  # paths given out by this process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared folder for a written intermediate table."""
-    return f"{shared_dir(spark)}/promptlake/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the shared folder for a written intermediate table.
+
+    What is written there stays until ``scratch_run`` ends or ``remove_scratch`` is called: a result
+    may read it as long as it is in use."""
+    path = f"{shared_dir(spark)}/promptlake/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession, start: int = 0) -> None:
+    """Delete the intermediate tables this process has written (from the ``start``-th on). Call it when
+    the results that were made from them have been written or collected."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_scratch) > start:
+        p = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
+@contextmanager
+def scratch_run(spark: SparkSession):
+    """Intermediate tables written inside are deleted at the end, also after an error; results must
+    have been written or collected by then::
+
+        with scratch_run(spark):
+            near_duplicates(docs).write.parquet(out)
+    """
+    start = len(_scratch)
+    try:
+        yield
+    finally:
+        remove_scratch(spark, start)
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
