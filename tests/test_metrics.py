@@ -211,6 +211,41 @@ def test_metric_lookup_and_unknown_names(spark):
         metrics_by_task(preds, spark.createDataFrame([("m", "squad2")], "task string, metric string"))
 
 
+def test_families_equal_the_metrics_alone(spark):
+    """Shared sums give what each metric gives on its own, with nulls, blanks, many classes and large numbers."""
+    import random
+
+    from promptlake.operators import metrics_dispatch as D
+
+    r = random.Random(3)
+    labels = ["1", "0", " 1 ", "2.5", "x", "", None]
+    rows = [(t, str(i), r.choice(labels), r.choice(labels)) for t in "abc" for i in range(60)]
+    rows += [("big", str(i), str(10**8 + i % 3), str(10**8 + i % 5)) for i in range(40)] + [("words", str(i), "a", "b") for i in range(5)] + [("one", str(i), "1", "1") for i in range(5)]
+    preds = spark.createDataFrame(rows, "task string, id string, prediction string, target string")
+    names = [*D.LABEL_METRICS, *D.CLASS_METRICS, *D.ANSWER_METRICS]
+    for name in names:
+        plan = spark.createDataFrame([(t, name) for t in ("a", "b", "big", "words", "one")], "task string, metric string")
+        got = {(x.task, x.metric): x.value for x in D.metrics_by_task(preds, plan).collect()}
+        want = {(x.task, x.metric): x.value for x in D._tall(D.METRICS[name](preds.where("task <> 'c'"))).collect()}
+        assert got.keys() == want.keys(), name
+        assert all(a == b or a is not None and b is not None and abs(a - b) < 1e-6 for a, b in ((got[k], want[k]) for k in want)), (name, got, want)
+    both = spark.createDataFrame([(t, n) for t in ("a", "b") for n in names] + [("c", "F1")], "task string, metric string")
+    shared = D.metrics_by_task(preds, both)
+    assert {x.task for x in shared.collect()} == {"a", "b", "c"} and shared.where("task = 'c'").count() == 1
+
+
+def test_metrics_of_a_plan_read_the_documents_once(spark, monkeypatch):
+    from promptlake import session
+    from promptlake.plans import QUERIES
+
+    plans, cut = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df, name="stage": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or cut(df, name))
+    out = QUERIES["metric_by_task"](spark, "/root/testdata/sf0.001")
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    scans = [p.count("documents.parquet") for _, p in plans]
+    assert 0 < sum(scans) <= 3, [(n, s) for (n, _), s in zip(plans, scans, strict=True) if s]
+
+
 def test_bleu_variants(spark):
     df = spark.createDataFrame([("t", "1", "a b c d e", "a b x d e")], "task string, id string, prediction string, target string")
     assert M.bleu(df).first().bleu == 0.0
