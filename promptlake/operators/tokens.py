@@ -9,6 +9,8 @@ their bytes. ``byte_tokens`` and the array jobs are per-row expressions inside w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -153,28 +155,71 @@ def words(text) -> Column:
     return F.split(_col(text), " ", -1)
 
 
+# Items a frequent-items sketch keeps track of, and candidates counted per piece asked for.
+TRACKED = 1 << 17
+CANDIDATES = 4
+SKETCH_TOP = 100_000  # the largest k of the sketch
+
+
+def pieces_of(df: DataFrame, text: str = "text") -> DataFrame:
+    """Every space-separated piece, one row each."""
+    return df.select(F.explode(words(text)).alias("piece")).where(F.col("piece") != "")
+
+
 def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Frequency of every space-separated piece (partial aggregation before the shuffle)."""
-    return df.select(F.explode(words(text)).alias("piece")).where(F.col("piece") != "").groupBy("piece").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    return pieces_of(df, text).groupBy("piece").agg(F.count(F.lit(1)).alias("count"))
+
+
+def top_counts(df: DataFrame, size: int, text: str = "text", tracked: int = TRACKED) -> DataFrame:
+    """Exact (piece, count) rows that hold the ``size`` most frequent pieces, ties at the end included.
+
+    A frequent-items sketch (one per task, merged; ``tracked`` items each) names at most ``CANDIDATES *
+    size`` pieces, and a second pass counts only those, so what is shuffled does not grow with the
+    number of different pieces. The sketch guarantees that a piece it does not name occurs no more
+    often than the last it names, or 7 / tracked of all pieces. If the ``size``-th exact count is above
+    that, nothing can be missing; otherwise (flat distributions, few pieces) all pieces are counted."""
+    from ..session import cut_lineage
+
+    k = min(CANDIDATES * size, SKETCH_TOP)
+    pieces = pieces_of(df, text)
+    found = pieces.agg(F.expr(f"approx_top_k(piece, {k}, {max(tracked, k)})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    top = found["top"] or []
+    if len(top) >= size:
+        keys = df.sparkSession.createDataFrame([(t["item"],) for t in top], "piece string")
+        counts = pieces.join(F.broadcast(keys), "piece").groupBy("piece").agg(F.count(F.lit(1)).alias("count"))  # k rows at most
+        counts = cut_lineage(counts, "candidate_counts")
+        unnamed = max(top[-1]["count"] if len(top) == k else 0, 7 * found["n"] / max(tracked, k))
+        last = counts.orderBy(F.desc("count")).limit(size).agg(F.min("count")).first()[0]
+        if last > unnamed:
+            return counts
+    return piece_counts(df, text)
 
 
 def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     """Top ``size`` pieces by (count desc, piece), ids after the specials and the 256 bytes.
 
-    The limit is the feature (a top-k); Spark plans it as a per-partition top-k followed by a
-    merge of ``size`` rows per partition, so no task sees all pieces.
-    """
-    top = piece_counts(df, text).orderBy(F.col("count").desc(), F.col("piece")).limit(size)
+    The limit is the feature (a top-k); candidates come from a sketch and are counted exactly."""
+    top = top_counts(df, size, text).orderBy(F.col("count").desc(), F.col("piece")).limit(size)
     w = Window.orderBy(F.col("count").desc(), F.col("piece"))
     return top.withColumn("id", (F.row_number().over(w) + FIRST_PIECE_ID - 1).cast("int"))
 
 
+def _char_histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Characters of each batch of texts with their counts."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            joined = "".join(t for t in batch.column(0).slice(a, 1024).to_pylist() if t)
+            code, n = np.unique(np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in code.tolist()], pa.string()), pa.array(n, pa.int64())], names=["ch", "n"])
+
+
 def char_coverage(df: DataFrame, coverage: float = 0.99999, text: str = "text") -> DataFrame:
-    """Characters needed to cover ``coverage`` of all character occurrences (most frequent first)."""
-    chars = df.select(F.explode(F.regexp_extract_all(_col(text), F.lit("(?s)."), 0)).alias("ch"))
-    counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("count"))
+    """Characters needed to cover ``coverage`` of all character occurrences (most frequent first).
+
+    Texts become one histogram per 1024 of them inside the task; only those are shuffled. The windows
+    run over one row per character."""
+    counts = df.select(_col(text)).mapInArrow(_char_histogram, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("count"))
     w = Window.orderBy(F.col("count").desc(), F.col("ch"))
     tot = Window.partitionBy()
     return (
