@@ -2,9 +2,9 @@
 
 Pieces of at most ``size`` tokens are put into sequences of ``size``. Their lengths make a histogram
 of at most ``size`` entries, however large the corpus. Patterns of one to three lengths that fill a
-sequence are enumerated, repeat counts are fitted to the histogram by non-negative least squares,
-rounded and cut to what is there; the residual is packed best-fit by length classes. If best fit
-alone needs fewer sequences, its plan is taken. The plan (patterns and repeat counts) is bounded by
+sequence are enumerated, repeat counts are fitted to the histogram by non-negative least squares and
+rounded; the residual is packed best-fit by length classes, together with a share of the shortest
+pieces that the fit leaves out to fill it up. The plan (patterns and repeat counts) is bounded by
 ``size`` and solved on the driver; pieces are matched to its slots by their rank within their
 length, found in two phases, so no length class meets in one task.
 
@@ -29,6 +29,7 @@ from ..session import cut_lineage
 from .tokens import encoder
 
 BUCKET_ROWS = 500  # rows of a length class that are ranked together
+KEPT_BACK = (0.05, 0.1, 0.2, 0.3)  # shares of the shortest pieces that are left to the residual, in the order tried
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -164,25 +165,53 @@ def best_fit(hist: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return [(c, n) for group in open_ for c, n in sorted(group.items())]
 
 
+def rounded(pats: np.ndarray, x: np.ndarray, left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts near ``x``: whole parts first, then one more each by largest remainder, as
+    long as the pieces are there; they are taken off ``left``."""
+    whole = np.floor(x + 1e-6)
+    rest = x - whole
+    some = np.flatnonzero(rest > 0.05)
+    out = []
+    for order, repeat in ((np.argsort(-whole, kind="stable")[: np.count_nonzero(whole)], whole), (some[np.argsort(-rest[some], kind="stable")], np.ones(len(x)))):
+        for p in order:
+            lengths, need = np.unique(pats[p][pats[p] > 0], return_counts=True)
+            n = int(min(repeat[p], (left[lengths] // need).min()))
+            if n > 0:
+                left[lengths] -= n * need
+                out.append((tuple(int(v) for v in pats[p][::-1] if v > 0), n))
+    return out
+
+
+def fitted(hist: np.ndarray, size: int, kept_back: float, rounds: int = 4) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, repeat count): fitted patterns, and best fit for the residual.
+
+    The shortest pieces, a share of ``kept_back``, are left out of the fit: they fill up what the long
+    pieces of the residual leave. What rounding leaves over is fitted again while that finds more."""
+    short = np.minimum(hist, np.maximum(int(kept_back * hist.sum()) - (np.cumsum(hist) - hist), 0))
+    left, out = hist - short, []
+    for _ in range(rounds):
+        pats = patterns(np.flatnonzero(left), size)
+        more = rounded(pats, fit(pats, left.astype(float)), left) if len(pats) else []
+        if not more:
+            break
+        out += more
+    return out + best_fit(left + short, size)
+
+
 def plan(hist: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, repeat count) over the whole histogram, as few sequences as found."""
-    alone = best_fit(hist, size)
-    pats = patterns(np.flatnonzero(hist), size)
-    if len(pats) == 0:
-        return alone
-    x = fit(pats, hist.astype(float))
-    left = hist.copy()
-    fitted = []
-    for p in np.argsort(-x):
-        if x[p] < 0.5:
+    """(lengths in a sequence, repeat count) over the whole histogram: the fit that needs the fewest sequences.
+
+    Fits that keep back more and more short pieces are tried until one meets the lower bound, as many
+    sequences as the tokens fill."""
+    bound = -(-int((hist * np.arange(size + 1)).sum()) // size)
+    best: list[tuple[tuple[int, ...], int]] = []
+    for share in KEPT_BACK:
+        found = fitted(hist, size, share)
+        if not best or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) <= bound:
             break
-        lengths, need = np.unique(pats[p][pats[p] > 0], return_counts=True)
-        n = int(min(np.rint(x[p]), (left[lengths] // need).min()))
-        if n > 0:
-            left[lengths] -= n * need
-            fitted.append((tuple(int(v) for v in pats[p][::-1] if v > 0), n))
-    fitted += best_fit(left, size)
-    return min(alone, fitted, key=lambda f: sum(n for _, n in f))
+    return best
 
 
 def _slots(chosen: list[tuple[tuple[int, ...], int]]) -> np.ndarray:

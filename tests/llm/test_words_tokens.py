@@ -97,3 +97,16 @@ def test_fm_index_counts():
         for q, a, b, v in list(zip(queries, lo, hi, least, strict=True))[:150]:
             hits = [j for j, s in enumerate(segments) for i in range(len(s) - k + 1) if (s[i : i + k] == q).all()]
             assert b - a == len(hits) and v == min(value[j] for j in hits)
+
+
+def test_fitted_plan_needs_no_more_than_best_fit():
+    """The least-squares plan stands: on lengths of many shapes it is at or below plain best fit, and fits patterns."""
+    r = np.random.default_rng(2)
+    for k in range(6):
+        lengths = np.clip(r.lognormal(5 + 0.3 * k, 1, 4000).astype(int), 1, 1024)
+        hist = np.bincount(lengths, minlength=1025)
+        chosen, alone = plan(hist, 1024), best_fit(hist, 1024)
+        full = sum(n for c, n in chosen if sum(c) == 1024)
+        assert sum(n for _, n in chosen) <= sum(n for _, n in alone) + 1 and full > 0.5 * sum(n for _, n in chosen)
+        got = np.bincount([x for c, n in chosen for x in c], [n for c, n in chosen for _ in c], 1025)
+        assert (got == hist).all()
