@@ -31,26 +31,36 @@ def fs_of(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def byte_cuts(keys: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
+    """Keys that cut a sample of rows into ``shards`` ranges of about equally many bytes."""
+    order = np.argsort(keys, kind="stable")
+    upto = np.cumsum(sizes[order])
+    at = np.searchsorted(upto, upto[-1] / shards * np.arange(1, shards)) if len(keys) else np.empty(0, dtype=np.int64)
+    return keys[order][np.minimum(at, len(keys) - 1)] if len(keys) else keys
+
+
 def range_shards(df: DataFrame, key: str, size, target_bytes: int) -> DataFrame:
     """``df`` dealt and sorted by ranges of ``key``, with its range number in column ``shard``.
 
     The number of ranges follows the total of ``size`` (a Column, bytes per row). The split points
-    come from a hash sample of the keys (at most SAMPLE_PER_SHARD * MAX_SHARDS of them), so they
-    depend on the rows alone and not on the partitioning: a second run cuts at the same keys.
+    come from a hash sample of the keys with their sizes (at most about SAMPLE_PER_SHARD *
+    MAX_SHARDS of them), so ranges hold equally many bytes, not rows, and depend on the rows alone
+    and not on the partitioning: a second run cuts at the same keys. Each range is a partition of
+    its own, not dealt by a hash of its number, which would put several into one task.
     """
     total = df.agg(F.sum(size).alias("b"), F.count(key).alias("n")).first()
     shards = int(min(max(1, -(-(total["b"] or 0) // target_bytes)), MAX_SHARDS))
     every = max(1, (total["n"] or 0) // (SAMPLE_PER_SHARD * shards))
-    picked = df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).select(key).distinct()
-    keys = np.sort(np.array([r[0] for r in picked.collect()] if shards > 1 else [], dtype=np.int64))
-    cuts = keys[np.linspace(0, len(keys), shards + 1)[1:-1].astype(int)] if len(keys) else keys
+    picked = df.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(every)) == 0)).groupBy(key).agg(F.sum(size).alias("b"))
+    sample = picked.collect() if shards > 1 else []
+    cuts = byte_cuts(np.array([r[0] for r in sample], dtype=np.int64), np.array([(r["b"] or 0) + 1 for r in sample], dtype=np.int64), shards)
 
     @F.pandas_udf(T.IntegerType())
     def shard_of(k: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, k.to_numpy(dtype=np.int64), side="right").astype(np.int32))
 
     numbered = df.withColumn("shard", shard_of(F.coalesce(F.col(key), F.lit(-(1 << 63)))))
-    return numbered.repartition(shards, "shard").sortWithinPartitions("shard", key)
+    return numbered.repartitionById(shards, "shard").sortWithinPartitions("shard", key)
 
 
 class NewFile:

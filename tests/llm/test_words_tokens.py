@@ -110,3 +110,27 @@ def test_fitted_plan_needs_no_more_than_best_fit():
         assert sum(n for _, n in chosen) <= sum(n for _, n in alone) + 1 and full > 0.5 * sum(n for _, n in chosen)
         got = np.bincount([x for c, n in chosen for x in c], [n for c, n in chosen for _ in c], 1025)
         assert (got == hist).all()
+
+
+def test_ranges_hold_equally_many_bytes():
+    from promptlake.llm._files import byte_cuts
+
+    r = np.random.default_rng(3)
+    keys = r.permutation(20_000)
+    sizes = np.where(keys < 5_000, 4_000, 100)  # a stretch of keys holds most of the bytes
+    cuts = byte_cuts(keys, sizes, 16)
+    held = np.bincount(np.searchsorted(cuts, keys, side="right"), sizes, 16)
+    assert len(cuts) == 15 and held.max() < 1.1 * held.mean() and held.min() > 0.9 * held.mean()
+    assert len(byte_cuts(keys[:0], sizes[:0], 4)) == 0 and (byte_cuts(np.array([7]), np.array([5]), 3) == 7).all()
+
+
+def test_ranges_are_partitions_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    from promptlake.llm._files import range_shards
+
+    df = spark.range(4000).select((F.col("id") * 17 % 4000).alias("k"), F.when(F.col("id") % 7 == 0, None).otherwise(F.lit("x" * 50)).alias("t")).repartition(6)
+    out = range_shards(df, "k", F.octet_length("t"), 8_000).withColumn("p", F.spark_partition_id())
+    shards = out.groupBy("shard").agg(F.countDistinct("p").alias("parts"), F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("shard").collect()
+    assert len(shards) > 15 and all(s.parts == 1 for s in shards) and out.select("p").distinct().count() == len(shards)
+    assert sum(s.n for s in shards) == 4000 and all(a.hi < b.lo for a, b in zip(shards[:-1], shards[1:], strict=True))
