@@ -135,14 +135,14 @@ def build_prompts(
         tasks = broadcast_checked(tasks.join(broadcast_checked(only_tasks.select("task"), "only_tasks"), "task", "left_semi"), "tasks")
     tpl = tasks.withColumnRenamed("name", "template").withColumnRenamed("answer_choices", "tpl_choices")
     by = ["dataset", "subset"]
-    keys = broadcast_checked(tpl.select(*by, "template", "ordinal", "cap"), "task_keys")
+    keys = tpl.select(*by, "template", "ordinal", "cap")  # parts of the measured table keep its broadcast mark
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     train = data.where(F.col("split") == "train")
     seed = (F.lit(BASE_SEED) + F.col("ordinal")).cast("string")
     rows = seeded_cap_late(
         train.select(*by, "id").join(keys, by), train.join(keys, by), [*by, "template"], seed, "id", "cap", lambda kept: kept.join(labels, "id", "left")
     ).drop("ordinal", "cap")
-    rows = rows.join(broadcast_checked(tpl.drop("n", "cap", "ordinal"), "template_texts"), [*by, "template"])
+    rows = rows.join(tpl.drop("n", "cap", "ordinal"), [*by, "template"])
     rendered = render_templates(rows, FIELDS, keep=list(keep))
     return nonempty_pairs(rendered).select(*keep, "inputs", "targets")
 
