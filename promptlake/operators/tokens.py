@@ -9,7 +9,7 @@ their bytes. ``byte_tokens`` and the array jobs are per-row expressions inside w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -220,6 +220,11 @@ def char_coverage(df: DataFrame, coverage: float = 0.99999, text: str = "text")
     Texts become one histogram per 1024 of them inside the task; only those are shuffled. The windows
     run over one row per character."""
     counts = df.select(_col(text)).mapInArrow(_char_histogram, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("count"))
+    return covered(counts, coverage)
+
+
+def covered(counts: DataFrame, coverage: float) -> DataFrame:
+    """The most frequent rows of (ch, count) that reach ``coverage`` of all counts."""
     w = Window.orderBy(F.col("count").desc(), F.col("ch"))
     tot = Window.partitionBy()
     return (
@@ -230,8 +235,9 @@ def char_coverage(df: DataFrame, coverage: float = 0.99999, text: str = "text")
     )
 
 
-def _vocab_encoder(ids: dict[str, int]):
-    """Function from an array of texts to their id arrays; distinct pieces are looked up once per batch."""
+def piece_encoder(piece_ids: Callable[[str], list[int]]):
+    """Function from an array of texts to their id arrays: the ids of space-separated pieces with a space
+    byte between them; ``piece_ids`` is asked once per distinct piece of a batch."""
     sep = ord(" ") + BYTE_OFFSET
 
     def encode(text: pa.Array) -> pa.Array:
@@ -240,7 +246,7 @@ def _vocab_encoder(ids: dict[str, int]):
         where = pieces.offsets.to_numpy().astype(np.int64)
         where = where - where[0]
         coded = pieces.flatten().dictionary_encode()
-        each = [[ids[p]] if p in ids else [b + BYTE_OFFSET for b in p.encode()] for p in coded.dictionary.to_pylist()]
+        each = [piece_ids(p) for p in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
         flat = np.fromiter((i for x in each for i in x), dtype=np.int32, count=int(size.sum()))
         code = coded.indices.to_numpy()
@@ -256,6 +262,11 @@ def _vocab_encoder(ids: dict[str, int]):
     return encode
 
 
+def _vocab_encoder(ids: dict[str, int]):
+    """Pieces by their id, others by their bytes."""
+    return piece_encoder(lambda p: [ids[p]] if p in ids else [b + BYTE_OFFSET for b in p.encode()])
+
+
 def vocab_tokenize(df: DataFrame, vocab: DataFrame, key: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Pieces (space separated) -> vocab id, unknown pieces -> their byte ids; a space byte
     token separates pieces. The vocabulary (a top-k of requested size) goes to the tasks as a

@@ -9,6 +9,7 @@ from . import (  # noqa: F401  (importing registers the queries)
     packing_queries,
     prompt_queries,
     stream_queries,
+    subword_queries,
     token_queries,
     translation_queries,
 )
