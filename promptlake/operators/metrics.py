@@ -257,6 +257,77 @@ def rouge_l(df: DataFrame, group=("task",)) -> DataFrame:
     return t.groupBy(*group).agg((F.avg(_f1(F.col("lcs"), F.size("p"), F.size("r"))) * 100).alias("rougeL"))
 
 
+def line_sentences(text) -> Column:
+    """Sentences as summaries give them: lines, with a line break after a full stop that stands alone."""
+    return F.split(F.replace(F.coalesce(_c(text), F.lit("")), F.lit(" . "), F.lit(" .\n")), "\n", -1)
+
+
+def marked_sentences(text) -> Column:
+    """Lines, also cut after a full stop, question or exclamation mark that white space follows."""
+    return F.split(F.regexp_replace(F.coalesce(_c(text), F.lit("")), "([.!?])[ \t\n\r]+", "$1\n"), "\n", -1)
+
+
+def _lcs_positions(ref: list[str], cand: list[str]) -> set[int]:
+    """Positions of ``ref`` on a longest common subsequence with ``cand``, followed from the ends: equal
+    words are taken, else the last word of ``ref`` goes unless the table is larger with it than without.
+
+    A row of the table is one integer whose bit j is 0 where the row grows at word j of ``cand``."""
+    n = len(cand)
+    full = (1 << n) - 1
+    where: dict[str, int] = {}
+    for j, w in enumerate(cand):
+        where[w] = where.get(w, 0) | 1 << j
+    rows = [full]
+    for w in ref:
+        v = rows[-1]
+        hit = v & where.get(w, 0)
+        rows.append(((v + hit) | (v - hit)) & full)
+    i, j, kept = len(ref), n, set()
+    while i and j:
+        left_of = (1 << j) - 1
+        if ref[i - 1] == cand[j - 1]:
+            i, j = i - 1, j - 1
+            kept.add(i)
+        elif (rows[i] & left_of).bit_count() < (rows[i - 1] & left_of).bit_count():
+            j -= 1
+        else:
+            i -= 1
+    return kept
+
+
+def _union_hits(refs: pd.Series, cands: pd.Series) -> pd.Series:
+    """Words of the reference sentences on a common subsequence with any sentence of the prediction, none
+    counted more often than the prediction has it."""
+    out = []
+    for ref, cand in zip(refs, cands):
+        have: dict[str, int] = {}
+        for sentence in cand:
+            for w in sentence:
+                have[w] = have.get(w, 0) + 1
+        hits = 0
+        for sentence in ref:
+            words = list(sentence)
+            union: set[int] = set().union(*[_lcs_positions(words, list(c)) for c in cand])
+            for i in union:
+                if have.get(words[i], 0):
+                    have[words[i]] -= 1
+                    hits += 1
+        out.append(hits)
+    return pd.Series(out, dtype="int64")
+
+
+def rouge_lsum(df: DataFrame, group=("task",), sentences=line_sentences) -> DataFrame:
+    """Mean summary-level ROUGE-L F-measure: each sentence of the target is matched with every sentence of
+    the prediction, the matched words are united. A row with an empty side scores 0.
+
+    The table of a sentence pair takes a bit per cell, and one table is held at a time."""
+    words = lambda text: F.transform(sentences(text), rouge_tokens)
+    t = df.select(*group, words("prediction").alias("p"), words("target").alias("r"))
+    hits = F.pandas_udf(_union_hits, "long")("r", "p").alias("hits")
+    t = t.select(*group, hits, F.size(F.flatten("p")).alias("n_pred"), F.size(F.flatten("r")).alias("n_ref"))
+    return t.groupBy(*group).agg((F.avg(_f1(F.col("hits"), F.col("n_pred"), F.col("n_ref"))) * 100).alias("rougeLsum"))
+
+
 def _corr(x: str, y: str) -> Column:
     """Pearson correlation over rows with both values; null where a side is constant."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()

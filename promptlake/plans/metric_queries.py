@@ -228,6 +228,42 @@ def q_metric_rouge_l(spark, sf_dir):
     return _r6(M.rouge_l(dialogue_predictions(spark, sf_dir)), ["rougeL"])
 
 
+_TABLE_SQL = """list_reduce(list_transform(range(1, len(r) + 1), lambda i: [[i]]), lambda acc, w:
+        list_append(acc, list_reduce(list_transform(range(1, len(p) + 1), lambda j: [greatest(acc[-1][j + 1], acc[-1][j] + CAST(r[w[1][1]] = p[j] AS BIGINT))]),
+                                     lambda c, x: list_append(c, greatest(c[-1], x[1])), [0::BIGINT])),
+        [list_transform(range(0, len(p) + 1), lambda j: 0::BIGINT)])"""
+# The walk back through the table: [words of r left, words of p left, positions taken ...].
+_WALK_SQL = """list_reduce(list_transform(range(0, len(r) + len(p)), lambda k: [k]), lambda acc, k:
+        CASE WHEN acc[1] = 0 OR acc[2] = 0 THEN acc
+             WHEN r[acc[1]] = p[acc[2]] THEN list_concat([acc[1] - 1, acc[2] - 1], acc[3:], [acc[1]])
+             WHEN t[acc[1] + 1][acc[2]] > t[acc[1]][acc[2] + 1] THEN list_concat([acc[1], acc[2] - 1], acc[3:])
+             ELSE list_concat([acc[1] - 1, acc[2]], acc[3:]) END,
+        [CAST(len(r) AS BIGINT), CAST(len(p) AS BIGINT)])[3:]"""
+
+
+def _sentence_sql(x: str) -> str:
+    cut = f"regexp_replace({x}, '([.!?])[ \\t\\n\\r]+', '\\1' || chr(10), 'g')"
+    return f"SELECT task, id, s, {_ROUGE_TOK('line')} AS w FROM (SELECT task, id, unnest(string_split({cut}, chr(10))) AS line, unnest(range(len(string_split({cut}, chr(10))))) AS s FROM pred)"
+
+
+@register(
+    "metric_rouge_lsum",
+    f"""WITH {_PRED_SQL},
+      ps AS ({_sentence_sql('prediction')}), rs AS ({_sentence_sql('target')}),
+      pairs_of AS (SELECT rs.task, rs.id, rs.s, rs.w AS r, ps.w AS p FROM rs JOIN ps ON ps.task = rs.task AND ps.id = rs.id WHERE len(rs.w) > 0 AND len(ps.w) > 0),
+      tables AS (SELECT *, {_TABLE_SQL} AS t FROM pairs_of),
+      taken AS (SELECT DISTINCT id, s, r[i] AS word, i FROM (SELECT id, s, r, unnest({_WALK_SQL}) AS i FROM tables)),
+      united AS (SELECT id, word, count(*) AS n FROM taken GROUP BY id, word),
+      have AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest(w) AS word FROM ps) GROUP BY id, word),
+      hits AS (SELECT id, sum(least(united.n, have.n)) AS match FROM united JOIN have USING (id, word) GROUP BY id),
+      np AS (SELECT id, sum(len(w)) AS np FROM ps GROUP BY id), nr AS (SELECT id, sum(len(w)) AS nr FROM rs GROUP BY id),
+      ov AS (SELECT pred.task, pred.id, CAST(coalesce(match, 0) AS BIGINT) AS match, np, nr FROM pred JOIN np USING (id) JOIN nr USING (id) LEFT JOIN hits USING (id))
+    SELECT task, round(avg({F1_SQL}) * 100, 6) AS "rougeLsum" FROM ov GROUP BY task""",
+)
+def q_metric_rouge_lsum(spark, sf_dir):
+    return _r6(M.rouge_lsum(dialogue_predictions(spark, sf_dir), sentences=M.marked_sentences), ["rougeLsum"])
+
+
 _DIST_SQL = """SELECT task, CAST(min(d) AS BIGINT) AS min_distance, CAST(max(d) AS BIGINT) AS max_distance, round(avg(d), 6) AS mean_distance,
       round(quantile_cont(d, 0.5), 6) AS median_distance, CAST(sum(d) AS BIGINT) AS total_distance FROM dist GROUP BY task"""
 
