@@ -8,6 +8,7 @@ from . import (  # noqa: F401  (importing registers the queries)
     mixture_queries,
     packing_queries,
     prompt_queries,
+    schema_queries,
     stream_queries,
     subword_queries,
     token_queries,
