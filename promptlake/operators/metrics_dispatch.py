@@ -72,6 +72,7 @@ def matthews(df: DataFrame) -> DataFrame:
 METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "BLEU": lambda df: M.bleu(df),
     "ROUGE": lambda df: M.rouge_ns(df, (1, 2)).join(M.rouge_l(df), "task"),
+    "Summary ROUGE": lambda df: M.rouge_lsum(df),
     "Span Squad": lambda df: M.squad(_referenced(df)),
     "Squad": lambda df: M.squad(_referenced(df)),
     "Trivia QA": lambda df: M.squad(_referenced(df), trivia=True),

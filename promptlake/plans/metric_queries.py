@@ -15,7 +15,7 @@ from ..operators.dialogue import dialogue_pairs
 from ..operators.templates import nonempty_pairs
 from ..operators.tokens import append_eos, byte_tokens
 from ..sources.tables import read
-from .registry import register
+from .registry import ORACLES, register
 from .sqlparts import STRIP, U
 
 CORRUPT = 1.0 / 3.0
@@ -490,3 +490,34 @@ def q_metric_by_task(spark, sf_dir):
     preds = _label_predictions(spark, sf_dir)
     r = metrics_by_task(preds, _metric_plan(spark, preds))
     return r.select("task", "metric", F.round(F.nanvl("value", F.lit(None).cast("double")), 4).alias("value"))
+
+
+# The collection and subset that each dialogue task stands for, and metric sets beside the public ones.
+TEXT_TASKS = [("chat0", "super_glue", "record"), ("chat1", "chat", "qa"), ("chat2", "chat", "summary"), ("chat3", "chat", "reply")]
+TEXT_SETS = [("chat", "qa", "COQA F1"), ("chat", "summary", "ROUGE"), ("chat", None, "BLEU")]
+
+
+def _text_metric_sql(task: str, query: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"""SELECT task, '{c}' AS metric, CAST("{c}" AS DOUBLE) AS value FROM ({ORACLES[query]}) WHERE task = '{task}'""" for c in columns)
+
+
+@register(
+    "metric_text_by_task",
+    " UNION ALL ".join(
+        [
+            _text_metric_sql("chat0", "metric_squad", ["em", "f1"]),
+            _text_metric_sql("chat1", "metric_coqa", ["f1"]),
+            _text_metric_sql("chat2", "metric_rouge12", ["rouge1", "rouge2"]),
+            _text_metric_sql("chat2", "metric_rouge_l", ["rougeL"]),
+            _text_metric_sql("chat3", "metric_bleu", ["bleu"]),
+        ]
+    ),
+)
+def q_metric_text_by_task(spark, sf_dir):
+    """Free-text answers scored by the metric set of the collection that a task belongs to."""
+    from ..operators.metrics_dispatch import METRIC_SETS, metric_plan, metrics_by_task
+
+    tasks = spark.createDataFrame(TEXT_TASKS, "task string, dataset string, subset string")
+    sets = spark.createDataFrame(METRIC_SETS + TEXT_SETS, "dataset string, subset string, metric string")
+    r = metrics_by_task(dialogue_predictions(spark, sf_dir), metric_plan(tasks, sets))
+    return r.select("task", "metric", F.round("value", 6).alias("value"))
