@@ -28,7 +28,7 @@ def q_stream_prompts(spark, sf_dir):
     templates = corpus_templates(corpus(spark, sf_dir), CORPUS_PROMPTS)
     blacklist = spark.createDataFrame([(d,) for d in STREAM_BLACKLIST], "dataset string")
     s = stream_prompt_pairs(corpus_stream(spark, sf_dir), labels, templates, blacklist, FIELDS)
-    return spark.read.parquet(run_to_parquet(s, "stream_prompts"))
+    return run_to_parquet(s, "stream_prompts")
 
 
 @register(
@@ -44,7 +44,7 @@ def q_stream_cache(spark, sf_dir):
     labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
     tasks = prompt_tasks(corpus(spark, sf_dir), CORPUS_PROMPTS, "share", CACHE_SHARE)
     s = stream_capped_pairs(corpus_stream(spark, sf_dir), labels, tasks, FIELDS).drop("answer_choices")
-    return spark.read.parquet(run_to_parquet(s, "stream_cache", PARTITIONS)).select("task", "id", "inputs", "targets")
+    return run_to_parquet(s, "stream_cache", PARTITIONS).select("task", "id", "inputs", "targets")
 
 
 @register(
@@ -53,7 +53,7 @@ def q_stream_cache(spark, sf_dir):
 )
 def q_stream_sample(spark, sf_dir):
     s = stream_sample(corpus_stream(spark, sf_dir), SAMPLE_RATE).select("doc_id", "lang")
-    return spark.read.parquet(run_to_parquet(s, "stream_sample"))
+    return run_to_parquet(s, "stream_sample")
 
 
 # Deliveries of the documents in the resumed stream, and rows admitted per task.

@@ -1,7 +1,7 @@
 """Structured Streaming: new corpus files -> rendered prompt pairs / hash samples -> Parquet.
 
 The reference only iterates lazily over its inputs (no event time, no state), so the stream
-jobs here are stateless: file source with ``maxFilesPerTrigger``, stream-static joins against
+jobs here are stateless: file source with batches bounded by bytes, stream-static joins against
 the (small) templates and blacklist and the static labels table, a hash-threshold
 sample (the threshold gives the same rows as the batch filter), and an ``availableNow`` trigger into
 a Parquet sink. ``run_to_parquet`` makes a new sink and checkpoint in every call; the stream that goes
@@ -18,19 +18,27 @@ from ..operators.templates import attach_templates, nonempty_pairs, render_templ
 from ..session import scratch_path
 from ..sources.tables import split_of, spread
 
+# Fixed value: bytes of the files that one batch of a stream takes.
+BATCH_BYTES = 1 << 30
 
-def corpus_stream(spark: SparkSession, source_dir: str, name: str = "documents", max_files: int = 1) -> DataFrame:
-    """Stream over the ``name`` parquet files of ``source_dir`` (explicit schema, bounded batches)."""
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{name}.parquet").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", max_files)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(source_dir)
-    )
+
+def corpus_stream(spark: SparkSession, source_dir: str, name: str = "documents", batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Stream over table ``name`` of ``source_dir``, a file or a folder of files (explicit schema).
+
+    A batch takes files of ``batch_bytes`` in all, one at least, so that the number of batches, each of
+    which reads the static tables, follows the size of the input and not how it was cut into files."""
+    path = f"{source_dir.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes)
+    # a stream reads folders: of a single file, the folder it lies in is read for that name only
+    stream = reader.parquet(path) if _is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(source_dir)
     return spread(stream, name)
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def as_corpus(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("source").alias("dataset"),
@@ -66,12 +74,12 @@ def stream_sample(stream: DataFrame, rate: float, seed: str = "sample", key: str
     return stream.where(hash_u(seed, key) < F.lit(rate))
 
 
-def run_to_parquet(df: DataFrame, name: str, partition_cols=()) -> str:
-    """Run a stream with ``availableNow`` into a Parquet sink; returns the sink path."""
+def run_to_parquet(df: DataFrame, name: str, partition_cols=()) -> DataFrame:
+    """Run a stream with ``availableNow`` into a Parquet sink; returns the sink's rows (none if no row came)."""
     spark = df.sparkSession
     out, ckpt = scratch_path(spark, name), scratch_path(spark, name + "-checkpoint")
     q = df.writeStream.format("parquet").partitionBy(*partition_cols).option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return out
+    return spark.read.schema(df.schema).parquet(out)
