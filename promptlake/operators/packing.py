@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_u
 from ..functions.hof import let
 from .ordered import ordered_cumsum
-from .tokens import EOS, PAD, pad_to, shift_right
+from .tokens import EOS, PAD, bytes_ids, pad_to, shift_right
 
 def doc_chunks(docs: DataFrame, tokens: str, key: str, max_chunk: int | None = None, seed: str = "chunk") -> DataFrame:
     """All tokens of a document (or a random chunk of at most ``max_chunk``), then EOS."""
@@ -77,8 +77,6 @@ def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length:
     through the shuffles, instead of an int array) and expanded to ids only per finished
     segment. Same result as ``doc_chunks`` + ``lm_segments`` over ``byte_tokens(text)``.
     """
-    from .tokens import BYTE_OFFSET
-
     chunk = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     if max_chunk is not None:
         n = F.octet_length(F.col(text))
@@ -108,8 +106,7 @@ def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length:
     g = parts.groupBy(stream, "seg").agg(F.array_sort(F.collect_list(F.struct("off", "bytes", "eos"))).alias("__ps"))
 
     def ids(p):
-        toks = F.transform(F.regexp_extract_all(F.hex(p["bytes"]), F.lit(".."), 0), lambda x: F.conv(x, 16, 10).cast("int") + BYTE_OFFSET)
-        return F.concat(toks, F.when(p["eos"], F.array(F.lit(EOS))).otherwise(F.array().cast("array<int>")))
+        return F.concat(bytes_ids(p["bytes"]), F.when(p["eos"], F.array(F.lit(EOS))).otherwise(F.array().cast("array<int>")))
 
     return g.select(stream, "seg", F.flatten(F.transform("__ps", ids)).alias("tokens"))
 
