@@ -11,19 +11,27 @@ use average ranks from a two-phase running count over the distinct values.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hof import let
 from ..functions.text import strip
+from .tokens import steps
 
 # Punctuation removed by the answer normaliser (Python's string.punctuation),
 # the extra characters of the trivia variant, and the articles dropped.
 PUNCT_CLASS = "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]"
 TRIVIA_PUNCT_CLASS = "[!\"#$%&'()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~‘’´`]"
 ARTICLES = ["a", "an", "the"]
+# Fixed value: tokens whose n-grams a task counts at a time.
+GRAM_STEP = 1 << 17
 
 
 def _c(c) -> Column:
@@ -184,22 +192,30 @@ def rouge_n(df: DataFrame, n: int, group=("task",)) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 # sequence metrics: one dynamic program over many rows at once
 
-_DP_CELLS = 1 << 22  # cells of a batch table; rows of like length share a batch
+_DP_CELLS = 1 << 18  # cells of a batch table; rows of like length share a batch
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _token_codes(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Numbers of the tokens of all lists of ``a``, then of ``b``; equal tokens have equal numbers."""
+    both = pa.concat_arrays([a.flatten().cast(pa.large_string()), b.flatten().cast(pa.large_string())])
+    return both.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
 
 
-def _batches(a: pd.Series, b: pd.Series):
+def _batches(a: pa.Array, b: pa.Array):
     """Rows in batches of like length as (row numbers, ids of a, ids of b, lengths); padding never matches."""
-    sizes = [np.array([0 if x is None else len(x) for x in s], dtype=np.int64) for s in (a, b)]
-    flat = [w for s in (a, b) for x in s if x is not None for w in x]
-    codes = pd.factorize(np.array(flat, dtype=object))[0] if flat else np.empty(0, dtype=np.int64)
+    sizes = [_sizes(a), _sizes(b)]
+    codes = _token_codes(a, b)
     starts = [np.cumsum(sizes[0]) - sizes[0], sizes[0].sum() + np.cumsum(sizes[1]) - sizes[1]]
     order = np.lexsort((sizes[0], sizes[1]))
+    longest = np.maximum(sizes[0], sizes[1])[order]
     at = 0
     while at < len(order):
-        width = 1
-        rows = order[at : at + 1]
-        while at + width < len(order) and (sizes[1][order[at + width]] + 1) * (width + 1) <= _DP_CELLS and width < 4096:
-            width += 1
+        room = np.maximum.accumulate(longest[at : at + 4096] + 1) * np.arange(1, len(longest[at : at + 4096]) + 1)
+        width = max(1, int(np.searchsorted(room, _DP_CELLS, side="right")))
         rows = order[at : at + width]
         at += width
         grids = []
@@ -207,29 +223,38 @@ def _batches(a: pd.Series, b: pd.Series):
             n = sizes[side][rows]
             cols = np.arange(max(1, int(n.max())))
             there = cols[None, :] < n[:, None]
-            grid = np.full(there.shape, fill, dtype=np.int64)
+            grid = np.full(there.shape, fill, dtype=np.int32)
             grid[there] = codes[(starts[side][rows][:, None] + cols[None, :])[there]]
             grids.append(grid)
         yield rows, grids[0], grids[1], sizes[0][rows], sizes[1][rows]
 
 
-def _lcs_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+def _in_steps(step):
+    """The function over a bounded number of tokens at a time."""
+
+    def over(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([step(a.slice(at, n), b.slice(at, n)) for at, n in steps(a, b)] or [np.empty(0)]).astype(np.int64), pa.int64())
+
+    return over
+
+
+def _lcs_batch(a: pa.Array, b: pa.Array) -> np.ndarray:
     """cur[j] = max(prev[j], cur[j-1], prev[j-1] + match), a running maximum along the row."""
     out = np.zeros(len(a), dtype=np.int64)
     for rows, x, y, _, _ in _batches(a, b):
-        prev = np.zeros((len(rows), y.shape[1] + 1), dtype=np.int64)
+        prev = np.zeros((len(rows), y.shape[1] + 1), dtype=np.int32)
         for i in range(x.shape[1]):
             step = np.maximum(prev[:, 1:], prev[:, :-1] + (x[:, i : i + 1] == y))
             prev[:, 1:] = np.maximum.accumulate(step, axis=1)
         out[rows] = prev[:, -1]
-    return pd.Series(out)
+    return out
 
 
-def _edit_batch(a: pd.Series, b: pd.Series) -> pd.Series:
+def _edit_batch(a: pa.Array, b: pa.Array) -> np.ndarray:
     """cur[j] = min(prev[j] + 1, prev[j-1] + differ, cur[j-1] + 1), a running minimum of cur[j] - j."""
     out = np.zeros(len(a), dtype=np.int64)
     for rows, x, y, nx, ny in _batches(a, b):
-        j = np.arange(y.shape[1] + 1)
+        j = np.arange(y.shape[1] + 1, dtype=np.int32)
         prev = np.tile(j, (len(rows), 1))
         for i in range(int(nx.max(initial=0))):
             cur = np.empty_like(prev)
@@ -238,17 +263,17 @@ def _edit_batch(a: pd.Series, b: pd.Series) -> pd.Series:
             cur = np.minimum.accumulate(cur - j, axis=1) + j
             prev = np.where((i < nx)[:, None], cur, prev)
         out[rows] = prev[np.arange(len(rows)), ny]
-    return pd.Series(out)
+    return out
 
 
 def lcs_length(a, b) -> Column:
     """Longest common subsequence length of two token arrays (Arrow-batched, many rows at once)."""
-    return F.pandas_udf(_lcs_batch, "long")(_c(a), _c(b))
+    return F.arrow_udf(_in_steps(_lcs_batch), "long")(_c(a), _c(b))
 
 
 def edit_length(a, b) -> Column:
     """Levenshtein distance of two token arrays (Arrow-batched, many rows at once, any vocabulary)."""
-    return F.pandas_udf(_edit_batch, "long")(_c(a), _c(b))
+    return F.arrow_udf(_in_steps(_edit_batch), "long")(_c(a), _c(b))
 
 
 def rouge_l(df: DataFrame, group=("task",)) -> DataFrame:
