@@ -102,17 +102,17 @@ def q_fractional_shards(spark, sf_dir):
 )
 def q_fractional_read(spark, sf_dir):
     """Shards written as files named by the manifest; the reader opens only the planned ones."""
-    shards = _shards(spark, sf_dir)
-    manifest = FS.shard_manifest(shards)
+    shards = cut_lineage(_shards(spark, sf_dir), "shard_counts")
+    manifest = cut_lineage(FS.shard_manifest(shards), "manifest")
     docs = corpus(spark, sf_dir).where(F.col("split") == "train").withColumnRenamed("subset", "lang")
     idx = F.floor(hash_u("shard", "id") * F.col("train")).cast("long")
     rows = docs.join(shards, "lang").select("lang", idx.alias("idx"), "text", F.concat(F.lit("https://example.com/"), "lang", F.lit("/"), F.col("id").cast("string")).alias("url"))
     named = rows.join(manifest.where(F.col("split") == "train"), ["lang", "idx"]).select("file", "text", F.lit("2024-01-01T00:00:00Z").alias("timestamp"), "url")
     folder = scratch_path(spark, "shards")
-    named.hint("rebalance", "file").write.partitionBy("file").option("compression", "gzip").json(folder)
+    written = FS.write_shards(named, folder)
     fr = spark.createDataFrame(FS.DOWNLOAD_FRACTION, "lang string, fraction double")
-    plan = FS.fractional_plan(manifest, fr).join(named.select("file").distinct(), "file", "left_semi")
-    return FS.read_planned(spark, folder, plan.select(F.concat(F.lit("file="), "file").alias("file"))).select("url")
+    plan = FS.fractional_plan(manifest, fr).join(written, "file", "left_semi")
+    return FS.read_planned(spark, folder, plan).select("url")
 
 
 # ------------------------------------------------------------------------------------------
