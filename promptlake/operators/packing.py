@@ -7,7 +7,9 @@
   length) rows, which carry no text, emits the slices of the segments it overlaps, and segments
   are reassembled with an ordered ``collect_list`` (at most ``length`` tokens per group).
 * ``pack_prefix_lm``: consecutive segments (2j, 2j+1) become one encoder-decoder example
-  split at a hashed point ``m``; the last odd one is filled up with padding.
+  split at a hashed point ``m``; the last odd one is filled up with padding. Both halves meet in one
+  row by a shuffle, which carries their ids in byte planes; its eight features are made over Arrow
+  batches, a bounded number of rows at once.
 * ``pack_examples``: next-fit packing of whole sequences into rows of at most ``length``
   tokens inside shards of about ``shard_tokens`` (next-fit is sequential, so the shard is the unit
   of work; only (key, piece, length) rows go through the per-shard step). Sequences longer than a
@@ -19,13 +21,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.hashing import hash_u
 from ..functions.hof import let
 from .ordered import ordered_cumsum
-from .tokens import EOS, PAD, bytes_ids, pad_to, shift_right
+from .tokens import BYTE_OFFSET, EOS, PAD, STEP, bytes_ids
 
 def doc_chunks(docs: DataFrame, tokens: str, key: str, max_chunk: int | None = None, seed: str = "chunk") -> DataFrame:
     """All tokens of a document (or a random chunk of at most ``max_chunk``), then EOS."""
@@ -70,12 +75,33 @@ def lm_segments(chunks: DataFrame, stream: str, key: str, length: int, chunk: st
     return g.select(stream, "seg", F.flatten(F.transform("__ps", lambda x: x["toks"])).alias("tokens"))
 
 
-def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length: int, max_chunk: int | None = None, seed: str = "chunk") -> DataFrame:
+def _part_ids(parts: pa.Array) -> pa.Array:
+    """Ids of segments from lists of their (bytes, eos) parts: each byte plus 3, EOS where a document ends."""
+    flat = parts.flatten()
+    binary = flat.field("bytes").cast(pa.large_binary())
+    _, offs, data = binary.buffers()
+    off = np.frombuffer(offs, dtype=np.int64)[binary.offset : binary.offset + len(binary) + 1] if len(binary) else np.zeros(1, dtype=np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if off[-1] > off[0] else np.empty(0, dtype=np.uint8)
+    eos = flat.field("eos").to_numpy(zero_copy_only=False).astype(bool)
+    upto = np.concatenate(([0], off[1:] - off[0] + np.cumsum(eos)))  # ids up to the end of each part
+    last = upto[1:][eos] - 1
+    ids = np.empty(upto[-1], dtype=np.int32)
+    byte = np.ones(len(ids), dtype=bool)
+    byte[last] = False
+    ids[byte] = raw
+    ids += BYTE_OFFSET
+    ids[last] = EOS
+    n = pc.list_value_length(parts).fill_null(0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(upto[np.concatenate(([0], np.cumsum(n, dtype=np.int64)))], pa.int32()), pa.array(ids))
+
+
+def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length: int, max_chunk: int | None = None, seed: str = "chunk", arrow: bool = False) -> DataFrame:
     """``lm_segments`` for byte tokens, computed on bytes.
 
     Byte tokens are one per UTF-8 byte, so a document is carried as ``binary`` (1 byte per token
     through the shuffles, instead of an int array) and expanded to ids only per finished
-    segment. Same result as ``doc_chunks`` + ``lm_segments`` over ``byte_tokens(text)``.
+    segment: by expressions, or with ``arrow`` over Arrow batches, for plans that go on in Python.
+    Same result as ``doc_chunks`` + ``lm_segments`` over ``byte_tokens(text)``.
     """
     chunk = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     if max_chunk is not None:
@@ -105,44 +131,141 @@ def lm_segments_text(docs: DataFrame, stream: str, key: str, text: str, length:
     parts = c.select(stream, F.explode(let(F.col("bin"), pieces)).alias("p")).select(stream, "p.*")
     g = parts.groupBy(stream, "seg").agg(F.array_sort(F.collect_list(F.struct("off", "bytes", "eos"))).alias("__ps"))
 
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def arrow_ids(ps: pa.Array) -> pa.Array:
+        return _part_ids(ps)
+
     def ids(p):
         return F.concat(bytes_ids(p["bytes"]), F.when(p["eos"], F.array(F.lit(EOS))).otherwise(F.array().cast("array<int>")))
 
-    return g.select(stream, "seg", F.flatten(F.transform("__ps", ids)).alias("tokens"))
+    tokens = arrow_ids("__ps") if arrow else F.flatten(F.transform("__ps", ids))
+    return g.select(stream, "seg", tokens.alias("tokens"))
+
+
+def _padded(ids: pa.Array, length: int) -> np.ndarray:
+    """Lists as rows of ``length`` ids, cut or filled up with padding; null is all padding."""
+    n = pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = ids.flatten().to_numpy(zero_copy_only=False)
+    if (n == length).all():
+        return values.reshape(-1, length)
+    at = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+    out = np.full((len(ids), length), PAD, dtype=values.dtype)
+    out[np.arange(length) < n[:, None]] = values[at < length]
+    return out
+
+
+def _to_planes(ids: str, length: int, wide: type) -> Column:
+    """Lists of ids as ``length`` ids in bytes: the lowest byte of each, then the next of each, and so on. High
+    bytes are mostly equal, so that the shuffle's compression leaves little more than one byte an id."""
+    width = np.dtype(wide).itemsize
+
+    @F.arrow_udf(T.BinaryType())
+    def planes(x: pa.Array) -> pa.Array:
+        rows = _padded(x, length).astype(wide, copy=False)
+        raw = np.ascontiguousarray(rows.view(np.uint8).reshape(-1, length, width).transpose(0, 2, 1))
+        off = np.arange(0, raw.size + 1, width * length, dtype=np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(raw)])
+
+    return planes(ids)
+
+
+def _from_planes(planes: pa.Array, length: int, wide: type) -> np.ndarray:
+    """Rows of ids from their bytes; null is all padding."""
+    out = np.full((len(planes), length), PAD, dtype=wide)
+    there = pc.is_valid(planes).to_numpy(zero_copy_only=False)
+    raw = planes.drop_null()
+    if len(raw) == 0:
+        return out
+    _, offs, data = raw.buffers()
+    first = int(np.frombuffer(offs, dtype=np.int32)[raw.offset])
+    width = out.itemsize
+    byte = np.frombuffer(data, dtype=np.uint8)[first : first + len(raw) * length * width].reshape(-1, width, length)
+    ids = byte[:, 0].astype(wide)
+    for i in range(1, width):
+        if byte[:, i].any():
+            ids |= byte[:, i].astype(wide) << wide(8 * i)
+    out[there] = ids
+    return out
+
+
+def _shifted(targets: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Targets shifted right by one; the first position of both segments (0 and ``k``) is padding."""
+    out = np.full_like(targets, PAD)
+    out[:, 1:] = targets[:, :-1]
+    out[at == k] = PAD
+    return out
+
+
+def _inputs(a, b, at, m, k):
+    return np.take_along_axis(np.concatenate([a, b], axis=1), np.where(at < m, at, at + k), 1)
+
+
+def _targets(a, b, at, m, k):
+    return np.take_along_axis(np.concatenate([a, b], axis=1), np.where(at < k, at + m, at + len(at)), 1)
+
+
+# Features of pairs (a, b) split at m, in column order, over rows of L positions ``at``, with k = L - m: those
+# made of tokens and those that follow from the split point alone.
+_FROM_TOKENS = {
+    "encoder_input_tokens": _inputs,
+    "decoder_target_tokens": _targets,
+    "decoder_input_tokens": lambda a, b, at, m, k: _shifted(_targets(a, b, at, m, k), at, k),
+    "decoder_loss_weights": lambda a, b, at, m, k: (_targets(a, b, at, m, k) != PAD).astype(np.int32),
+}
+_FROM_SPLIT = {
+    "encoder_segment_ids": lambda at, m, k: np.where(at < m, 1, 2),
+    "encoder_positions": lambda at, m, k: np.where(at < m, at, at - m),
+    "decoder_segment_ids": lambda at, m, k: np.where(at < k, 1, 2),
+    "decoder_positions": lambda at, m, k: np.where(at < k, at, at - k),
+}
+PREFIX_FEATURES = (
+    "encoder_input_tokens decoder_target_tokens encoder_segment_ids encoder_positions "
+    "decoder_segment_ids decoder_positions decoder_input_tokens decoder_loss_weights"
+).split()
+
+
+def _prefix_feature(name: str, length: int, wide: type) -> Column:
+    """One feature of the rows (a, b, m), a bounded number of them at a time."""
+    kind = np.int32 if name in _FROM_SPLIT or name == "decoder_loss_weights" else wide
+    lists = T.ArrayType(T.LongType() if kind is np.int64 else T.IntegerType())
+
+    def rows(m: pa.Array, values) -> pa.Array:
+        out, step = np.empty((len(m), length), dtype=kind), max(1, STEP // length)
+        at = np.arange(length, dtype=np.int32)
+        for i in range(0, len(m), step):
+            split = m.slice(i, step).to_numpy()[:, None].astype(np.int32)
+            out[i : i + step] = values(i, step, at, split, length - split)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, length), pa.int32()), pa.array(out.ravel()))
+
+    if name in _FROM_SPLIT:
+        of_split = _FROM_SPLIT[name]
+
+        @F.arrow_udf(lists)
+        def feature(m: pa.Array) -> pa.Array:
+            return rows(m, lambda i, step, *at: of_split(*at))
+
+        return feature("m")
+    of_tokens = _FROM_TOKENS[name]
+
+    @F.arrow_udf(lists)
+    def feature(a: pa.Array, b: pa.Array, m: pa.Array) -> pa.Array:
+        return rows(m, lambda i, step, *at: of_tokens(_from_planes(a.slice(i, step), length, wide), _from_planes(b.slice(i, step), length, wide), *at))
+
+    return feature("a", "b", "m")
 
 
 def pack_prefix_lm(segments: DataFrame, stream: str, length: int, seed: str = "prefix") -> DataFrame:
     """Pairs (2j, 2j+1) of each stream -> encoder/decoder features with split point m in [1, L).
 
     A last segment without a partner is paired with padding, which has loss weight 0."""
-    none = F.array_repeat(F.lit(PAD), length)
+    wide = np.int64 if segments.schema["tokens"].dataType.elementType == T.LongType() else np.int32
+    halves = segments.select(stream, "seg", _to_planes("tokens", length, wide).alias("half"))
     # each pair holds one segment of either kind at most, so both come from one pass over the segments
-    half = lambda k: F.first(F.when(F.col("seg") % 2 == k, F.col("tokens")), ignorenulls=True)
-    j = segments.groupBy(stream, F.floor(F.col("seg") / 2).cast("long").alias("pair")).agg(half(0).alias("a"), half(1).alias("b"))
-    j = j.select(stream, "pair", pad_to("a", length).alias("a"), F.when(F.col("b").isNull(), none).otherwise(pad_to("b", length)).alias("b"))
-    L = length
-    m = (F.lit(1) + F.floor(hash_u(seed, F.concat_ws(":", stream, "pair")) * (L - 1))).cast("int")
-    j = j.withColumn("m", m)
-    inputs = F.concat(F.slice("a", 1, F.col("m")), F.slice("b", 1, F.lit(L) - F.col("m")))
-    targets = F.concat(F.slice("a", F.col("m") + 1, F.lit(L) - F.col("m")), F.slice("b", F.lit(L) - F.col("m") + 1, F.col("m")))
-    enc_seg = F.concat(F.array_repeat(F.lit(1), F.col("m")), F.array_repeat(F.lit(2), F.lit(L) - F.col("m")))
-    dec_seg = F.concat(F.array_repeat(F.lit(1), F.lit(L) - F.col("m")), F.array_repeat(F.lit(2), F.col("m")))
-    enc_pos = F.concat(F.sequence(F.lit(0), F.col("m") - 1), F.sequence(F.lit(0), F.lit(L) - F.col("m") - 1))
-    dec_pos = F.concat(F.sequence(F.lit(0), F.lit(L) - F.col("m") - 1), F.sequence(F.lit(0), F.col("m") - 1))
-    out = j.select(
-        stream,
-        "pair",
-        "m",
-        inputs.alias("encoder_input_tokens"),
-        targets.alias("decoder_target_tokens"),
-        enc_seg.alias("encoder_segment_ids"),
-        enc_pos.alias("encoder_positions"),
-        dec_seg.alias("decoder_segment_ids"),
-        dec_pos.alias("decoder_positions"),
-    )
-    return out.withColumn(
-        "decoder_input_tokens", shift_right("decoder_target_tokens", "decoder_segment_ids")
-    ).withColumn("decoder_loss_weights", F.transform("decoder_target_tokens", lambda x: F.when(x != PAD, 1).otherwise(0)))
+    half = lambda k: F.first(F.when(F.col("seg") % 2 == k, F.col("half")), ignorenulls=True)
+    j = halves.groupBy(stream, F.floor(F.col("seg") / 2).cast("long").alias("pair")).agg(half(0).alias("a"), half(1).alias("b"))
+    m = (F.lit(1) + F.floor(hash_u(seed, F.concat_ws(":", stream, "pair")) * (length - 1))).cast("int")
+    j = j.select(stream, "pair", m.alias("m"), "a", "b")
+    return j.select(stream, "pair", "m", *[_prefix_feature(f, length, wide).alias(f) for f in PREFIX_FEATURES])
 
 
 def lm_split(tokens, seed_key) -> tuple:

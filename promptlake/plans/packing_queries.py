@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.packing import lm_segments_text, lm_split, pack_examples, pack_prefix_lm
-from ..operators.tokens import byte_tokens, ids_text
+from ..operators.tokens import byte_tokens, ids_text, ids_text_arrow
 from ..sources.tables import read
 from .registry import register
 from .sqlparts import U
@@ -17,9 +17,9 @@ PACK_LEN = 512
 PACK_SHARD_TOKENS = 1 << 18
 
 
-def _segments(spark, sf_dir):
+def _segments(spark, sf_dir, arrow=False):
     d = read(spark, sf_dir, "documents").select("lang", "doc_id", "text")
-    return lm_segments_text(d, "lang", "doc_id", "text", LM_LEN)
+    return lm_segments_text(d, "lang", "doc_id", "text", LM_LEN, arrow=arrow)
 
 
 _SEG_SQL = f"""t AS (SELECT lang, doc_id, {BYTES('text')} AS toks FROM documents),
@@ -62,7 +62,7 @@ def _pack_sql() -> str:
 
 @register("pack_prefix_lm", _pack_sql())
 def q_pack_prefix_lm(spark, sf_dir):
-    p = pack_prefix_lm(_segments(spark, sf_dir), "lang", LM_LEN)
+    p = pack_prefix_lm(_segments(spark, sf_dir, arrow=True), "lang", LM_LEN)
     arrays = [
         "encoder_input_tokens",
         "decoder_target_tokens",
@@ -73,7 +73,7 @@ def q_pack_prefix_lm(spark, sf_dir):
         "decoder_positions",
         "decoder_loss_weights",
     ]
-    return p.select("lang", "pair", "m", *[ids_text(c).alias(c) for c in arrays])
+    return p.select("lang", "pair", "m", *[ids_text_arrow(c).alias(c) for c in arrays])
 
 
 @register(
